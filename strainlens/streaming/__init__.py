@@ -1,0 +1,2 @@
+"""Intentionally empty: the workload this library covers is batch only, so no
+streaming operator exists here (see README, "Scope")."""
