@@ -46,34 +46,40 @@ def neg_log10(p: Column, cap: float = 300.0) -> Column:
     return F.when(_finite(p), -F.log10(F.greatest(F.least(p, F.lit(1.0)), F.lit(10.0 ** -cap))))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """Fixed decimals, rounding the exact binary value."""
+    pattern = "0." + "0" * digits if digits else "0"
+    return F.call_function("format_number", x.cast("double"), F.lit(pattern))
+
+
 def p_text(p: Column) -> Column:
-    return F.when(~_finite(p), "").when(p < 0.001, "<0.001").otherwise(F.format_string("%.3f", p))
+    return F.when(~_finite(p), "").when(p < 0.001, "<0.001").otherwise(fixed(p, 3))
 
 
 def center_sd_text(center: Column, sd: Column) -> Column:
-    return F.format_string("%.4f (%.4f)", center, sd)
+    return F.concat(fixed(center, 4), F.lit(" ("), fixed(sd, 4), F.lit(")"))
 
 
 def center_range_text(center: Column, low: Column, high: Column) -> Column:
-    return F.format_string("%.4f [%.4f-%.4f]", center, low, high)
+    return F.concat(fixed(center, 4), F.lit(" ["), fixed(low, 4), F.lit("-"), fixed(high, 4), F.lit("]"))
 
 
 def metric_text(value: Column, as_percent: bool = False) -> Column:
-    shown = F.format_string("%.2f %%", value * 100) if as_percent else F.format_string("%.4f", value)
+    shown = F.concat(fixed(value * 100, 2), F.lit(" %")) if as_percent else fixed(value, 4)
     return F.when(_finite(value), shown).otherwise("")
 
 
 def mean_sd_text(mean: Column, sd: Column, as_percent: bool = False) -> Column:
     if as_percent:
-        return F.format_string("%.2f %% +/- %.2f %%", mean * 100, sd * 100)
-    return F.format_string("%.4f +/- %.4f", mean, sd)
+        return F.concat(fixed(mean * 100, 2), F.lit(" % +/- "), fixed(sd * 100, 2), F.lit(" %"))
+    return F.concat(fixed(mean, 4), F.lit(" +/- "), fixed(sd, 4))
 
 
 def parameter_text(n: Column) -> Column:
     """Parameter counts as M or K."""
     x = n.cast("double")
-    return (F.when(x >= 1e6, F.format_string("%.2fM", x / 1e6)).when(x >= 1e3, F.format_string("%.1fK", x / 1e3))
-            .otherwise(F.format_string("%.0f", x)))
+    return (F.when(x >= 1e6, F.concat(fixed(x / 1e6, 2), F.lit("M"))).when(x >= 1e3, F.concat(fixed(x / 1e3, 1), F.lit("K")))
+            .otherwise(fixed(x, 0)))
 
 
 def display_name(col: Column, names: Mapping[str, str]) -> Column:

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strainlens.functions import annotate
 from strainlens.functions import ranking as rk
 
 
@@ -185,13 +186,12 @@ def unpivot(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str
 def fold_wide(df: DataFrame, model: str, fold: str, metrics: Sequence[str]) -> DataFrame:
     """Fold rows with a Mean row and an SD row per model; ``label`` repeats the
     model name on its first row only."""
-    body = df.select(F.col(model), F.col(fold).cast("string").alias("fold"), *[F.format_string("%.4f", m).alias(m) for m in metrics],
+    body = df.select(F.col(model), F.col(fold).cast("string").alias("fold"), *[annotate.fixed(F.col(m), 4).alias(m) for m in metrics],
                      F.lit(0).alias("_part"))
     tail = df.groupBy(model).agg(*[F.avg(m).alias(f"{m}_mean") for m in metrics], *[F.stddev_pop(m).alias(f"{m}_sd") for m in metrics])
     tail = tail.select(model, F.lit("Mean +/- SD").alias("fold"),
-                       *[F.format_string("%.4f +/- %.4f", f"{m}_mean", f"{m}_sd").alias(m) for m in metrics], F.lit(1).alias("_part"))
+                       *[annotate.mean_sd_text(F.col(f"{m}_mean"), F.col(f"{m}_sd")).alias(m) for m in metrics], F.lit(1).alias("_part"))
     both = body.unionByName(tail)
-    from pyspark.sql import Window
     w = Window.partitionBy(model).orderBy("_part", "fold")
     place = F.row_number().over(w)
     return both.withColumn("row_in_model", place).withColumn("label", F.when(F.col("row_in_model") == 1, F.col(model)).otherwise("")).drop("_part")
@@ -213,17 +213,21 @@ def baseline_table(summary: DataFrame, model: str, protocol: str, protocols: Seq
     return out.withColumn("metric", names[F.col("metric")])
 
 
-def run_costs(runs: DataFrame, keys: Sequence[str], values: Sequence[str], first: Sequence[str] = (), order: str | None = None) -> DataFrame:
-    """mean, median, sd, min, max per cost column, first non-null description
-    fields, and how many folds do and do not carry timing."""
-    aggs = []
-    for v in values:
-        aggs += [F.avg(v).alias(f"{v}_mean"), F.percentile(v, F.lit(0.5)).alias(f"{v}_median"), F.stddev_pop(v).alias(f"{v}_std"),
-                 F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max")]
-    for f in first:
-        aggs.append(F.min_by(F.col(f), F.when(F.col(f).isNotNull(), F.col(order))).alias(f))
-    return runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_runs"), F.count(values[0]).alias("runs_with_timing"),
-                                   F.count_if(F.col(values[0]).isNull()).alias("runs_without_timing"), *aggs)
+def run_costs(runs: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """n, mean, median, population sd, min, max per (keys, cost column)."""
+    long = unpivot(runs, list(keys), list(values), "metric", "value")
+    by = [*keys, "metric"]
+    base = long.groupBy(*by).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
+                                 F.min("value").alias("min"), F.max("value").alias("max"))
+    return base.join(rk.exact_percentiles(long, by, "value", {"median": 0.5}), by, "left")
+
+
+def run_overview(runs: DataFrame, keys: Sequence[str], timing: str, first: Sequence[str], order: str) -> DataFrame:
+    """Runs with and without timing, and the first non-null description fields."""
+    return runs.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_runs"), F.count(timing).alias("runs_with_timing"),
+        F.count_if(F.col(timing).isNull()).alias("runs_without_timing"),
+        *[F.min_by(F.col(f), F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in first])
 
 
 def batch_timing(batches: DataFrame, keys: Sequence[str], seconds: str, samples) -> DataFrame:

@@ -1 +1,491 @@
-"""Not filled yet."""
+"""Classification metrics, fold tables, run costs, annotation, paired comparison."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strainlens import constants as C
+from strainlens.functions import adjust, annotate
+from strainlens.operators import checks, comparison, crosstab, metrics, rank_tests
+from strainlens.plans import views
+from strainlens.plans.registry import query
+
+KEYS = ["protocol", "model"]
+PAIRS = [
+    ("benchmark", "m2", "m4"), ("benchmark", "m2", "m5"), ("benchmark", "m2", "m6"), ("benchmark", "m2", "m7"),
+    ("ablation", "m2", "m1"), ("ablation", "m2", "m3"), ("ablation", "m1", "m3"),
+]
+_PAIR_VALUES = ", ".join(f"('{f}', '{a}', '{b}')" for f, a, b in PAIRS)
+
+
+def rounded(df, *cols, digits=6):
+    return df.select(*[F.round(c, digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def preds(spark, sf):
+    return views.predictions(spark, sf)
+
+
+def cluster_map(spark, sf):
+    m = views.meta(spark, sf)
+    return m.select(F.col("idx").alias("index"), F.concat("class", F.lit("::cluster_"), "cluster_id").alias("cluster_key"))
+
+
+def aligned(spark, sf):
+    return comparison.align_pairs(preds(spark, sf), cluster_map(spark, sf), PAIRS)
+
+
+# Confusion counts and F1 per key in SQL.
+_GRID = """
+    WITH g AS (SELECT p.protocol, p.model, t.k AS y_true, q.k AS y_pred FROM (SELECT DISTINCT protocol, model FROM pred) p,
+        (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS k) t, (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS k) q),
+    c AS (SELECT protocol, model, y_true, y_pred, count(*) AS n FROM pred GROUP BY ALL),
+    cm AS (SELECT g.*, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (protocol, model, y_true, y_pred)),
+    k AS (SELECT protocol, model, k, sum(n) FILTER (y_true = k AND y_pred = k) AS tp, sum(n) FILTER (y_true = k) AS row_n,
+        sum(n) FILTER (y_pred = k) AS col_n, sum(n) AS total FROM cm, (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS k) GROUP BY ALL),
+    f AS (SELECT *, CASE WHEN row_n + col_n > 0 THEN 2.0 * tp / (row_n + col_n) ELSE 0 END AS f1,
+        CASE WHEN row_n > 0 THEN tp / row_n END AS rec, CASE WHEN col_n > 0 THEN tp / col_n END AS prec,
+        CASE WHEN total - row_n > 0 THEN (total - row_n - col_n + tp) / (total - row_n) END AS spec FROM k)"""
+
+
+@query("a06_confusion_matrix", _GRID + """
+    SELECT protocol, model, y_true, y_pred, n, round(CASE WHEN sum(n) OVER (PARTITION BY protocol, model, y_true) > 0
+      THEN n / sum(n) OVER (PARTITION BY protocol, model, y_true) ELSE 0 END, 6) AS share FROM cm""", ("pred",))
+def confusion_matrix(spark, sf):
+    return rounded(metrics.confusion_long(metrics.confusion_row(preds(spark, sf), KEYS), KEYS, "row"), "share")
+
+
+@query("a06_confusion_share_of_all", _GRID + """
+    SELECT protocol, model, y_true, y_pred, n, round(n / sum(n) OVER (PARTITION BY protocol, model), 6) AS share FROM cm""", ("pred",))
+def confusion_share_of_all(spark, sf):
+    return rounded(metrics.confusion_long(metrics.confusion_row(preds(spark, sf), KEYS), KEYS, "all"), "share")
+
+
+@query("a07_accuracy_f1", _GRID + """
+    SELECT protocol, model, CAST(max(total) AS BIGINT) AS n_rows, round(sum(tp) / max(total), 6) AS accuracy, round(avg(f1), 6) AS macro_f1,
+      round(max(f1) FILTER (k = 0), 6) AS f1_0, round(max(f1) FILTER (k = 1), 6) AS f1_1, round(max(f1) FILTER (k = 2), 6) AS f1_2,
+      round(max(f1) FILTER (k = 3), 6) AS f1_3 FROM f GROUP BY protocol, model""", ("pred",))
+def accuracy_f1(spark, sf):
+    out = metrics.with_f1(metrics.confusion_row(preds(spark, sf), KEYS)).drop("cm")
+    return rounded(out, "accuracy", "macro_f1", "f1_0", "f1_1", "f1_2", "f1_3")
+
+
+_SUBSET = "(SELECT protocol, model, y_true, y_pred FROM pred0 WHERE NOT (protocol = 'temporal' AND y_true = 3))"
+
+
+@query("a08_balanced_metrics", """
+    WITH p AS (SELECT * FROM pred WHERE NOT (protocol = 'temporal' AND y_true = 3)),
+    k AS (SELECT protocol, model, k, count(*) FILTER (y_true = k AND y_pred = k) AS tp, count(*) FILTER (y_true = k) AS row_n,
+        count(*) FILTER (y_pred = k) AS col_n, count(*) AS total FROM p, (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS k) GROUP BY ALL),
+    f AS (SELECT *, CASE WHEN row_n + col_n > 0 THEN 2.0 * tp / (row_n + col_n) ELSE 0 END AS f1 FROM k)
+    SELECT protocol, model, max(total) AS n_rows, round(sum(tp) / max(total), 6) AS accuracy, round(avg(tp / row_n) FILTER (row_n > 0), 6) AS balanced_accuracy,
+      round(avg(f1) FILTER (row_n > 0), 6) AS macro_f1_present, round(avg(f1), 6) AS macro_f1_all4 FROM f GROUP BY protocol, model""", ("pred",))
+def balanced_metrics(spark, sf):
+    p = preds(spark, sf).filter(~((F.col("protocol") == "temporal") & (F.col("y_true") == 3)))
+    out = metrics.with_balanced(metrics.confusion_row(p, KEYS)).drop("cm")
+    return rounded(out, "accuracy", "balanced_accuracy", "macro_f1_present", "macro_f1_all4")
+
+
+@query("a09_class_report", _GRID + """
+    SELECT protocol, model, CAST(k AS VARCHAR) AS entry, round(prec, 6) AS "precision", round(rec, 6) AS recall, round(spec, 6) AS specificity,
+      round(f1, 6) AS f1, CAST(row_n AS BIGINT) AS support FROM f
+    UNION ALL SELECT protocol, model, 'macro', round(avg(prec), 6), round(avg(rec), 6), round(avg(spec), 6), round(avg(f1), 6), CAST(sum(row_n) AS BIGINT) FROM f GROUP BY ALL
+    UNION ALL SELECT protocol, model, 'weighted', round(sum(prec * row_n) / sum(row_n), 6), round(sum(rec * row_n) / sum(row_n), 6),
+      round(sum(spec * row_n) / sum(row_n), 6), round(sum(f1 * row_n) / sum(row_n), 6), CAST(sum(row_n) AS BIGINT) FROM f GROUP BY ALL
+    UNION ALL SELECT protocol, model, 'accuracy', NULL, NULL, NULL, round(sum(tp) / max(total), 6), CAST(max(total) AS BIGINT) FROM f GROUP BY ALL""", ("pred",))
+def class_report(spark, sf):
+    out = metrics.class_report(metrics.confusion_row(preds(spark, sf), KEYS), KEYS)
+    return rounded(out, "precision", "recall", "specificity", "f1")
+
+
+_STEPS = """
+    WITH d AS (SELECT model, class_index, score, sum(positive) AS pos, count(*) - sum(positive) AS neg FROM cscore GROUP BY ALL),
+    s AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY model, class_index) AS p,
+        sum(neg) OVER (PARTITION BY model, class_index) AS n FROM d WINDOW w AS (PARTITION BY model, class_index ORDER BY score DESC))"""
+
+
+@query("a10_ranking_quality", _STEPS + """
+    SELECT model, class_index, round(sum(pos * (n - fp + neg / 2.0)) / (max(p) * max(n)), 6) AS auroc,
+      round(sum(pos * (tp / (tp + fp))) / max(p), 6) AS average_precision, CAST(max(p) AS BIGINT) AS n_pos, CAST(max(n) AS BIGINT) AS n_neg
+    FROM s GROUP BY model, class_index""", ("cscore",))
+def ranking_quality(spark, sf):
+    k = ["model", "class_index"]
+    return rounded(metrics.ranking_quality(metrics.score_steps(views.class_scores(spark, sf), k), k), "auroc", "average_precision")
+
+
+@query("a11_curve_points", _STEPS + """
+    SELECT model, class_index, round(score, 6) AS score, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(tp / p, 6) AS tpr, round(fp / n, 6) AS fpr,
+      round(tp / (tp + fp), 6) AS "precision", round(p / (p + n), 6) AS chance FROM s""", ("cscore",))
+def curve_points(spark, sf):
+    out = metrics.curve_points(metrics.score_steps(views.class_scores(spark, sf), ["model", "class_index"]))
+    return rounded(out, "score", "tpr", "fpr", "precision", "chance")
+
+
+_LONG = """
+    WITH l AS (SELECT model, fold, 'accuracy' AS metric, accuracy AS v FROM foldm UNION ALL SELECT model, fold, 'balanced_accuracy', balanced_accuracy FROM foldm
+      UNION ALL SELECT model, fold, 'macro_f1', macro_f1 FROM foldm)"""
+FOLD_METRICS = ["accuracy", "balanced_accuracy", "macro_f1"]
+
+
+@query("a13_fold_summary", _LONG + """
+    SELECT model, metric, count(*) AS n, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median, round(stddev_pop(v), 6) AS std,
+      round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v) - stddev_pop(v), 6) AS low, round(avg(v) + stddev_pop(v), 6) AS high
+    FROM l GROUP BY model, metric""", ("foldm",))
+def fold_summary(spark, sf):
+    s = metrics.error_bounds(metrics.fold_summary(views.fold_metrics(spark, sf), ["model"], FOLD_METRICS))
+    return rounded(s, "mean", "median", "std", "min", "max", "low", "high")
+
+
+@query("a14_fold_tables", """
+    SELECT model, fold, accuracy, balanced_accuracy, macro_f1, row_number() OVER (PARTITION BY model ORDER BY part, fold) AS row_in_model,
+      CASE WHEN row_number() OVER (PARTITION BY model ORDER BY part, fold) = 1 THEN model ELSE '' END AS label FROM (
+      SELECT model, CAST(fold AS VARCHAR) AS fold, printf('%.4f', accuracy) AS accuracy, printf('%.4f', balanced_accuracy) AS balanced_accuracy, printf('%.4f', macro_f1) AS macro_f1, 0 AS part FROM foldm
+      UNION ALL SELECT model, 'Mean +/- SD', printf('%.4f +/- %.4f', avg(accuracy), stddev_pop(accuracy)), printf('%.4f +/- %.4f', avg(balanced_accuracy), stddev_pop(balanced_accuracy)),
+        printf('%.4f +/- %.4f', avg(macro_f1), stddev_pop(macro_f1)), 1 FROM foldm GROUP BY model)""", ("foldm",))
+def fold_tables(spark, sf):
+    return metrics.fold_wide(views.fold_metrics(spark, sf), "model", "fold", FOLD_METRICS)
+
+
+@query("a15_baseline_table", _GRID + """
+    , s AS (SELECT protocol, model, sum(tp) / max(total) AS accuracy, avg(rec) AS balanced, avg(f1) AS mf FROM f GROUP BY protocol, model),
+    l AS (SELECT protocol, model, 'Accuracy' AS metric, accuracy AS v FROM s UNION ALL SELECT protocol, model, 'Balanced accuracy', balanced FROM s
+      UNION ALL SELECT protocol, model, 'Macro-F1', mf FROM s)
+    SELECT model, metric, round_even(max(v) FILTER (protocol = 'cluster') * 100, 1) AS cluster, round_even(max(v) FILTER (protocol = 'geographical') * 100, 1) AS geographical,
+      round_even(max(v) FILTER (protocol = 'temporal') * 100, 1) AS temporal FROM l GROUP BY model, metric""", ("pred",))
+def baseline_table(spark, sf):
+    s = metrics.with_balanced(metrics.confusion_row(preds(spark, sf), KEYS))
+    s = s.select(*KEYS, "accuracy", "balanced_accuracy", F.col("macro_f1_all4").alias("macro"))
+    return metrics.baseline_table(s, "model", "protocol", views.PROTOCOLS, {"accuracy": "Accuracy", "balanced_accuracy": "Balanced accuracy", "macro": "Macro-F1"})
+
+
+def timings(spark, sf):
+    e = views.table(spark, sf, "events")
+    k = F.from_json("props", "k bigint")["k"]
+    return e.select(F.col("event_type").alias("model"), F.col("user_id").alias("run"), F.col("event_id"),
+                    F.when(F.col("event_id") % 9 != 0, F.col("value")).alias("seconds"), k.alias("k"),
+                    F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("device-"), F.col("event_id") % 10)).alias("device"))
+
+
+_TIMING = """
+    WITH t AS (SELECT event_type AS model, user_id AS run, event_id, CASE WHEN event_id % 9 <> 0 THEN value END AS seconds,
+      CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 3 = 0 THEN 'device-' || (event_id % 10) END AS device FROM events)"""
+
+
+@query("a47_run_costs", _TIMING + """
+    , l AS (SELECT model, 'seconds' AS metric, seconds AS v FROM t UNION ALL SELECT model, 'k', k FROM t)
+    SELECT model, metric, count(v) AS n, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median, round(stddev_pop(v), 6) AS std,
+      round(min(v), 6) AS min, round(max(v), 6) AS max FROM l GROUP BY model, metric""")
+def run_costs(spark, sf):
+    t = timings(spark, sf).withColumn("k", F.col("k").cast("double"))
+    return rounded(metrics.run_costs(t, ["model"], ["seconds", "k"]), "mean", "median", "std", "min", "max")
+
+
+@query("a47_run_overview", _TIMING + """
+    SELECT model, count(*) AS n_runs, count(seconds) AS runs_with_timing, count(*) FILTER (seconds IS NULL) AS runs_without_timing,
+      arg_min(device, event_id) FILTER (device IS NOT NULL) AS device FROM t GROUP BY model""")
+def run_overview(spark, sf):
+    return metrics.run_overview(timings(spark, sf), ["model"], "seconds", ["device"], "event_id")
+
+
+@query("a48_batch_timing", _TIMING + """
+    SELECT model, run, round(sum(seconds), 6) AS total_seconds, round(avg(seconds), 6) AS batch_mean, round(stddev_pop(seconds), 6) AS batch_std,
+      CAST(sum(k) AS BIGINT) AS n_samples, count(*) AS n_batches, round(sum(k) / nullif(sum(seconds), 0), 6) AS samples_per_second,
+      round(sum(seconds) / nullif(sum(k), 0) * 1000.0, 6) AS ms_per_sample FROM t WHERE seconds IS NOT NULL GROUP BY model, run""")
+def batch_timing(spark, sf):
+    t = timings(spark, sf).filter(F.col("seconds").isNotNull())
+    return rounded(metrics.batch_timing(t, ["model", "run"], "seconds", F.col("k")),
+                   "total_seconds", "batch_mean", "batch_std", "samples_per_second", "ms_per_sample")
+
+
+@query("a49_prediction_aggregates", _GRID + """
+    , u AS (SELECT protocol, model, count(DISTINCT "index") AS n_unique_test_indices, count(*) AS n_prediction_rows FROM pred GROUP BY ALL)
+    SELECT protocol, model, n_unique_test_indices, n_prediction_rows, round(sum(tp) / max(total), 6) AS accuracy, round(avg(rec), 6) AS balanced_accuracy,
+      round(avg(f1) FILTER (row_n > 0), 6) AS macro_f1_present, round(avg(f1), 6) AS macro_f1_all4 FROM f JOIN u USING (protocol, model) GROUP BY ALL""", ("pred",))
+def prediction_aggregates(spark, sf):
+    p = preds(spark, sf)
+    m = metrics.with_balanced(metrics.confusion_row(p, KEYS)).drop("cm", "n_rows")
+    # distinct indices through (key, index) partial rows
+    per = p.groupBy(*KEYS, "index").agg(F.count(F.lit(1)).alias("c"))
+    u = per.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_unique_test_indices"), F.sum("c").alias("n_prediction_rows"))
+    return rounded(m.join(u, KEYS), "accuracy", "balanced_accuracy", "macro_f1_present", "macro_f1_all4")
+
+
+@query("a49_per_class_f1", _GRID + """
+    SELECT protocol, model, 'DENV' || (k + 1) AS class, CAST(row_n AS BIGINT) AS support, round(f1, 6) AS f1 FROM f""", ("pred",))
+def per_class_f1(spark, sf):
+    r = metrics.class_report(metrics.confusion_row(preds(spark, sf), KEYS), KEYS).filter(F.length("entry") == 1)
+    return r.select(*KEYS, F.concat(F.lit("DENV"), (F.col("entry").try_cast("int") + 1).cast("string")).alias("class"), "support", F.round("f1", 6).alias("f1"))
+
+
+def split_rows(spark, sf):
+    """Leave-one-continent-out assignment: test fold, others train or val."""
+    from strainlens.operators import splits
+    return splits.leave_one_group_out(views.meta(spark, sf), "idx", "class", "continent", views.CONTINENTS)
+
+
+@query("a50_split_qc", """
+    SELECT 'geographical' AS protocol, count(DISTINCT continent) AS n_folds, count(DISTINCT idx) AS n_unique_test_indices, count(*) AS n_test_assignments,
+      (SELECT count(*) FROM meta) AS n_feature_rows FROM meta""", ("meta",))
+def split_qc(spark, sf):
+    s = split_rows(spark, sf).withColumn("protocol", F.lit("geographical"))
+    n = views.meta(spark, sf).agg(F.count(F.lit(1))).scalar()
+    return metrics.split_qc(s, ["protocol"], n)
+
+
+@query("a54_subset_shapes", """
+    WITH s AS (SELECT CASE WHEN idx % 10 = 0 THEN 'val' WHEN idx % 10 = 1 THEN 'test' ELSE 'train' END AS subset, label, length(header) AS l FROM meta),
+    p AS (SELECT subset, label, l FROM s UNION ALL SELECT 'all', label, l FROM s),
+    c AS (SELECT subset, label, count(*) AS n, max(l) AS l FROM p GROUP BY ALL)
+    SELECT subset, CAST(sum(n) AS BIGINT) AS "N", CAST(max(l) AS BIGINT) AS "L", 4 AS "E", string_agg(label || ': ' || n, ', ' ORDER BY label) AS class_counts FROM c GROUP BY subset""", ("meta",))
+def subset_shapes(spark, sf):
+    s = F.when(F.col("idx") % 10 == 0, "val").when(F.col("idx") % 10 == 1, "test").otherwise("train")
+    m = views.meta(spark, sf).withColumn("subset", s)
+    return crosstab.subset_shapes(m, "subset", "label", [0, 1, 2, 3], F.length("header").cast("bigint"), 4)
+
+
+@query("f09_fold_alignment", """
+    SELECT model, count(*) AS n_rows, count(DISTINCT fold) AS n_folds, string_agg(DISTINCT CAST(fold AS VARCHAR), ',' ORDER BY CAST(fold AS VARCHAR)) AS folds,
+      count(accuracy) AS n_accuracy, count(macro_f1) AS n_macro_f1,
+      count(*) = count(DISTINCT fold) AND count(*) = (SELECT count(DISTINCT fold) FROM foldm) AS aligned FROM foldm GROUP BY model""", ("foldm",))
+def fold_alignment(spark, sf):
+    return checks.fold_alignment(views.fold_metrics(spark, sf), "model", "fold", ["accuracy", "macro_f1"])
+
+
+@query("o03_long_wide", """
+    SELECT model, round(max(accuracy) FILTER (fold = 1995), 6) AS y1995, round(max(accuracy) FILTER (fold = 1996), 6) AS y1996,
+      round(max(accuracy) FILTER (fold = 1997), 6) AS y1997 FROM foldm GROUP BY model""", ("foldm",))
+def long_wide(spark, sf):
+    f = views.fold_metrics(spark, sf)
+    w = f.withColumn("y", F.concat(F.lit("y"), "fold")).groupBy("model").pivot("y", ["y1995", "y1996", "y1997"]).agg(F.round(F.max("accuracy"), 6))
+    # and back: unpivot is the inverse of the pivot above
+    back = w.unpivot(["model"], ["y1995", "y1996", "y1997"], "y", "v")
+    return back.groupBy("model").pivot("y", ["y1995", "y1996", "y1997"]).agg(F.max("v"))
+
+
+@query("j11_complexity_join", """
+    SELECT f.model, n_folds, mean_accuracy, parameters, CASE WHEN parameters >= 1000000 THEN printf('%.2fM', parameters / 1e6) WHEN parameters >= 1000 THEN printf('%.1fK', parameters / 1e3)
+      ELSE printf('%.0f', parameters::DOUBLE) END AS parameters_text FROM (SELECT model, count(*) AS n_folds, round(avg(accuracy), 6) AS mean_accuracy FROM foldm GROUP BY model) f
+    LEFT JOIN (SELECT l_returnflag || l_linestatus AS model, count(*) * 30 AS parameters FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) d ON f.model = d.model""", ("foldm",))
+def complexity_join(spark, sf):
+    f = views.fold_metrics(spark, sf).groupBy("model").agg(F.count(F.lit(1)).alias("n_folds"), F.round(F.avg("accuracy"), 6).alias("mean_accuracy"))
+    li = views.table(spark, sf, "lineitem").filter(F.col("l_linestatus") == "F")
+    dim = li.groupBy(F.concat("l_returnflag", "l_linestatus").alias("model")).agg((F.count(F.lit(1)) * 30).alias("parameters"))
+    return f.join(dim, "model", "left").withColumn("parameters_text", annotate.parameter_text(F.col("parameters")))
+
+
+_ANNO = """(SELECT idx, ((idx * 37) % 1000) / 10000.0::DOUBLE AS p, ((idx * 53) % 201 - 100) / 100.0::DOUBLE AS e, ((idx * 29) % 101) / 100.0::DOUBLE AS v FROM meta)"""
+
+
+@query("p16_annotation", f"""
+    SELECT idx, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS star,
+      CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS star_ns,
+      CASE WHEN abs(e) >= 0.43 THEN 'large' WHEN abs(e) >= 0.28 THEN 'medium' WHEN abs(e) >= 0.11 THEN 'small' ELSE 'negligible' END AS size,
+      CASE WHEN e >= 0.14 THEN '***' WHEN e >= 0.06 THEN '**' WHEN e >= 0.01 THEN '*' ELSE '' END AS epsilon_star,
+      CASE WHEN greatest(v, 1 - v) >= 0.71 THEN 'large' WHEN greatest(v, 1 - v) >= 0.64 THEN 'medium' WHEN greatest(v, 1 - v) >= 0.56 THEN 'small' ELSE 'negligible' END AS folded_size,
+      round(-log10(greatest(least(p, 1.0), 1e-300)), 6) AS neg_log10, CASE WHEN p < 0.001 THEN '<0.001' ELSE printf('%.3f', p) END AS p_text,
+      printf('%.4f (%.4f)', e, p) AS center_sd, printf('%.4f [%.4f-%.4f]', v, e, p) AS center_range, printf('%.2f %%', v * 100) AS percent FROM {_ANNO}""", ("meta",))
+def annotation(spark, sf):
+    i = F.col("idx")
+    m = views.meta(spark, sf).select("idx", ((i * 37) % 1000 / 10000.0).alias("p"), (((i * 53) % 201 - 100) / 100.0).alias("e"), ((i * 29) % 101 / 100.0).alias("v"))
+    p, e, v = F.col("p"), F.col("e"), F.col("v")
+    return m.select(
+        "idx", annotate.stars(p).alias("star"), annotate.stars(p, "ns").alias("star_ns"), annotate.magnitude(e, annotate.RANK_BISERIAL_STEPS).alias("size"),
+        annotate.effect_stars(e, annotate.EPSILON_STEPS).alias("epsilon_star"), annotate.folded_magnitude(v).alias("folded_size"),
+        F.round(annotate.neg_log10(p), 6).alias("neg_log10"), annotate.p_text(p).alias("p_text"), annotate.center_sd_text(e, p).alias("center_sd"),
+        annotate.center_range_text(v, e, p).alias("center_range"), annotate.metric_text(v, True).alias("percent"))
+
+
+@query("p17_verdicts", """
+    SELECT idx, CASE WHEN p < 0.05 AND d - 0.3 > 0 THEN 'Model A higher under this protocol' WHEN p < 0.05 AND d + 0.3 < 0 THEN 'Model B higher under this protocol'
+      WHEN abs(d) <= 1e-15 THEN 'No observed accuracy difference' ELSE 'No statistically supported accuracy difference' END AS verdict
+    FROM (SELECT idx, ((idx * 37) % 100) / 1000.0::DOUBLE AS p, ((idx * 53) % 201 - 100) / 100.0::DOUBLE AS d FROM meta)""", ("meta",))
+def verdicts(spark, sf):
+    i = F.col("idx")
+    p, d = (i * 37) % 100 / 1000.0, ((i * 53) % 201 - 100) / 100.0
+    return views.meta(spark, sf).select("idx", annotate.verdict(d, d - 0.3, d + 0.3, p).alias("verdict"))
+
+
+# ---- paired comparison -------------------------------------------------
+
+_PAIRED = f"""
+    WITH pr AS (SELECT * FROM (VALUES {_PAIR_VALUES}) v(family, model_a, model_b)),
+    al AS (SELECT a.protocol, family, model_a, model_b, a."index", a.fold, a.cluster_key, a.y_true, a.y_pred AS pred_a, b.y_pred AS pred_b
+      FROM pr JOIN pred a ON a.model = model_a JOIN pred b ON b.model = model_b AND b.protocol = a.protocol AND b."index" = a."index")"""
+
+
+@query("j03_pair_alignment_qc", _PAIRED + """
+    SELECT protocol, family, model_a, model_b, count(*) AS n_model_a, count(*) AS n_model_b, count(*) AS n_aligned, count(DISTINCT cluster_key) AS n_unique_clusters,
+      count(DISTINCT fold) AS n_partitions, 'prediction_file' AS index_source_model_a, 'prediction_file' AS index_source_model_b, 0::BIGINT AS only_a, 0::BIGINT AS only_b,
+      0::BIGINT AS label_mismatches, 0::BIGINT AS fold_mismatches, 0::BIGINT AS missing_cluster_ids, 0::BIGINT AS duplicate_indices, 'PASS' AS alignment_status
+    FROM al GROUP BY ALL""", ("pred",))
+def pair_alignment_qc(spark, sf):
+    return comparison.alignment_qc(aligned(spark, sf))
+
+
+_TAIL = """CASE WHEN n = 0 OR 2 * k = n THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, k + 1),
+      lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0::DOUBLE))))) END"""
+
+
+@query("a34_mcnemar_exact", _PAIRED + f"""
+    , c AS (SELECT protocol, family, model_a, model_b, count(*) FILTER (pred_a = y_true AND pred_b <> y_true) AS x, count(*) FILTER (pred_a <> y_true AND pred_b = y_true) AS y FROM al GROUP BY ALL),
+    d AS (SELECT *, x + y AS n, least(x, y) AS k FROM c)
+    SELECT protocol, family, model_a, model_b, x AS a_correct_b_wrong, y AS a_wrong_b_correct, n AS discordant_total, round({_TAIL}, 6) AS mcnemar_exact_p FROM d""", ("pred",))
+def mcnemar_exact(spark, sf):
+    return rounded(comparison.mcnemar(comparison.strict(aligned(spark, sf))), "mcnemar_exact_p")
+
+
+@query("a35_cluster_contributions", _PAIRED + """
+    SELECT protocol, family, model_a, model_b, cluster_key, min(y_true) AS label, count(*) AS n, count(*) FILTER (pred_a = y_true) AS correct_a, count(*) FILTER (pred_b = y_true) AS correct_b,
+      count(*) FILTER (pred_a = 0) AS a_0, count(*) FILTER (pred_a = 1) AS a_1, count(*) FILTER (pred_a = 2) AS a_2, count(*) FILTER (pred_a = 3) AS a_3,
+      count(*) FILTER (pred_b = 0) AS b_0, count(*) FILTER (pred_b = 1) AS b_1, count(*) FILTER (pred_b = 2) AS b_2, count(*) FILTER (pred_b = 3) AS b_3
+    FROM al GROUP BY ALL""".replace("min(y_true) AS label", "y_true AS label"), ("pred",))
+def cluster_contributions(spark, sf):
+    return comparison.cluster_contributions(comparison.strict(aligned(spark, sf))).drop("pair_no")
+
+
+@query("a36_cluster_bootstrap")
+def cluster_bootstrap(spark, sf):
+    return comparison.bootstrap(comparison.cluster_contributions(comparison.strict(aligned(spark, sf))))
+
+
+@query("a37_sign_flip_exact", _PAIRED + """
+    , d0 AS (SELECT protocol, family, model_a, model_b, fold, sum((pred_a = y_true)::INTEGER - (pred_b = y_true)::INTEGER)::BIGINT AS d FROM al GROUP BY ALL),
+    d AS (SELECT *, row_number() OVER (PARTITION BY protocol, family, model_a, model_b ORDER BY fold) - 1 AS i FROM d0),
+    o AS (SELECT protocol, family, model_a, model_b, sum(d) AS obs, count(*) AS k FROM d GROUP BY ALL),
+    s AS (SELECT d.protocol, d.family, d.model_a, d.model_b, m.mask, abs(sum(CASE WHEN (m.mask >> d.i) & 1 = 1 THEN -d.d ELSE d.d END)) AS v, max(abs(obs)) AS a
+      FROM d JOIN o USING (protocol, family, model_a, model_b) JOIN (SELECT unnest(range(0, 256)) AS mask) m ON m.mask < (1 << o.k::INTEGER) GROUP BY ALL)
+    SELECT protocol, family, model_a, model_b, CASE WHEN obs = 0 THEN 1.0 ELSE round((SELECT avg((v >= a)::INTEGER) FROM s WHERE s.protocol = o.protocol AND s.family = o.family AND s.model_a = o.model_a AND s.model_b = o.model_b), 6) END AS cluster_permutation_p,
+      CASE WHEN obs = 0 THEN 0 ELSE 1 << k::INTEGER END::BIGINT AS cluster_permutation_reps, CASE WHEN obs = 0 THEN 'degenerate_zero_difference' ELSE 'exact_cluster_sign_flip' END AS cluster_permutation_method,
+      obs::BIGINT AS cluster_accuracy_difference_count, k AS n_clusters FROM o""", ("pred",))
+def sign_flip_exact(spark, sf):
+    a = comparison.strict(aligned(spark, sf)).withColumn("cluster_key", F.col("fold"))
+    c = a.groupBy(*comparison.PAIR, "pair_no", "cluster_key").agg(
+        F.count_if(F.col("pred_a") == F.col("y_true")).alias("correct_a"), F.count_if(F.col("pred_b") == F.col("y_true")).alias("correct_b"))
+    return rounded(comparison.sign_flip(c), "cluster_permutation_p")
+
+
+@query("a37_sign_flip_monte_carlo")
+def sign_flip_monte_carlo(spark, sf):
+    return comparison.sign_flip(comparison.cluster_contributions(comparison.strict(aligned(spark, sf))))
+
+
+_F1_CM = "CASE WHEN sum((y_true = {k})::INTEGER) + sum(({p} = {k})::INTEGER) > 0 THEN 2.0 * sum((y_true = {k} AND {p} = {k})::INTEGER) / (sum((y_true = {k})::INTEGER) + sum(({p} = {k})::INTEGER)) ELSE 0 END"
+_MF = {s: "(" + " + ".join(_F1_CM.format(k=k, p=f"pred_{s}") for k in range(4)) + ") / 4" for s in "ab"}
+
+
+@query("a38_pair_observed", _PAIRED + f"""
+    SELECT protocol, family, model_a, model_b, count(*) AS n_rows, count(DISTINCT cluster_key) AS n_clusters, round(avg((pred_a = y_true)::INTEGER), 6) AS accuracy_a,
+      round(avg((pred_b = y_true)::INTEGER), 6) AS accuracy_b, round(avg((pred_a = y_true)::INTEGER) - avg((pred_b = y_true)::INTEGER), 6) AS delta_accuracy,
+      round({_MF['a']}, 6) AS macro_f1_a, round({_MF['b']}, 6) AS macro_f1_b, round({_MF['a']} - {_MF['b']}, 6) AS delta_macro_f1 FROM al GROUP BY ALL""", ("pred",))
+def pair_observed(spark, sf):
+    o = comparison.observed(comparison.cluster_contributions(comparison.strict(aligned(spark, sf))))
+    cols = ["accuracy_a", "accuracy_b", "delta_accuracy", "macro_f1_a", "macro_f1_b", "delta_macro_f1"]
+    return rounded(o.select(*comparison.PAIR, "n_rows", "n_clusters", *cols), *cols)
+
+
+@query("a39_primary_accuracy")
+def primary_accuracy(spark, sf):
+    return comparison.compare(comparison.strict(aligned(spark, sf)))["primary"]
+
+
+@query("a39_per_class_f1")
+def planned_per_class(spark, sf):
+    return comparison.compare(comparison.strict(aligned(spark, sf)))["per_class_f1"]
+
+
+@query("a39_macro_f1")
+def planned_macro_f1(spark, sf):
+    return comparison.compare(comparison.strict(aligned(spark, sf)))["macro_f1"]
+
+
+@query("a39_model_summary", _GRID + """
+    , u AS (SELECT protocol, model, count(DISTINCT cluster_key) AS n_clusters, count(DISTINCT fold) AS n_partitions FROM pred GROUP BY ALL)
+    SELECT protocol, model, CAST(max(total) AS BIGINT) AS n_rows, n_clusters, n_partitions, round(sum(tp) / max(total), 6) AS accuracy, round(avg(f1), 6) AS macro_f1,
+      round(max(f1) FILTER (k = 0), 6) AS f1_0, round(max(f1) FILTER (k = 1), 6) AS f1_1, round(max(f1) FILTER (k = 2), 6) AS f1_2, round(max(f1) FILTER (k = 3), 6) AS f1_3
+    FROM f JOIN u USING (protocol, model) GROUP BY protocol, model, n_clusters, n_partitions""", ("pred",))
+def model_summary(spark, sf):
+    return rounded(comparison.model_summary(preds(spark, sf), cluster_map(spark, sf)), "accuracy", "macro_f1", "f1_0", "f1_1", "f1_2", "f1_3")
+
+
+# ---- corrections and fold tests ----------------------------------------
+
+_PV = """
+    WITH p AS (SELECT model, fold, substr(model, 1, 1) AS family, round(abs(accuracy - 0.5) * 2, 4) AS p FROM foldm)"""
+
+
+def p_values(spark, sf):
+    f = views.fold_metrics(spark, sf)
+    return f.select("model", "fold", F.substring("model", 1, 1).alias("family"), F.round(F.abs(F.col("accuracy") - 0.5) * 2, 4).alias("p"))
+
+
+@query("w04_holm", _PV + """
+    SELECT model, fold, family, p, round(least(1.0, max(step) OVER (PARTITION BY family ORDER BY p, model, fold)), 6) AS p_holm FROM (
+      SELECT *, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, model, fold) + 1) * p AS step FROM p)""", ("foldm",))
+def holm(spark, sf):
+    return rounded(adjust.holm(p_values(spark, sf), ["family"], "p", "p_holm", ["model", "fold"]), "p_holm")
+
+
+@query("w05_benjamini_hochberg", _PV + """
+    SELECT model, fold, family, p, round(least(1.0, min(s1) OVER (ORDER BY p DESC, model DESC, fold DESC)), 6) AS p_all,
+      round(least(1.0, min(s2) OVER (PARTITION BY family ORDER BY p DESC, model DESC, fold DESC)), 6) AS p_within FROM (
+      SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, model, fold) AS s1,
+        p * count(*) OVER (PARTITION BY family) / row_number() OVER (PARTITION BY family ORDER BY p, model, fold) AS s2 FROM p)""", ("foldm",))
+def benjamini_hochberg(spark, sf):
+    out = adjust.benjamini_hochberg(p_values(spark, sf), [], "p", "p_all", ["model", "fold"])
+    return rounded(adjust.benjamini_hochberg(out, ["family"], "p", "p_within", ["model", "fold"]), "p_all", "p_within")
+
+
+GROUPS = ["AF", "AO", "NF", "NO", "RF", "RO"]
+# chi-square upper tail as one minus the regularised lower gamma series
+CHI2_SQL = ("CASE WHEN {x} <= 0 THEN 1.0 ELSE greatest(0.0, 1 - list_sum(list_transform(range(0, 600), lambda i: exp(-({x}) / 2 + ({df} / 2.0 + i) * ln(({x}) / 2) - "
+            "lgamma({df} / 2.0 + i + 1))))) END")
+
+
+@query("a42_fold_kruskal", _LONG + f"""
+    , r AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY v) + (count(*) OVER (PARTITION BY metric, v) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY metric, v) AS t FROM l),
+    n AS (SELECT metric, count(*) AS n, sum(t * t - 1) AS ties, count(DISTINCT model) AS k FROM r GROUP BY metric),
+    s AS (SELECT metric, sum(sq) AS acc FROM (SELECT metric, model, sum(rk) * sum(rk) / count(*) AS sq FROM r GROUP BY metric, model) GROUP BY metric),
+    h AS (SELECT metric, k, n, (12.0 / (n * (n + 1)) * acc - 3 * (n + 1)) / (1 - ties / (n::DOUBLE * n * n - n)) AS h FROM n JOIN s USING (metric))
+    SELECT metric, CAST(k AS INTEGER) AS n_groups, n AS "N", round(h, 6) AS "H", round({CHI2_SQL.format(x='h', df='(k - 1)')}, 6) AS p,
+      round(greatest(0, least(1, (h - k + 1) / (n - k))), 6) AS epsilon_squared, 'kruskal_wallis' AS method FROM h""", ("foldm",))
+def fold_kruskal(spark, sf):
+    long = metrics.unpivot(views.fold_metrics(spark, sf), ["model", "fold"], FOLD_METRICS)
+    return rounded(rank_tests.fold_kruskal(long, ["metric"], "model", GROUPS, "value"), "H", "p", "epsilon_squared")
+
+
+@query("a42_fold_wilcoxon", _LONG + """
+    , d AS (SELECT a.metric, a.model AS model_a, b.model AS model_b, a.fold, round(abs(a.v - b.v), 8) AS m, sign(a.v - b.v) AS s FROM l a JOIN l b USING (metric, fold)
+      WHERE (a.model, b.model) IN (('AF','NF'), ('AF','RF'), ('NF','RF'))),
+    r AS (SELECT *, rank() OVER (PARTITION BY metric, model_a, model_b ORDER BY m) + (count(*) OVER (PARTITION BY metric, model_a, model_b, m) - 1) / 2.0 AS rk FROM d WHERE m > 0)
+    SELECT metric, model_a, model_b, count(*) AS n_pairs, count(*) AS n_nonzero, round(least(sum(rk) FILTER (s > 0), sum(rk) FILTER (s < 0)), 6) AS "W",
+      round((coalesce(sum(rk) FILTER (s > 0), 0) - coalesce(sum(rk) FILTER (s < 0), 0)) / sum(rk), 6) AS rank_biserial FROM r GROUP BY ALL""", ("foldm",))
+def fold_wilcoxon(spark, sf):
+    long = metrics.unpivot(views.fold_metrics(spark, sf), ["model", "fold"], FOLD_METRICS)
+    out = rank_tests.signed_rank_pairs(long, ["metric"], "model", [("AF", "NF"), ("AF", "RF"), ("NF", "RF")], "fold", "value")
+    return rounded(out.drop("p"), "W", "rank_biserial")
+
+
+@query("a42_fold_wilcoxon_p")
+def fold_wilcoxon_p(spark, sf):
+    long = metrics.unpivot(views.fold_metrics(spark, sf), ["model", "fold"], FOLD_METRICS)
+    out = rank_tests.signed_rank_pairs(long, ["metric"], "model", [("AF", "NF"), ("AF", "RF"), ("NF", "RF")], "fold", "value")
+    return adjust.benjamini_hochberg(out, ["metric"], "p", "p_fdr", ["model_a", "model_b"])
+
+
+@query("w11_latest_version", r"""
+    SELECT model, arg_max(name, (epoch * 1000000000 + ts)) AS latest FROM (SELECT model, name, CAST(regexp_extract(name, 'model-(?:k\d+|ohe)_(\d+)_(\d+)\.pt', 1) AS BIGINT) AS epoch,
+      CAST(regexp_extract(name, 'model-(?:k\d+|ohe)_(\d+)_(\d+)\.pt', 2) AS BIGINT) AS ts FROM (
+        SELECT event_type AS model, CASE WHEN event_id % 2 = 0 THEN 'model-ohe_' ELSE 'model-k3_' END || (event_id % 40) || '_' || (100000 + event_id) || '.pt' AS name FROM events)) GROUP BY model""")
+def latest_version(spark, sf):
+    from strainlens.operators.windows import latest_checkpoint
+    e = views.table(spark, sf, "events")
+    i = F.col("event_id")
+    name = F.concat(F.when(i % 2 == 0, "model-ohe_").otherwise("model-k3_"), i % 40, F.lit("_"), 100000 + i, F.lit(".pt"))
+    return latest_checkpoint(e.select(F.col("event_type").alias("model"), name.alias("name")), ["model"], "name")
+
+
+@query("w11_best_epoch", """
+    SELECT model, fold AS epoch, round(macro_f1, 6) AS loss FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY macro_f1, fold) AS rn FROM foldm) WHERE rn = 1""", ("foldm",))
+def best_epoch(spark, sf):
+    f = views.fold_metrics(spark, sf)
+    out = f.groupBy("model").agg(F.min(F.struct(F.col("macro_f1").alias("loss"), F.col("fold").alias("epoch"))).alias("b"))
+    return out.select("model", "b.epoch", F.round("b.loss", 6).alias("loss"))
