@@ -173,14 +173,18 @@ def bootstrap(contrib: DataFrame, reps: int = 10_000, confidence: float = 0.95,
     parts = int(contrib.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     draws = work.repartition(parts, *keys, "label", "chunk").groupBy(*keys, "label", "chunk").applyInPandas(draw, schema)
     draws = draws.select(*keys, "label", F.posexplode(F.arrays_zip(*cols)).alias("rep", "_d")).select(*keys, "label", "rep", "_d.*")
-    cells = {s: [[F.sum(F.when(F.col("label") == t, F.col(f"{s}_{q}")).otherwise(0)) for q in range(n_classes)] for t in range(n_classes)] for s in "ab"}
-    per_rep = draws.groupBy(*keys, "rep").agg(*[F.array(*[F.array(*r) for r in cells[s]]).alias(f"cm_{s}") for s in "ab"])
-    scored = per_rep
+    own = {(s, c): F.when(F.col("label") == c, F.col(f"{s}_{c}")).otherwise(0) for s in "ab" for c in range(n_classes)}
+    size = sum((F.col(f"a_{c}") for c in range(1, n_classes)), F.col("a_0"))
+    sums = [F.sum(own[k]).alias(f"tp_{k[0]}{k[1]}") for k in own] + [F.sum(f"{s}_{c}").alias(f"col_{s}{c}") for s, c in own]
+    sums += [F.sum(F.when(F.col("label") == c, size).otherwise(0)).alias(f"row_{c}") for c in range(n_classes)]
+    scored = draws.groupBy(*keys, "rep").agg(F.sum(size).alias("n_rows"), *sums)
     for s in "ab":
-        total = F.expr(f"aggregate(flatten(cm_{s}), 0L, (x, y) -> x + y)")
-        one = metrics.with_f1(scored.withColumn("cm", F.col(f"cm_{s}")).withColumn("n_rows", total), n_classes)
-        scored = one.select(*scored.columns, F.col("accuracy").alias(f"acc_{s}"), F.col("macro_f1").alias(f"mf_{s}"),
-                            *[F.col(f"f1_{c}").alias(f"f{c}_{s}") for c in range(n_classes)])
+        hits = sum((F.col(f"tp_{s}{c}") for c in range(1, n_classes)), F.col(f"tp_{s}0"))
+        scored = scored.withColumn(f"acc_{s}", hits / F.col("n_rows"))
+        for c in range(n_classes):
+            den = F.col(f"row_{c}") + F.col(f"col_{s}{c}")
+            scored = scored.withColumn(f"f{c}_{s}", F.when(den > 0, 2.0 * F.col(f"tp_{s}{c}") / den).otherwise(0.0))
+        scored = scored.withColumn(f"mf_{s}", sum((F.col(f"f{c}_{s}") for c in range(1, n_classes)), F.col(f"f0_{s}")) / float(n_classes))
     lo, hi = (1 - confidence) / 2, 1 - (1 - confidence) / 2
     spec = {"delta_accuracy": F.col("acc_a") - F.col("acc_b"), "delta_macro_f1": F.col("mf_a") - F.col("mf_b"),
             "accuracy_a": F.col("acc_a"), "accuracy_b": F.col("acc_b"),
