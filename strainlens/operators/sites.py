@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from strainlens import constants as C
 from strainlens.functions import hashing, text
 from strainlens.functions import ranking as rk
+from strainlens.functions.arrays import let
 
 GLOBAL = "GLOBAL"
 
@@ -200,15 +201,10 @@ def population_columns(counts: DataFrame, classes: Sequence[str] = C.CLASSES, ke
 
 def reference_columns(aligned: DataFrame, names: Sequence[str], name: str, keys: Sequence[str] = ("region",), sequence: str = "aligned") -> DataFrame:
     """Columns of a few aligned references: entropy, consensus share, variable
-    flag, gap share, and symbol and ungapped position of every reference.
-
-    The ungapped position is the length of the prefix without its gaps, so no
-    ordered window is needed.
-    """
-    seq = F.upper(sequence)
-    long = aligned.filter(F.col(name).isin(list(names))).select(*keys, name, seq.alias("_q"), F.posexplode(F.split(seq, "")).alias("_p", "_s")).filter(F.col("_s") != "")
-    upto = F.expr("length(replace(substring(_q, 1, _p + 1), '-', ''))")
-    long = long.select(*keys, name, (F.col("_p") + 1).alias("pos"), "_s", F.when(F.col("_s") != "-", upto).alias("_u"))
+    flag, gap share, and symbol and ungapped position of every reference."""
+    picked = aligned.filter(F.col(name).isin(list(names)))
+    long = picked.select(*keys, name, F.inline(numbered_symbols(F.upper(sequence), "-"))).select(
+        *keys, name, "pos", F.col("symbol").alias("_s"), F.col("ungapped").alias("_u"))
     out = long.groupBy(*keys, "pos").agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_s") == "-").alias("_gaps"), *[F.count_if(F.col("_s") == b).alias(f"s_{b}") for b in C.BASES],
         *[F.max(F.when(F.col(name) == x, F.col("_s"))).alias(f"{x}_base") for x in names],
@@ -222,6 +218,14 @@ def reference_columns(aligned: DataFrame, names: Sequence[str], name: str, keys:
         *[f"{x}_base" for x in names], *[f"{x}_ungapped_pos" for x in names])
 
 
+def reference_identities(aligned: DataFrame, names: Sequence[str], name: str, keys: Sequence[str] = ("region",), sequence: str = "aligned") -> DataFrame:
+    """Identity and divergence of every pair of a few named references, N = N
+    counting as a match."""
+    wide = aligned.filter(F.col(name).isin(list(names))).groupBy(*keys).agg(*[F.max(F.when(F.col(name) == x, F.col(sequence))).alias(x) for x in names])
+    cells = [F.struct(F.lit(f"{a}_vs_{b}").alias("pair"), identity_of(F.col(a), F.col(b), bases_only=False).alias("identity")) for a, b in combinations(names, 2)]
+    return wide.select(*keys, F.inline(F.array(*cells))).withColumn("divergence", 1.0 - F.col("identity"))
+
+
 def region_divergence(sites: DataFrame, pairs: DataFrame, keys: Sequence[str] = ("region",)) -> DataFrame:
     """Length, entropy, variable sites, gaps and pairwise identity per region."""
     s = sites.groupBy(*keys).agg(
@@ -265,6 +269,40 @@ def identity_of(a: Column, b: Column, bases_only: bool = True) -> Column:
     return acc
 
 
+# positions per integer mask
+_WORD = 60
+
+
+def base_masks(sequence: Column) -> Column:
+    """array<struct<a, c, g, t>> of position bit masks, one per 60 positions.
+
+    Built once per sequence; a pair is then compared with a few bit counts per
+    60 positions instead of symbol by symbol.
+    """
+    up = F.upper(sequence)
+
+    def mask(part, base):
+        other = "".join(b for b in C.BASES if b != base)
+        bits = F.regexp_replace(F.translate(part, base + other, "1000"), "[^01]", "0")
+        return F.conv(bits, 2, 10).cast("bigint")
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(up) / F.lit(float(_WORD))) - 1, F.lit(0)).cast("int"))
+    return F.transform(starts, lambda i: let(F.rpad(F.substring(up, i * _WORD + 1, F.lit(_WORD)), _WORD, "-"),
+                                             lambda part: F.struct(*[mask(part, b).alias(b.lower()) for b in C.BASES])))
+
+
+def masked_identity(a: Column, b: Column) -> Column:
+    """Identity over positions where both rows hold A, C, G or T."""
+    def union(x):
+        return x["a"].bitwiseOR(x["c"]).bitwiseOR(x["g"]).bitwiseOR(x["t"])
+
+    def word(x, y):
+        same = _sum([F.bit_count(x[k].bitwiseAND(y[k])) for k in "acgt"])
+        return F.struct(F.bit_count(union(x).bitwiseAND(union(y))).alias("n"), same.alias("m"))
+    return F.aggregate(F.zip_with(a, b, word), F.struct(F.lit(0).alias("n"), F.lit(0).alias("m")),
+                       lambda s, z: F.struct((s["n"] + z["n"]).alias("n"), (s["m"] + z["m"]).alias("m")),
+                       lambda s: F.when(s["n"] > 0, s["m"] / s["n"]))
+
+
 def exact_identity(counts: DataFrame, classes: Sequence[str] = C.CLASSES, keys: Sequence[str] = ("region",), label: str = "class") -> DataFrame:
     """Pooled identity within and between classes, exact at any size.
 
@@ -304,7 +342,8 @@ def sampled_identity(aligned: DataFrame, keys: Sequence[str] = ("region",), labe
     (between), the wanted numbers are drawn, decoded to two ordinals, and the
     sequences are fetched by equi joins on (group, ordinal).
     """
-    numbered = _ordinals(aligned.select(*keys, label, seq_id, sequence), keys, label, seq_id)
+    form = base_masks(F.col(sequence)) if bases_only else F.col(sequence)
+    numbered = _ordinals(aligned.select(*keys, label, seq_id, form.alias("_form")), keys, label, seq_id)
     sizes = numbered.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"))
     # classes x classes per region: a few rows
     cell = F.array_sort(F.collect_list(F.struct(F.col(label).alias("c"), "n")))
@@ -329,9 +368,10 @@ def sampled_identity(aligned: DataFrame, keys: Sequence[str] = ("region",), labe
     draws = draws.withColumn("_i", F.when(F.col("_within"), F.expr("_t - _j * (_j - 1) div 2")).otherwise(F.expr("_t div _m")))
 
     def side(tag):
-        return numbered.select(*[F.col(k).alias(k) for k in keys], F.col(label).alias(f"class_{tag}"), F.col("_no").alias("_i" if tag == "a" else "_j"), F.col(sequence).alias(f"_s{tag}"))
+        return numbered.select(*[F.col(k).alias(k) for k in keys], F.col(label).alias(f"class_{tag}"), F.col("_no").alias("_i" if tag == "a" else "_j"), F.col("_form").alias(f"_s{tag}"))
     rows = draws.select(*keys, "class_a", "class_b", "_within", "_i", "_j").join(side("a"), [*keys, "class_a", "_i"]).join(side("b"), [*keys, "class_b", "_j"])
-    rows = rows.withColumn("_id", identity_of(F.col("_sa"), F.col("_sb"), bases_only))
+    same = masked_identity(F.col("_sa"), F.col("_sb")) if bases_only else identity_of(F.col("_sa"), F.col("_sb"), False)
+    rows = rows.withColumn("_id", same)
     out = rows.groupBy(*keys, "class_a", "class_b", "_within").agg(F.avg("_id").alias("identity"), F.min("_id").alias("min_identity"), F.count(F.lit(1)).alias("n_pairs"))
     return out.select(*keys, F.when(F.col("_within"), "within").otherwise("between").alias("comparison_type"),
                       F.when(F.col("_within"), F.col("class_a")).otherwise(F.concat("class_a", F.lit("_vs_"), "class_b")).alias("comparison"),
@@ -384,14 +424,28 @@ def top_pair_positions(pairs: DataFrame, metrics: DataFrame, n: int, keys: Seque
     return best.join(consensus_text(metrics, keys), [*keys, "pos"])
 
 
+def numbered_symbols(sequence: Column, gaps: str = C.GAP_SYMBOLS) -> Column:
+    """array<struct<pos, symbol, ungapped>> of one aligned row, linear in its
+    length: the index inside the non-gap symbols is the ungapped position."""
+    marks = list(gaps)
+
+    def build(cells):
+        real = F.filter(cells, lambda x: ~x["s"].isin(marks))
+        gap = F.filter(cells, lambda x: x["s"].isin(marks))
+        return F.concat(
+            F.transform(real, lambda x, i: F.struct(x["p"].alias("pos"), x["s"].alias("symbol"), (i + 1).alias("ungapped"))),
+            F.transform(gap, lambda x: F.struct(x["p"].alias("pos"), x["s"].alias("symbol"), F.lit(None).cast("int").alias("ungapped"))))
+    cells = F.filter(F.transform(F.split(sequence, ""), lambda c, i: F.struct((i + 1).alias("p"), c.alias("s"))), lambda x: x["s"] != "")
+    return let(cells, build)
+
+
 def position_table(aligned: DataFrame, is_reference: Column, keys: Sequence[str] = ("region",), order: str = "seq_id", sequence: str = "aligned") -> DataFrame:
     """Reference position and symbol per alignment column (null on gaps), from
     the first record that matches."""
     rest = F.struct(F.col(order).alias("o"), F.col(sequence).alias("s"))
     ref = aligned.filter(is_reference).groupBy(*keys).agg(F.min(rest)["s"].alias("_q"))
-    long = ref.select(*keys, "_q", F.posexplode(F.split("_q", "")).alias("_p", "ref_symbol")).filter(F.col("ref_symbol") != "")
-    upto = F.expr("length(translate(substring(_q, 1, _p + 1), '-.', ''))")
-    return long.select(*keys, (F.col("_p") + 1).alias("pos"), F.when(~F.col("ref_symbol").isin(list(C.GAP_SYMBOLS)), upto).alias("ref_pos"), "ref_symbol")
+    return ref.select(*keys, F.inline(numbered_symbols(F.col("_q")))).select(
+        *keys, "pos", F.col("ungapped").alias("ref_pos"), F.col("symbol").alias("ref_symbol"))
 
 
 def score_on_columns(scores: DataFrame, position: str, value: str, table: DataFrame | None = None, keys: Sequence[str] = ("region",), zero_based: bool = False) -> DataFrame:
@@ -413,12 +467,16 @@ def correlations(joined: DataFrame, score: str, metrics: Sequence[str]) -> DataF
     """Pearson and Spearman of the score with every metric.
 
     Null below three finite pairs or without variance.  Ranks are taken over
-    each series' own finite values, through the value histogram.
+    each series' own finite values.  One row per alignment column goes in, so
+    a window per metric is bounded by the alignment length.
     """
-    from strainlens.operators.metrics import unpivot
-    long = unpivot(joined.withColumn("_id", F.monotonically_increasing_id()).select("_id", score, *metrics), ["_id", score], metrics, "metric", "value")
-    ranked = rk.average_rank(long, ["metric"], "value", "_rv")
-    ranked = rk.average_rank(ranked, ["metric"], score, "_rs")
+    long = joined.select(score, *metrics).unpivot([score], list(metrics), "metric", "value")
+
+    def rank(c):
+        w = Window.partitionBy("metric", F.col(c).isNull())
+        tied = F.count(F.lit(1)).over(Window.partitionBy("metric", c))
+        return F.when(F.col(c).isNotNull(), F.rank().over(w.orderBy(c)) + (tied - 1) / 2.0)
+    ranked = long.withColumn("_rv", rank("value")).withColumn("_rs", rank(score))
 
     def safe(x, y):
         ok = x.isNotNull() & y.isNotNull()
@@ -431,24 +489,43 @@ def correlations(joined: DataFrame, score: str, metrics: Sequence[str]) -> DataF
     return ranked.groupBy("metric").agg(n.alias("n_positions"), p.alias("pearson_r"), s.alias("spearman_rho"))
 
 
-def alignment_map(pairs: DataFrame, keys: Sequence[str], ref: str = "ref", target: str = "target") -> DataFrame:
-    """Reference position to target text and position for gapped pair rows.
+def mapped_texts(ref: Column, target: Column) -> Column:
+    """Target text per reference position (array, index = position - 1).
 
-    Insertions attach to the previous reference position.  Positions are prefix
-    lengths without gaps, so rows need no ordered window.
+    Insertions attach to the previous reference position; those before the
+    first one are left out.  Linear in the alignment length, inside one row.
     """
-    long = pairs.select(*keys, F.col(ref).alias("_r"), F.upper(target).alias("_t"), F.posexplode(F.split(ref, "")).alias("_p", "_rc")).filter(F.col("_rc") != "")
-    long = long.withColumn("_tc", F.expr("substring(_t, _p + 1, 1)"))
-    long = long.withColumn("ref_pos", F.expr("length(replace(substring(_r, 1, _p + 1), '-', ''))"))
-    long = long.withColumn("_tp", F.expr("length(replace(substring(_t, 1, _p + 1), '-', ''))"))
-    long = long.filter(F.col("ref_pos") > 0)
-    piece = F.when(F.col("_tc") != "-", F.struct("_p", "_tc"))
-    out = long.groupBy(*keys, "ref_pos").agg(F.array_sort(F.collect_list(piece)).alias("_x"), F.min(F.when(F.col("_rc") != "-", F.struct("_p", "_tp")))["_tp"].alias("target_pos"))
-    return out.select(*keys, "ref_pos", F.array_join(F.transform("_x", lambda x: x["_tc"]), "").alias("target_text"), "target_pos")
+    def cut(state):
+        starts, cells = state["starts"], state["cells"]
+        end = F.size(cells)
+        return F.transform(starts, lambda p, k: F.array_join(F.filter(
+            F.slice(cells, p + 1, F.coalesce(F.get(starts, k + 1), end) - p), lambda c: c != "-"), ""))
+    starts = F.transform(F.filter(F.transform(F.split(ref, ""), lambda c, i: F.struct(i.alias("i"), c.alias("c"))),
+                                  lambda x: (x["c"] != "-") & (x["c"] != "")), lambda x: x["i"])
+    cells = F.filter(F.split(F.upper(target), ""), lambda c: c != "")
+    return let(F.struct(starts.alias("starts"), cells.alias("cells")), cut)
 
 
-def region_from_map(mapping: DataFrame, keys: Sequence[str], start: int | Column, end: int | Column) -> DataFrame:
+def alignment_map(pairs: DataFrame, keys: Sequence[str], ref: str = "ref", target: str = "target") -> DataFrame:
+    """(keys, ref_pos, target_text, target_pos) of gapped pair rows.
+
+    ``target_pos`` is the running count of target symbols up to the column of
+    the reference position; the window covers one pair of rows.
+    """
+    lead = F.length(F.regexp_replace(F.expr(f"substring({target}, 1, length({ref}) - length(ltrim('-', {ref})))"), "-", ""))
+    first_gap = F.transform(F.filter(F.transform(F.split(ref, ""), lambda c, i: F.struct(i.alias("i"), c.alias("c"))),
+                                     lambda x: (x["c"] != "-") & (x["c"] != "")), lambda x: x["i"])
+    rows = pairs.select(*keys, lead.alias("_lead"), first_gap.alias("_starts"), F.split(F.upper(target), "").alias("_cells"),
+                        mapped_texts(F.col(ref), F.col(target)).alias("_texts"))
+    long = rows.select(*keys, "_lead", F.posexplode(F.arrays_zip(
+        F.col("_texts").alias("text"), F.transform("_starts", lambda p: (F.get("_cells", p) == "-").cast("int")).alias("gap"))).alias("_k", "_z"))
+    w = Window.partitionBy(*keys).orderBy("_k")
+    before = F.coalesce(F.sum(F.length("_z.text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.when(F.col("_z.gap") == 1, 0).otherwise(1)
+    return long.select(*keys, (F.col("_k") + 1).alias("ref_pos"), F.col("_z.text").alias("target_text"), (F.col("_lead") + before + own).cast("bigint").alias("target_pos"))
+
+
+def region_text(texts: Column, start: Column, end: Column) -> Column:
     """Target text of a reference interval (1-based, closed), U read as T."""
-    inside = mapping.filter((F.col("ref_pos") >= start) & (F.col("ref_pos") <= end))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("ref_pos", "target_text"))), lambda x: x["target_text"])
-    return inside.groupBy(*keys).agg(F.translate(F.array_join(parts, ""), "U", "T").alias("region_text"))
+    first = F.greatest(start, F.lit(1))
+    return F.translate(F.array_join(F.slice(texts, first, F.greatest(end - first + 1, F.lit(0))), ""), "U", "T")
