@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 from strainlens import constants as C
 from strainlens.functions import ranking as rk
 from strainlens.functions import text
-
-# Longest prefix used to bring possible prefix matches together.
-_BLOCK = 12
-
+from strainlens.functions.arrays import let
 
 def lookup_index(ids: DataFrame, mapping: DataFrame, id_col: str, key: str, index: str) -> tuple[DataFrame, DataFrame]:
     """Ids with their index, and the ids that have none."""
@@ -28,52 +25,57 @@ def require_mapped(missing: DataFrame, id_col: str) -> None:
         raise ValueError(f"ids without an index: {first}")
 
 
+def _prefixes(keys: DataFrame, ids: DataFrame) -> DataFrame:
+    """Key prefixes of every length that occurs among the ids (usually one:
+    truncation cuts at a fixed width)."""
+    lengths = ids.agg(F.collect_set(F.length("_id"))).scalar()
+    work = keys.withColumn("_lens", lengths)
+    n = F.explode(F.filter("_lens", lambda x: x <= F.length("_k"))).alias("_n")
+    return work.select(*keys.columns, n).withColumn("_p", F.expr("substring(_k, 1, _n)"))
+
+
 def prefix_lookup(ids: DataFrame, mapping: DataFrame, id_col: str, key: str, index: str) -> DataFrame:
     """Index of possibly truncated ids: exact match first, then either id being
     a prefix of the other.
 
     Adds ``index``, ``how`` (exact, prefix, ambiguous, missing) and
-    ``n_matches``.  The unmatched rest is distinct by id and meets the keys on
-    a prefix of fixed length, an equi join; every id also offers all its own
-    shorter prefixes, so keys shorter than the block are found by equality.
-    Longer common prefixes spread over blocks as long as the ids themselves
-    differ; no pair is formed outside a shared block.
+    ``n_matches``.  Both directions are equi joins on whole prefixes.  Key
+    prefixes are aggregated before they are joined, so an id that begins a
+    third of all keys still meets one row, and no block of near ids is ever
+    compared pair by pair.
     """
-    keys = mapping.select(F.col(key).alias("_k"), F.col(index).alias("_i")).groupBy("_k").agg(
-        F.min("_i").alias("_lo"), F.max("_i").alias("_hi"), F.count(F.lit(1)).alias("_copies"))
+    keys = mapping.groupBy(F.col(key).alias("_k")).agg(F.min(index).alias("_lo"), F.max(index).alias("_hi"), F.count(F.lit(1)).alias("_copies"))
     wanted = ids.select(F.col(id_col).alias("_id")).distinct()
     exact = wanted.join(keys, F.col("_id") == F.col("_k"), "left")
     hit = exact.filter(F.col("_k").isNotNull()).select("_id", F.col("_lo").alias("index"), F.lit("exact").alias("how"), F.col("_copies").alias("n_matches"))
     rest = exact.filter(F.col("_k").isNull()).select("_id")
-    # keys that start with the id: block = the id's own length, capped
-    lengths = rest.select(F.least(F.length("_id"), F.lit(_BLOCK)).alias("_n")).distinct()
-    by_block = keys.join(lengths, F.length("_k") >= F.col("_n")).withColumn("_b", F.expr("substring(_k, 1, _n)"))
-    forward = rest.withColumn("_n", F.least(F.length("_id"), F.lit(_BLOCK))).withColumn("_b", F.expr("substring(_id, 1, _n)")).join(
-        by_block, ["_n", "_b"]).filter(F.col("_k").startswith(F.col("_id")))
-    # keys that are prefixes of the id: equality on every shorter prefix
-    shorter = rest.select("_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_id") - 1, F.lit(1))), lambda n: F.substring("_id", F.lit(1), n))).alias("_k"))
-    backward = shorter.join(keys, "_k")
-    found = forward.select("_id", "_lo", "_hi", "_copies").unionByName(backward.select("_id", "_lo", "_hi", "_copies"))
-    rolled = found.groupBy("_id").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.count(F.lit(1)).alias("n_matches"))
+    longer = _prefixes(keys, rest).groupBy("_p").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.count(F.lit(1)).alias("_m"))
+    forward = rest.join(longer, F.col("_id") == F.col("_p")).select("_id", "_lo", "_hi", "_m")
+    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("_id") - 1, F.lit(1))), lambda n: F.substring("_id", F.lit(1), n))
+    backward = rest.select("_id", F.explode(cuts).alias("_k")).join(keys, "_k").select("_id", "_lo", "_hi", F.lit(1).cast("bigint").alias("_m"))
+    rolled = forward.unionByName(backward).groupBy("_id").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.sum("_m").alias("_m"))
     loose = rest.join(rolled, "_id", "left").select(
         "_id", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("index"),
         F.when(F.col("_lo").isNull(), "missing").when(F.col("_lo") == F.col("_hi"), "prefix").otherwise("ambiguous").alias("how"),
-        F.coalesce("n_matches", F.lit(0)).cast("bigint").alias("n_matches"))
+        F.coalesce("_m", F.lit(0)).cast("bigint").alias("n_matches"))
     table = hit.unionByName(loose)
     return ids.join(table, ids[id_col] == table["_id"], "left").drop("_id")
 
 
+def require_unambiguous(resolved: DataFrame, id_col: str) -> DataFrame:
+    """Resolved rows; an ambiguous prefix raises."""
+    message = F.concat(F.lit("ambiguous prefix match for "), F.col(id_col))
+    return resolved.withColumn("how", F.when(F.col("how") != "ambiguous", F.col("how")).otherwise(F.raise_error(message)))
+
+
 def first_key_starting_with(ids: DataFrame, mapping: DataFrame, id_col: str, key: str, order: str) -> DataFrame:
     """One-way variant: an exact key, else the first key (in order) that starts
     with the id."""
-    keys = mapping.select(F.col(key).alias("_k"), F.col(order).alias("_o"))
     wanted = ids.select(F.col(id_col).alias("_id")).distinct()
-    lengths = wanted.select(F.least(F.length("_id"), F.lit(_BLOCK)).alias("_n")).distinct()
-    blocks = keys.join(lengths, F.length("_k") >= F.col("_n")).withColumn("_b", F.expr("substring(_k, 1, _n)"))
-    near = wanted.withColumn("_n", F.least(F.length("_id"), F.lit(_BLOCK))).withColumn("_b", F.expr("substring(_id, 1, _n)")).join(
-        blocks, ["_n", "_b"]).filter(F.col("_k").startswith(F.col("_id")))
-    best = near.groupBy("_id").agg(F.min(F.struct((F.col("_k") != F.col("_id")).cast("int").alias("e"), F.col("_o").alias("o"), F.col("_k").alias("k"))).alias("_b"))
-    return ids.join(best, ids[id_col] == best["_id"], "left").select(*ids.columns, F.col("_b.k").alias("matched_key"))
+    keys = mapping.select(F.col(key).alias("_k"), F.col(order).alias("_o"))
+    rank = F.struct((F.length("_k") != F.col("_n")).cast("int").alias("e"), F.col("_o").alias("o"), F.col("_k").alias("k"))
+    best = _prefixes(keys, wanted).groupBy("_p").agg(F.min(rank).alias("_b"))
+    return ids.join(best, ids[id_col] == best["_p"], "left").select(*ids.columns, F.col("_b.k").alias("matched_key"))
 
 
 def occurrence_join(features: DataFrame, target: DataFrame, keys: Sequence[str], feature_pos: str, target_pos: str) -> DataFrame:
@@ -131,15 +133,14 @@ def region_pieces(genomes: DataFrame, coordinates: DataFrame, keys: Sequence[str
 
 def normalise_product(name: Column) -> Column:
     """Region of a product name: exact, else the first known name contained."""
-    key = F.regexp_replace(F.regexp_replace(text.strip(F.lower(name)), "-", " "), r"\s+", " ")
-    key = text.strip(key)
-    names = F.array(*[F.lit(p) for p, _ in C.PRODUCT_REGIONS])
-    regions = F.array(*[F.lit(r) for _, r in C.PRODUCT_REGIONS])
-    exact = F.array_position(names, key)
-    out = F.lit(None).cast("string")
-    for p, r in reversed(C.PRODUCT_REGIONS):
-        out = F.when(key.contains(p), r).otherwise(out)
-    return F.when(exact > 0, F.try_element_at(regions, exact.cast("int"))).otherwise(out)
+    key = text.strip(F.regexp_replace(F.regexp_replace(F.lower(name), "-", " "), r"\s+", " "))
+    known = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(r).alias("r")) for p, r in C.PRODUCT_REGIONS])
+
+    def find(k):
+        exact = F.filter(known, lambda x: x["p"] == k)
+        part = F.filter(known, lambda x: k.contains(x["p"]))
+        return F.coalesce(F.get(exact, F.lit(0))["r"], F.get(part, F.lit(0))["r"])
+    return let(key, find)
 
 
 def region_table(features: DataFrame, genomes: DataFrame, key: str) -> DataFrame:

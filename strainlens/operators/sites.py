@@ -329,6 +329,10 @@ def exact_identity(counts: DataFrame, classes: Sequence[str] = C.CLASSES, keys:
     return rows.select(*keys, F.inline(F.array(*cells)))
 
 
+# draws per block in sampled identity
+_BLOCK = 1000
+
+
 def _ordinals(aligned: DataFrame, keys: Sequence[str], label: str, seq_id: str) -> DataFrame:
     return rk.with_row_number(aligned, [*keys, label], F.expr(f"{seq_id} div 4096"), [F.col(seq_id)], "_no").withColumn("_no", F.col("_no") - 1)
 
@@ -354,7 +358,11 @@ def sampled_identity(aligned: DataFrame, keys: Sequence[str] = ("region",), labe
     groups = groups.select(*keys, F.col("_a.c").alias("class_a"), F.col("_b.c").alias("class_b"), F.col("_b.n").alias("_m"), within.alias("_within"), pairs.alias("_pairs"))
     groups = groups.filter(F.col("_pairs") > 0)
     want = F.least(F.col("_pairs"), F.lit(most))
-    draws = groups.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), want.cast("bigint") - 1)))
+    # a few group rows grow into most draws: spread blocks before the explode
+    parts = int(aligned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = groups.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(least(_pairs, {most}L) - 1) div {_BLOCK}"))))
+    blocks = blocks.repartition(parts, *keys, "class_a", "class_b", "_block")
+    draws = blocks.withColumn("_k", F.explode(F.sequence(F.col("_block") * _BLOCK, F.least(F.col("_block") * _BLOCK + (_BLOCK - 1), want - 1))))
     # one seeded draw per equal slice of the pair numbers: distinct by construction
     u = hashing.digest_uniform(hashing.seeded_digest(seed, *[F.col(k) for k in keys], F.col("class_a"), F.col("class_b"), F.col("_k").cast("string")))
     lo, hi = F.floor(F.col("_k") * F.col("_pairs") / want), F.floor((F.col("_k") + 1) * F.col("_pairs") / want)
