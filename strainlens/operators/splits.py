@@ -8,19 +8,43 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strainlens import constants as C
 from strainlens.functions import hashing
 from strainlens.functions import ranking as rk
+from strainlens.session import cut_lineage
 
 
-def seeded_number(df: DataFrame, keys: Sequence[str], seed, *id_cols: str, name: str = "rn") -> DataFrame:
-    """Row number in seeded hash order inside each group."""
-    work = df.withColumn("_digest", hashing.seeded_digest(seed, *id_cols))
-    out = rk.with_row_number(work, keys, rk.digest_bucket(F.col("_digest")), [F.col("_digest"), *[F.col(c) for c in id_cols]], name)
-    return out.drop("_digest")
+def seeded_cutoffs(df: DataFrame, keys: Sequence[str], quota: DataFrame, seed, ids: Sequence[str]) -> DataFrame:
+    """(keys, quota, cutoff): the digest and ids of the last record inside the
+    quota of every group, in seeded hash order.
+
+    A histogram of digest buckets finds the bucket in which the quota ends;
+    only the records of that bucket (about 1 in 4096) are ordered.  Selecting
+    "the first q" is then a comparison with the cutoff, so the records
+    themselves are never shuffled.  A null cutoff with a positive quota means
+    the whole group.  ``quota`` has one row per group.
+    """
+    work = df.select(*keys, *ids, hashing.seeded_digest(seed, *ids).alias("_digest"))
+    work = work.withColumn("_bucket", rk.digest_bucket(F.col("_digest")))
+    hist = work.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket"))
+    edge = hist.withColumn("_upto", upto).join(quota, list(keys))
+    edge = edge.filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
+    edge = edge.select(*keys, "_bucket", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_take"))
+    # one row per group: the groups are folds x classes
+    near = work.join(F.broadcast(edge), [*keys, "_bucket"])
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_digest", *ids))
+    last = near.withColumn("_rn", place).filter(F.col("_rn") == F.col("_take"))
+    return quota.join(last.select(*keys, F.struct("_digest", *ids).alias("cutoff")), list(keys), "left")
+
+
+def inside_quota(seed, ids: Sequence[str]) -> Column:
+    """Whether a row joined with its group's cutoff is within the quota."""
+    own = F.struct(hashing.seeded_digest(seed, *ids).alias("_digest"), *ids)
+    return (F.col("quota") > 0) & (F.col("cutoff").isNull() | (own <= F.col("cutoff")))
 
 
 def validation_quota(counts: DataFrame, fold: str, label: str, size: float = C.VALIDATION_SHARE) -> DataFrame:
@@ -48,16 +72,31 @@ def validation_quota(counts: DataFrame, fold: str, label: str, size: float = C.V
     return work.withColumn("quota", quota.cast("bigint")).select(fold, label, "stratified", "quota")
 
 
-def with_validation(pool: DataFrame, fold: str, index: str, label: str, size: float = C.VALIDATION_SHARE, seed: int = C.SEED) -> DataFrame:
-    """Mark the validation rows of every training pool (column ``is_val``)."""
+def mark_splits(rows: DataFrame, fold: str, index: str, label: str, is_test: Column, size: float = C.VALIDATION_SHARE, seed: int = C.SEED) -> DataFrame:
+    """Add ``split``: test rows, a stratified validation share of every fold's
+    training pool, training rows.
+
+    The final step is a projection over ``rows`` joined with one small row per
+    (fold, class).
+    """
+    rows = rows.withColumn("_test", is_test)
+    pool = rows.filter(~F.col("_test"))
     counts = pool.groupBy(fold, label).agg(F.count(F.lit(1)).alias("n"))
-    quota = validation_quota(counts, fold, label, size)
-    # few rows: folds x classes
-    marked = pool.join(quota, [fold, label])
-    group = F.when(F.col("stratified"), F.col(label)).otherwise(F.lit(""))
-    marked = marked.withColumn("_group", group.cast("string"))
-    numbered = seeded_number(marked, [fold, "_group"], seed, fold, index, name="_rn")
-    return numbered.withColumn("is_val", F.col("_rn") <= F.col("quota")).drop("_rn", "_group", "quota", "stratified")
+    # folds x classes rows, written once: several later steps read them
+    quota = cut_lineage(validation_quota(counts, fold, label, size), "quota")
+    # a fold that cannot be stratified has one group and one quota
+    shape = quota.groupBy(fold).agg(F.max("stratified").alias("_strat"), F.max("quota").alias("_whole"))
+    # folds are a given list: one row each
+    rows = rows.join(F.broadcast(shape.select(fold, "_strat")), fold, "left")
+    group = F.when(F.col("_strat"), F.col(label).cast("string")).otherwise(F.lit("")).alias("_group")
+    rows = rows.select("*", group)
+    per_class = quota.filter("stratified").select(fold, F.col(label).cast("string").alias("_group"), "quota")
+    per_fold = shape.filter(~F.col("_strat")).select(fold, F.lit("").alias("_group"), F.col("_whole").alias("quota"))
+    cut = cut_lineage(seeded_cutoffs(rows.filter(~F.col("_test")), [fold, "_group"], per_class.unionByName(per_fold), seed, [fold, index]), "cutoffs")
+    # folds x classes rows
+    out = rows.join(F.broadcast(cut), [fold, "_group"], "left")
+    split = F.when(F.col("_test"), "test").when(inside_quota(seed, [fold, index]), "val").otherwise("train")
+    return out.withColumn("split", split).drop("_test", "_strat", "_group", "quota", "cutoff")
 
 
 def leave_one_group_out(df: DataFrame, index: str, label: str, group: str, groups: Sequence[str], include_unknown: bool = True,
@@ -74,11 +113,7 @@ def leave_one_group_out(df: DataFrame, index: str, label: str, group: str, group
     usable = sizes.select(F.array_compact(F.array(*[
         F.when((F.col(f"_g{i}") > 0) & (F.col(f"_g{i}") < F.col("_all")), F.lit(g)) for i, g in enumerate(listed)])))
     rows = df.select(F.col(index).alias("index"), F.col(label).alias("class"), F.col(group).alias("_own"), F.explode(usable.scalar()).alias("fold"))
-    rows = rows.withColumn("_test", F.col("_own") == F.col("fold"))
-    test = rows.filter(F.col("_test")).select("fold", "index", "class", F.lit("test").alias("split"))
-    pool = with_validation(rows.filter(~F.col("_test")).select("fold", "index", "class"), "fold", "index", "class", size, seed)
-    rest = pool.select("fold", "index", "class", F.when(F.col("is_val"), "val").otherwise("train").alias("split"))
-    out = test.unionByName(rest)
+    out = mark_splits(rows, "fold", "index", "class", F.coalesce(F.col("_own") == F.col("fold"), F.lit(False)), size, seed)
     return out.select("fold", "index", "split", F.col("fold").alias("group"), "class")
 
 
@@ -144,17 +179,18 @@ def cluster_aware_splits(members: DataFrame, folds: DataFrame, index: str, key:
     names = F.array(*[F.lit(f"fold_{i + 1}") for i in range(k)])
     rows = own.select(F.col(index).alias("index"), F.col(key).alias("class"), F.col(cluster).alias("cluster_id"),
                       F.col("cluster_fold").alias("group"), F.explode(names).alias("fold"))
-    test = rows.filter(F.col("group") == F.col("fold")).withColumn("split", F.lit("test"))
-    pool = with_validation(rows.filter(F.col("group") != F.col("fold")), "fold", "index", "class", size, seed)
-    rest = pool.withColumn("split", F.when(F.col("is_val"), "val").otherwise("train")).drop("is_val")
-    return test.unionByName(rest).select("fold", "index", "split", "group", "class", "cluster_id")
+    out = mark_splits(rows, "fold", "index", "class", F.col("group") == F.col("fold"), size, seed)
+    return out.select("fold", "index", "split", "group", "class", "cluster_id")
 
 
-def sample_per_class(df: DataFrame, label: str, most: int, *id_cols: str, seed: int = C.PAIR_SEED) -> DataFrame:
+def sample_per_class(df: DataFrame, label: str, most: int, *ids: str, seed: int = C.PAIR_SEED) -> DataFrame:
     """At most ``most`` records per class in seeded order, without replacement."""
     if most is None or most <= 0:
         return df
-    return seeded_number(df, [label], seed, *id_cols, name="_rn").filter(F.col("_rn") <= most).drop("_rn")
+    quota = df.groupBy(label).agg(F.lit(most).cast("bigint").alias("quota"))
+    cut = seeded_cutoffs(df, [label], quota, seed, list(ids))
+    # one row per class
+    return df.join(F.broadcast(cut), label).filter(inside_quota(seed, list(ids))).select(*df.columns)
 
 
 def weighted_draws(df: DataFrame, weight: str, draws: int, *id_cols: str, seed: int = C.SEED) -> DataFrame:

@@ -19,6 +19,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows spread over all cores when the scan has fewer splits than cores.
+
+    A large table on a cluster has many splits and passes through unchanged;
+    a table in one small file would otherwise keep one core busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def pick(values: list[str], pos) -> F.Column:
     """Literal list element by 0-based position."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (pos + 1).cast("int"))
@@ -26,7 +36,7 @@ def pick(values: list[str], pos) -> F.Column:
 
 def meta(spark: SparkSession, sf: str) -> DataFrame:
     """One labelled record per order: class, country, continent, year, header."""
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey")
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = table(spark, sf, "region").select("r_regionkey", "r_name")
@@ -109,7 +119,7 @@ def class_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
     """One sequence record per document."""
-    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id")
     ascii_text = F.regexp_replace("text", r"[^\x00-\x7F]", "N")
     i = F.col("doc_id")
     lang_no = F.array_position(F.array(*[F.lit(x) for x in LANG_FILES]), F.col("lang"))
@@ -149,7 +159,7 @@ def region_array() -> F.Column:
 
 def profiles(spark: SparkSession, sf: str) -> DataFrame:
     """One score profile with its validity mask per embedding."""
-    e = table(spark, sf, "embeddings")
+    e = spread(table(spark, sf, "embeddings").select("vec_id", "embedding", "label"), "vec_id")
     n_valid = 64 - F.col("vec_id") % 8
     return e.select(
         F.col("vec_id").alias("sample"),
@@ -168,7 +178,7 @@ def strategy_profiles(spark: SparkSession, sf: str) -> DataFrame:
 
 def aligned(spark: SparkSession, sf: str) -> DataFrame:
     """Aligned symbol strings per (region, class, sequence)."""
-    e = table(spark, sf, "embeddings")
+    e = spread(table(spark, sf, "embeddings").select("vec_id", "embedding", "label"), "vec_id")
     vec = F.col("vec_id")
 
     def symbol(x, i):
