@@ -245,7 +245,9 @@ def split_qc(splits: DataFrame, keys: Sequence[str], n_rows) -> DataFrame:
     Counted through (keys, index) partial sums, so no distinct set of indices
     is held in one task.
     """
-    per = splits.groupBy(*keys, "index").agg(F.count_if(F.col("split") == "test").alias("_t"))
-    folds = splits.groupBy(*keys).agg(F.countDistinct("fold").alias("n_folds"))
-    out = per.groupBy(*keys).agg(F.count_if(F.col("_t") > 0).alias("n_unique_test_indices"), F.sum("_t").alias("n_test_assignments"))
-    return out.join(folds, list(keys)).withColumn("n_feature_rows", n_rows)
+    zero = F.lit(0).cast("bigint")
+    per_index = splits.groupBy(*keys, "index").agg(F.count_if(F.col("split") == "test").alias("_t"))
+    a = per_index.select(*keys, zero.alias("_f"), (F.col("_t") > 0).cast("bigint").alias("_u"), "_t")
+    b = splits.groupBy(*keys, "fold").agg(F.count(F.lit(1))).select(*keys, F.lit(1).cast("bigint").alias("_f"), zero.alias("_u"), zero.alias("_t"))
+    out = a.unionByName(b).groupBy(*keys).agg(F.sum("_f").alias("n_folds"), F.sum("_u").alias("n_unique_test_indices"), F.sum("_t").alias("n_test_assignments"))
+    return out.withColumn("n_feature_rows", n_rows)

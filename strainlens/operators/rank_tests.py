@@ -107,7 +107,7 @@ def mann_whitney_pairs(table: DataFrame, keys: Sequence[str], groups: Sequence[s
             F.count_if(both > 1).alias(f"_x{tag}"),
         ]
         parts.append(F.struct(
-            F.lit(groups[a]).alias("class_a"), F.lit(groups[b]).alias("class_b"), F.lit(f"{groups[a]}v{groups[b]}").alias("comparison"),
+            F.lit(str(groups[a])).alias("class_a"), F.lit(str(groups[b])).alias("class_b"), F.lit(f"{groups[a]}v{groups[b]}").alias("comparison"),
             F.col(f"_n{a}").alias("n_a"), F.col(f"_n{b}").alias("n_b"), F.col(f"_u{tag}").alias("U"),
             F.col(f"_t{tag}").alias("_ties"), F.col(f"_x{tag}").alias("_tied"),
         ))
