@@ -31,7 +31,7 @@ def double_bucket(value: Column) -> Column:
 
 def digest_bucket(digest: Column) -> Column:
     """Monotone bucket of a hexadecimal digest."""
-    return F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")
+    return F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
 
 
 def with_prefix_sums(

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strainlens import constants as C
@@ -17,6 +17,7 @@ from strainlens.functions import adjust, annotate, tails
 from strainlens.functions import hashing
 from strainlens.functions import ranking as rk
 from strainlens.operators import metrics
+from strainlens.session import cut_lineage
 
 Pair = tuple[str, str, str]
 PAIR = ["protocol", "family", "model_a", "model_b"]
@@ -24,62 +25,74 @@ PAIR = ["protocol", "family", "model_a", "model_b"]
 _CHUNK = 4096
 
 
+# Where the index of a prediction came from.
+INDEX_SOURCES = ["prediction_file", "split_file_fallback"]
+
+
 def align_pairs(preds: DataFrame, cluster_map: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
     """(protocol, family, model_a, model_b, index, ...) for every planned pair.
 
-    Rows keep nulls where a model lacks the record; :func:`alignment_qc`
-    reports them and :func:`strict` refuses them.
+    Records that agree on label and fold give one row per pair with n_a = n_b
+    = 1.  Where the two models disagree on either, or one lacks the record,
+    the sides stay on rows of their own: :func:`alignment_qc` tells which rule
+    failed and :func:`strict` refuses them.
     """
     models = sorted({m for _, a, b in pairs for m in (a, b)})
-    keep = preds.select("protocol", "model", "index", "y_true", "y_pred", "fold", "index_source") if "index_source" in preds.columns \
-        else preds.select("protocol", "model", "index", "y_true", "y_pred", "fold", F.lit("prediction_file").alias("index_source"))
-    # one hash partitioning on the record serves the pivot and the cluster join
+    source = F.lit(0)
+    if "index_source" in preds.columns:
+        source = (F.col("index_source") != INDEX_SOURCES[0]).cast("int")
+    keep = preds.select("protocol", "model", "index", "y_true", "y_pred", "fold", source.alias("_source"))
+    # one hash partitioning on the record serves the pivot and the cluster join;
+    # label and fold are keys, so the aggregate holds integers only
     keep = keep.repartition("index")
-    entry = F.struct("y_true", "y_pred", "fold", "index_source")
-    wide = keep.groupBy("protocol", "index").agg(
-        *[F.max(F.when(F.col("model") == m, entry)).alias(f"_m{i}") for i, m in enumerate(models)],
-        *[F.count_if(F.col("model") == m).alias(f"_n{i}") for i, m in enumerate(models)],
-    )
     at = {m: i for i, m in enumerate(models)}
+    here = [F.col("model") == m for m in models]
+    wide = keep.groupBy("protocol", "index", "y_true", "fold").agg(
+        *[F.max(F.when(c, F.col("y_pred"))).alias(f"_y{i}") for i, c in enumerate(here)],
+        *[F.max(F.when(c, F.col("_source"))).alias(f"_s{i}") for i, c in enumerate(here)],
+        *[F.count_if(c).alias(f"_n{i}") for i, c in enumerate(here)])
     wide = wide.join(cluster_map.select("index", "cluster_key"), "index", "left")
 
     def pair(no, fam, a, b):
         x, y = at[a], at[b]
         return F.struct(
             F.lit(fam).alias("family"), F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), F.lit(no).alias("pair_no"),
-            F.col(f"_m{x}").alias("a"), F.col(f"_m{y}").alias("b"), F.col(f"_n{x}").alias("n_a"), F.col(f"_n{y}").alias("n_b"))
-    rows = wide.select("protocol", "index", "cluster_key", F.inline(F.array(*[pair(i, *p) for i, p in enumerate(pairs)])))
-    return rows.filter((F.col("n_a") > 0) | (F.col("n_b") > 0)).select(
-        "protocol", "family", "model_a", "model_b", "pair_no", "index", "cluster_key", F.coalesce("a.fold", "b.fold").alias("fold"),
-        F.coalesce("a.y_true", "b.y_true").alias("y_true"), F.col("a.y_pred").alias("pred_a"), F.col("b.y_pred").alias("pred_b"),
-        F.col("a.y_true").alias("y_true_a"), F.col("b.y_true").alias("y_true_b"), F.col("a.fold").alias("fold_a"),
-        F.col("b.fold").alias("fold_b"), "n_a", "n_b", F.col("a.index_source").alias("source_a"), F.col("b.index_source").alias("source_b"))
+            F.col(f"_y{x}").alias("pred_a"), F.col(f"_y{y}").alias("pred_b"), F.col(f"_n{x}").alias("n_a"), F.col(f"_n{y}").alias("n_b"),
+            F.col(f"_s{x}").alias("source_a"), F.col(f"_s{y}").alias("source_b"))
+    rows = wide.select("protocol", "index", "cluster_key", "fold", "y_true", F.inline(F.array(*[pair(i, *p) for i, p in enumerate(pairs)])))
+    return rows.filter((F.col("n_a") > 0) | (F.col("n_b") > 0))
 
 
 def alignment_qc(aligned: DataFrame) -> DataFrame:
     """One QC row per pair.
 
-    Distinct clusters are counted through (pair, cluster) partial sums, so
-    no task holds a distinct set.
+    Distinct clusters and folds are counted through partial sums per (pair,
+    cluster, fold).  One-sided rows, normally none, are looked at per record.
     """
-    per = aligned.groupBy(*PAIR, "cluster_key").agg(
-        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count_if((F.col("n_a") > 0) & (F.col("n_b") > 0)).alias("n_aligned"),
-        F.count_if(F.col("n_a") == 0).alias("only_b"), F.count_if(F.col("n_b") == 0).alias("only_a"),
-        F.count_if((F.col("n_a") > 1) | (F.col("n_b") > 1)).alias("dup"),
-        F.count_if(F.col("y_true_a") != F.col("y_true_b")).alias("label_mismatches"),
-        F.count_if(F.col("fold_a") != F.col("fold_b")).alias("fold_mismatches"),
-        F.count_if(F.col("cluster_key").isNull()).alias("missing_cluster_ids"),
-        F.collect_set("fold").alias("folds"), F.collect_set("source_a").alias("sa"), F.collect_set("source_b").alias("sb"),
-    )
-    flat = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))  # noqa: E731  few folds and sources
-    out = per.groupBy(*PAIR).agg(
-        F.sum("n_a").alias("n_model_a"), F.sum("n_b").alias("n_model_b"), F.sum("n_aligned").alias("n_aligned"),
-        F.count("cluster_key").alias("n_unique_clusters"), F.size(flat("folds")).cast("bigint").alias("n_partitions"),
-        F.array_join(F.sort_array(flat("sa")), ", ").alias("index_source_model_a"),
-        F.array_join(F.sort_array(flat("sb")), ", ").alias("index_source_model_b"),
-        *[F.sum(c).alias(c) for c in ("only_a", "only_b", "label_mismatches", "fold_mismatches", "missing_cluster_ids")],
-        F.sum("dup").alias("duplicate_indices"),
-    )
+    both = (F.col("n_a") > 0) & (F.col("n_b") > 0)
+    per = aligned.groupBy(*PAIR, "cluster_key", "fold").agg(
+        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count_if(both).alias("n_aligned"),
+        F.count_if((F.col("n_a") > 1) | (F.col("n_b") > 1)).alias("dup"), F.count_if(F.col("cluster_key").isNull()).alias("no_cluster"),
+        *[agg(f"source_{s}").alias(f"{name}_{s}") for s in "ab" for name, agg in (("lo", F.min), ("hi", F.max))])
+    sums = [F.sum(c).alias(c) for c in ("n_a", "n_b", "n_aligned", "dup", "no_cluster")]
+    ends = [agg(f"{name}_{s}").alias(f"{name}_{s}") for s in "ab" for name, agg in (("lo", F.min), ("hi", F.max))]
+    clusters = per.groupBy(*PAIR, "cluster_key").agg(*sums, *ends)
+    main = clusters.groupBy(*PAIR).agg(F.count("cluster_key").alias("n_unique_clusters"), *sums, *ends)
+    folds = per.select(*PAIR, "fold").distinct().groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_partitions"))
+    odd = aligned.filter(~both).groupBy(*PAIR, "index").agg(
+        F.sum("n_a").alias("a"), F.sum("n_b").alias("b"), (F.min("y_true") != F.max("y_true")).alias("y"), (F.min("fold") != F.max("fold")).alias("f"))
+    met = (F.col("a") > 0) & (F.col("b") > 0)
+    odd = odd.groupBy(*PAIR).agg(F.count_if(F.col("b") == 0).alias("only_a"), F.count_if(F.col("a") == 0).alias("only_b"),
+                                 F.count_if(met & F.col("y")).alias("label_mismatches"), F.count_if(met & F.col("f")).alias("fold_mismatches"))
+    out = main.join(folds, PAIR).join(odd, PAIR, "left").na.fill(0, ["only_a", "only_b", "label_mismatches", "fold_mismatches"])
+
+    def source(s):
+        first, second = (F.lit(x) for x in INDEX_SOURCES)
+        lo, hi = F.col(f"lo_{s}"), F.col(f"hi_{s}")
+        return F.when(hi == 0, first).when(lo == 1, second).otherwise(F.concat_ws(", ", first, second)).alias(f"index_source_model_{s}")
+    out = out.select(
+        *PAIR, F.col("n_a").alias("n_model_a"), F.col("n_b").alias("n_model_b"), "n_aligned", "n_unique_clusters", "n_partitions", source("a"), source("b"),
+        "only_a", "only_b", "label_mismatches", "fold_mismatches", F.col("no_cluster").alias("missing_cluster_ids"), F.col("dup").alias("duplicate_indices"))
     bad = F.lit(0)
     for c in ("only_a", "only_b", "label_mismatches", "fold_mismatches", "missing_cluster_ids", "duplicate_indices"):
         bad = bad + F.col(c)
@@ -89,9 +102,7 @@ def alignment_qc(aligned: DataFrame) -> DataFrame:
 def strict(aligned: DataFrame) -> DataFrame:
     """Aligned rows; a row that fails a pairing rule raises."""
     message = (
-        F.when((F.col("n_a") != 1) | (F.col("n_b") != 1), "index sets differ or repeat")
-        .when(F.col("y_true_a") != F.col("y_true_b"), "true labels differ")
-        .when(F.col("fold_a") != F.col("fold_b"), "held-out partitions differ")
+        F.when((F.col("n_a") != 1) | (F.col("n_b") != 1), "records, labels or partitions of the two models differ")
         .when(F.col("cluster_key").isNull(), "cluster is missing")
     )
     index = F.when(message.isNull(), F.col("index")).otherwise(
@@ -112,17 +123,31 @@ def with_mcnemar_p(counts: DataFrame) -> DataFrame:
     return out.withColumn("mcnemar_exact_p", tails.binomial_half_udf(F.least(x, y), F.col("discordant_total")))
 
 
+def _counts(n_classes: int) -> dict[str, Column]:
+    a, b = F.col("pred_a") == F.col("y_true"), F.col("pred_b") == F.col("y_true")
+    out = {"n": F.count(F.lit(1)), "correct_a": F.count_if(a), "correct_b": F.count_if(b), "a_only": F.count_if(a & ~b), "b_only": F.count_if(~a & b)}
+    for s in "ab":
+        for c in range(n_classes):
+            out[f"{s}_{c}"] = F.count_if(F.col(f"pred_{s}") == c)
+    return out
+
+
+def fold_contributions(aligned: DataFrame, keys: Sequence[str] = (*PAIR, "pair_no"), n_classes: int = 4) -> DataFrame:
+    """Counts per (pair, cluster, fold, true label): the one pass over records
+    from which every table of the comparison is summed."""
+    return aligned.groupBy(*keys, "cluster_key", "fold", F.col("y_true").alias("label")).agg(*[c.alias(n) for n, c in _counts(n_classes).items()])
+
+
 def cluster_contributions(aligned: DataFrame, keys: Sequence[str] = (*PAIR, "pair_no"), n_classes: int = 4) -> DataFrame:
     """Per cluster: true label, size, predicted-class counts of both models.
 
     Two true labels in one cluster raise.
     """
-    out = aligned.groupBy(*keys, "cluster_key").agg(
-        F.min("y_true").alias("label"), F.max("y_true").alias("_hi"), F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("pred_a") == F.col("y_true")).alias("correct_a"), F.count_if(F.col("pred_b") == F.col("y_true")).alias("correct_b"),
-        *[F.count_if(F.col("pred_a") == c).alias(f"a_{c}") for c in range(n_classes)],
-        *[F.count_if(F.col("pred_b") == c).alias(f"b_{c}") for c in range(n_classes)],
-    )
+    return merge_folds(fold_contributions(aligned, keys, n_classes), keys, n_classes)
+
+
+def merge_folds(parts: DataFrame, keys: Sequence[str] = (*PAIR, "pair_no"), n_classes: int = 4) -> DataFrame:
+    out = parts.groupBy(*keys, "cluster_key").agg(F.min("label").alias("label"), F.max("label").alias("_hi"), *[F.sum(n).alias(n) for n in _counts(n_classes)])
     one = F.when(F.col("label") == F.col("_hi"), F.col("label")).otherwise(
         F.raise_error(F.concat(F.lit("cluster with several labels: "), F.col("cluster_key"))).cast("int"))
     return out.withColumn("label", one).drop("_hi")
@@ -140,13 +165,19 @@ def bootstrap(contrib: DataFrame, reps: int = 10_000, confidence: float = 0.95,
     keys = [*PAIR, "pair_no"]
     cols = [f"{s}_{c}" for s in "ab" for c in range(n_classes)]
     rows = contrib.groupBy(*keys, "label", *cols).agg(F.count(F.lit(1)).alias("n_clusters"))
-    digest = hashing.seeded_digest(0, *[F.col(c).cast("string") for c in cols])
-    rows = rows.withColumn("_digest", digest)
-    rows = rk.with_row_number(rows, [*keys, "label"], rk.digest_bucket(F.col("_digest")), [F.col("_digest")], "_no")
-    rows = rows.withColumn("chunk", F.floor((F.col("_no") - 1) / _CHUNK).cast("int"))
+    rows = cut_lineage(rows, "patterns")
+    # one number decides whether chunks are needed at all
+    biggest = rows.groupBy(*keys, "label").count().agg(F.max("count")).first()[0] or 0
+    if biggest <= _CHUNK:
+        rows = rows.withColumn("chunk", F.lit(0))
+    else:
+        digest = hashing.seeded_digest(0, *[F.col(c).cast("string") for c in cols])
+        rows = rows.withColumn("_digest", digest)
+        rows = rk.with_row_number(rows, [*keys, "label"], rk.digest_bucket(F.col("_digest")), [F.col("_digest")], "_no")
+        rows = rows.withColumn("chunk", F.floor((F.col("_no") - 1) / _CHUNK).cast("int")).drop("_digest", "_no")
     sizes = rows.groupBy(*keys, "label", "chunk").agg(F.sum("n_clusters").alias("size"))
     sizes = sizes.groupBy(*keys, "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "size"))), lambda s: s["size"]).alias("chunk_sizes"))
-    work = rows.drop("_digest", "_no").join(sizes, [*keys, "label"])
+    work = rows.join(sizes, [*keys, "label"])
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
@@ -244,7 +275,6 @@ def observed(contrib: DataFrame, n_classes: int = 4) -> DataFrame:
     """Accuracies, macro-F1 and per-class F1 of both models with McNemar,
     all from the cluster contributions."""
     keys = PAIR
-    # McNemar needs record-level discordance, which contributions do not hold
     cells = {s: [[F.sum(F.when(F.col("label") == t, F.col(f"{s}_{q}")).otherwise(0)) for q in range(n_classes)] for t in range(n_classes)] for s in "ab"}
     rows = contrib.groupBy(*keys).agg(
         F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_clusters"),
@@ -259,11 +289,10 @@ def observed(contrib: DataFrame, n_classes: int = 4) -> DataFrame:
 
 def compare(aligned: DataFrame, reps: int = 10_000, permutations: int = 100_000, seed: int = C.SEED) -> dict[str, DataFrame]:
     """Primary accuracy, macro-F1 and per-class tables over all planned pairs."""
-    contrib = cluster_contributions(aligned)
+    parts = cut_lineage(fold_contributions(aligned), "contributions")
+    contrib = merge_folds(parts)
     base = observed(contrib)
-    folds = aligned.groupBy(*PAIR, "fold").agg(
-        F.count_if((F.col("pred_a") == F.col("y_true")) & (F.col("pred_b") != F.col("y_true"))).alias("x"),
-        F.count_if((F.col("pred_a") != F.col("y_true")) & (F.col("pred_b") == F.col("y_true"))).alias("y"))
+    folds = parts.groupBy(*PAIR, "fold").agg(F.sum("a_only").alias("x"), F.sum("b_only").alias("y"))
     mc = with_mcnemar_p(folds.groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("n_partitions"), F.sum("x").alias("a_correct_b_wrong"), F.sum("y").alias("a_wrong_b_correct")))
     perm = sign_flip(contrib, permutations, seed).drop("n_clusters")

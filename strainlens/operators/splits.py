@@ -22,7 +22,7 @@ def seeded_cutoffs(df: DataFrame, keys: Sequence[str], quota: DataFrame, seed, i
     quota of every group, in seeded hash order.
 
     A histogram of digest buckets finds the bucket in which the quota ends;
-    only the records of that bucket (about 1 in 4096) are ordered.  Selecting
+    only the records of that bucket (about 1 in 65536) are ordered.  Selecting
     "the first q" is then a comparison with the cutoff, so the records
     themselves are never shuffled.  A null cutoff with a positive quota means
     the whole group.  ``quota`` has one row per group.

@@ -339,7 +339,7 @@ def mcnemar_exact(spark, sf):
       count(*) FILTER (pred_b = 0) AS b_0, count(*) FILTER (pred_b = 1) AS b_1, count(*) FILTER (pred_b = 2) AS b_2, count(*) FILTER (pred_b = 3) AS b_3
     FROM al GROUP BY ALL""".replace("min(y_true) AS label", "y_true AS label"), ("pred",))
 def cluster_contributions(spark, sf):
-    return comparison.cluster_contributions(comparison.strict(aligned(spark, sf))).drop("pair_no")
+    return comparison.cluster_contributions(comparison.strict(aligned(spark, sf))).drop("pair_no", "a_only", "b_only")
 
 
 @query("a36_cluster_bootstrap")
