@@ -269,9 +269,6 @@ def detect_alphabet(spark, sf):
     return a.unionByName(sq.detect_alphabet(views.sequences(spark, sf), "sequence").select(F.lit("text").alias("source"), "name"))
 
 
-_RECENT = "SELECT class, pos, source, header, sequence FROM seq"
-
-
 @query("d01_dedup_in_source", """
     SELECT class, source, md5(sequence) AS seq_md5, min(pos) AS pos, count(*) AS copies FROM seq GROUP BY class, source, sequence""", ("seq",))
 def dedup_in_source(spark, sf):

@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strainlens import constants as C
 from strainlens.functions import text as tx
 from strainlens.operators import checks, joins, splits
 from strainlens.plans import views

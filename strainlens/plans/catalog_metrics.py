@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strainlens import constants as C
 from strainlens.functions import adjust, annotate
 from strainlens.operators import checks, comparison, crosstab, metrics, rank_tests
 from strainlens.plans import views
@@ -69,9 +68,6 @@ def accuracy_f1(spark, sf):
     return rounded(out, "accuracy", "macro_f1", "f1_0", "f1_1", "f1_2", "f1_3")
 
 
-_SUBSET = "(SELECT protocol, model, y_true, y_pred FROM pred0 WHERE NOT (protocol = 'temporal' AND y_true = 3))"
-
-
 @query("a08_balanced_metrics", """
     WITH p AS (SELECT * FROM pred WHERE NOT (protocol = 'temporal' AND y_true = 3)),
     k AS (SELECT protocol, model, k, count(*) FILTER (y_true = k AND y_pred = k) AS tp, count(*) FILTER (y_true = k) AS row_n,

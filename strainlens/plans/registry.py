@@ -29,5 +29,5 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
 def load_all() -> None:
     """Import every catalogue module once."""
     from strainlens.plans import catalog_cohort, catalog_joins, catalog_metrics  # noqa: F401
-    from strainlens.plans import catalog_profiles, catalog_sites, catalog_sources, catalog_tests  # noqa: F401
+    from strainlens.plans import catalog_profiles, catalog_sites, catalog_sources  # noqa: F401
     from strainlens.plans import catalog_learning  # noqa: F401

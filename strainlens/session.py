@@ -7,21 +7,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+# scratch folders made for sessions that name none, by application
+_OWN: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
     """Folder shared by driver and executors for hand-over tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is made and remembered.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local session
+    may do without: it gets a temporary folder of its own.
     """
-    root = spark.conf.get(_CHECKPOINT_KEY, None)
-    if not root:
-        root = spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
-    if not root:
-        root = tempfile.mkdtemp(prefix="strainlens-")
-        spark.conf.set(_CHECKPOINT_KEY, root)
-    return root.rstrip("/")
+    root = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
+    if root:
+        return root.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="strainlens-")
+    return _OWN[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from strainlens.operators import joins
 from strainlens.sources import clusters, fasta, predictions
