@@ -16,7 +16,8 @@ def clean_sequence(col: Column, mask_other: bool = True) -> Column:
 
 def symbol_count(col: Column, symbols: str) -> Column:
     """How many characters of ``col`` are in ``symbols``."""
-    return F.length(col) - F.length(F.translate(col, symbols, ""))
+    without = F.replace(col, F.lit(symbols), F.lit("")) if len(symbols) == 1 else F.translate(col, symbols, "")
+    return F.length(col) - F.length(without)
 
 
 def _share(num: Column, den: Column) -> Column:
