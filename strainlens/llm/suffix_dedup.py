@@ -2,22 +2,25 @@
 
 A byte goes when it lies in a string of ``length`` bytes that also starts in a
 text with a smaller id.  Every window of that length belongs to its smallest
-16-byte gram (by hash, leftmost on ties), so equal windows belong to equal
-grams.  A text becomes fragments, runs of windows with one gram; fragments are
-dealt to buckets by the gram, and a bucket decides its windows alone:
-
-1. fragments whose gram has no neighbourhood of 33 bytes in common with
-   another text are set aside, since no window of theirs can recur;
-2. of the rest, distinct fragments form one text.  Suffixes smaller than their
-   successor are sorted directly, the others induced by scanning the buckets
-   of first bytes in order; adjacent common prefixes then give the groups of
-   equal windows, and each group its smallest id;
-3. an occurrence is covered where that id is smaller than its own.
-
-Hot fragments are combined before the shuffle: within a slice of texts only
-the smallest id of equal fragments is sent, as the others are covered already.
-Fragments travel as compressed blocks, one per slice and bucket.  Covered
-ranges go back to their texts by a hash of id and text.
+24-byte gram (by hash, leftmost on ties), so equal windows belong to equal
+grams.  A text becomes fragments, runs of windows with one gram.  Texts are
+dealt to groups by a hash, and:
+
+1. each group tells, as 48-bit codes, which grams it holds; a bucket of codes
+   answers with one bit per code, whether another group or text has the gram
+   too.  Fragments of other grams need not be looked at further;
+2. the rest is dealt to buckets by gram.  In a bucket, distinct fragments form
+   one text.  Suffixes smaller than their successor are sorted directly, the
+   others induced by scanning the buckets of first bytes in order; adjacent
+   common prefixes then give the groups of equal windows, and each group its
+   smallest id;
+3. an occurrence is covered where that id is smaller than its own.  Covered
+   ranges return to the groups of texts.
+
+The groups of texts are shuffled once and read three times.  Hot fragments are
+combined before the shuffle: within a group of texts only the smallest id of
+equal fragments is sent, as the others are covered already.  Fragments travel
+as compressed blocks, one per group and bucket.
 
 Defined results: null and empty texts have no bytes; texts shorter than
 ``length`` keep all; rows with one id never cover each other; a null id covers
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +44,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from strainlens.llm import batches
 
 LENGTH = 50
-GRAM = 16
-SLICE_BYTES = 6_000_000
+GRAM = 24
 _CHUNK = 1_500_000
 _SORT_BYTES = 4_000_000
 _POSITION = np.uint64((1 << 24) - 1)
@@ -116,10 +119,13 @@ def _merge(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return row[first], start[first], reach[last] - number[first] * wide
 
 
+_CODEC = pa.Codec("zstd", compression_level=6)
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     parts = [np.array([len(arrays)] + [len(a) for a in arrays], "<i8").tobytes(), "".join(a.dtype.char for a in arrays).encode()]
     raw = b"".join(parts + [np.ascontiguousarray(a).tobytes() for a in arrays])
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
 
 
 def _unpack(block: bytes) -> list[np.ndarray]:
@@ -142,38 +148,143 @@ def _range_blocks(row: np.ndarray, start: np.ndarray, end: np.ndarray, n_texts:
         yield int(place[part[0]]), True, _pack(row[part], start[part], end[part] - start[part])
 
 
-def _send(length: int, n_buckets: int, n_texts: int):
-    """Blocks of fragments by bucket, and of ranges covered within the slice."""
+@dataclass
+class _Group:
+    """The fragments of one group of texts and the codes of their grams."""
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in parts:
-            for part, texts in batches.slices(whole, "text", SLICE_BYTES):
-                t = batches.pack(texts)
-                start, end, gram = fragments(t, length)
-                if not len(start):
-                    continue
-                ids, keys = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row_key"))
-                owner = t.owner(start)
-                same = batches.span_hashes(t.data, start, end)
-                order = np.lexsort((ids[owner], same))
-                lead = np.concatenate(([True], same[order][1:] != same[order][:-1]))
-                least = np.empty(len(start), np.int64)
-                least[order] = ids[owner][order][lead][np.cumsum(lead) - 1]
-                inside = least < ids[owner]
-                blocks = list(_range_blocks(keys[owner[inside]], (start - t.first[owner])[inside], (end - t.first[owner])[inside], n_texts))
-                start, end, gram, owner = (x[~inside] for x in (start, end, gram, owner))
-                bucket = (batches.span_hashes(t.data, gram, gram + GRAM) % np.uint64(n_buckets)).astype(np.int64) if len(gram) else gram
-                order = np.argsort(bucket, kind="stable")
-                for one in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                    rows, row = np.unique(owner[one], return_inverse=True)
-                    size = end[one] - start[one]
-                    step = np.diff(start[one] - t.first[owner[one]], prepend=0)
-                    blocks.append((int(bucket[one[0]]), False, _pack(ids[rows], keys[rows], row.astype(np.uint16 if len(rows) < 65536 else np.uint32), step.astype(np.int64 if len(t.data) > 1 << 30 else np.int32), size.astype(np.uint8), (gram[one] - start[one]).astype(np.uint8), _gather(t.data, start[one], size))))
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*blocks, strict=True), _ARROW_BLOCK, strict=True)], schema=_ARROW_BLOCK)
+    t: batches.Texts
+    ids: np.ndarray
+    keys: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    gram: np.ndarray
+    owner: np.ndarray
+    bucket: np.ndarray
+    code: np.ndarray
+
+
+def _group(table: pa.Table, length: int, n_buckets: int) -> _Group:
+    table = table.filter(pa.compute.is_valid(table.column("doc_id")))
+    t = batches.pack([x or b"" for x in table.column("text").cast(pa.binary()).to_pylist()])
+    start, end, gram = fragments(t, length)
+    hashes = batches.span_hashes(t.data, gram, gram + GRAM)
+    ids, keys = (table.column(c).to_numpy() for c in ("doc_id", "row_key"))
+    return _Group(t, ids, keys, start, end, gram, t.owner(start), (hashes % np.uint64(n_buckets)).astype(np.int64), hashes >> np.uint64(16))
+
+
+def _catalogue(g: _Group) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes by bucket: bucket, code, whether several ids have it; and the entry of each fragment."""
+    order = np.lexsort((g.code, g.bucket))
+    bucket, code, ids = g.bucket[order], g.code[order], g.ids[g.owner[order]]
+    new = np.concatenate(([True], (code[1:] != code[:-1]) | (bucket[1:] != bucket[:-1])))
+    begin = np.flatnonzero(new)
+    entry = np.empty(len(order), np.int64)
+    entry[order] = np.cumsum(new) - 1
+    return bucket[begin], code[begin], np.minimum.reduceat(ids, begin) < np.maximum.reduceat(ids, begin), entry
+
+
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    edge = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+    for a, b in zip(edge, edge[1:], strict=False):
+        if b > a:
+            yield int(bucket[a]), slice(a, b)
+
+
+def _block_table(blocks: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*blocks, strict=True), _ARROW_BLOCK, strict=True)] if blocks else [pa.array([], f.type) for f in _ARROW_BLOCK], schema=_ARROW_BLOCK)
+
+
+def _tell(length: int, n_buckets: int):
+    """Step 1: the grams of a group of texts."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        g = _group(table, length, n_buckets)
+        blocks = []
+        if len(g.start):
+            bucket, code, many, _ = _catalogue(g)
+            for b, at in _by_bucket(bucket):
+                # differences of sorted codes, byte by byte, since their upper bytes are zero
+                step = np.diff(code[at], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                blocks.append((b, False, _pack(np.array([key[0].as_py()]), np.ascontiguousarray(step.T).ravel(), np.packbits(many[at]))))
+        return _block_table(blocks)
 
     return run
 
 
+def _answer(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 1: one bit per gram of every group, whether it is shared."""
+    for bucket, held in _buckets(parts):
+        cols = [_unpack(b) for b in held]
+        codes, flags, sizes = [], [], []
+        for c in cols:
+            step = np.zeros((len(c[1]) // 6, 8), np.uint8)
+            step[:, :6] = c[1].reshape(6, -1).T
+            codes.append(np.cumsum(step.view("<u8").ravel(), dtype=np.uint64))
+            sizes.append(len(codes[-1]))
+            flags.append(np.unpackbits(c[2], count=sizes[-1]).astype(bool))
+        code, many = np.concatenate(codes), np.concatenate(flags)
+        order = np.argsort(code, kind="stable")
+        begin = np.flatnonzero(np.concatenate(([True], code[order][1:] != code[order][:-1])))
+        size = np.diff(np.concatenate((begin, [len(order)])))
+        shared = np.empty(len(code), bool)
+        shared[order] = np.repeat((size > 1) | np.logical_or.reduceat(many[order], begin), size)
+        blocks = [(int(c[0][0]), False, _pack(np.array([bucket]), np.packbits(part))) for c, part in zip(cols, np.split(shared, np.cumsum(sizes)[:-1]), strict=True)]
+        yield from _block_table(blocks).to_batches()
+
+
+def _send(length: int, n_buckets: int, n_texts: int):
+    """Step 2: blocks of shared fragments by bucket, and of ranges covered within the group."""
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        g = _group(table, length, n_buckets)
+        if not len(g.start):
+            return _block_table([])
+        bucket, _, _, entry = _catalogue(g)
+        shared = np.zeros(len(bucket), bool)
+        place = dict(_by_bucket(bucket))
+        for block in answers.column("block"):
+            b, bits = _unpack(block.as_py())
+            at = place[int(b[0])]
+            shared[at] = np.unpackbits(bits, count=at.stop - at.start).astype(bool)
+        keep = shared[entry]
+        start, end, gram, owner, bucket = (x[keep] for x in (g.start, g.end, g.gram, g.owner, g.bucket))
+        if not len(start):
+            return _block_table([])
+        same = batches.span_hashes(g.t.data, start, end)
+        order = np.lexsort((g.ids[owner], same))
+        lead = np.concatenate(([True], same[order][1:] != same[order][:-1]))
+        least = np.empty(len(start), np.int64)
+        least[order] = g.ids[owner][order][lead][np.cumsum(lead) - 1]
+        inside = least < g.ids[owner]
+        first = g.t.first[owner]
+        blocks = list(_range_blocks(g.keys[owner[inside]], (start - first)[inside], (end - first)[inside], n_texts))
+        order = np.flatnonzero(~inside)
+        order = order[np.argsort(bucket[order], kind="stable")]
+        for b, at in _by_bucket(bucket[order]):
+            one = order[at]
+            rows, row = np.unique(owner[one], return_inverse=True)
+            size = end[one] - start[one]
+            step = np.diff((start - first)[one], prepend=0)
+            blocks.append((b, False, _pack(g.ids[rows], g.keys[rows], row.astype(np.uint16 if len(rows) < 65536 else np.uint32), step.astype(np.int64 if len(g.t.data) > 1 << 30 else np.int32), size.astype(np.uint8), (gram[one] - start[one]).astype(np.uint8), _gather(g.t.data, start[one], size))))
+        return _block_table(blocks)
+
+    return run
+
+
+def _buckets(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Blocks of each bucket from rows in order of bucket."""
+    bucket, held = None, []
+    for part in parts:
+        for b, block in zip(part.column("bucket").to_pylist(), part.column("block"), strict=True):
+            if b != bucket and held:
+                yield bucket, held
+                held = []
+            bucket = b
+            held.append(block.as_py())
+    if held:
+        yield bucket, held
+
+
 # ------------------------------------------------------- suffix sorting
 
 def _keys8(text: np.ndarray) -> np.ndarray:
@@ -341,27 +452,21 @@ def decide(blocks: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _judge(length: int, n_texts: int):
+    """Step 3: ranges by group of texts; blocks of ranges pass through."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            blocks = list(_range_blocks(*decide(held, length), n_texts))
-            if blocks:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*blocks, strict=True), _ARROW_BLOCK, strict=True)], schema=_ARROW_BLOCK)
-
-        for part in parts:
-            ready = part.filter(part.column("covers"))
-            if ready.num_rows:
-                yield ready
-            part = part.filter(pa.compute.invert(part.column("covers")))
-            for b, block in zip(part.column("bucket").to_pylist(), part.column("block"), strict=True):
-                if b != bucket and held:
-                    yield from out()
-                    held = []
-                bucket = b
-                held.append(block.as_py())
-        if held:
-            yield from out()
+        ready: list[pa.RecordBatch] = []
+
+        def open_() -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                ready.append(part.filter(part.column("covers")))
+                yield part.filter(pa.compute.invert(part.column("covers")))
+
+        for _, held in _buckets(open_()):
+            yield from _block_table(list(_range_blocks(*decide(held, length), n_texts))).to_batches()
+            yield from ready
+            ready.clear()
+        yield from ready
 
     return run
 
@@ -393,14 +498,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ``partitions`` (default: the session's shuffle partitions) sets how many
     buckets of fragments and groups of texts there are; both grow with it.
     """
-    if not GRAM < length <= 120:
-        raise ValueError("length must be 17 to 120")
+    if not GRAM + 8 <= length <= 120:
+        raise ValueError("length must be 32 to 120")
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_buckets, n_texts = 2 * n, 4 * n
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    sent = rows.where("doc_id IS NOT NULL").mapInArrow(_send(length, n_buckets, n_texts), BLOCK)
+    groups = rows.withColumn("bucket", F.expr(f"CAST(pmod(row_key, {n_texts}) AS INT)")).groupBy("bucket")
+    answers = groups.applyInArrow(_tell(length, n_buckets), BLOCK).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, BLOCK)
+    send = _send(length, n_buckets, n_texts)
+    sent = groups.cogroup(answers.groupBy("bucket")).applyInArrow(lambda a, b: send(a, b), BLOCK)
     # blocks of fragments meet by bucket; blocks of ranges pass through with them
-    ranges = sent.repartition("covers", "bucket").sortWithinPartitions("covers", "bucket").mapInArrow(_judge(length, n_texts), BLOCK).select("bucket", "block")
-    left = rows.withColumn("bucket", F.expr(f"CAST(pmod(row_key, {n_texts}) AS INT)"))
-    return left.groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(lambda a, b: _apply(a, b), RESULT)
+    ranges = sent.repartition("covers", "bucket").sortWithinPartitions("covers", "bucket").mapInArrow(_judge(length, n_texts), BLOCK)
+    return groups.cogroup(ranges.groupBy("bucket")).applyInArrow(lambda a, b: _apply(a, b), RESULT)
