@@ -4,17 +4,19 @@ Texts become sets of word shingles.  Equal sets collapse to their smallest id.
 Minima under 192 hash functions give 38 bands of 5 (candidates: equal bands)
 and, from 2 low bits of every minimum, a packed signature; the share of equal
 2-bit values, corrected for chance equality, estimates the similarity.
-Candidates whose estimate is far below the threshold are left; the others are
-confirmed on full sets.
+Candidates whose estimate is far below the threshold, or whose sets differ by
+too much already in a sketch of parities (an exact bound), are left; the others
+are confirmed on full sets.
 
 At similarity 0.8 a pair misses all bands with probability 3e-7, and its
-estimate is more than 5 standard deviations above the margin.
+estimate is more than 4 standard deviations above the margin.
 
-Groups are never listed as pairs.  First every member of a bucket meets only
-the bucket's smallest member; confirmed links give components.  Then only
+Groups are never listed as pairs.  A bucket is led by the member with most
+company in all its buckets, and every member first meets only one lead, that
+with which it shares most bands; confirmed links give components.  Then only
 members of one bucket that lie in different components meet, so no link
-between components is lost, and a large group of mutual copies costs one link
-per member.  Buckets are counted by partial aggregation and joined back as
+between components is lost, and a large group around a common text costs one
+link per member.  Buckets are counted by partial aggregation and joined back as
 ordinary equi-joins, which Spark splits when a key is hot.
 
 Defined results: null, empty and word-less texts have an empty set and no
@@ -38,15 +40,19 @@ SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
 HASHES, ROWS, BANDS, BITS = 192, 5, 38, 2
 # estimates below threshold minus this margin are left out; one standard deviation at 0.8 is 0.034
-MARGIN = 0.18
+MARGIN = 0.15
 _LONGS = HASHES * BITS // 64
+# a second sketch holds the parity of the number of shingles in each of 1024 cells
+PARITY_BITS = 1024
+_PARITY = PARITY_BITS // 64
+_SKETCHES = [f"s{i}" for i in range(_LONGS)] + [f"p{i}" for i in range(_PARITY)]
 
 _FACTOR = batches.draws(HASHES, 5) | np.uint64(1)
 _OFFSET = batches.draws(HASHES, 6)
 
 SIGNATURE = T.StructType(
     [T.StructField(c, T.LongType()) for c in ("doc_id", "n_shingles", "digest_a", "digest_b")]
-    + [T.StructField("bands", T.ArrayType(T.LongType()))] + [T.StructField(f"s{i}", T.LongType()) for i in range(_LONGS)]
+    + [T.StructField("bands", T.ArrayType(T.LongType()))] + [T.StructField(c, T.LongType()) for c in _SKETCHES]
 )
 
 
@@ -102,7 +108,11 @@ def _signatures(size: int):
             for j in range(per):
                 packed |= low[i * per + j] << np.uint64(BITS * j)
             out[f"s{i}"] = batches.as_long(packed)
-        return out
+        cell = batches.mix(hashes + np.uint64(17)) >> np.uint64(54)
+        parity = np.zeros(len(texts) * _PARITY, np.uint64)
+        np.bitwise_xor.at(parity, owner * _PARITY + (cell >> np.uint64(6)).astype(np.int64), np.uint64(1) << (cell & np.uint64(63)))
+        parity = batches.as_long(parity.reshape(-1, _PARITY))
+        return out | {f"p{i}": np.ascontiguousarray(parity[:, i]) for i in range(_PARITY)}
 
     return work
 
@@ -121,8 +131,14 @@ def estimate(a: str, b: str) -> Column:
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
+    """Whether a pair can be a link, by sizes, by the estimate, and by parities.
+
+    A cell whose parities differ holds a shingle of one side only, so such
+    cells are never more than the sets' difference, which a link bounds.
+    """
     small, large = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
-    return (small * 100 >= large * percent) & (estimate(a, b) >= percent / 100 - MARGIN)
+    odd = sum((F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}"))) for i in range(_PARITY)), F.lit(0))
+    return (small * 100 >= large * percent) & (odd * (100 + percent) <= (small + large) * (100 - percent)) & (estimate(a, b) >= percent / 100 - MARGIN)
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -160,15 +176,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     reps = session.cut_lineage(reps, "representatives")
 
     rows = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("bucket", "lead")
+    shared = rows.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n")
     members = session.cut_lineage(rows.join(shared, "bucket"), "members")
-    slim = reps.select("doc_id", "n_shingles", *[f"s{i}" for i in range(_LONGS)])
+    # a bucket is led by the member that has most company in all its buckets, the centre of a group
+    company = members.groupBy("doc_id").agg(F.sum("n").alias("company"))
+    leads = members.join(company, "doc_id").groupBy("bucket").agg(F.min_by("doc_id", F.struct(-F.col("company"), "doc_id")).alias("lead"))
+    slim = reps.select("doc_id", "n_shingles", *_SKETCHES)
 
     wanted = members.select("doc_id").distinct()
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id", "left_semi")
     texts = session.cut_lineage(texts, "texts")
 
-    stars = members.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    # of the leads of its buckets a member meets the one with which it shares most bands
+    common = members.join(leads, "bucket").where("doc_id <> lead").groupBy("doc_id", "lead").agg(F.count("*").alias("n"))
+    stars = common.groupBy(F.col("doc_id").alias("b")).agg(F.min_by("lead", F.struct(-F.col("n"), "lead")).alias("a"))
     near = stars.join(slim.alias("x"), F.col("a") == F.col("x.doc_id")).join(slim.alias("y"), F.col("b") == F.col("y.doc_id")).where(_may_link("x", "y", percent)).select("a", "b").distinct()
     links = session.cut_lineage(_confirm(near, texts, size, percent), "links")
 

@@ -59,11 +59,11 @@ _ARROW_BLOCK = to_arrow_schema(BLOCK)
 def fragments(t: batches.Texts, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte, end and place of the gram of every fragment, in order."""
     size = len(t.data)
-    steps = np.zeros(size + 1, np.int64)
+    steps = np.zeros(size + 1, np.int8)
     long = t.last - t.first >= length
     np.add.at(steps, t.first[long], 1)
     np.add.at(steps, t.last[long] - length + 1, -1)
-    valid = np.cumsum(steps[:-1]) > 0
+    valid = np.cumsum(steps[:-1], dtype=np.int8) > 0
     span = length - GRAM + 1
     starts, ends, grams = [], [], []
     for origin in range(0, size, _CHUNK):
@@ -119,7 +119,7 @@ def _merge(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return row[first], start[first], reach[last] - number[first] * wide
 
 
-_CODEC = pa.Codec("zstd", compression_level=6)
+_CODEC = pa.Codec("zstd", compression_level=3)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -174,7 +174,8 @@ def _group(table: pa.Table, length: int, n_buckets: int) -> _Group:
 
 def _catalogue(g: _Group) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct codes by bucket: bucket, code, whether several ids have it; and the entry of each fragment."""
-    order = np.lexsort((g.code, g.bucket))
+    order = np.argsort(g.code, kind="stable")
+    order = order[np.argsort(g.bucket[order].astype(np.uint16 if g.bucket.max() < 65536 else np.int64), kind="stable")]
     bucket, code, ids = g.bucket[order], g.code[order], g.ids[g.owner[order]]
     new = np.concatenate(([True], (code[1:] != code[:-1]) | (bucket[1:] != bucket[:-1])))
     begin = np.flatnonzero(new)
@@ -502,7 +503,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         raise ValueError("length must be 32 to 120")
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets, n_texts = 2 * n, 4 * n
+    n_buckets, n_texts = n, 2 * n
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
     groups = rows.withColumn("bucket", F.expr(f"CAST(pmod(row_key, {n_texts}) AS INT)")).groupBy("bucket")
     answers = groups.applyInArrow(_tell(length, n_buckets), BLOCK).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, BLOCK)
