@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strainlens import session
+
 THRESHOLD = 0.8
 
 # fixed values: public notices and short licence texts, with their common identifiers
@@ -69,6 +71,8 @@ def matches(docs: DataFrame, templates: DataFrame | None = None, text: str = "te
     given = default_templates(docs.sparkSession) if templates is None else templates
     known = given.where("text IS NOT NULL").select("template", "licence", bigrams(F.translate(normal(F.col("text")), "\n", " ")).alias("grams"))
     known = known.select("template", "licence", F.size("grams").alias("t_size"), F.explode("grams").alias("gram"))
+    # a written table has a known size, by which Spark decides whether to broadcast it
+    known = session.cut_lineage(known, "templates")
     norm = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), normal(F.col(f"`{text}`")).alias("norm"))
     lines = F.split("norm", "\n")
     # a text of one line is its own whole

@@ -8,11 +8,11 @@ word before the previous one (a skip) and a constant, hashed into rows of
 weights.  Inside a group, words follow their smoothed counts, and one unknown
 word has a place, so probabilities of all words sum to one.
 
-Training: in each round every task starts from the shared weights, takes
-mini-batch gradient steps over all its training texts, and returns the change
-of each row of weights it touched; the change of a row is the mean over the
+Training starts from the shares of the symbols.  In each round every task
+starts from the shared weights, takes mini-batch gradient steps over all its
+training texts, and returns the change of each row of weights it touched; the change of a row is the mean over the
 tasks that touched it, taken by an ordinary aggregation.  The model's size is
-fixed (2 x 65 536 rows), so it may be broadcast.
+fixed (2 x 32 768 rows), so it may be broadcast.
 
 Counts cover all training texts.  Words with more than 2^-20 of all tokens, at
 most 2^20 by arithmetic, are broadcast with their counts; the rarer ones meet
@@ -42,10 +42,10 @@ from strainlens.llm import batches
 
 CLASSES, MEMBERS, GROUPS = 16, 32, 32
 OWN = CLASSES * MEMBERS - GROUPS
-ROWS = 1 << 16
+ROWS = 1 << 15
 FEATURES = 4
 STEP = 0.25
-BATCH = 2048
+BATCH = 1024
 ROUNDS = 1
 HEAD_BITS = 20
 SMOOTHING = 0.1
@@ -231,9 +231,22 @@ def learn(first: np.ndarray, second: np.ndarray, squares: tuple[np.ndarray, np.n
             weights[row] -= (STEP / np.sqrt(seen[row] + 1e-6))[:, None] * gradient
 
 
+def prior(v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the constant feature alone, which give every symbol its share of the training tokens."""
+    seen = np.full(CLASSES * MEMBERS, SMOOTHING)
+    own = v.symbol < OWN
+    seen[v.symbol[own]] += v.count[own]
+    seen[OWN:] += v.group_tokens
+    cls, member = split_symbol(np.arange(len(seen)))
+    first, second = np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, MEMBERS), np.float32)
+    first[ROWS - 1] = np.log(np.bincount(cls, weights=seen))
+    second[ROWS - CLASSES + cls, member] = np.log(seen)
+    return first, second
+
+
 def train(rows: DataFrame, vocab, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Weights of both softmaxes after rounds of distributed gradient steps."""
-    weights = (np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, MEMBERS), np.float32))
+    weights = prior(vocab.value)
     context = rows.sparkSession.sparkContext
     arrow = to_arrow_schema(DELTA)
     for _ in range(rounds):

@@ -4,7 +4,8 @@ Three patterns give the base spans.  Beyond them, long tokens of letters and
 digits are scored by two first-order character models, one of random strings
 and one of ordinary identifiers; a token whose log-likelihood ratio per
 transition is above a margin is a further span.  The models are trained from
-labelled samples by counting transitions, with one added to every count.
+labelled samples by counting transitions; rare ones fall back on the shares of
+single characters, to whose counts one is added.
 
 Spans come from ``split`` and ``regexp_extract_all``: the pieces between the
 matches and the matches themselves give places in code points.  One pass
@@ -33,6 +34,8 @@ KINDS = ("assign", "access", "hex", "markov")
 # tokens that the models score: long, with letters and digits
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 MARGIN = 0.5
+# weight of the shares of single characters in a row of transitions
+BACKOFF = 10.0
 # labelled rows come from about this many documents, spread over the table by a hash
 SAMPLE_DOCS = 20_000
 
@@ -92,10 +95,15 @@ def train(samples: DataFrame) -> list[float]:
     steps = F.expr("CASE WHEN length(token) > 1 THEN sequence(1, length(token) - 1) ELSE array() END")
     moves = samples.where("token IS NOT NULL AND secret IS NOT NULL").select("secret", "token", F.explode(steps).alias("i"))
     cells = moves.groupBy("secret", _code(F.col("token"), F.col("i")).alias("a"), _code(F.col("token"), F.col("i") + 1).alias("b")).agg(F.count("*").alias("n")).collect()
-    count = {s: [[1.0] * _STATES for _ in range(_STATES)] for s in (True, False)}
+    count = {s: [[0.0] * _STATES for _ in range(_STATES)] for s in (True, False)}
     for r in cells:
         count[r.secret][r.a][r.b] += r.n
-    return [math.log(count[True][a][b] / sum(count[True][a])) - math.log(count[False][a][b] / sum(count[False][a])) for a in range(_STATES) for b in range(_STATES)]
+    logs = {}
+    for s, table in count.items():
+        second = [1.0 + sum(row[b] for row in table) for b in range(_STATES)]
+        share = [x / sum(second) for x in second]
+        logs[s] = [[math.log((n + BACKOFF * p) / (sum(row) + BACKOFF)) for n, p in zip(row, share, strict=True)] for row in table]
+    return [logs[True][a][b] - logs[False][a][b] for a in range(_STATES) for b in range(_STATES)]
 
 
 def _ratio(token: Column, model: Column) -> Column:

@@ -113,18 +113,19 @@ def _settle(nodes: DataFrame, needs: DataFrame) -> DataFrame:
     """Order keys of the messages that turns alone would put before what they need.
 
     ``nodes``: node, turn; ``needs``: node, needed.  First the turn a message
-    must wait for is carried forward along the needs of late messages only;
+    must wait for is carried forward along the needs of late messages only (one
+    that needs a message waiting for its own turn is late too);
     then the depth among messages that wait for the same turn, layer by layer.
     Both loops end: turns only grow, and each layer takes at least one message
     or leaves the rest as a circle.
     """
     moved = nodes.select("node", F.col("turn").alias("wait")).where("false")
     late = needs.join(nodes, "node").join(nodes.select(F.col("node").alias("needed"), F.col("turn").alias("needed_turn")), "needed")
-    front = session.cut_lineage(late.where("needed_turn > turn").groupBy("node").agg(F.max("needed_turn").alias("wait")), "late")
+    front = session.cut_lineage(late.where("needed_turn >= turn").groupBy("node").agg(F.max("needed_turn").alias("wait")), "late")
     while not front.isEmpty():
         moved = session.cut_lineage(moved.unionByName(front).groupBy("node").agg(F.max("wait").alias("wait")), "moved")
         reach = needs.join(front.select(F.col("node").alias("needed"), "wait"), "needed").groupBy("node").agg(F.max("wait").alias("wait"))
-        now = nodes.join(moved.withColumnRenamed("wait", "has"), "node", "left").select("node", F.coalesce("has", "turn").alias("has"))
+        now = nodes.join(moved.withColumnRenamed("wait", "has"), "node", "left").select("node", F.coalesce("has", F.col("turn") - 1).alias("has"))
         front = session.cut_lineage(reach.join(now, "node").where("wait > has").select("node", "wait"), "late")
     # depth: messages that wait for one turn, each after those it needs among them
     left = moved
