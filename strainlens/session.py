@@ -1,6 +1,8 @@
 """Session settings and shared scratch space."""
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,7 +17,7 @@ def scratch_root(spark: SparkSession) -> str:
     """Folder shared by driver and executors for hand-over tables.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only a local session
-    may do without: it gets a temporary folder of its own.
+    may do without: it gets a temporary folder of its own, which goes with it.
     """
     root = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
     if root:
@@ -25,6 +27,7 @@ def scratch_root(spark: SparkSession) -> str:
         raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
     if context.applicationId not in _OWN:
         _OWN[context.applicationId] = tempfile.mkdtemp(prefix="strainlens-")
+        atexit.register(shutil.rmtree, _OWN[context.applicationId], ignore_errors=True)
     return _OWN[context.applicationId]
 
 
