@@ -53,7 +53,7 @@ def _places(text: Column, pattern: str, kind: str, group: int | None = None, lea
     steps = F.arrays_zip(F.slice(pieces, 1, F.size(whole)).alias("gap"), whole.alias("found"), value.alias("value"))
 
     def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["0" if "gap" not in _FIELDS else "gap"]
+        start = acc["at"] + x["gap"]
         end = start + F.length(x["found"])
         one = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), x["value"].alias("value"))
         return F.struct(end.cast("int").alias("at"), F.array_append(acc["spans"], one).alias("spans"))
@@ -67,9 +67,6 @@ def _places(text: Column, pattern: str, kind: str, group: int | None = None, lea
     return F.when(text.rlike(pattern), shaped).otherwise(none)
 
 
-_FIELDS = ("gap", "found", "value")
-
-
 def base_spans(text: Column) -> Column:
     """Base spans of all kinds, by start, then kind."""
     t = F.coalesce(text, F.lit(""))
@@ -77,10 +74,10 @@ def base_spans(text: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Labelled tokens of a hashed sample of rows: values of base spans are random, words of letters are ordinary."""
+    """Labelled tokens of a hashed sample of rows, equal texts once: values of base spans are random, words of letters are ordinary."""
     share = min(1.0, sample_docs / max(1, docs.count()))
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.where(F.pmod(F.xxhash64(t), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select(t.alias("text"))
+    rows = docs.where(F.pmod(F.xxhash64(t), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select(t.alias("text")).distinct()
     random = rows.select(F.explode(F.transform(base_spans(F.col("text")), lambda s: s["value"])).alias("token"), F.lit(True).alias("secret"))
     plain = rows.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]{3,}"), F.lit(0))).alias("token"), F.lit(False).alias("secret"))
     return random.unionByName(plain)

@@ -9,7 +9,8 @@ found by running Karp-Rabin hashes and marked in both, again and again until
 none of ``min_match`` words is left.  An item whose marked share reaches
 ``coverage`` is contaminated, also when its passages come in another order.
 
-Only texts with possible seeds leave the scan, one row per text.  The bitmap
+Only texts with possible seeds leave the scan, one row per text in a written
+table that the joins by number read.  The bitmap
 has a fixed size (1 MB); the join's sides are left to Spark.  Defined results:
 null, empty and wordless texts match nothing; items with fewer than
 ``min_match`` words cannot be matched; repeated rows and items are compared
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strainlens import session
 from strainlens.llm import batches
 
 MIN_MATCH = 5
@@ -132,7 +134,8 @@ def tiles(item: np.ndarray, text: np.ndarray, min_match: int) -> list[tuple[int,
 def overlaps(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", min_match: int = MIN_MATCH) -> DataFrame:
     """Pairs of text and item that share a seed: words of the item, words covered by tiles, tiles, coverage."""
     rows = lambda df, key, col: df.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.col(f"`{col}`").alias("text"))
-    known = batches.map_slices(rows(items, item_id, item_text), "text", HITS, _scan(None, min_match)).select(F.col("doc_id").alias("item_id"), F.col("row_no").alias("item_no"), F.col("seeds").alias("item_seeds"), F.col("codes").alias("item_codes"))
+    found = batches.map_slices(rows(items, item_id, item_text), "text", HITS, _scan(None, min_match)).select(F.col("doc_id").alias("item_id"), F.col("row_no").alias("item_no"), F.col("seeds").alias("item_seeds"), F.col("codes").alias("item_codes"))
+    known = session.cut_lineage(found, "benchmark-seeds")
     seeds = known.select("item_no", F.explode("item_seeds").alias("seed"))
     # one bit per slot: at most 2^17 rows of 64 slots, whatever the size of the benchmark
     slot = F.shiftrightunsigned("seed", 64 - _SLOT_BITS)
@@ -145,9 +148,11 @@ def overlaps(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str
     def scan(part: pa.RecordBatch, texts: list[bytes]) -> dict | None:
         return _scan(shared.value, min_match)(part, texts)
 
-    hits = batches.map_slices(rows(docs, doc_id, text), "text", HITS, scan)
-    pairs = hits.select("doc_id", "row_no", "codes", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("row_no", "item_no").agg(F.first("doc_id").alias("doc_id"), F.first("codes").alias("codes"))
-    wide = pairs.join(known.select("item_no", "item_id", "item_codes"), "item_no").select("doc_id", "codes", "item_id", "item_codes")
+    # numbers are joined first, so that the words of a text travel once per pair and not once per seed
+    hits = session.cut_lineage(batches.map_slices(rows(docs, doc_id, text), "text", HITS, scan), "text-seeds")
+    pairs = hits.select("row_no", F.explode("seeds").alias("seed")).join(seeds, "seed").select("row_no", "item_no").distinct()
+    items_of = pairs.join(known.select("item_no", "item_id", "item_codes"), "item_no")
+    wide = items_of.join(hits.select("row_no", "doc_id", "codes"), "row_no").select("doc_id", "codes", "item_id", "item_codes")
 
     def tile(parts):
         for part in parts:
