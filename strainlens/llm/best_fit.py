@@ -40,6 +40,9 @@ PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "row_n
                       + [T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32")])
 PACKED = T.StructType([*PIECES.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
+# fixed values: the token that byte_bpe_50k adds to its ranks; it is found in texts as it stands
+ADDED = {"<|endoftext|>": 50256}
+
 # a space that does not begin a word: such texts are encoded whole
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 
@@ -52,9 +55,12 @@ class Encoder(dict):
     which starts anew when it is full.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int] = ADDED):
         import tiktoken
 
+        self.added = {text: np.array([number], "<u4").tobytes() for text, number in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -71,6 +77,11 @@ class Encoder(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
+        if self.cut and self.cut.search(text):
+            return b"".join(self.added.get(part) or self.plain(part) for part in self.cut.split(text))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         if _ODD_SPACE.search(text):
             return self.whole(text)
         head, *rest = text.split(" ")

@@ -293,7 +293,7 @@ def test_pack_keeps_every_token(frame):
     import public_tokenizers
 
     coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    rows = [(i, prose(i, 10 + 97 * i)) for i in range(20)] + [(30, "odd   space \n\n x  y\t z "), (31, "it's  don't 's12 a1 1a ½  x  y\nz"), (32, " lead"), (3, "twice"), *EDGES]
+    rows = [(i, prose(i, 10 + 97 * i)) for i in range(20)] + [(30, "odd   space \n\n x  y\t z "), (31, "it's  don't 's12 a1 1a ½  x  y\nz"), (32, " lead"), (33, "a <|endoftext|> b<|endoftext|><|endoftext|"), (3, "twice"), *EDGES]
     ids = lambda t: [*coder.encode(t or "", add_special_tokens=False).ids, 2]
     got = best_fit.pack(frame(rows), *queries.vocabulary_file()).collect()
     want = []
