@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -49,8 +50,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return h
+            return h
+    raise ArithmeticError("the incomplete beta fraction did not converge")
 
 
 def binomial_half_two_sided(k: int, n: int) -> float:
@@ -71,23 +72,23 @@ def binomial_half_two_sided(k: int, n: int) -> float:
 
 
 def mann_whitney_exact(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact p of U without ties, by counting arrangements."""
-    counts = [[None] * (n2 + 1) for _ in range(n1 + 1)]
-    for i in range(n1 + 1):
-        for j in range(n2 + 1):
-            if i == 0 or j == 0:
-                counts[i][j] = [1]
-                continue
-            left, right = counts[i - 1][j], counts[i][j - 1]
-            row = [0] * (i * j + 1)
-            for s, c in enumerate(left):
-                row[s + j] += c
-            for s, c in enumerate(right):
-                row[s] += c
-            counts[i][j] = row
-    dist = counts[n1][n2]
-    top = max(u, n1 * n2 - u)
-    return min(1.0, 2.0 * sum(dist[int(math.ceil(top)):]) / math.comb(n1 + n2, n1))
+    """Two-sided exact p of U without ties.
+
+    The counts of arrangements by U are the coefficients of the product over
+    i of (1 - q^(n2+i)) / (1 - q^i); factors of the smaller group are applied
+    one after the other, so the work is linear in the larger group.
+    """
+    n1, n2 = sorted((n1, n2))
+    size = n1 * n2 + 1
+    dist = np.zeros(size)
+    dist[0] = 1.0
+    for i in range(1, n1 + 1):
+        dist[n2 + i:] -= dist[:size - n2 - i].copy() if n2 + i < size else 0.0
+        for start in range(i):
+            dist[start::i] = np.cumsum(dist[start::i])
+    # the counts are symmetric: both tails are the lower one
+    low = int(min(u, n1 * n2 - u))
+    return min(1.0, 2.0 * float(dist[:low + 1].sum()) / math.comb(n1 + n2, n1))
 
 
 def mann_whitney_two_sided(u: float, n1: int, n2: int, tie_sum: float, n_ties: int) -> float:

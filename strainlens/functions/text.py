@@ -151,7 +151,7 @@ def normalise_id(col: Column) -> Column:
 
 
 def record_id(col: Column) -> Column:
-    return F.substring(F.regexp_replace(col, r"[^A-Za-z0-9_.:-]+", "_"), 1, 180)
+    return F.regexp_replace(col, r"[^A-Za-z0-9_.:-]+", "_")
 
 
 def safe_name(col: Column) -> Column:

@@ -110,9 +110,9 @@ def missing_audit(df: DataFrame, checks: dict) -> DataFrame:
     return one.select(F.explode(pairs).alias("p")).select("p.*")
 
 
-def preview(df: DataFrame, condition, order: Sequence[str], n: int = 20) -> DataFrame:
-    """First rows that meet a condition, in order (a bounded report)."""
-    return df.filter(condition).orderBy(*order).limit(n)
+def preview(df: DataFrame, condition, order: Sequence[str]) -> DataFrame:
+    """All rows that meet a condition, in order."""
+    return df.filter(condition).orderBy(*order)
 
 
 def fold_alignment(df: DataFrame, model: str, fold: str, metrics: Sequence[str]) -> DataFrame:

@@ -5,6 +5,7 @@ once per record and every pair is a struct of that row.
 """
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -166,15 +167,9 @@ def bootstrap(contrib: DataFrame, reps: int = 10_000, confidence: float = 0.95,
     cols = [f"{s}_{c}" for s in "ab" for c in range(n_classes)]
     rows = contrib.groupBy(*keys, "label", *cols).agg(F.count(F.lit(1)).alias("n_clusters"))
     rows = cut_lineage(rows, "patterns")
-    # one number decides whether chunks are needed at all
-    biggest = rows.groupBy(*keys, "label").count().agg(F.max("count")).first()[0] or 0
-    if biggest <= _CHUNK:
-        rows = rows.withColumn("chunk", F.lit(0))
-    else:
-        digest = hashing.seeded_digest(0, *[F.col(c).cast("string") for c in cols])
-        rows = rows.withColumn("_digest", digest)
-        rows = rk.with_row_number(rows, [*keys, "label"], rk.digest_bucket(F.col("_digest")), [F.col("_digest")], "_no")
-        rows = rows.withColumn("chunk", F.floor((F.col("_no") - 1) / _CHUNK).cast("int")).drop("_digest", "_no")
+    rows = rows.withColumn("_digest", hashing.seeded_digest(0, *[F.col(c).cast("string") for c in cols]))
+    rows = rk.with_row_number(rows, [*keys, "label"], rk.digest_bucket(F.col("_digest")), [F.col("_digest")], "_no")
+    rows = rows.withColumn("chunk", F.floor((F.col("_no") - 1) / _CHUNK).cast("int")).drop("_digest", "_no")
     sizes = rows.groupBy(*keys, "label", "chunk").agg(F.sum("n_clusters").alias("size"))
     sizes = sizes.groupBy(*keys, "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "size"))), lambda s: s["size"]).alias("chunk_sizes"))
     work = rows.join(sizes, [*keys, "label"])
@@ -183,7 +178,7 @@ def bootstrap(contrib: DataFrame, reps: int = 10_000, confidence: float = 0.95,
         first = pdf.iloc[0]
         sizes_ = np.asarray(first["chunk_sizes"], dtype=np.int64)
         k, chunk = int(sizes_.sum()), int(first["chunk"])
-        stream = [seed, int(first["pair_no"]), int(first["label"]), sum(map(ord, first["protocol"]))]
+        stream = [seed, int(first["pair_no"]), int(first["label"]), zlib.crc32(first["protocol"].encode())]
         ns = np.full(reps, k, dtype=np.int64)
         if len(sizes_) > 1:
             shared = np.random.default_rng(stream)
@@ -254,7 +249,7 @@ def sign_flip(contrib: DataFrame, reps: int = 100_000, seed: int = C.SEED, exact
                 sums = np.concatenate([sums + v, sums - v])
             p, used, how = float(np.mean(np.abs(sums) >= abs(observed))), len(sums), "exact_cluster_sign_flip"
         else:
-            rng = np.random.default_rng([seed, 10_000 + int(first["pair_no"]), sum(map(ord, first["protocol"]))])
+            rng = np.random.default_rng([seed, 10_000 + int(first["pair_no"]), zlib.crc32(first["protocol"].encode())])
             total = np.zeros(reps, dtype=np.int64)
             for v, m in zip(size[size > 0], n[size > 0]):
                 total += v * (2 * rng.binomial(m, 0.5, size=reps) - m)
@@ -324,6 +319,5 @@ def model_summary(preds: DataFrame, cluster_map: DataFrame) -> DataFrame:
     joined = preds.drop("cluster_key").join(cluster_map.select("index", "cluster_key"), "index", "left")
     keys = ["protocol", "model"]
     cm = metrics.with_f1(metrics.confusion_row(joined, keys)).drop("cm")
-    per = joined.groupBy(*keys, "cluster_key").agg(F.collect_set("fold").alias("_f"))
-    shape = per.groupBy(*keys).agg(F.count("cluster_key").alias("n_clusters"), F.size(F.array_distinct(F.flatten(F.collect_set("_f")))).cast("bigint").alias("n_partitions"))
+    shape = joined.groupBy(*keys).agg(F.countDistinct("cluster_key").alias("n_clusters"), F.countDistinct("fold").alias("n_partitions"))
     return cm.join(shape, keys)

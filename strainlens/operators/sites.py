@@ -337,10 +337,11 @@ def _ordinals(aligned: DataFrame, keys: Sequence[str], label: str, seq_id: str)
     return rk.with_row_number(aligned, [*keys, label], F.expr(f"{seq_id} div 4096"), [F.col(seq_id)], "_no").withColumn("_no", F.col("_no") - 1)
 
 
-def sampled_identity(aligned: DataFrame, keys: Sequence[str] = ("region",), label: str = "class", seq_id: str = "seq_id", sequence: str = "aligned",
-                     most: int = C.MAX_PAIRS, seed: int = C.PAIR_SEED, bases_only: bool = True) -> DataFrame:
+def sampled_identity(aligned: DataFrame, most: int, keys: Sequence[str] = ("region",), label: str = "class", seq_id: str = "seq_id", sequence: str = "aligned",
+                     seed: int = C.PAIR_SEED, bases_only: bool = True) -> DataFrame:
     """Mean identity over sequence pairs within and between classes, on at most
-    ``most`` sampled pairs per group (all pairs when there are no more).
+    ``most`` sampled pairs per group (all pairs when there are no more).  The
+    caller asks for the sample size; :func:`exact_identity` takes all pairs.
 
     Pairs are never listed: a pair is a number below n(n-1)/2 (within) or n*m
     (between), the wanted numbers are drawn, decoded to two ordinals, and the

@@ -35,7 +35,7 @@ def seeded_cutoffs(df: DataFrame, keys: Sequence[str], quota: DataFrame, seed, i
     edge = edge.filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
     edge = edge.select(*keys, "_bucket", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_take"))
     # one row per group: the groups are folds x classes
-    near = work.join(F.broadcast(edge), [*keys, "_bucket"])
+    near = work.join(edge, [*keys, "_bucket"])
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("_digest", *ids))
     last = near.withColumn("_rn", place).filter(F.col("_rn") == F.col("_take"))
     return quota.join(last.select(*keys, F.struct("_digest", *ids).alias("cutoff")), list(keys), "left")
@@ -87,14 +87,14 @@ def mark_splits(rows: DataFrame, fold: str, index: str, label: str, is_test: Col
     # a fold that cannot be stratified has one group and one quota
     shape = quota.groupBy(fold).agg(F.max("stratified").alias("_strat"), F.max("quota").alias("_whole"))
     # folds are a given list: one row each
-    rows = rows.join(F.broadcast(shape.select(fold, "_strat")), fold, "left")
+    rows = rows.join(shape.select(fold, "_strat"), fold, "left")
     group = F.when(F.col("_strat"), F.col(label).cast("string")).otherwise(F.lit("")).alias("_group")
     rows = rows.select("*", group)
     per_class = quota.filter("stratified").select(fold, F.col(label).cast("string").alias("_group"), "quota")
     per_fold = shape.filter(~F.col("_strat")).select(fold, F.lit("").alias("_group"), F.col("_whole").alias("quota"))
     cut = cut_lineage(seeded_cutoffs(rows.filter(~F.col("_test")), [fold, "_group"], per_class.unionByName(per_fold), seed, [fold, index]), "cutoffs")
     # folds x classes rows
-    out = rows.join(F.broadcast(cut), [fold, "_group"], "left")
+    out = rows.join(cut, [fold, "_group"], "left")
     split = F.when(F.col("_test"), "test").when(inside_quota(seed, [fold, index]), "val").otherwise("train")
     return out.withColumn("split", split).drop("_test", "_strat", "_group", "quota", "cutoff")
 
@@ -190,7 +190,7 @@ def sample_per_class(df: DataFrame, label: str, most: int, *ids: str, seed: int
     quota = df.groupBy(label).agg(F.lit(most).cast("bigint").alias("quota"))
     cut = seeded_cutoffs(df, [label], quota, seed, list(ids))
     # one row per class
-    return df.join(F.broadcast(cut), label).filter(inside_quota(seed, list(ids))).select(*df.columns)
+    return df.join(cut, label).filter(inside_quota(seed, list(ids))).select(*df.columns)
 
 
 def weighted_draws(df: DataFrame, weight: str, draws: int, *id_cols: str, seed: int = C.SEED) -> DataFrame:

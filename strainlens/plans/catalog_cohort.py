@@ -136,7 +136,7 @@ def clean_sequence(spark, sf):
 
 @query("p08_identifiers", r"""
     SELECT pos, regexp_replace(trim(x), '^>+', '') AS seq_id,
-      substr(regexp_replace(x, '[^A-Za-z0-9_.:-]+', '_', 'g'), 1, 180) AS record_id,
+      regexp_replace(x, '[^A-Za-z0-9_.:-]+', '_', 'g') AS record_id,
       replace(regexp_replace(x, '[<>:"/\\|?*]', '_', 'g'), ' ', '_') AS safe_name,
       CASE WHEN trim(regexp_replace(x, '[^A-Za-z0-9_.-]+', '_', 'g'), '_') = '' THEN 'profile'
            ELSE trim(regexp_replace(x, '[^A-Za-z0-9_.-]+', '_', 'g'), '_') END AS safe_filename
@@ -439,7 +439,7 @@ def missing_audit(spark, sf):
         "year": F.col("year").isNull(), "class_conflict": tx.class_conflict(hc, F.col("class"))})
 
 
-@query("o02_preview_missing", "SELECT idx, class, country FROM meta WHERE year IS NULL ORDER BY idx LIMIT 20", ("meta",))
+@query("o02_preview_missing", "SELECT idx, class, country FROM meta WHERE year IS NULL ORDER BY idx", ("meta",))
 def preview_missing(spark, sf):
     return checks.preview(views.meta(spark, sf).select("idx", "class", "country", "year"), F.col("year").isNull(), ["idx"]).drop("year")
 

@@ -1,6 +1,8 @@
 """Classification metrics, fold tables, run costs, annotation, paired comparison."""
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from strainlens.functions import adjust, annotate
@@ -94,25 +96,25 @@ def class_report(spark, sf):
 
 
 _STEPS = """
-    WITH d AS (SELECT model, class_index, score, sum(positive) AS pos, count(*) - sum(positive) AS neg FROM cscore GROUP BY ALL),
-    s AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY model, class_index) AS p,
-        sum(neg) OVER (PARTITION BY model, class_index) AS n FROM d WINDOW w AS (PARTITION BY model, class_index ORDER BY score DESC))"""
+    WITH d AS (SELECT protocol, model, class_index, score, sum(positive) AS pos, count(*) - sum(positive) AS neg FROM cscore GROUP BY ALL),
+    s AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY protocol, model, class_index) AS p,
+        sum(neg) OVER (PARTITION BY protocol, model, class_index) AS n FROM d WINDOW w AS (PARTITION BY protocol, model, class_index ORDER BY score DESC))"""
 
 
 @query("a10_ranking_quality", _STEPS + """
-    SELECT model, class_index, round(sum(pos * (n - fp + neg / 2.0)) / (max(p) * max(n)), 6) AS auroc,
+    SELECT protocol, model, class_index, round(sum(pos * (n - fp + neg / 2.0)) / (max(p) * max(n)), 6) AS auroc,
       round(sum(pos * (tp / (tp + fp))) / max(p), 6) AS average_precision, CAST(max(p) AS BIGINT) AS n_pos, CAST(max(n) AS BIGINT) AS n_neg
-    FROM s GROUP BY model, class_index""", ("cscore",))
+    FROM s GROUP BY protocol, model, class_index""", ("cscore",))
 def ranking_quality(spark, sf):
-    k = ["model", "class_index"]
+    k = ["protocol", "model", "class_index"]
     return rounded(metrics.ranking_quality(metrics.score_steps(views.class_scores(spark, sf), k), k), "auroc", "average_precision")
 
 
 @query("a11_curve_points", _STEPS + """
-    SELECT model, class_index, round(score, 6) AS score, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(tp / p, 6) AS tpr, round(fp / n, 6) AS fpr,
+    SELECT protocol, model, class_index, round(score, 6) AS score, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(tp / p, 6) AS tpr, round(fp / n, 6) AS fpr,
       round(tp / (tp + fp), 6) AS "precision", round(p / (p + n), 6) AS chance FROM s""", ("cscore",))
 def curve_points(spark, sf):
-    out = metrics.curve_points(metrics.score_steps(views.class_scores(spark, sf), ["model", "class_index"]))
+    out = metrics.curve_points(metrics.score_steps(views.class_scores(spark, sf), ["protocol", "model", "class_index"]))
     return rounded(out, "score", "tpr", "fpr", "precision", "chance")
 
 
@@ -246,15 +248,18 @@ def fold_alignment(spark, sf):
     return checks.fold_alignment(views.fold_metrics(spark, sf), "model", "fold", ["accuracy", "macro_f1"])
 
 
+# ship years of the given tables: one fold each
+YEARS = range(1995, 2002)
+
+
 @query("o03_long_wide", """
-    SELECT model, round(max(accuracy) FILTER (fold = 1995), 6) AS y1995, round(max(accuracy) FILTER (fold = 1996), 6) AS y1996,
-      round(max(accuracy) FILTER (fold = 1997), 6) AS y1997 FROM foldm GROUP BY model""", ("foldm",))
+    SELECT model, """ + ", ".join(f"round(max(accuracy) FILTER (fold = {y}), 6) AS y{y}" for y in YEARS) + " FROM foldm GROUP BY model", ("foldm",))
 def long_wide(spark, sf):
-    f = views.fold_metrics(spark, sf)
-    w = f.withColumn("y", F.concat(F.lit("y"), "fold")).groupBy("model").pivot("y", ["y1995", "y1996", "y1997"]).agg(F.round(F.max("accuracy"), 6))
+    f, shown = views.fold_metrics(spark, sf), [f"y{y}" for y in YEARS]
+    w = f.withColumn("y", F.concat(F.lit("y"), "fold")).groupBy("model").pivot("y", shown).agg(F.round(F.max("accuracy"), 6))
     # and back: unpivot is the inverse of the pivot above
-    back = w.unpivot(["model"], ["y1995", "y1996", "y1997"], "y", "v")
-    return back.groupBy("model").pivot("y", ["y1995", "y1996", "y1997"]).agg(F.max("v"))
+    back = w.unpivot(["model"], shown, "y", "v")
+    return back.groupBy("model").pivot("y", shown).agg(F.max("v"))
 
 
 @query("j11_complexity_join", """
@@ -450,20 +455,20 @@ def fold_kruskal(spark, sf):
 
 @query("a42_fold_wilcoxon", _LONG + """
     , d AS (SELECT a.metric, a.model AS model_a, b.model AS model_b, a.fold, round(abs(a.v - b.v), 8) AS m, sign(a.v - b.v) AS s FROM l a JOIN l b USING (metric, fold)
-      WHERE (a.model, b.model) IN (('AF','NF'), ('AF','RF'), ('NF','RF'))),
+      WHERE a.model < b.model),
     r AS (SELECT *, rank() OVER (PARTITION BY metric, model_a, model_b ORDER BY m) + (count(*) OVER (PARTITION BY metric, model_a, model_b, m) - 1) / 2.0 AS rk FROM d WHERE m > 0)
     SELECT metric, model_a, model_b, count(*) AS n_pairs, count(*) AS n_nonzero, round(least(sum(rk) FILTER (s > 0), sum(rk) FILTER (s < 0)), 6) AS "W",
       round((coalesce(sum(rk) FILTER (s > 0), 0) - coalesce(sum(rk) FILTER (s < 0), 0)) / sum(rk), 6) AS rank_biserial FROM r GROUP BY ALL""", ("foldm",))
 def fold_wilcoxon(spark, sf):
     long = metrics.unpivot(views.fold_metrics(spark, sf), ["model", "fold"], FOLD_METRICS)
-    out = rank_tests.signed_rank_pairs(long, ["metric"], "model", [("AF", "NF"), ("AF", "RF"), ("NF", "RF")], "fold", "value")
+    out = rank_tests.signed_rank_pairs(long, ["metric"], "model", list(combinations(GROUPS, 2)), "fold", "value")
     return rounded(out.drop("p"), "W", "rank_biserial")
 
 
 @query("a42_fold_wilcoxon_p")
 def fold_wilcoxon_p(spark, sf):
     long = metrics.unpivot(views.fold_metrics(spark, sf), ["model", "fold"], FOLD_METRICS)
-    out = rank_tests.signed_rank_pairs(long, ["metric"], "model", [("AF", "NF"), ("AF", "RF"), ("NF", "RF")], "fold", "value")
+    out = rank_tests.signed_rank_pairs(long, ["metric"], "model", list(combinations(GROUPS, 2)), "fold", "value")
     return adjust.benjamini_hochberg(out, ["metric"], "p", "p_fdr", ["model_a", "model_b"])
 
 

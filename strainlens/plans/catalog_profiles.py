@@ -1,6 +1,8 @@
 """Score profiles, region values, region tests and their consensus."""
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from strainlens import constants as C
@@ -208,14 +210,16 @@ def box_analysis(spark, sf):
     return m.select("scope", "region", "comparison", F.round("VDA_folded", 6).alias("vda_folded"), F.round("rank_biserial", 6).alias("rank_biserial"))
 
 
+_COMPARISONS = [f"{a}v{b}" for a, b in combinations(C.CLASSES, 2)]
+_MATRICES = {"p": "p", "VDA_folded": "greatest(vda, 1 - vda)", "rank_biserial": "2 * vda - 1"}
+
+
 @query("q02_box_matrix", _H + """
-    SELECT strategy, region, round(max(p) FILTER (comparison = 'DENV1vDENV2'), 6) AS "p_DENV1vDENV2", round(max(p) FILTER (comparison = 'DENV3vDENV4'), 6) AS "p_DENV3vDENV4",
-      round(max(2 * vda - 1) FILTER (comparison = 'DENV1vDENV2'), 6) AS "rank_biserial_DENV1vDENV2", round(max(2 * vda - 1) FILTER (comparison = 'DENV3vDENV4'), 6) AS "rank_biserial_DENV3vDENV4"
+    SELECT strategy, region, """ + ", ".join(f"""round(max({x}) FILTER (comparison = '{c}'), 6) AS "{name}_{c}\"""" for name, x in _MATRICES.items() for c in _COMPARISONS) + """
     FROM mw GROUP BY strategy, region""", ("splong", "regions"))
 def box_matrix(spark, sf):
-    shown = ["DENV1vDENV2", "DENV3vDENV4"]
-    w = consensus.widen(pair_tables(spark, sf), ["strategy", "region"], shown, ["p", "rank_biserial"], strategy="comparison")
-    return rounded(w, *[f"{c}_{s}" for c in ("p", "rank_biserial") for s in shown])
+    w = consensus.widen(pair_tables(spark, sf), ["strategy", "region"], _COMPARISONS, list(_MATRICES), strategy="comparison")
+    return rounded(w, *[f"{c}_{s}" for c in _MATRICES for s in _COMPARISONS])
 
 
 _KC = _H + """

@@ -146,14 +146,20 @@ _ID = """
         avg(id) AS identity, min(id) AS lo FROM pw GROUP BY region, class_a, class_b)"""
 
 
-@query("a29_population_regions", _POP + _ID + """
+_POOLED = """
+    , sp AS (SELECT seq_id, class, region, site_pos, symbol FROM site WHERE symbol IN ('A', 'C', 'G', 'T')),
+    pi AS (SELECT x.region, CASE WHEN x.class = y.class THEN 'within' ELSE 'between' END AS comparison_type, avg((x.symbol = y.symbol)::INTEGER) AS identity FROM sp x JOIN sp y ON x.region = y.region
+        AND x.site_pos = y.site_pos AND (x.class < y.class OR (x.class = y.class AND x.seq_id < y.seq_id)) GROUP BY x.region, x.class, y.class)"""
+
+
+@query("a29_population_regions", _POP + _POOLED + """
     SELECT region, count(*) AS alignment_length, round(avg(gh), 6) AS mean_global_entropy, round(avg(wh), 6) AS mean_within_entropy, round(max(gh - wh), 6) AS max_informativeness, CAST(sum(gv) AS BIGINT) AS global_variable_sites,
       round(avg(gg), 6) AS mean_gap_fraction, round(sum(gv) / count(*), 6) AS global_variable_site_fraction, round(max(w), 6) AS mean_within_identity, round(max(b), 6) AS mean_between_identity, round(max(w) - max(b), 6) AS identity_gap
     FROM po JOIN (SELECT region, avg(identity) FILTER (comparison_type = 'within') AS w, avg(identity) FILTER (comparison_type = 'between') AS b FROM pi GROUP BY region) USING (region) GROUP BY region""", V)
 def population_regions(spark, sf):
     a = A(spark, sf)
-    p = sites.population_columns(sites.column_counts(a, with_global=False))
-    out = sites.population_regions(p, sites.sampled_identity(a))
+    counts = sites.column_counts(a, with_global=False)
+    out = sites.population_regions(sites.population_columns(counts), sites.exact_identity(counts))
     cols = ["mean_global_entropy", "mean_within_entropy", "max_informativeness", "mean_gap_fraction", "global_variable_site_fraction", "mean_within_identity", "mean_between_identity", "identity_gap"]
     return rounded(out.select("region", "alignment_length", "global_variable_sites", *cols), *cols)
 
@@ -185,10 +191,10 @@ def region_recap(spark, sf):
 
 @query("a31_class_versus_others", _CT + """
     , m AS (SELECT region, class_a, class_b, avg(jsd) AS j FROM pr GROUP BY ALL), x AS (SELECT region, class_a AS class, j FROM m UNION ALL SELECT region, class_b, j FROM m)
-    SELECT class, round(avg(j) FILTER (region = 'E'), 6) AS "E", round(avg(j) FILTER (region = 'NS1'), 6) AS "NS1", round(avg(j) FILTER (region = '2K'), 6) AS "2K" FROM x GROUP BY class""", V)
+    SELECT class, """ + ", ".join(f"""round(avg(j) FILTER (region = '{r.replace("'", "''")}'), 6) AS "{r}\"""" for r in C.REGIONS) + " FROM x GROUP BY class", V)
 def class_versus_others(spark, sf):
     s = sites.pair_summary(sites.pair_divergence(metrics_of(spark, sf)))
-    return rounded(sites.class_versus_others(s, ["E", "NS1", "2K"]), "E", "NS1", "2K")
+    return rounded(sites.class_versus_others(s, C.REGIONS), *C.REGIONS)
 
 
 @query("a32_pairwise_identity_exact", """
@@ -201,7 +207,7 @@ def pairwise_identity_exact(spark, sf):
 
 @query("a32_pairwise_identity_sampled", "WITH " + _ID.strip()[1:] + " SELECT region, comparison_type, comparison, round(identity, 6) AS identity, round(lo, 6) AS min_identity FROM pi", V)
 def pairwise_identity_sampled(spark, sf):
-    return rounded(sites.sampled_identity(A(spark, sf)).drop("n_pairs"), "identity", "min_identity")
+    return rounded(sites.sampled_identity(A(spark, sf), C.MAX_PAIRS).drop("n_pairs"), "identity", "min_identity")
 
 
 @query("a33_genome_projection", _CT + """

@@ -161,12 +161,12 @@ def split_json(spark, sf):
 
 
 @query("s08_recovered_predictions", """
-    SELECT protocol, model, "index", fold, y_true, y_pred, CASE WHEN model = 'm1' THEN 'prediction_file' ELSE 'split_file_fallback' END AS index_source FROM pred WHERE model IN ('m1', 'm2')""", ("pred",))
+    SELECT protocol, model, "index", fold, y_true, y_pred, CASE WHEN model = 'm1' THEN 'prediction_file' ELSE 'split_file_fallback' END AS index_source FROM pred""", ("pred",))
 def recovered_predictions(spark, sf):
-    p = views.predictions(spark, sf).filter(F.col("model").isin("m1", "m2")).select("protocol", "model", "fold", "index", "y_true", "y_pred")
+    p = views.predictions(spark, sf).select("protocol", "model", "fold", "index", "y_true", "y_pred")
     order = p.filter(F.col("model") == "m1").select("protocol", "fold", "index")
     order = rk.with_row_number(order, ["protocol", "fold"], F.expr("index div 65536"), [F.col("index")], "ordinal")
-    stored = p.filter(F.col("model") == "m2").join(order, ["protocol", "fold", "index"]).drop("index")
+    stored = p.filter(F.col("model") != "m1").join(order, ["protocol", "fold", "index"]).drop("index")
     path = scratch_path(spark, "legacy-predictions")
     stored.write.mode("overwrite").partitionBy("protocol", "model").parquet(path)
     legacy = spark.read.schema("fold string, y_true int, y_pred int, ordinal bigint, protocol string, model string").parquet(path)
@@ -176,15 +176,15 @@ def recovered_predictions(spark, sf):
 
 
 @query("s09_prediction_sink", """
-    SELECT model, count(*) AS n, count(DISTINCT fold) AS n_folds, CAST(sum((y_true = y_pred)::INTEGER) AS BIGINT) AS n_correct, round(sum(CASE WHEN y_pred = 0 THEN 0.7 ELSE 0.1 END), 6)::DOUBLE AS prob_0_sum
-    FROM pred WHERE protocol = 'geographical' GROUP BY model""", ("pred",))
+    SELECT protocol, model, count(*) AS n, count(DISTINCT fold) AS n_folds, CAST(sum((y_true = y_pred)::INTEGER) AS BIGINT) AS n_correct, round(sum(CASE WHEN y_pred = 0 THEN 0.7 ELSE 0.1 END), 6)::DOUBLE AS prob_0_sum
+    FROM pred GROUP BY protocol, model""", ("pred",))
 def prediction_sink(spark, sf):
-    p = views.predictions(spark, sf).filter(F.col("protocol") == "geographical")
+    p = views.predictions(spark, sf)
     prob = F.array(*[F.when(F.col("y_pred") == c, 0.7).otherwise(0.1) for c in range(4)])
     path = scratch_path(spark, "predictions")
     predictions.write_predictions(p.withColumn("prob", prob), path)
     r = predictions.read_predictions(spark, path)
-    out = r.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fold").alias("n_folds"), F.count_if(F.col("y_true") == F.col("y_pred")).alias("n_correct"), F.sum("prob_0").alias("prob_0_sum"))
+    out = r.groupBy("protocol", "model").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fold").alias("n_folds"), F.count_if(F.col("y_true") == F.col("y_pred")).alias("n_correct"), F.sum("prob_0").alias("prob_0_sum"))
     return rounded(out, "prob_0_sum")
 
 
@@ -255,10 +255,10 @@ def region_table(spark, sf):
 
 _FILLED = """
     , z AS (SELECT genome, region, CASE WHEN region = '5''UTR' THEN 0 ELSE s END AS s, e FROM rt), gs AS (SELECT DISTINCT genome FROM z), w AS (
-      SELECT * FROM z UNION ALL SELECT genome, '5''UTR', 0, 78 FROM gs WHERE genome NOT IN (SELECT genome FROM z WHERE region = '5''UTR')
-      UNION ALL SELECT gs.genome, '3''UTR', coalesce(n.e, 10255) + 1, 11195 FROM gs LEFT JOIN (SELECT genome, e FROM z WHERE region = 'NS5') n ON n.genome = gs.genome WHERE gs.genome NOT IN (SELECT genome FROM z WHERE region = '3''UTR')),
-    ms AS (SELECT gs.genome, string_agg(r.region, ',' ORDER BY r.o) AS missing FROM gs CROSS JOIN (SELECT unnest(['5''UTR', 'C', 'prM', 'E', 'NS1', 'NS2A', 'NS2B', 'NS3', 'NS4A', '2K', 'NS4B', 'NS5', '3''UTR']) AS region, unnest(range(0, 13)) AS o) r
-      LEFT JOIN w ON w.genome = gs.genome AND w.region = r.region WHERE w.region IS NULL GROUP BY gs.genome)"""
+      SELECT * FROM z UNION ALL SELECT genome, '5''UTR', 0, 78 FROM gs ANTI JOIN (SELECT genome FROM z WHERE region = '5''UTR') q USING (genome)
+      UNION ALL SELECT gs.genome, '3''UTR', coalesce(n.e, 10255) + 1, 11195 FROM gs LEFT JOIN (SELECT genome, e FROM z WHERE region = 'NS5') n ON n.genome = gs.genome ANTI JOIN (SELECT genome FROM z WHERE region = '3''UTR') q ON q.genome = gs.genome),
+    hv AS (SELECT genome, list(region) AS had FROM w GROUP BY genome),
+    ms AS (SELECT genome, array_to_string(list_filter(['5''UTR', 'C', 'prM', 'E', 'NS1', 'NS2A', 'NS2B', 'NS3', 'NS4A', '2K', 'NS4B', 'NS5', '3''UTR'], lambda x: NOT list_contains(had, x)), ',') AS missing FROM hv)"""
 
 
 @query("s14_region_bounds", _FEATURES + _FILLED + f"""
@@ -283,7 +283,7 @@ _PIECES = """
 
 def pieces(spark, sf):
     s = views.sequences(spark, sf).select("class", "record_id", "sequence")
-    return joins.region_pieces(s, F.broadcast(coordinates(spark, sf)), ["class"])  # 13 rows per class
+    return joins.region_pieces(s, coordinates(spark, sf), ["class"])
 
 
 @query("s16_region_pieces", _PIECES + " SELECT class || '|' || record_id || '|' || region || '|' || s || '-' || e AS fasta_id, region, md5(piece) AS piece_md5 FROM pc", ("seq", "regions"))

@@ -106,11 +106,11 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def class_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Score of every class per prediction (geographical protocol), long."""
-    p = predictions(spark, sf).filter(F.col("protocol") == "geographical")
+    """Score of every class per prediction of every protocol, long."""
+    p = predictions(spark, sf)
     c = F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("c")
-    return p.select("model", "model_no", "index", "y_true", "y_pred", c).select(
-        "model", "index", F.col("c").alias("class_index"),
+    return p.select("protocol", "model", "model_no", "index", "y_true", "y_pred", c).select(
+        "protocol", "model", "index", F.col("c").alias("class_index"),
         (F.col("y_true") == F.col("c")).cast("int").alias("positive"),
         (((F.col("index") * 13 + F.col("c") * 29 + F.col("model_no") * 7) % 1000) / 1000.0
          + (F.col("c") == F.col("y_pred")).cast("double")).alias("score"),

@@ -38,9 +38,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM meta, (VALUES (0, 'cluster'), (1, 'geographical'), (2, 'temporal')) q(p, protocol),
              (SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS m)"""),
     "cscore": (("pred",), """
-        SELECT model, "index", c AS class_index, CAST(y_true = c AS INTEGER) AS positive,
+        SELECT protocol, model, "index", c AS class_index, CAST(y_true = c AS INTEGER) AS positive,
           (("index" * 13 + c * 29 + model_no * 7) % 1000) / 1000.0::DOUBLE + CAST(c = y_pred AS INTEGER) AS score
-        FROM pred, (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS c) WHERE protocol = 'geographical'"""),
+        FROM pred, (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS c)"""),
     "seq0": ((), r"""
         SELECT doc_id AS i, lang, regexp_replace(text, '[^\x00-\x7F]', 'N', 'g') AS raw FROM documents"""),
     "seq": (("seq0",), r"""
