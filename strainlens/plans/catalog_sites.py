@@ -1,6 +1,7 @@
 """Alignment variability: columns, class pairs, regions, maps, identities."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strainlens import constants as C
@@ -242,40 +243,43 @@ def ungapped_counter(spark, sf):
 
 
 def gapped_pairs(spark, sf):
-    """Each sequence beside the next one of its region list as a gapped pair."""
-    full = A(spark, sf).filter(F.col("region").isin("C", "prM")).groupBy("seq_id").agg(
-        F.max(F.when(F.col("region") == "C", F.col("aligned"))).alias("ref"), F.max(F.when(F.col("region") == "prM", F.col("aligned"))).alias("target"))
-    return full
+    """Every region of a sequence beside its next region, as a gapped pair."""
+    following = F.lead("aligned").over(Window.partitionBy("seq_id").orderBy("region_order"))
+    pairs = A(spark, sf).select("region", "seq_id", F.col("aligned").alias("ref"), following.alias("target")).filter(F.col("target").isNotNull())
+    # the last region is shorter by one column
+    return pairs.withColumn("target", F.rpad("target", F.length("ref"), "-"))
 
 
+PAIRED = ["region", "seq_id"]
 _MAP = """
-    WITH p AS (SELECT seq_id, site_pos AS pos, max(symbol) FILTER (region = 'C') AS rc, max(symbol) FILTER (region = 'prM') AS tc FROM site WHERE region IN ('C', 'prM') GROUP BY ALL),
-    m AS (SELECT *, sum((rc <> '-')::INTEGER) OVER w AS ref_pos, sum((tc <> '-')::INTEGER) OVER w AS tp FROM p WINDOW w AS (PARTITION BY seq_id ORDER BY pos)),
-    mp AS (SELECT seq_id, ref_pos, string_agg(replace(tc, '-', ''), '' ORDER BY pos) AS target_text, arg_min(tp, pos) FILTER (rc <> '-') AS target_pos FROM m WHERE ref_pos > 0 GROUP BY seq_id, ref_pos)"""
+    WITH p AS (SELECT a.region, a.seq_id, a.site_pos AS pos, a.symbol AS rc, coalesce(b.symbol, '-') AS tc
+      FROM site a LEFT JOIN site b ON a.seq_id = b.seq_id AND b.region_order = a.region_order + 1 AND a.site_pos = b.site_pos WHERE a.region_order < (SELECT max(region_order) FROM regions)),
+    m AS (SELECT *, sum((rc <> '-')::INTEGER) OVER w AS ref_pos, sum((tc <> '-')::INTEGER) OVER w AS tp FROM p WINDOW w AS (PARTITION BY region, seq_id ORDER BY pos)),
+    mp AS (SELECT region, seq_id, ref_pos, string_agg(replace(tc, '-', ''), '' ORDER BY pos) AS target_text, arg_min(tp, pos) FILTER (rc <> '-') AS target_pos FROM m WHERE ref_pos > 0 GROUP BY region, seq_id, ref_pos)"""
 
 
-@query("w07_alignment_map", _MAP + " SELECT seq_id, CAST(ref_pos AS INTEGER) AS ref_pos, target_text, CAST(target_pos AS BIGINT) AS target_pos FROM mp", V)
+@query("w07_alignment_map", _MAP + " SELECT region, seq_id, CAST(ref_pos AS INTEGER) AS ref_pos, target_text, CAST(target_pos AS BIGINT) AS target_pos FROM mp", V)
 def alignment_map(spark, sf):
-    return sites.alignment_map(gapped_pairs(spark, sf), ["seq_id"])
+    return sites.alignment_map(gapped_pairs(spark, sf), PAIRED)
 
 
-@query("w07_region_text", _MAP + " SELECT seq_id, string_agg(target_text, '' ORDER BY ref_pos) AS region_text FROM mp WHERE ref_pos BETWEEN 2 AND 4 GROUP BY seq_id", V)
+@query("w07_region_text", _MAP + " SELECT region, seq_id, string_agg(target_text, '' ORDER BY ref_pos) AS region_text FROM mp WHERE ref_pos BETWEEN 2 AND 4 GROUP BY region, seq_id", V)
 def region_text(spark, sf):
     texts = sites.mapped_texts(F.col("ref"), F.col("target"))
-    g = gapped_pairs(spark, sf).select("seq_id", texts.alias("texts")).filter(F.size("texts") >= 2)
-    return g.select("seq_id", sites.region_text(F.col("texts"), F.lit(2), F.lit(4)).alias("region_text"))
+    g = gapped_pairs(spark, sf).select(*PAIRED, texts.alias("texts")).filter(F.size("texts") >= 2)
+    return g.select(*PAIRED, sites.region_text(F.col("texts"), F.lit(2), F.lit(4)).alias("region_text"))
 
 
 @query("j07_region_liftover", _MAP + """
     , r AS (SELECT * FROM (VALUES ('x', 1, 3), ('y', 4, 2), ('z', 2, 5)) v(name, s, e))
-    SELECT a.seq_id, name, CAST(least(a.target_pos, b.target_pos) AS BIGINT) AS "start", CAST(greatest(a.target_pos, b.target_pos) AS BIGINT) AS "end", CAST(abs(a.target_pos - b.target_pos) + 1 AS BIGINT) AS length_nt
-    FROM r JOIN mp a ON a.ref_pos = s JOIN mp b ON b.ref_pos = e AND a.seq_id = b.seq_id""", V)
+    SELECT a.region, a.seq_id, name, CAST(least(a.target_pos, b.target_pos) AS BIGINT) AS "start", CAST(greatest(a.target_pos, b.target_pos) AS BIGINT) AS "end", CAST(abs(a.target_pos - b.target_pos) + 1 AS BIGINT) AS length_nt
+    FROM r JOIN mp a ON a.ref_pos = s JOIN mp b ON b.ref_pos = e AND a.seq_id = b.seq_id AND a.region = b.region""", V)
 def region_liftover(spark, sf):
     from strainlens.operators.joins import lift_regions
-    m = sites.alignment_map(gapped_pairs(spark, sf), ["seq_id"])
+    m = sites.alignment_map(gapped_pairs(spark, sf), PAIRED)
     rows = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("start"), F.lit(e).alias("end")) for n, s, e in (("x", 1, 3), ("y", 4, 2), ("z", 2, 5))])
-    regions = gapped_pairs(spark, sf).select("seq_id", F.inline(rows))
-    return lift_regions(regions, m, ["seq_id"])
+    regions = gapped_pairs(spark, sf).select(*PAIRED, F.inline(rows))
+    return lift_regions(regions, m, PAIRED)
 
 
 _TXT = "string_agg(class || ':' || CASE WHEN top = '' THEN '?' ELSE top END || '(' || printf('%.2f', topf::DOUBLE) || ')', ';' ORDER BY class)"
