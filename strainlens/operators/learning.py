@@ -3,6 +3,7 @@ trees, fold evaluation, projection."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
@@ -13,6 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strainlens import constants as C
+from strainlens import session
+
+
+# Fits that the driver keeps running at a time; each is a series of Spark jobs.
+_FITS = 4
 
 
 @dataclass(frozen=True)
@@ -64,7 +70,7 @@ def boosted_pipeline(features: Sequence[str], rounds: int = 200, step: float = 0
     return Pipeline(stages=[
         Imputer(strategy="median", inputCols=list(features), outputCols=filled),
         VectorAssembler(inputCols=filled, outputCol="features"),
-        OneVsRest(classifier=trees, labelCol="label", rawPredictionCol="rawPrediction"),
+        OneVsRest(classifier=trees, labelCol="label", rawPredictionCol="rawPrediction", parallelism=_FITS),
     ])
 
 
@@ -102,21 +108,47 @@ def coefficients(model, spec: Spec, spark) -> DataFrame:
     return spark.createDataFrame(rows, "class_index int, feature string, standardized_coefficient double, intercept double")
 
 
-def evaluate(features: DataFrame, splits: DataFrame, specs: Sequence[Spec], folds: Sequence[str], keep: Sequence[str] = ("index",), rounds: int = 200) -> DataFrame:
-    """Out-of-fold predictions of every baseline.
+def fit_folds(features: DataFrame, splits: DataFrame, specs: Sequence[Spec], folds: Sequence[str], keep: Sequence[str] = ("index",), rounds: int = 200) -> list:
+    """(fold, spec, predictions, model) of every fold and baseline.
 
-    The loop is over fold x baseline (tens of fits); every fit and prediction
-    is a Spark ML job over the whole fold.  ``features`` should be a stored
-    table, as each fit reads it several times.
+    Features and splits are joined and written once, by fold; fits are series
+    of small jobs, so several run side by side.  Long series of trees cut
+    their lineage in the shared folder.
     """
+    spark = features.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(session.scratch_root(spark))
+    rows = features.join(splits.filter(F.col("fold").isin(list(folds))).select("index", "fold", "split"), "index")
+    # adaptive execution sizes the files by their rows, so a small table costs each of the many jobs one task
+    rows = session.cut_lineage(rows.repartition("fold", "index"), "fold-rows")
+
+    def run(task):
+        fold, spec = task
+        own = rows.filter(F.col("fold") == fold)
+        train, test = (own.filter(F.col("split") == side) for side in ("train", "test"))
+        predictions, model = fit_predict(train, test, spec, keep, rounds=rounds)
+        return fold, spec, predictions, model
+
+    with ThreadPoolExecutor(_FITS) as pool:
+        return list(pool.map(run, [(fold, spec) for fold in folds for spec in specs]))
+
+
+def evaluate(features: DataFrame, splits: DataFrame, specs: Sequence[Spec], folds: Sequence[str], keep: Sequence[str] = ("index",), rounds: int = 200) -> DataFrame:
+    """Out-of-fold predictions of every baseline in every fold."""
+    out = None
+    for fold, spec, p, _ in fit_folds(features, splits, specs, folds, keep, rounds):
+        p = p.select(F.lit(fold).alias("fold"), F.lit(spec.name).alias("model"), "*")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def fold_coefficients(features: DataFrame, splits: DataFrame, specs: Sequence[Spec], folds: Sequence[str]) -> DataFrame:
+    """Coefficients of the logistic baselines per fold and model."""
+    fits = fit_folds(features, splits, [s for s in specs if s.kind == "logistic"], folds)
     out = None
-    for fold in folds:
-        rows = features.join(splits.filter(F.col("fold") == fold).select("index", "split"), "index")
-        train, test = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "test")
-        for spec in specs:
-            p, _ = fit_predict(train, test, spec, keep, rounds=rounds)
-            p = p.select(F.lit(fold).alias("fold"), F.lit(spec.name).alias("model"), "*")
-            out = p if out is None else out.unionByName(p)
+    for fold, spec, _, model in fits:
+        c = coefficients(model, spec, features.sparkSession).select(F.lit(fold).alias("fold"), F.lit(spec.name).alias("model"), "*")
+        out = c if out is None else out.unionByName(c)
     return out
 
 
