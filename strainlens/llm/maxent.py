@@ -12,7 +12,8 @@ Training starts from the shares of the symbols.  In each round every task
 starts from the shared weights, takes mini-batch gradient steps over all its
 training texts, and returns the change of each row of weights it touched; the change of a row is the mean over the
 tasks that touched it, taken by an ordinary aggregation.  The model's size is
-fixed (2 x 32 768 rows), so it may be broadcast.
+fixed (2 x 65 536 rows), so it may be broadcast.  Changes are shuffled as packed blocks
+of rows, one record per task and block.
 
 Counts cover all training texts.  Words with more than 2^-20 of all tokens, at
 most 2^20 by arithmetic, are broadcast with their counts; the rarer ones meet
@@ -42,17 +43,19 @@ from strainlens.llm import batches
 
 CLASSES, MEMBERS, GROUPS = 16, 32, 32
 OWN = CLASSES * MEMBERS - GROUPS
-ROWS = 1 << 15
+ROWS = 1 << 16
 FEATURES = 4
 STEP = 0.25
-BATCH = 1024
+BATCH = 2048
 ROUNDS = 1
 HEAD_BITS = 20
+# rows of weights in one packed record of changes
+BLOCK = 1024
 SMOOTHING = 0.1
 END = np.uint64(0x5D0F3A6C91E7B248)
 
 COUNT = T.StructType([T.StructField("word", T.LongType()), T.StructField("n", T.LongType())])
-DELTA = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("values", T.ArrayType(T.FloatType()))])
+DELTA = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("rows", T.BinaryType()), T.StructField("values", T.BinaryType())])
 PARTIAL = T.StructType([T.StructField(n, t) for n, t in (
     ("row_no", T.LongType()), ("doc_id", T.LongType()), ("held_out", T.BooleanType()), ("word", T.LongType()), ("n", T.LongType()),
     ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("model", T.DoubleType()))])
@@ -244,11 +247,38 @@ def prior(v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return first, second
 
 
+def packed(base: int, row: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
+    """Changes of rows, in order, as one record per block of ``BLOCK`` rows."""
+    at = row + base
+    edge = np.flatnonzero(np.diff(at // BLOCK)) + 1
+    parts = list(zip(np.split(at.astype(np.int32), edge), np.split(change.astype(np.float32), edge), strict=True))
+    arrow = to_arrow_schema(DELTA)
+    return pa.RecordBatch.from_arrays([
+        pa.array([int(a[0]) // BLOCK for a, _ in parts], pa.int32()), pa.array([a.tobytes() for a, _ in parts], pa.binary()),
+        pa.array([c.tobytes() for _, c in parts], pa.binary())], schema=arrow)
+
+
+def mean_changes(deltas: DataFrame) -> DataFrame:
+    """Packed blocks again, each row's change the mean over the records that hold it."""
+    def mean(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, times, block = None, np.zeros(BLOCK, np.int64), 0
+        for part in group:
+            for block, at, change in zip(part["block"].to_pylist(), part["rows"].to_pylist(), part["values"].to_pylist(), strict=True):
+                at = np.frombuffer(at, np.int32) % BLOCK
+                change = np.frombuffer(change, np.float32).reshape(len(at), -1)
+                total = np.zeros((BLOCK, change.shape[1])) if total is None else total
+                total[at] += change
+                times[at] += 1
+        held = np.flatnonzero(times)
+        yield packed(block * BLOCK, held, total[held] / times[held][:, None])
+
+    return deltas.groupBy("block").applyInArrow(mean, DELTA)
+
+
 def train(rows: DataFrame, vocab, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Weights of both softmaxes after rounds of distributed gradient steps."""
     weights = prior(vocab.value)
     context = rows.sparkSession.sparkContext
-    arrow = to_arrow_schema(DELTA)
     for _ in range(rounds):
         start = context.broadcast(weights)
 
@@ -263,19 +293,13 @@ def train(rows: DataFrame, vocab, rounds: int = ROUNDS) -> tuple[np.ndarray, np.
                         learn(first, second, squares, feature_rows(code, text), vocab.value.find(code)[1])
             for base, now, old, seen in ((0, first, start.value[0], squares[0]), (ROWS, second, start.value[1], squares[1])):
                 touched = np.flatnonzero(seen)
-                for i in range(0, len(touched), 8192):
-                    at = touched[i:i + 8192]
-                    change = (now[at] - old[at])
-                    yield pa.RecordBatch.from_arrays([pa.array((at + base).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(0, change.size + 1, change.shape[1], dtype=np.int32)), pa.array(change.ravel())).cast(arrow.field(1).type)], schema=arrow)
-
-        deltas = rows.mapInArrow(run, DELTA)
-        columns = [F.avg(F.get("values", F.lit(i))).cast("float").alias(f"v{i}") for i in range(MEMBERS)]
-        mean = deltas.groupBy("row").agg(*columns).toArrow()
-        at = mean["row"].to_numpy()
-        change = np.stack([mean[f"v{i}"].to_numpy() for i in range(MEMBERS)], axis=1).astype(np.float32)
-        low = at < ROWS
-        weights[0][at[low]] += change[low][:, :CLASSES]
-        weights[1][at[~low] - ROWS] += change[~low]
+                if len(touched):
+                    yield packed(base, touched, now[touched] - old[touched])
+
+        for r in mean_changes(rows.mapInArrow(run, DELTA)).toLocalIterator():
+            at = np.frombuffer(r["rows"], np.int32)
+            table = weights[0] if r["block"] * BLOCK < ROWS else weights[1]
+            table[at % ROWS] += np.frombuffer(r["values"], np.float32).reshape(len(at), -1)
         start.unpersist()
     return weights
 

@@ -221,6 +221,25 @@ def test_symbol_probabilities_sum_to_one():
     assert abs((10 ** logs).sum() - 1) < 1e-4
 
 
+def test_changes_are_averaged_by_row_in_packed_blocks(spark):
+    assert maxent.ROWS == 1 << 16 and maxent.BATCH == 2048
+    g = np.random.default_rng(3)
+    parts, want = [], defaultdict(list)
+    for task in range(4):
+        for base, width in ((0, maxent.CLASSES), (maxent.ROWS, maxent.MEMBERS)):
+            row = np.flatnonzero(g.random(maxent.ROWS) < 0.05)
+            change = g.normal(size=(len(row), width)).astype(np.float32)
+            for r, c in zip(row, change, strict=True):
+                want[int(r) + base].append(c)
+            parts += maxent.packed(base, row, change).to_pylist()
+    got = {}
+    for r in maxent.mean_changes(spark.createDataFrame([(p["block"], p["rows"], p["values"]) for p in parts], maxent.DELTA).repartition(3)).collect():
+        at = np.frombuffer(r["rows"], np.int32)
+        got |= dict(zip(at.tolist(), np.frombuffer(r["values"], np.float32).reshape(len(at), -1), strict=True))
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[r], np.mean(c, axis=0), atol=1e-6) for r, c in want.items())
+
+
 # ------------------------------------------------------------ 7 licences
 
 def test_licences(frame):
