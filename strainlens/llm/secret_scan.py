@@ -1,11 +1,14 @@
 """Secret scans by fixed patterns and character Markov models, in Spark expressions only.
 
-Three patterns give the base spans.  Beyond them, long tokens of letters and
-digits are scored by two first-order character models, one of random strings
-and one of ordinary identifiers; a token whose log-likelihood ratio per
-transition is above a margin is a further span.  The models are trained from
-labelled samples by counting transitions; rare ones fall back on the shares of
-single characters, to whose counts one is added.
+Three patterns give the base spans.  Beyond them, every token of 6 or more
+letters, digits and +/_=- is scored by two first-order character models, one of
+random strings and one of ordinary tokens; a token whose log-likelihood ratio
+per transition is above a margin, and in total above the prior odds, is a
+further span.  The models are trained from labelled samples by counting
+transitions; rare ones fall back on the shares of single characters, to whose
+counts one is added.  Ordinary tokens are those outside base spans, with their
+digits, underscores, slashes and hyphens, and a fixed set of numbers; a
+transition from or to a separator never speaks for a random string.
 
 Spans come from ``split`` and ``regexp_extract_all``: the pieces between the
 matches and the matches themselves give places in code points.  One pass
@@ -14,7 +17,7 @@ without a shuffle; the trained model is a table of fixed size (69 x 69).
 Defined results: null and empty texts have no spans; repeated rows are scanned
 one by one; other columns pass through, and a clash with the added struct's
 name is an error; without any labelled row both models are uniform and nothing
-is added.
+is added by ``train``.
 """
 from __future__ import annotations
 
@@ -31,9 +34,13 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_MIN = 6
 KINDS = ("assign", "access", "hex", "markov")
 
-# tokens that the models score: long, with letters and digits
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+# tokens that the models score
+CANDIDATE = r"[A-Za-z0-9+/_=-]{6,}"
+# ordinary tokens of the labelled sample: the same characters
+ORDINARY = r"[A-Za-z0-9+/_=-]{3,}"
 MARGIN = 0.5
+# least log-likelihood ratio of a whole token: one random token in a million is expected beforehand
+EVIDENCE = math.log(1e6)
 # weight of the shares of single characters in a row of transitions
 BACKOFF = 10.0
 # labelled rows come from about this many documents, spread over the table by a hash
@@ -41,10 +48,11 @@ SAMPLE_DOCS = 20_000
 
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
 _STATES = len(_ALPHABET) + 1
+_JOINTS = {_ALPHABET.index(c) + 1 for c in "+/_.=-"}
 
 
-def _places(text: Column, pattern: str, kind: str, group: int | None = None, least: int = 0) -> Column:
-    """Array of (kind number, start, end, value) of the pattern's matches, failing ones dropped."""
+def _places(text: Column, pattern: str, kind: str, group: int | None = None, least: int = 0, keep=None) -> Column:
+    """Array of (kind number, start, end, value) of the pattern's matches, failing ones dropped; ``keep`` judges a span before it is appended."""
     regex = F.lit(pattern)
     empty = F.expr("CAST(array() AS array<struct<start:int,end:int,value:string>>)")
     pieces = F.transform(F.split(text, pattern, -1), F.length)
@@ -56,7 +64,8 @@ def _places(text: Column, pattern: str, kind: str, group: int | None = None, lea
         start = acc["at"] + x["gap"]
         end = start + F.length(x["found"])
         one = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), x["value"].alias("value"))
-        return F.struct(end.cast("int").alias("at"), F.array_append(acc["spans"], one).alias("spans"))
+        more = F.array_append(acc["spans"], one)
+        return F.struct(end.cast("int").alias("at"), (more if keep is None else F.when(keep(start, end, x["value"]), more).otherwise(acc["spans"])).alias("spans"))
 
     spans = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda acc: acc["spans"])
     if least:
@@ -74,13 +83,18 @@ def base_spans(text: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Labelled tokens of a hashed sample of rows, equal texts once: values of base spans are random, words of letters are ordinary."""
+    """Labelled tokens of a hashed sample of rows, equal texts once: values of base spans are random, tokens outside them are ordinary."""
     share = min(1.0, sample_docs / max(1, docs.count()))
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.where(F.pmod(F.xxhash64(t), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select(t.alias("text")).distinct()
     random = rows.select(F.explode(F.transform(base_spans(F.col("text")), lambda s: s["value"])).alias("token"), F.lit(True).alias("secret"))
-    plain = rows.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]{3,}"), F.lit(0))).alias("token"), F.lit(False).alias("secret"))
-    return random.unionByName(plain)
+    outside = F.col("text")
+    for pattern in (ASSIGN, ACCESS, HEX):
+        outside = F.regexp_replace(outside, pattern, " ")
+    plain = rows.select(F.explode(F.regexp_extract_all(outside, F.lit(ORDINARY), F.lit(0))).alias("token"), F.lit(False).alias("secret"))
+    # numbers, so that a corpus without any does not make every digit look random
+    numbers = docs.sparkSession.range(1000, 10_000, 7).select(F.col("id").cast("string").alias("token"), F.lit(False).alias("secret"))
+    return random.unionByName(plain).unionByName(numbers)
 
 
 def _code(token: Column, i: Column) -> Column:
@@ -100,16 +114,17 @@ def train(samples: DataFrame) -> list[float]:
         second = [1.0 + sum(row[b] for row in table) for b in range(_STATES)]
         share = [x / sum(second) for x in second]
         logs[s] = [[math.log((n + BACKOFF * p) / (sum(row) + BACKOFF)) for n, p in zip(row, share, strict=True)] for row in table]
-    return [logs[True][a][b] - logs[False][a][b] for a in range(_STATES) for b in range(_STATES)]
+    ratio = [[x - y for x, y in zip(*rows, strict=True)] for rows in zip(logs[True], logs[False], strict=True)]
+    # words are told by what lies between separators: these speak against randomness only
+    return [min(0.0, ratio[a][b]) if {a, b} & _JOINTS else ratio[a][b] for a in range(_STATES) for b in range(_STATES)]
 
 
 def _ratio(token: Column, model: Column) -> Column:
-    """Log-likelihood ratio per transition."""
-    total = F.aggregate(
+    """Log-likelihood ratio of the whole token."""
+    return F.aggregate(
         F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0),
         lambda acc, i: acc + F.element_at(model, _code(token, i) * _STATES + _code(token, i + 1) + 1),
     )
-    return total / (F.length(token) - 1)
 
 
 def spans(text: Column, model: list[float], margin: float = MARGIN) -> Column:
@@ -117,12 +132,12 @@ def spans(text: Column, model: list[float], margin: float = MARGIN) -> Column:
     table = F.from_json(F.lit(json.dumps(model)), "array<double>")
     base = base_spans(text)
     t = F.coalesce(text, F.lit(""))
-    more = F.filter(
-        _places(t, CANDIDATE, "markov"),
-        lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]") & (_ratio(x["value"], table) > margin)
-        & ~F.exists(base, lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"])),
-    )
-    return F.array_sort(F.concat(base, more))
+
+    def random(start: Column, end: Column, token: Column) -> Column:
+        likely = _ratio(token, table) > F.greatest(F.lit(EVIDENCE), (F.length(token) - 1) * F.lit(margin))
+        return likely & ~F.exists(base, lambda s: (s["start"] < end) & (s["end"] > start))
+
+    return F.array_sort(F.concat(base, _places(t, CANDIDATE, "markov", keep=random)))
 
 
 def scan(docs: DataFrame, model: list[float], text: str = "text", out: str = "secrets", margin: float = MARGIN) -> DataFrame:

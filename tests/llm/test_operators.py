@@ -368,6 +368,20 @@ def test_secrets(spark, frame):
     assert secret_scan.scan(empty, secret_scan.train(secret_scan.labelled_sample(empty))).count() == 0
 
 
+def test_secret_models_of_the_production_sample(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    model = secret_scan.train(secret_scan.labelled_sample(docs))
+    ordinary = ["test_case_number_12345", "https//example/2024/05/some-article-title", "iso-8859-1-character-encoding", "session_id_2024_backup", "user/profile/settings/page2", "utf-8-sig", "covid-19-pandemic-update", "2024-05-17", "1234567890"]
+    secret = ["zQ8xV3pL0mT7bN5rK2wY9", "VP7Hb1DX8p", "KpaUnArl63XykW", "StEkUdfMIzcpVMwq", "c43c5fa52f8b2b19"]
+    new = spark.createDataFrame([(i, f"see {x} here") for i, x in enumerate(ordinary + secret)], "doc_id long, text string")
+    found = {r.doc_id: [s.value for s in r.secrets] for r in secret_scan.scan(new, model).collect()}
+    assert [found[i] for i in range(len(found))] == [[]] * len(ordinary) + [[x] for x in secret]
+    # no token is missed or cut in a long text
+    many = spark.createDataFrame([(1, " ".join(f"{a} {b}" for a in ordinary for b in secret))], "doc_id long, text string")
+    row = secret_scan.scan(many, model).first()
+    assert [s.value for s in row.secrets] == secret * len(ordinary) and all(row.text[s.start:s.end] == s.value for s in row.secrets)
+
+
 # --------------------------------------------------------------- shared
 
 def test_words_are_runs_of_other_bytes():
