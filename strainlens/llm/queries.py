@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strainlens.llm import bbit_minhash, best_fit, html_text, licence_scan, maxent, repetition, secret_scan, suffix_dedup, tiling, tool_calls
+from strainlens.llm import bbit_minhash, best_fit, html_text, licence_scan, maxent, prefix_trie, repetition, secret_scan, suffix_dedup, tiling, tool_calls
 
 # words of the shingles that op8_near_duplicates is asked for
 OP8_SHINGLE_WORDS = 4
@@ -80,13 +80,17 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secret_scan.listed(F.col("secrets")).alias("spans"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_repetition, op3_tool_calls, op4_tiling, op5_suffix_dedup, op6_maxent, op7_licences, op8_near_duplicates, op9_best_fit, op10_secrets, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_repetition, op3_tool_calls, op4_tiling, op5_suffix_dedup, op6_maxent, op7_licences, op8_near_duplicates, op9_best_fit, op10_secrets, op11_prefix_trie, pipeline)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -169,6 +173,31 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.c AS component_id, r.
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id"""
 
 
+# CRC-32 of the decimal id, bit by bit
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, [ord(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')]), lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda k, i: xor(k >> 1, 3988292384 * (k & 1)))), 4294967295)"
+
+_OP11_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos,
+    md5(coalesce(role, '')) || md5(coalesce(text, '')) AS k, len(regexp_extract_all(coalesce(text, ''), '{prefix_trie.WORD}')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT conv_id, count(*) AS n, {_CRC} % {prefix_trie.OPENING} AS h, conv_id - conv_id % {prefix_trie.FAMILY} AS f FROM t GROUP BY conv_id),
+r AS (
+  SELECT h.conv_id, t.pos AS d, t.k, t.words FROM h JOIN t ON t.conv_id = h.f AND t.pos <= h.h
+  UNION ALL SELECT h.conv_id, t.pos - h.h + least(h.h, coalesce(g.n, 0)), t.k, t.words FROM h JOIN t ON t.conv_id = h.conv_id AND t.pos > h.h LEFT JOIN h g ON g.conv_id = h.f),
+l AS (SELECT conv_id, list(k ORDER BY d) AS ks, list(words ORDER BY d) AS ws FROM r GROUP BY conv_id),
+c AS (SELECT h.conv_id, coalesce(len(ks), 0) AS n, ks, ws FROM h LEFT JOIN l USING (conv_id)),
+p AS (SELECT conv_id, n, d, coalesce(array_to_string(list_slice(ks, 1, d), ''), '') AS key, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS words FROM (SELECT *, unnest(range(0, n + 1)) AS d FROM c)),
+e AS (SELECT key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM p WHERE d = n GROUP BY key),
+n AS (SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM p GROUP BY key, d),
+ch AS (SELECT left(key, length(key) - 64) AS key, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+x AS (SELECT n.*, coalesce(ch.n_children, 0) AS n_children FROM n LEFT JOIN ch USING (key)),
+s AS (SELECT a.key, sum((b.n_convs - 1) * b.words) AS saved, sum(CASE WHEN b.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves FROM x a JOIN x b ON starts_with(b.key, a.key) GROUP BY a.key)
+SELECT x.conv_id, x.d::BIGINT AS depth, u.conv_id AS parent_conv_id, x.n_convs::BIGINT AS n_convs, x.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens,
+  coalesce(e.ends, sha256('')) AS ends_sha256
+FROM x JOIN s USING (key) LEFT JOIN e USING (key) LEFT JOIN n u ON x.d > 0 AND u.key = left(x.key, length(x.key) - 64)"""
+
+
 def _op7_sql() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     values = ", ".join(f"({i}, {quote(name)}, {quote(text)})" for i, (name, text) in enumerate(licence_scan.TEMPLATES))
@@ -189,4 +218,4 @@ SELECT doc_id, line::INTEGER AS line, licence, n_shared, dice FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, licence, template) AS r FROM c WHERE dice >= {t}) WHERE r = 1"""
 
 
-ORACLE = {"op2_repetition": _op2_sql(), "op3_tool_calls": _OP3_SQL, "op5_suffix_dedup": _OP5_SQL, "op7_licences": _op7_sql(), "op8_near_duplicates": _OP8_SQL}
+ORACLE = {"op2_repetition": _op2_sql(), "op3_tool_calls": _OP3_SQL, "op5_suffix_dedup": _OP5_SQL, "op7_licences": _op7_sql(), "op8_near_duplicates": _OP8_SQL, "op11_prefix_trie": _OP11_SQL}
