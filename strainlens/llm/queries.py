@@ -4,10 +4,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strainlens.llm import bbit_minhash, best_fit, html_text, licence_scan, maxent, prefix_trie, repetition, secret_scan, suffix_dedup, tiling, tool_calls
+from strainlens.llm import bbit_minhash, best_fit, html_text, jaccard_tiles, licence_scan, maxent, prefix_trie, repetition, secret_scan, suffix_dedup, tiling, tool_calls
 
 # words of the shingles that op8_near_duplicates is asked for
 OP8_SHINGLE_WORDS = 4
+# shingles and similarity that op12_jaccard_tiles is asked for
+OP12_SHINGLE_WORDS, OP12_PERCENT = 3, 90
 # schema of the tool that op3 makes of a user's turn
 REPLY_SCHEMA = '{"type":"object","required":["text","turn"],"additionalProperties":false,"properties":{"text":{"type":"string","minLength":1},"turn":{"type":"integer","minimum":0}}}'
 
@@ -84,13 +86,17 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_tiles.similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), size=OP12_SHINGLE_WORDS, percent=OP12_PERCENT)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_repetition, op3_tool_calls, op4_tiling, op5_suffix_dedup, op6_maxent, op7_licences, op8_near_duplicates, op9_best_fit, op10_secrets, op11_prefix_trie, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_repetition, op3_tool_calls, op4_tiling, op5_suffix_dedup, op6_maxent, op7_licences, op8_near_duplicates, op9_best_fit, op10_secrets, op11_prefix_trie, op12_jaccard_tiles, pipeline)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -158,18 +164,20 @@ k AS (SELECT r.doc_id, a AS pos, substr(h, 2 * coalesce(lag(b) OVER (PARTITION B
 SELECT d.doc_id, d.n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(x.s)) AS kept_sha256
 FROM d JOIN (SELECT doc_id, string_agg(s, '' ORDER BY pos) AS s FROM k GROUP BY doc_id) x ON x.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id"""
 
-_OP8_SQL = rf"""
+def _groups_sql(size: int, percent: int, last: str) -> str:
+    """Components of the documents linked by their sets of shingles."""
+    return rf"""
 WITH RECURSIVE lists AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS l FROM documents),
 s AS (
-  SELECT DISTINCT doc_id, array_to_string(list_slice(l, i, i + {OP8_SHINGLE_WORDS - 1}), chr(32)) AS g
-  FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - {OP8_SHINGLE_WORDS - 2}, CASE WHEN len(l) > 0 THEN 2 ELSE 1 END))) AS i FROM lists)),
+  SELECT DISTINCT doc_id, array_to_string(list_slice(l, i, i + {size - 1}), chr(32)) AS g
+  FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - {size - 2}, CASE WHEN len(l) > 0 THEN 2 ELSE 1 END))) AS i FROM lists)),
 n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
 p AS (
   SELECT x.a, x.b FROM (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2) x
-  JOIN n na ON na.doc_id = x.a JOIN n nb ON nb.doc_id = x.b WHERE 100 * k >= {bbit_minhash.SIMILARITY_PERCENT} * (na.n + nb.n - k)),
+  JOIN n na ON na.doc_id = x.a JOIN n nb ON nb.doc_id = x.b WHERE 100 * k >= {percent} * (na.n + nb.n - k)),
 e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.c AS component_id, r.c = d.doc_id AS kept
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.c AS component_id{last}
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id"""
 
 
@@ -218,4 +226,5 @@ SELECT doc_id, line::INTEGER AS line, licence, n_shared, dice FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, licence, template) AS r FROM c WHERE dice >= {t}) WHERE r = 1"""
 
 
-ORACLE = {"op2_repetition": _op2_sql(), "op3_tool_calls": _OP3_SQL, "op5_suffix_dedup": _OP5_SQL, "op7_licences": _op7_sql(), "op8_near_duplicates": _OP8_SQL, "op11_prefix_trie": _OP11_SQL}
+ORACLE = {"op2_repetition": _op2_sql(), "op3_tool_calls": _OP3_SQL, "op5_suffix_dedup": _OP5_SQL, "op7_licences": _op7_sql(), "op8_near_duplicates": _groups_sql(OP8_SHINGLE_WORDS, bbit_minhash.SIMILARITY_PERCENT, ", r.c = d.doc_id AS kept"), "op11_prefix_trie": _OP11_SQL,
+          "op12_jaccard_tiles": _groups_sql(OP12_SHINGLE_WORDS, OP12_PERCENT, "")}
