@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strainlens.llm import bbit_minhash, best_fit, html_text, jaccard_tiles, licence_scan, maxent, prefix_trie, repetition, secret_scan, suffix_dedup, tiling, tool_calls
+from strainlens.llm import bbit_minhash, best_fit, html_text, jaccard_tiles, licence_scan, maxent, prefix_trie, repetition, secret_scan, suffix_dedup, tiling, tool_calls, whitening
 
 # words of the shingles that op8_near_duplicates is asked for
 OP8_SHINGLE_WORDS = 4
@@ -90,13 +90,17 @@ def op12_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_tiles.similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), size=OP12_SHINGLE_WORDS, percent=OP12_PERCENT)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_repetition, op3_tool_calls, op4_tiling, op5_suffix_dedup, op6_maxent, op7_licences, op8_near_duplicates, op9_best_fit, op10_secrets, op11_prefix_trie, op12_jaccard_tiles, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_repetition, op3_tool_calls, op4_tiling, op5_suffix_dedup, op6_maxent, op7_licences, op8_near_duplicates, op9_best_fit, op10_secrets, op11_prefix_trie, op12_jaccard_tiles, op13_whitening, pipeline)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
