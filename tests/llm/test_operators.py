@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -382,6 +383,26 @@ def test_secret_models_of_the_production_sample(spark):
     assert [s.value for s in row.secrets] == secret * len(ordinary) and all(row.text[s.start:s.end] == s.value for s in row.secrets)
 
 
+def test_many_secrets_in_one_text_cost_in_proportion(spark):
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    r = random.Random(9)
+    token = lambda: "".join(r.choice(letters) for _ in range(24))
+    ratio = secret_scan.train(spark.createDataFrame([*[(token(), True) for _ in range(400)], *[(f"plain_name_{i}", False) for i in range(200)]], "token string, secret boolean"))
+    took = {}
+    for n in (1000, 1000, 32_000):
+        parts = [f"password={token()}" if i % 2 else f"key {token()}" for i in range(n)]
+        docs = spark.createDataFrame([(1, "\n".join(parts))], "doc_id long, text string")
+        began = time.monotonic()
+        row, clean = secret_scan.scan(docs, ratio).first(), secret_scan.redact(docs, ratio).first()
+        took[n] = time.monotonic() - began
+        assert [(s.kind, row.text[s.start:s.end]) for s in row.secrets] == [(0, p) if i % 2 else (3, p[4:]) for i, p in enumerate(parts)]
+        assert clean.text == "\n".join("[SECRET]" if i % 2 else "key [SECRET]" for i in range(n))
+    assert took[32_000] < 32 * max(took[1000], 0.5)
+    # one token of a megabyte
+    docs = spark.createDataFrame([(1, "x " + token() * 40_000)], "doc_id long, text string")
+    assert [(s.kind, s.start, s.end) for s in secret_scan.scan(docs, ratio).first().secrets] == [(3, 2, 960_002)]
+
+
 # --------------------------------------------------------------- shared
 
 def test_words_are_runs_of_other_bytes():
