@@ -16,8 +16,9 @@ A conversation is never gathered: messages stay rows, with an order key of
 is split like any other.
 
 Defined results: rows without conversation or identifier cannot be linked and
-are marked; a null or malformed argument text is an error of validation; a
-tool without schema is accepted with the status "unknown_tool"; repeated rows
+are marked; a null or malformed argument text is an error of validation, and so
+are numbers out of range, lone surrogates and nesting beyond 200 levels, whose
+text is written as it came; a malformed schema is an error of every call; a tool without schema is accepted with the status "unknown_tool"; repeated rows
 are marked as duplicates; messages in a circle of names are marked "cyclic";
 empty tables give none; other columns are not read.
 """
@@ -39,24 +40,71 @@ CHECKED = T.StructType([T.StructField("errors", T.ArrayType(T.StringType())), T.
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+# deepest nesting of arguments that is checked
+MAX_DEPTH = 200
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def _finite(digits: str) -> float:
+    value = float(digits)
+    if value - value != 0:
+        raise ValueError("number out of range")
+    return value
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
+def parse(body: str):
+    """The value of a JSON text; ValueError if there is none that canonical JSON can hold.
+
+    Beyond the grammar that excludes numbers out of range (also integers of
+    more digits than Python reads), nesting deeper than ``MAX_DEPTH`` and lone
+    surrogates.
+    """
+    try:
+        value = json.loads(body, parse_float=_finite, parse_constant=_no_constant)
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    level, depth = [value], 0
+    while level:
+        depth += 1
+        if depth > MAX_DEPTH:
+            raise ValueError("nested too deeply")
+        level = [y for x in level if isinstance(x, dict | list) for y in (x.values() if isinstance(x, dict) else x) if isinstance(y, dict | list)]
+    canonical(value).encode()
+    return value
 
 
 def _is(value, kind: str) -> bool:
     if kind in ("number", "integer"):
-        return isinstance(value, int | float) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
+        return isinstance(value, int | float) and not isinstance(value, bool) and (kind == "number" or isinstance(value, int) or value.is_integer())
     return isinstance(value, _TYPES.get(kind, object))
 
 
-def violations(value, schema: dict, where: str = "$") -> list[str]:
-    """Where and how a value breaks a schema; a reference stands for any value."""
+def _same(x, y) -> bool:
+    """Equality of JSON values: numbers by value, but no number is true or false."""
+    if isinstance(x, list) and isinstance(y, list):
+        return len(x) == len(y) and all(map(_same, x, y))
+    if isinstance(x, dict) and isinstance(y, dict):
+        return set(x) == set(y) and all(_same(x[k], y[k]) for k in x)
+    return isinstance(x, bool) == isinstance(y, bool) and x == y
+
+
+def violations(value, schema, where: str = "$") -> list[str]:
+    """Where and how a value breaks a schema; a reference stands for any value, and only ``false`` among the schemas that are no objects forbids."""
     if isinstance(value, dict) and set(value) == {"$ref"}:
         return []
+    if not isinstance(schema, dict):
+        return [f"{where}: forbidden"] if schema is False else []
     kinds = schema.get("type")
     if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return [f"{where}: type"]
-    out = [f"{where}: enum"] if "enum" in schema and value not in schema["enum"] else []
+    out = [f"{where}: enum"] if "enum" in schema and not any(_same(value, x) for x in schema["enum"]) else []
     if isinstance(value, dict):
         known = schema.get("properties", {})
         out += [f"{where}.{k}: required" for k in schema.get("required", ()) if k not in value]
@@ -79,7 +127,7 @@ def references(value) -> list[str]:
         x = todo.pop()
         if isinstance(x, dict):
             if set(x) == {"$ref"}:
-                out.add(str(x["$ref"]))
+                out.add(x["$ref"] if isinstance(x["$ref"], str) else canonical(x["$ref"]))
             todo.extend(x.values())
         elif isinstance(x, list):
             todo.extend(x)
@@ -94,11 +142,15 @@ def _check(parts: Iterator[pa.RecordBatch], names: list[str], schema: pa.Schema)
             errors, refs = [], []
             if kind == "call":
                 try:
-                    value = json.loads(body)
-                    errors = violations(value, json.loads(rule)) if rule is not None else []
+                    value = parse(body)
                     refs = references(value)
-                except (ValueError, TypeError):
-                    value, errors = body, ["$: not JSON"]
+                except (ValueError, TypeError) as e:
+                    value, errors = body, [f"$: {e}" if str(e) == "nested too deeply" else "$: not JSON"]
+                else:
+                    try:
+                        errors = violations(value, parse(rule)) if rule is not None else []
+                    except (ValueError, TypeError, AttributeError):
+                        errors = ["schema: malformed"]
                 message = {"type": "call", "id": call, "name": name, "arguments": value}
             else:
                 message = {"type": kind, "content": body} | ({"id": call} if kind == "result" else {})

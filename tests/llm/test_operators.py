@@ -110,6 +110,28 @@ def test_tool_calls(spark):
     assert tool_calls.format_calls(messages.where("false"), spark.createDataFrame(SCHEMA, "name string, schema string")).count() == 0
 
 
+@pytest.mark.parametrize(("body", "errors"), [
+    ('{"a": ' + "9" * 400 + "}", []), ('{"a": ' + "9" * 5000 + "}", ["$: not JSON"]), ("[" * 150 + "]" * 150, ["$: type"]), ("[" * 300 + "]" * 300, ["$: nested too deeply"]), ("[" * 200_000 + "]" * 200_000, ["$: nested too deeply"]),
+    ('{"a": "' + chr(92) + 'ud800"}', ["$: not JSON"]), ('{"a": NaN}', ["$: not JSON"]), ('{"a": 1e999}', ["$: not JSON"]), ('{"a": -Infinity}', ["$: not JSON"]), (None, ["$: not JSON"]), ("", ["$: not JSON"]),
+    ('{"a": true}', ["$.a: type"]), ('{"a": 2.0}', []), ('{"a": 1, "b": true}', ["$.b: enum"]), ('{"a": 1, "b": 1.0}', []), ('{"a": 1, "c": 0}', ["$.c: forbidden"]), ('{"a": {"$ref": {"x": 1}}}', [])])
+def test_arguments_that_are_hard_to_read(spark, body, errors):
+    rule = json.dumps({"type": "object", "required": ["a"], "properties": {"a": {"type": "integer"}, "b": {"enum": [1]}, "c": False, "d": True}})
+    schema = tool_calls.to_arrow_schema(tool_calls.T.StructType([*tool_calls.CHECKED.fields]))
+    part = tool_calls.pa.RecordBatch.from_pydict({"kind": ["call"], "call_id": ["x"], "name": ["f"], "body": [body], "schema": [rule]})
+    (out,) = tool_calls._check(iter([part]), [], schema)
+    assert out.column("errors").to_pylist() == [errors]
+    assert json.loads(out.column("json")[0].as_py(), parse_constant=None)["id"] == "x"
+
+
+@pytest.mark.parametrize("rule", ["no json", "[1]", "null", '{"type": 5}', '{"properties": 3}', '{"minimum": "x"}', '{"type": [[]]}', '{"enum": 1}'])
+def test_schemas_that_are_none(rule):
+    schema = tool_calls.to_arrow_schema(tool_calls.CHECKED)
+    for body in ('{"a": 1}', "1"):
+        part = tool_calls.pa.RecordBatch.from_pydict({"kind": ["call"], "call_id": ["x"], "name": ["f"], "body": [body], "schema": [rule]})
+        (out,) = tool_calls._check(iter([part]), [], schema)
+        assert out.column("errors")[0].as_py() in ([], ["schema: malformed"], ["$: type"])
+
+
 # -------------------------------------------------------------- 4 tiling
 
 def plain_tiles(p, t, least):
