@@ -192,13 +192,13 @@ def _class_rows(rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return hashed
 
 
-def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[0]]
-    for r in rows[1:]:
-        z = z + weights[r]
+def _sums(weights: np.ndarray, rows: np.ndarray, constant: np.ndarray) -> np.ndarray:
+    """Sum of the hashed features' weights and the constant's, less the greatest of each token."""
+    z = weights.take(rows[0], axis=0)
+    for r in rows[1:-1]:
+        z += weights.take(r, axis=0)
+    z += constant
     z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
     return z
 
 
@@ -206,32 +206,58 @@ def split_symbol(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return symbol % CLASSES, symbol // CLASSES
 
 
-def log10_symbols(first: np.ndarray, second: np.ndarray, rows: np.ndarray, symbol: np.ndarray, block: int = 16_384) -> np.ndarray:
+def _halves(first: np.ndarray, second: np.ndarray, rows: np.ndarray, symbol: np.ndarray):
+    """Weights, rows, constant and target of both softmaxes."""
+    cls, member = split_symbol(symbol)
+    return (first, rows, first[ROWS - 1], cls), (second, _class_rows(rows, cls), second[ROWS - CLASSES:].take(cls, axis=0), member)
+
+
+def log10_symbols(first: np.ndarray, second: np.ndarray, rows: np.ndarray, symbol: np.ndarray, block: int = 4096) -> np.ndarray:
     """log10 P(class) + log10 P(member of the class)."""
-    out = np.empty(len(symbol))
+    out = np.zeros(len(symbol))
     for i in range(0, len(symbol), block):
-        cls, member = split_symbol(symbol[i:i + block])
-        r = rows[:, i:i + block]
-        at = np.arange(len(cls))
-        out[i:i + block] = np.log10(_softmax(first, r)[at, cls]) + np.log10(_softmax(second, _class_rows(r, cls))[at, member])
-    return out
+        at = np.arange(len(symbol[i:i + block]))
+        for weights, r, constant, target in _halves(first, second, rows[:, i:i + block], symbol[i:i + block]):
+            z = _sums(weights, r, constant)
+            own = z[at, target]
+            out[i:i + block] += own - np.log(np.exp(z, out=z).sum(axis=1))
+    return out / math.log(10)
+
+
+def _by_row(at: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of weights and the sum of the tokens' gradients over each."""
+    flat = at.ravel().astype(np.uint16)  # row numbers have 16 bits, which sort by radix
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    begin = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    times = np.diff(begin, append=len(flat))
+    each = p.take(order % len(p), axis=0)
+    gradient = each.take(begin, axis=0)
+    more = times > 1
+    if more.any():
+        size = times[more]
+        gradient[more] = np.add.reduceat(each[np.repeat(more, times)], np.cumsum(size) - size, axis=0)
+    return flat[begin].astype(np.int64), gradient
+
+
+def _step(weights: np.ndarray, seen: np.ndarray, row: np.ndarray, gradient: np.ndarray) -> None:
+    squares = seen.take(row) + np.einsum("ij,ij->i", gradient, gradient)
+    seen[row] = squares
+    weights[row] = weights.take(row, axis=0) - (STEP / np.sqrt(squares + np.float32(1e-6)))[:, None] * gradient
 
 
 def learn(first: np.ndarray, second: np.ndarray, squares: tuple[np.ndarray, np.ndarray], rows: np.ndarray, symbol: np.ndarray) -> None:
     """Gradient steps over mini-batches, in place; a row's step falls with the squares it has seen."""
     for i in range(0, len(symbol), BATCH):
-        cls, member = split_symbol(symbol[i:i + BATCH])
-        r = rows[:, i:i + BATCH]
-        for weights, seen, at, target in ((first, squares[0], r, cls), (second, squares[1], _class_rows(r, cls), member)):
-            p = _softmax(weights, at)
-            p[np.arange(len(target)), target] -= 1
-            flat = at.ravel()
-            order = np.argsort(flat, kind="stable")
-            begin = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1])))
-            row = flat[order][begin]
-            gradient = np.add.reduceat(p[order % len(target)], begin, axis=0)
-            seen[row] += (gradient * gradient).sum(axis=1)
-            weights[row] -= (STEP / np.sqrt(seen[row] + 1e-6))[:, None] * gradient
+        for (weights, r, constant, target), seen in zip(_halves(first, second, rows[:, i:i + BATCH], symbol[i:i + BATCH]), squares, strict=True):
+            p = np.exp(_sums(weights, r, constant))
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(p)), target] -= 1
+            # the constant has one row, or one per class, and is summed by itself
+            row = np.unique(r[-1])
+            constant = (row[:, None] == r[-1]).astype(np.float32) @ p
+            for at, gradient in (_by_row(r[:-1], p), (row, constant)):
+                _step(weights, seen, at, gradient)
 
 
 def prior(v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
