@@ -1,5 +1,5 @@
-"""Feature baselines with Spark ML: majority, logistic regression, boosted
-trees, fold evaluation, projection."""
+"""Feature baselines: majority, logistic regression by Spark ML, boosted trees,
+fold evaluation, projection."""
 from __future__ import annotations
 
 from collections.abc import Sequence
@@ -7,14 +7,14 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strainlens import constants as C
 from strainlens import session
+from strainlens.operators import boosting
 
 
 # Fits that the driver keeps running at a time; each is a series of Spark jobs.
@@ -49,7 +49,7 @@ def majority_label(train: DataFrame, keys: Sequence[str], label: str = "label")
     return n.groupBy(*keys).agg(F.max_by(F.col(label), F.struct("n", -F.col(label))).alias("majority"), F.max("n").alias("n_majority"))
 
 
-def logistic_pipeline(features: Sequence[str], n_rows: int, max_iter: int = 100) -> Pipeline:
+def logistic_pipeline(features: Sequence[str], n_rows: int, max_iter: int = 5000, tolerance: float = 1e-9) -> Pipeline:
     """Median imputation, standardisation, multinomial logistic regression.
 
     The penalty 1/n in the mean loss is the usual unit penalty in the summed loss.
@@ -59,33 +59,18 @@ def logistic_pipeline(features: Sequence[str], n_rows: int, max_iter: int = 100)
         Imputer(strategy="median", inputCols=list(features), outputCols=filled),
         VectorAssembler(inputCols=filled, outputCol="_raw"),
         StandardScaler(withMean=True, withStd=True, inputCol="_raw", outputCol="features"),
-        LogisticRegression(family="multinomial", standardization=False, regParam=1.0 / max(1, n_rows), elasticNetParam=0.0, maxIter=max_iter, labelCol="label"),
+        LogisticRegression(family="multinomial", standardization=False, regParam=1.0 / max(1, n_rows), elasticNetParam=0.0, maxIter=max_iter, tol=tolerance, labelCol="label"),
     ])
 
 
-def boosted_pipeline(features: Sequence[str], rounds: int = 200, step: float = 0.08, depth: int = 4, seed: int = C.SEED) -> Pipeline:
-    """One-versus-rest boosted trees (Spark's boosted trees are two-class)."""
-    filled = [f"_{f}" for f in features]
-    trees = GBTClassifier(maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[
-        Imputer(strategy="median", inputCols=list(features), outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="features"),
-        OneVsRest(classifier=trees, labelCol="label", rawPredictionCol="rawPrediction", parallelism=_FITS),
-    ])
-
-
-def _probabilities(scored: DataFrame, kind: str, n_classes: int) -> DataFrame:
+def _probabilities(scored: DataFrame, n_classes: int) -> DataFrame:
     """Class probabilities aligned to all classes; absent classes get 0."""
-    p = vector_to_array("probability") if kind == "logistic" else vector_to_array("rawPrediction")
-    if kind == "boosted":
-        # one margin per class: squash and share
-        p = F.transform(p, lambda v: 1.0 / (1.0 + F.exp(-2.0 * v)))
-        p = F.transform(F.array(p), lambda a: F.transform(a, lambda v: v / F.aggregate(a, F.lit(1e-300), lambda s, x: s + x)))[0]
-    return scored.withColumn("_p", p).select("*", *[F.coalesce(F.get("_p", F.lit(c)), F.lit(0.0)).alias(f"prob_{c}") for c in range(n_classes)]).drop("_p")
+    scored = scored.withColumn("_p", vector_to_array("probability"))
+    return scored.select("*", *[F.coalesce(F.get("_p", F.lit(c)), F.lit(0.0)).alias(f"prob_{c}") for c in range(n_classes)]).drop("_p")
 
 
-def fit_predict(train: DataFrame, test: DataFrame, spec: Spec, keep: Sequence[str], n_classes: int = 4, rounds: int = 200):
-    """Predictions on the test rows and the fitted model (None for majority)."""
+def fit_predict(train: DataFrame, test: DataFrame, spec: Spec, keep: Sequence[str], n_classes: int = 4):
+    """Predictions on the test rows and the fitted model (None for majority) of a majority or logistic baseline."""
     if spec.kind == "majority":
         top = majority_label(train, [])
         out = test.withColumn("prediction", top.select("majority").scalar().cast("double"))
@@ -93,9 +78,8 @@ def fit_predict(train: DataFrame, test: DataFrame, spec: Spec, keep: Sequence[st
                          *[(F.col("prediction") == c).cast("double").alias(f"prob_{c}") for c in range(n_classes)])
         return out, None
     n = train.count()
-    pipe = logistic_pipeline(spec.features, n) if spec.kind == "logistic" else boosted_pipeline(spec.features, rounds)
-    model = pipe.fit(train.withColumn("label", F.col("label").cast("double")))
-    scored = _probabilities(model.transform(test.withColumn("label", F.col("label").cast("double"))), spec.kind, n_classes)
+    model = logistic_pipeline(spec.features, n).fit(train.withColumn("label", F.col("label").cast("double")))
+    scored = _probabilities(model.transform(test.withColumn("label", F.col("label").cast("double"))), n_classes)
     return scored.select(*keep, F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"), *[f"prob_{c}" for c in range(n_classes)]), model
 
 
@@ -108,43 +92,49 @@ def coefficients(model, spec: Spec, spark) -> DataFrame:
     return spark.createDataFrame(rows, "class_index int, feature string, standardized_coefficient double, intercept double")
 
 
-def fit_folds(features: DataFrame, splits: DataFrame, specs: Sequence[Spec], folds: Sequence[str], keep: Sequence[str] = ("index",), rounds: int = 200) -> list:
-    """(fold, spec, predictions, model) of every fold and baseline.
-
-    Features and splits are joined and written once, by fold; fits are series
-    of small jobs, so several run side by side.  Long series of trees cut
-    their lineage in the shared folder.
-    """
-    spark = features.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(session.scratch_root(spark))
+def fold_rows(features: DataFrame, splits: DataFrame, folds: Sequence[str]) -> DataFrame:
+    """Features with fold and split, joined and written once for the many jobs that read them."""
     rows = features.join(splits.filter(F.col("fold").isin(list(folds))).select("index", "fold", "split"), "index")
     # adaptive execution sizes the files by their rows, so a small table costs each of the many jobs one task
-    rows = session.cut_lineage(rows.repartition("fold", "index"), "fold-rows")
+    return session.cut_lineage(rows.repartition("fold", "index"), "fold-rows")
+
 
+def fit_folds(rows: DataFrame, specs: Sequence[Spec], folds: Sequence[str], keep: Sequence[str] = ("index",)) -> list:
+    """(fold, spec, predictions, model) of every fold and majority or logistic baseline.
+
+    Fits are series of small jobs, so several run side by side.
+    """
     def run(task):
         fold, spec = task
         own = rows.filter(F.col("fold") == fold)
         train, test = (own.filter(F.col("split") == side) for side in ("train", "test"))
-        predictions, model = fit_predict(train, test, spec, keep, rounds=rounds)
+        predictions, model = fit_predict(train, test, spec, keep)
         return fold, spec, predictions, model
 
     with ThreadPoolExecutor(_FITS) as pool:
         return list(pool.map(run, [(fold, spec) for fold in folds for spec in specs]))
 
 
-def evaluate(features: DataFrame, splits: DataFrame, specs: Sequence[Spec], folds: Sequence[str], keep: Sequence[str] = ("index",), rounds: int = 200) -> DataFrame:
-    """Out-of-fold predictions of every baseline in every fold."""
-    out = None
-    for fold, spec, p, _ in fit_folds(features, splits, specs, folds, keep, rounds):
-        p = p.select(F.lit(fold).alias("fold"), F.lit(spec.name).alias("model"), "*")
+def evaluate(features: DataFrame, splits: DataFrame, specs: Sequence[Spec], folds: Sequence[str], keep: Sequence[str] = ("index",), rounds: int = 200, n_classes: int = 4) -> DataFrame:
+    """Out-of-fold predictions of every baseline in every fold; models are fitted while the query is built.
+
+    The boosted trees of all folds are fitted together, the other baselines fold by fold.
+    """
+    rows, out = fold_rows(features, splits, folds), None
+    parts = [p.select(F.lit(fold).alias("fold"), F.lit(spec.name).alias("model"), "*") for fold, spec, p, _ in fit_folds(rows, [s for s in specs if s.kind != "boosted"], folds, keep)]
+    for spec in specs:
+        if spec.kind == "boosted":
+            model = boosting.fit(rows, spec.features, folds, n_classes, boosting.Settings(rounds=rounds))
+            p = boosting.predict(rows.filter(F.col("split") == "test"), spec.features, model, keep, n_classes)
+            parts.append(p.select("fold", F.lit(spec.name).alias("model"), *[c for c in p.columns if c != "fold"]))
+    for p in parts:
         out = p if out is None else out.unionByName(p)
     return out
 
 
 def fold_coefficients(features: DataFrame, splits: DataFrame, specs: Sequence[Spec], folds: Sequence[str]) -> DataFrame:
     """Coefficients of the logistic baselines per fold and model."""
-    fits = fit_folds(features, splits, [s for s in specs if s.kind == "logistic"], folds)
+    fits = fit_folds(fold_rows(features, splits, folds), [s for s in specs if s.kind == "logistic"], folds)
     out = None
     for fold, spec, _, model in fits:
         c = coefficients(model, spec, features.sparkSession).select(F.lit(fold).alias("fold"), F.lit(spec.name).alias("model"), "*")
