@@ -6,12 +6,15 @@ once per record and every pair is a struct of that row.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strainlens import constants as C
 from strainlens.functions import adjust, annotate, tails
@@ -24,6 +27,8 @@ Pair = tuple[str, str, str]
 PAIR = ["protocol", "family", "model_a", "model_b"]
 # Most distinct contribution rows handled by one bootstrap task.
 _CHUNK = 4096
+# Blocks of repeats, each with streams of its own.
+_BLOCKS = 8
 
 
 # Where the index of a prediction came from.
@@ -43,9 +48,7 @@ def align_pairs(preds: DataFrame, cluster_map: DataFrame, pairs: Sequence[Pair])
     if "index_source" in preds.columns:
         source = (F.col("index_source") != INDEX_SOURCES[0]).cast("int")
     keep = preds.select("protocol", "model", "index", "y_true", "y_pred", "fold", source.alias("_source"))
-    # one hash partitioning on the record serves the pivot and the cluster join;
-    # label and fold are keys, so the aggregate holds integers only
-    keep = keep.repartition("index")
+    # label and fold are keys, so the aggregate holds integers only and combines before the shuffle
     at = {m: i for i, m in enumerate(models)}
     here = [F.col("model") == m for m in models]
     wide = keep.groupBy("protocol", "index", "y_true", "fold").agg(
@@ -154,14 +157,74 @@ def merge_folds(parts: DataFrame, keys: Sequence[str] = (*PAIR, "pair_no"), n_cl
     return out.withColumn("label", one).drop("_hi")
 
 
+def _split_path(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per chunk its size and the splits that lead to it in a binary tree over the group's chunks.
+
+    ``path`` has (level, size, left) of the chunk's ancestors, highest first:
+    how many clusters the node holds and how many its left half does.  There
+    are as many levels as the binary logarithm of the chunks.
+    """
+    chunks = rows.groupBy(*keys, "chunk").agg(F.sum("n_clusters").alias("size"))
+    top = chunks.groupBy(*keys).agg(F.max("chunk").alias("_last"))
+    depth = F.when(F.col("_last") > 0, F.ceil(F.log2(F.col("_last") + F.lit(1.0))).cast("int")).otherwise(0)
+    levels = chunks.join(top, list(keys)).select(*keys, "chunk", "size", F.explode(F.sequence(F.lit(0), depth)).alias("level"))
+    nodes = levels.groupBy(*keys, "level", F.expr("shiftright(chunk, level)").alias("node")).agg(F.sum("size").alias("size"))
+    # a node's halves are the nodes of the level below
+    is_left = F.col("node") % 2 == 0
+    inner = nodes.groupBy(*keys, (F.col("level") + 1).alias("level"), F.expr("shiftright(node, 1)").alias("node")).agg(
+        F.sum("size").alias("size"), F.sum(F.when(is_left, F.col("size")).otherwise(0)).alias("left"))
+    above = levels.where("level > 0").select(*keys, "chunk", "level", F.expr("shiftright(chunk, level)").alias("node")).join(inner, [*keys, "level", "node"])
+    path = F.array_sort(F.collect_list(F.struct((-F.col("level")).alias("order"), "level", "size", "left")))
+    return chunks.withColumnRenamed("size", "chunk_size").join(above.groupBy(*keys, "chunk").agg(path.alias("path")), [*keys, "chunk"], "left")
+
+
+def _drawn(cols: list[str], reps: int, seed: int):
+    """Draws of one chunk in one block of repeats: per column the sums over the drawn clusters."""
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        block, chunk = int(first["block"]), int(first["chunk"])
+        stream = [seed, int(first["pair_no"]), int(first["label"]), zlib.crc32(first["protocol"].encode()), block]
+        times = reps * (block + 1) // _BLOCKS - reps * block // _BLOCKS
+        path = [] if first["path"] is None else first["path"]
+        n = np.full(times, int(path[0]["size"] if len(path) else first["chunk_size"]), dtype=np.int64)
+        for step in path:
+            # the same draw in all chunks below the node
+            level = int(step["level"])
+            left = np.random.default_rng([*stream, level, chunk >> level]).binomial(n, step["left"] / step["size"])
+            n = n - left if chunk >> (level - 1) & 1 else left
+        own = np.random.default_rng([*stream, 0, chunk])
+        pdf = pdf.sort_values(cols)
+        counts, matrix = pdf["n_clusters"].to_numpy(dtype=float), pdf[cols].to_numpy(dtype=float)
+        out = np.concatenate([own.multinomial(n[i:i + 128], counts / counts.sum()) @ matrix for i in range(0, times, 128)]) if times else np.zeros((0, len(cols)))
+        return pd.DataFrame([[*[first[c] for c in (*PAIR, "pair_no")], int(first["label"]), block, *out.T]], columns=[*PAIR, "pair_no", "label", "block", *cols])
+
+    return draw
+
+
+def _scores(sums: np.ndarray, n_classes: int) -> dict[str, np.ndarray]:
+    """Accuracies, macro-F1 and F1 differences from sums [label, model, predicted class, repeat]."""
+    rows = sums[:, 0].sum(axis=1)
+    out, f1 = {}, []
+    for i, s in enumerate("ab"):
+        hit = np.stack([sums[c, i, c] for c in range(n_classes)])
+        out[f"accuracy_{s}"] = hit.sum(axis=0) / rows.sum(axis=0)
+        den = rows + sums[:, i].sum(axis=0)
+        f1.append(np.where(den > 0, 2.0 * hit / np.where(den > 0, den, 1), 0.0))
+    out["delta_accuracy"] = out["accuracy_a"] - out["accuracy_b"]
+    out["delta_macro_f1"] = f1[0].mean(axis=0) - f1[1].mean(axis=0)
+    return out | {f"delta_f1_{c}": f1[0][c] - f1[1][c] for c in range(n_classes)}
+
+
 def bootstrap(contrib: DataFrame, reps: int = 10_000, confidence: float = 0.95, seed: int = C.SEED, n_classes: int = 4) -> DataFrame:
     """Paired cluster bootstrap, stratified by true class.
 
     Clusters with the same counts are interchangeable, so a resample of k
     clusters is a multinomial draw over the distinct count rows.  Those rows
-    are cut into chunks of bounded size; a chunk first draws its share of the
-    k clusters (the same draw in every chunk, by a shared seed), then spreads
-    it over its rows.  The distribution equals resampling whole clusters.
+    are cut into chunks of bounded size, and k is split down a binary tree over
+    the chunks, every node by a binomial draw of its own seed; a chunk repeats
+    the draws on its path only, then spreads its share over its rows.  Repeats
+    are dealt in blocks to tasks.  The distribution equals resampling whole
+    clusters, and draws depend on seeds alone, not on how Spark deals the work.
     """
     keys = [*PAIR, "pair_no"]
     cols = [f"{s}_{c}" for s in "ab" for c in range(n_classes)]
@@ -169,60 +232,46 @@ def bootstrap(contrib: DataFrame, reps: int = 10_000, confidence: float = 0.95,
     rows = cut_lineage(rows, "patterns")
     rows = rows.withColumn("_digest", hashing.seeded_digest(0, *[F.col(c).cast("string") for c in cols]))
     rows = rk.with_row_number(rows, [*keys, "label"], rk.digest_bucket(F.col("_digest")), [F.col("_digest")], "_no")
-    rows = rows.withColumn("chunk", F.floor((F.col("_no") - 1) / _CHUNK).cast("int")).drop("_digest", "_no")
-    sizes = rows.groupBy(*keys, "label", "chunk").agg(F.sum("n_clusters").alias("size"))
-    sizes = sizes.groupBy(*keys, "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "size"))), lambda s: s["size"]).alias("chunk_sizes"))
-    work = rows.join(sizes, [*keys, "label"])
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        sizes_ = np.asarray(first["chunk_sizes"], dtype=np.int64)
-        k, chunk = int(sizes_.sum()), int(first["chunk"])
-        stream = [seed, int(first["pair_no"]), int(first["label"]), zlib.crc32(first["protocol"].encode())]
-        ns = np.full(reps, k, dtype=np.int64)
-        if len(sizes_) > 1:
-            shared = np.random.default_rng(stream)
-            ns = np.concatenate([shared.multinomial(k, sizes_ / k, size=min(128, reps - i))[:, chunk] for i in range(0, reps, 128)])
-        own = np.random.default_rng([*stream, 1 + chunk])
-        pdf = pdf.sort_values(cols)
-        counts = pdf["n_clusters"].to_numpy(dtype=float)
-        matrix = pdf[cols].to_numpy(dtype=np.int64)
-        out = np.empty((reps, len(cols)), dtype=np.int64)
-        for i in range(0, reps, 128):
-            out[i:i + 128] = own.multinomial(ns[i:i + 128], counts / counts.sum()) @ matrix
-        return pd.DataFrame([[*[first[c] for c in keys], int(first["label"]), *out.T]], columns=[*keys, "label", *cols])
-
-    schema = ("protocol string, family string, model_a string, model_b string, pair_no int, label int, "
-              + ", ".join(f"{c} array<bigint>" for c in cols))
+    rows = cut_lineage(rows.withColumn("chunk", F.floor((F.col("_no") - 1) / _CHUNK).cast("int")).drop("_digest", "_no"), "patterns")
+    work = rows.join(_split_path(rows, [*keys, "label"]), [*keys, "label", "chunk"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(_BLOCKS - 1))))
+    columns = ", ".join(f"{c} array<double>" for c in cols)
+    pair = "protocol string, family string, model_a string, model_b string, "
     # few small groups with much work each: keep them apart instead of letting
     # adaptive execution merge them into one task
     parts = int(contrib.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    draws = work.repartition(parts, *keys, "label", "chunk").groupBy(*keys, "label", "chunk").applyInPandas(draw, schema)
-    draws = draws.select(*keys, "label", F.posexplode(F.arrays_zip(*cols)).alias("rep", "_d")).select(*keys, "label", "rep", "_d.*")
-    own = {(s, c): F.when(F.col("label") == c, F.col(f"{s}_{c}")).otherwise(0) for s in "ab" for c in range(n_classes)}
-    size = sum((F.col(f"a_{c}") for c in range(1, n_classes)), F.col("a_0"))
-    sums = [F.sum(own[k]).alias(f"tp_{k[0]}{k[1]}") for k in own] + [F.sum(f"{s}_{c}").alias(f"col_{s}{c}") for s, c in own]
-    sums += [F.sum(F.when(F.col("label") == c, size).otherwise(0)).alias(f"row_{c}") for c in range(n_classes)]
-    scored = draws.groupBy(*keys, "rep").agg(F.sum(size).alias("n_rows"), *sums)
-    for s in "ab":
-        hits = sum((F.col(f"tp_{s}{c}") for c in range(1, n_classes)), F.col(f"tp_{s}0"))
-        scored = scored.withColumn(f"acc_{s}", hits / F.col("n_rows"))
-        for c in range(n_classes):
-            den = F.col(f"row_{c}") + F.col(f"col_{s}{c}")
-            scored = scored.withColumn(f"f{c}_{s}", F.when(den > 0, 2.0 * F.col(f"tp_{s}{c}") / den).otherwise(0.0))
-        scored = scored.withColumn(f"mf_{s}", sum((F.col(f"f{c}_{s}") for c in range(1, n_classes)), F.col(f"f0_{s}")) / float(n_classes))
+    draws = work.repartition(max(parts, _BLOCKS), *keys, "label", "chunk", "block").groupBy(*keys, "label", "chunk", "block").applyInPandas(_drawn(cols, reps, seed), f"{pair}pair_no int, label int, block int, {columns}")
+    names = ["accuracy_a", "accuracy_b", "delta_accuracy", "delta_macro_f1", *[f"delta_f1_{c}" for c in range(n_classes)]]
+    schema = f"{pair}block int, " + ", ".join(f"{n} array<double>" for n in names)
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # chunks are added as they come; what is held is one block of repeats
+        total, head = None, None
+        for part in batches:
+            if len(part) and head is None:
+                head = [part[c][0].as_py() for c in (*PAIR, "block")]
+            label = part["label"].to_pylist()
+            for j, c in enumerate(cols):
+                for i, values in zip(label, part[c], strict=True):
+                    values = values.values.to_numpy()
+                    total = np.zeros((n_classes, 2, n_classes, len(values))) if total is None else total
+                    total[i, j // n_classes, j % n_classes] += values
+        found = _scores(total, n_classes)
+        yield pa.RecordBatch.from_arrays([*[pa.array([h], f.type) for h, f in zip(head, arrow, strict=False)], *[pa.array([found[n]], pa.list_(pa.float64())) for n in names]], schema=arrow)
+
+    scored = draws.repartition(parts, *PAIR, "block").groupBy(*PAIR, "block").applyInArrow(merge, schema)
     lo, hi = (1 - confidence) / 2, 1 - (1 - confidence) / 2
-    spec = {"delta_accuracy": F.col("acc_a") - F.col("acc_b"), "delta_macro_f1": F.col("mf_a") - F.col("mf_b"),
-            "accuracy_a": F.col("acc_a"), "accuracy_b": F.col("acc_b"),
-            **{f"delta_f1_{c}": F.col(f"f{c}_a") - F.col(f"f{c}_b") for c in range(n_classes)}}
-    aggs = []
-    for name, x in spec.items():
+    ends = [f"{n}_ci_{e}" for n in names for e in ("low", "high")]
+    middle = [f"{n}_bootstrap_median" for n in ("delta_accuracy", "delta_macro_f1")]
+
+    def intervals(pdf: pd.DataFrame) -> pd.DataFrame:
         # exactly ``reps`` values per pair
-        q = F.percentile(x, F.array(F.lit(lo), F.lit(0.5), F.lit(hi)))
-        aggs += [q[0].alias(f"{name}_ci_low"), q[2].alias(f"{name}_ci_high")]
-        if name in ("delta_accuracy", "delta_macro_f1"):
-            aggs.append(q[1].alias(f"{name}_bootstrap_median"))
-    return scored.groupBy(*PAIR).agg(F.count(F.lit(1)).cast("int").alias("bootstrap_reps"), *aggs)
+        pdf = pdf.sort_values("block")
+        all_ = {n: np.concatenate(pdf[n].to_list()) for n in names}
+        found = [x for n in names for x in np.percentile(all_[n], [100 * lo, 100 * hi])] + [float(np.median(all_[n.removesuffix("_bootstrap_median")])) for n in middle]
+        return pd.DataFrame([[*[pdf[c].iloc[0] for c in PAIR], len(all_[names[0]]), *found]], columns=[*PAIR, "bootstrap_reps", *ends, *middle])
+
+    return scored.groupBy(*PAIR).applyInPandas(intervals, f"{pair}bootstrap_reps int, " + ", ".join(f"{c} double" for c in (*ends, *middle)))
 
 
 def sign_flip(contrib: DataFrame, reps: int = 100_000, seed: int = C.SEED, exact_up_to: int = 20) -> DataFrame:
