@@ -1,8 +1,9 @@
 """Ranks, prefix sums and exact percentiles that survive one hot group.
 
-A plain window sends a whole group to one task.  Here the order inside a group
-is cut by a monotone bucket of the order key: a histogram (group, bucket) gives
-the offset of every bucket, and the window runs inside (group, bucket) only.
+A plain window sends a whole group to one task.  Here rows are dealt to ranges
+of (group, order) whose bounds Spark samples from the data, whatever their type
+and however densely values lie; a table (group, range) gives the offset of every
+range, and the window runs inside (group, range) only.
 """
 from __future__ import annotations
 
@@ -11,73 +12,59 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Steps per power of two in :func:`double_bucket`.
-_STEPS = 4096
-
-
-def double_bucket(value: Column) -> Column:
-    """Monotone integer bucket of a double: binary exponent and leading digits.
-
-    Needs no pass over the data and no boundaries; rounding in ``log2`` cannot
-    break the order because the two ways of writing a power of two meet in the
-    same bucket.
-    """
-    v = value.cast("double")
-    mag = F.abs(v)
-    exp = F.floor(F.log2(mag))
-    idx = (exp + 1100) * _STEPS + F.floor((mag / F.pow(F.lit(2.0), exp) - 1) * _STEPS)
-    return F.when(v == 0, F.lit(0)).when(v > 0, idx).otherwise(-idx).cast("long")
-
+from strainlens.session import cut_lineage
 
 def digest_bucket(digest: Column) -> Column:
     """Monotone bucket of a hexadecimal digest."""
     return F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
 
 
-def with_prefix_sums(
-    df: DataFrame,
-    keys: Sequence[str],
-    bucket: Column,
-    order: Sequence[Column],
-    weights: Mapping[str, Column],
-) -> DataFrame:
+def ordered_ranges(df: DataFrame, order: Sequence[Column], name: str = "_part", parts: int | None = None) -> DataFrame:
+    """``df`` written in ranges of ``order``, numbered in that order by ``name``.
+
+    Ranges hold about as many rows each; rows of equal order stay together.
+    The table is stored, so every reader sees the same ranges.
+    """
+    dealt = df.repartitionByRange(*([parts] if parts else []), *order)
+    return cut_lineage(dealt.withColumn(name, F.spark_partition_id()), "ranges")
+
+
+def with_prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], weights: Mapping[str, Column], parts: int | None = None) -> DataFrame:
     """Add ``<name>_before`` (sum of the weight over rows ordered strictly
     before this one in its group) and ``<name>_total`` (sum over the group).
 
-    ``bucket`` must not decrease along ``order``; ties in ``order`` are broken
-    arbitrarily, so pass a full order or collapse equal rows first.
+    Ties in ``order`` are broken arbitrarily and stay in one range, so pass a
+    full order or collapse equal rows first.
     """
     keys = list(keys)
-    work = df.withColumn("_bucket", bucket)
-    for name, w in weights.items():
-        work = work.withColumn(f"_w_{name}", w)
-    hist = work.groupBy(*keys, "_bucket").agg(*[F.sum(f"_w_{n}").alias(f"_s_{n}") for n in weights])
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    work = df.select("*", *[w.alias(f"_w_{n}") for n, w in weights.items()])
+    work = ordered_ranges(work, [*[F.col(k) for k in keys], *order], parts=parts)
+    hist = work.groupBy(*keys, "_part").agg(*[F.sum(f"_w_{n}").alias(f"_s_{n}") for n in weights])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     offsets = hist.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_bucket").alias("_k_bucket"),
+        F.col("_part").alias("_k_part"),
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in weights],
         *[F.sum(f"_s_{n}").over(whole).alias(f"{n}_total") for n in weights],
     )
-    inner = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    for n in weights:
-        work = work.withColumn(f"_in_{n}", F.coalesce(F.sum(f"_w_{n}").over(inner), F.lit(0)))
-    cond = work["_bucket"] == offsets["_k_bucket"]
+    inner = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    work = work.select("*", *[F.coalesce(F.sum(f"_w_{n}").over(inner), F.lit(0)).alias(f"_in_{n}") for n in weights])
+    cond = work["_part"] == offsets["_k_part"]
     for k in keys:
         cond = cond & work[k].eqNullSafe(offsets[f"_k_{k}"])
     out = work.join(offsets, cond)
     for n in weights:
         out = out.withColumn(f"{n}_before", F.col(f"_in_{n}") + F.col(f"_off_{n}"))
-    drop = ["_bucket", "_k_bucket", *[f"_k_{k}" for k in keys]]
+    drop = ["_part", "_k_part", *[f"_k_{k}" for k in keys]]
     for n in weights:
         drop += [f"_w_{n}", f"_in_{n}", f"_off_{n}"]
     return out.drop(*drop)
 
 
-def with_row_number(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], name: str = "rn") -> DataFrame:
+def with_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rn", parts: int | None = None) -> DataFrame:
     """1-based row number per group without a whole-group window."""
-    out = with_prefix_sums(df, keys, bucket, order, {"_n": F.lit(1).cast("long")})
+    out = with_prefix_sums(df, keys, order, {"_n": F.lit(1).cast("long")}, parts)
     return out.withColumn(name, F.col("_n_before") + 1).drop("_n_before", "_n_total")
 
 
@@ -98,7 +85,7 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     map-side aggregate before anything is ordered.
     """
     counts = value_counts(df, keys, value)
-    out = with_prefix_sums(counts, keys, double_bucket(F.col(value)), [F.col(value)], {"cnt": F.col("cnt")})
+    out = with_prefix_sums(counts, keys, [F.col(value)], {"cnt": F.col("cnt")})
     return out.withColumn("avg_rank", F.col("cnt_before") + (F.col("cnt") + 1) / 2.0)
 
 

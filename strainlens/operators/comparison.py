@@ -231,7 +231,7 @@ def bootstrap(contrib: DataFrame, reps: int = 10_000, confidence: float = 0.95,
     rows = contrib.groupBy(*keys, "label", *cols).agg(F.count(F.lit(1)).alias("n_clusters"))
     rows = cut_lineage(rows, "patterns")
     rows = rows.withColumn("_digest", hashing.seeded_digest(0, *[F.col(c).cast("string") for c in cols]))
-    rows = rk.with_row_number(rows, [*keys, "label"], rk.digest_bucket(F.col("_digest")), [F.col("_digest")], "_no")
+    rows = rk.with_row_number(rows, [*keys, "label"], [F.col("_digest")], "_no")
     rows = cut_lineage(rows.withColumn("chunk", F.floor((F.col("_no") - 1) / _CHUNK).cast("int")).drop("_digest", "_no"), "patterns")
     work = rows.join(_split_path(rows, [*keys, "label"]), [*keys, "label", "chunk"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(_BLOCKS - 1))))
     columns = ", ".join(f"{c} array<double>" for c in cols)

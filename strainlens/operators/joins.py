@@ -81,12 +81,12 @@ def first_key_starting_with(ids: DataFrame, mapping: DataFrame, id_col: str, key
 def occurrence_join(features: DataFrame, target: DataFrame, keys: Sequence[str], feature_pos: str, target_pos: str) -> DataFrame:
     """Rows with the same keys are matched first-in first-out.
 
-    The n-th occurrence on one side meets the n-th on the other; numbering is
-    bucketed, so one key holding most rows is still spread.  ``status`` is
+    The n-th occurrence on one side meets the n-th on the other; numbering runs
+    in ranges of (key, place), so one key holding most rows is still spread.  ``status`` is
     matched, missing (target row without a feature row) or leftover.
     """
     def numbered(df, pos):
-        return rk.with_row_number(df, keys, F.expr(f"{pos} div 65536"), [F.col(pos)], "_rn")
+        return rk.with_row_number(df, keys, [F.col(pos)], "_rn")
     f = numbered(features, feature_pos).withColumn("_f", F.lit(1))
     t = numbered(target, target_pos).withColumn("_t", F.lit(1))
     out = t.join(f, [*keys, "_rn"], "full_outer")

@@ -117,8 +117,7 @@ def score_steps(df: DataFrame, keys: Sequence[str], score: str = "score", positi
     rule "score at or above this one"."""
     work = df.groupBy(*keys, F.col(score).alias("score")).agg(
         F.sum(positive).cast("bigint").alias("pos"), (F.count(F.lit(1)) - F.sum(positive)).cast("bigint").alias("neg"))
-    out = rk.with_prefix_sums(work, keys, -rk.double_bucket(F.col("score")), [F.col("score").desc()],
-                              {"pos": F.col("pos"), "neg": F.col("neg")})
+    out = rk.with_prefix_sums(work, keys, [F.col("score").desc()], {"pos": F.col("pos"), "neg": F.col("neg")})
     return (out.withColumn("tp", F.col("pos_before") + F.col("pos")).withColumn("fp", F.col("neg_before") + F.col("neg")))
 
 

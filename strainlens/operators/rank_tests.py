@@ -26,7 +26,7 @@ def group_value_table(df: DataFrame, keys: Sequence[str], group: str, groups: Se
         .agg(*[F.count_if(F.col(group) == g).alias(f"n_{i}") for i, g in enumerate(groups)])
     )
     weights = {f"n_{i}": F.col(f"n_{i}") for i in range(len(groups))}
-    return rk.with_prefix_sums(counts, keys, rk.double_bucket(F.col("value")), [F.col("value")], weights)
+    return rk.with_prefix_sums(counts, keys, [F.col("value")], weights)
 
 
 def _total(k: int, suffix: str = ""):
@@ -161,7 +161,7 @@ def signed_rank_pairs(df: DataFrame, keys: Sequence[str], group: str, pairs: Seq
     rows = rows.withColumn("_abs", F.round(F.abs("_d"), 8))
     counts = rows.groupBy(*by, "_abs").agg(F.count(F.lit(1)).alias("_t"), F.count_if(F.col("_d") > 0).alias("_pos"))
     nonzero = counts.filter(F.col("_abs") > 0)
-    ranked = rk.with_prefix_sums(nonzero, by, rk.double_bucket(F.col("_abs")), [F.col("_abs")], {"t": F.col("_t")})
+    ranked = rk.with_prefix_sums(nonzero, by, [F.col("_abs")], {"t": F.col("_t")})
     r = F.col("t_before") + (F.col("_t") + 1) / 2.0
     stats = ranked.groupBy(*by).agg(
         F.sum(F.col("_pos") * r).alias("w_plus"), F.sum((F.col("_t") - F.col("_pos")) * r).alias("w_minus"),

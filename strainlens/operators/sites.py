@@ -334,7 +334,7 @@ _BLOCK = 1000
 
 
 def _ordinals(aligned: DataFrame, keys: Sequence[str], label: str, seq_id: str) -> DataFrame:
-    return rk.with_row_number(aligned, [*keys, label], F.expr(f"{seq_id} div 4096"), [F.col(seq_id)], "_no").withColumn("_no", F.col("_no") - 1)
+    return rk.with_row_number(aligned, [*keys, label], [F.col(seq_id)], "_no").withColumn("_no", F.col("_no") - 1)
 
 
 def sampled_identity(aligned: DataFrame, most: int, keys: Sequence[str] = ("region",), label: str = "class", seq_id: str = "seq_id", sequence: str = "aligned",

@@ -165,7 +165,7 @@ def cluster_folds(members: DataFrame, key: str, cluster: str, k: int = C.FOLDS)
     hist = clusters.groupBy(key, "size").agg(F.count(F.lit(1)).alias("n"))
     segments = fill_order(hist, key, k)
     # stable order inside one size: cluster id, numbered without a whole-group window
-    numbered = rk.with_row_number(clusters, [key, "size"], F.expr(f"{cluster} div 65536"), [F.col(cluster)], "_no")
+    numbered = rk.with_row_number(clusters, [key, "size"], [F.col(cluster)], "_no")
     numbered = numbered.withColumn("_no", F.col("_no") - 1)
     joined = numbered.join(segments, [key, "size"]).filter((F.col("_no") >= F.col("first")) & (F.col("_no") <= F.col("last")))
     slot = F.pmod(F.col("_no") - F.col("first"), F.size("folds").cast("bigint")).cast("int")
@@ -197,20 +197,25 @@ def weighted_draws(df: DataFrame, weight: str, draws: int, *id_cols: str, seed:
     """``draws`` records drawn with replacement in proportion to ``weight``.
 
     Integer weights are laid out as consecutive ranges; draw d picks a seeded
-    uniform point.  Points and ranges meet in equal-width cells, an equi join
-    that no single weight can overload.
+    uniform point.  Range starts and points are sorted together: a point takes
+    the last start at or before it, from its own stretch of the order or, at a
+    stretch's beginning, from the last one before that has any.  The work is
+    linear in records and draws, and a heavy record is no hot key.
     """
     work = df.withColumn("_digest", hashing.seeded_digest(seed, *id_cols))
-    ranges = rk.with_prefix_sums(work, [], rk.digest_bucket(F.col("_digest")), [F.col("_digest"), *[F.col(c) for c in id_cols]], {"w": F.col(weight).cast("bigint")})
-    ranges = ranges.filter(F.col(weight) > 0)
+    order = [F.col("_digest"), *[F.col(c) for c in id_cols]]
+    ranges = rk.with_prefix_sums(work, [], order, {"w": F.col(weight).cast("bigint")}).filter(F.col(weight) > 0)
+    starts = ranges.select(F.col("w_before").alias("_at"), F.lit(None).cast("bigint").alias("draw"), F.struct(*df.columns).alias("_row"))
     total = df.agg(F.sum(F.col(weight).cast("bigint"))).scalar()
-    cell = F.expr("greatest(1L, w_total div 65536)")
-    lo, hi = F.col("w_before"), F.col("w_before") + F.col(weight).cast("bigint") - 1
-    cells = ranges.withColumn("_size", cell)
-    cells = cells.withColumn("_cell", F.explode(F.sequence(F.expr("w_before div _size"), F.expr(f"(w_before + cast({weight} as bigint) - 1) div _size"))))
     points = df.sparkSession.range(draws).select(F.col("id").alias("draw"))
     u = hashing.digest_uniform(hashing.seeded_digest(seed, F.lit("draw"), F.col("draw").cast("string")))
-    points = points.withColumn("_t", total).withColumn("_point", F.least(F.floor(u * F.col("_t")), F.col("_t") - 1))
-    points = points.withColumn("_cell", F.expr("_point div greatest(1L, _t div 65536)"))
-    hit = cells.join(points, "_cell").filter((F.col("_point") >= lo) & (F.col("_point") <= hi))
-    return hit.select("draw", *df.columns)
+    points = points.withColumn("_t", total).filter("_t > 0").select(F.least(F.floor(u * F.col("_t")), F.col("_t") - 1).alias("_at"), "draw")
+    both = rk.ordered_ranges(starts.unionByName(points, allowMissingColumns=True), [F.col("_at"), F.col("draw").asc_nulls_first()])
+    # the last record of each range of the order, carried to the ranges behind it
+    last = both.filter(F.col("_row").isNotNull()).groupBy("_part").agg(F.max_by("_row", "_at").alias("_last"))
+    spans = both.select("_part").distinct().join(last, "_part", "left")
+    carried = F.last("_last", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.select("_part", carried.alias("_carried"))
+    here = Window.partitionBy("_part").orderBy("_at", F.col("draw").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    hit = both.withColumn("_own", F.last("_row", ignorenulls=True).over(here)).filter(F.col("draw").isNotNull())
+    return hit.join(spans, "_part").select("draw", F.coalesce("_own", "_carried").alias("_row")).select("draw", "_row.*")

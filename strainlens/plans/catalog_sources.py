@@ -165,7 +165,7 @@ def split_json(spark, sf):
 def recovered_predictions(spark, sf):
     p = views.predictions(spark, sf).select("protocol", "model", "fold", "index", "y_true", "y_pred")
     order = p.filter(F.col("model") == "m1").select("protocol", "fold", "index")
-    order = rk.with_row_number(order, ["protocol", "fold"], F.expr("index div 65536"), [F.col("index")], "ordinal")
+    order = rk.with_row_number(order, ["protocol", "fold"], [F.col("index")], "ordinal")
     stored = p.filter(F.col("model") != "m1").join(order, ["protocol", "fold", "index"]).drop("index")
     path = scratch_path(spark, "legacy-predictions")
     stored.write.mode("overwrite").partitionBy("protocol", "model").parquet(path)

@@ -48,7 +48,7 @@ def write_listing(members: DataFrame, path: str, cluster: str = "cluster_id", me
     # representative first, then in seeded order of the member id
     digest = hashing.seeded_digest(0, member)
     work = members.withColumn("_digest", F.when(F.col("is_representative"), F.lit("0" * 32)).otherwise(digest))
-    numbered = rk.with_row_number(work, [partition, cluster], rk.digest_bucket(F.col("_digest")), [F.col("_digest"), F.col(member)], "_no")
+    numbered = rk.with_row_number(work, [partition, cluster], [F.col("_digest"), F.col(member)], "_no")
     numbered = numbered.withColumn("_no", F.col("_no") - 1).withColumn("_chunk", F.expr(f"_no div {_BLOCK}"))
     star = F.when(F.col("is_representative"), F.lit("*")).otherwise(F.lit("at +/99.00%"))
     line = F.concat(F.col("_no").cast("string"), F.lit("\t10nt, >"), F.col(member), F.lit("... "), star)

@@ -21,10 +21,35 @@ def mean_ranks(values):
     return np.array([(values < v).sum() + ((values == v).sum() + 1) / 2 for v in values])
 
 
-def test_bucket_is_monotone(spark):
-    vals = sorted([0.0, -0.0, 1e-300, -1e-300, 1.0, 0.9999999999999999, 1.0000000000000002, -1.0, 1024.0, 1023.9999999999999, 3.5, -7.25, 1e300])
-    got = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "v double").coalesce(1).select(rk.double_bucket(F.col("v"))).collect()]
-    assert got == sorted(got)
+def spread(df, name="_part"):
+    return [r["count"] for r in df.groupBy(name).count().collect()]
+
+
+@pytest.mark.parametrize("kind", ["near one", "sparse", "text"])
+def test_ranges_are_even_where_values_lie_densely(spark, kind):
+    rng = np.random.default_rng(2)
+    n = 20_000
+    if kind == "near one":
+        # nine of ten scores between 0.9998 and 1, all in one group
+        values = [float(1 - 2e-4 * rng.random()) if i % 10 else float(rng.random()) for i in range(n)]
+        df = spark.createDataFrame([("hot", v) for v in values], "k string, v double")
+    elif kind == "sparse":
+        df = spark.createDataFrame([("hot", int(v)) for v in rng.integers(-2**62, 2**62, n)], "k string, v bigint")
+    else:
+        df = spark.createDataFrame([("hot", f"cluster-{v:07d}") for v in rng.permutation(n)], "k string, v string")
+    sizes = spread(rk.ordered_ranges(df, [F.col("k"), F.col("v")], parts=16))
+    assert sum(sizes) == n and max(sizes) < 2 * n / 16
+    got = rk.with_row_number(df, ["k"], [F.col("v")], parts=16).toPandas().sort_values("v")
+    assert list(got["rn"]) == list(range(1, n + 1))
+
+
+def test_percentiles_of_scores_near_one(spark):
+    rng = np.random.default_rng(6)
+    values = np.concatenate([1 - 2e-4 * rng.random(4500), rng.random(500)])
+    df = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 0.5)], "k string, v double")
+    q = {r.k: r for r in rk.exact_percentiles(df, ["k"], "v", {"low": .05, "mid": .5, "top": .999}).collect()}
+    assert (q["a"].low, q["a"].mid, q["a"].top) == pytest.approx(tuple(np.percentile(values, [5, 50, 99.9])), rel=1e-12)
+    assert (q["b"].low, q["b"].top) == (0.5, 0.5)
 
 
 def test_average_rank_and_percentiles_match_brute_force(spark):
@@ -42,7 +67,7 @@ def test_average_rank_and_percentiles_match_brute_force(spark):
 
 def test_row_numbers_are_contiguous(spark):
     df = spark.range(5000).select((F.col("id") % 3 == 0).alias("k"), "id")
-    out = rk.with_row_number(df, ["k"], F.expr("id div 100"), [F.col("id")])
+    out = rk.with_row_number(df, ["k"], [F.col("id")], parts=9)
     for k, part in out.toPandas().groupby("k"):
         assert list(part.sort_values("id")["rn"]) == list(range(1, len(part) + 1))
 
