@@ -11,6 +11,7 @@ from strainlens import constants as C
 from strainlens.functions import ranking as rk
 from strainlens.functions import text
 from strainlens.functions.arrays import let
+from strainlens.operators import prefixes
 
 def lookup_index(ids: DataFrame, mapping: DataFrame, id_col: str, key: str, index: str) -> tuple[DataFrame, DataFrame]:
     """Ids with their index, and the ids that have none."""
@@ -25,40 +26,22 @@ def require_mapped(missing: DataFrame, id_col: str) -> None:
         raise ValueError(f"ids without an index: {first}")
 
 
-def _prefixes(keys: DataFrame, ids: DataFrame) -> DataFrame:
-    """Key prefixes of every length that occurs among the ids (usually one:
-    truncation cuts at a fixed width)."""
-    lengths = ids.agg(F.collect_set(F.length("_id"))).scalar()
-    work = keys.withColumn("_lens", lengths)
-    n = F.explode(F.filter("_lens", lambda x: x <= F.length("_k"))).alias("_n")
-    return work.select(*keys.columns, n).withColumn("_p", F.expr("substring(_k, 1, _n)"))
-
-
 def prefix_lookup(ids: DataFrame, mapping: DataFrame, id_col: str, key: str, index: str) -> DataFrame:
     """Index of possibly truncated ids: exact match first, then either id being
     a prefix of the other.
 
     Adds ``index``, ``how`` (exact, prefix, ambiguous, missing) and
-    ``n_matches``.  Both directions are equi joins on whole prefixes.  Key
-    prefixes are aggregated before they are joined, so an id that begins a
-    third of all keys still meets one row, and no block of near ids is ever
-    compared pair by pair.
+    ``n_matches``, from one sorted merge of keys and ids; an id that begins a
+    third of all keys takes their sums, not their rows.
     """
-    keys = mapping.groupBy(F.col(key).alias("_k")).agg(F.min(index).alias("_lo"), F.max(index).alias("_hi"), F.count(F.lit(1)).alias("_copies"))
-    wanted = ids.select(F.col(id_col).alias("_id")).distinct()
-    exact = wanted.join(keys, F.col("_id") == F.col("_k"), "left")
-    hit = exact.filter(F.col("_k").isNotNull()).select("_id", F.col("_lo").alias("index"), F.lit("exact").alias("how"), F.col("_copies").alias("n_matches"))
-    rest = exact.filter(F.col("_k").isNull()).select("_id")
-    longer = _prefixes(keys, rest).groupBy("_p").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.count(F.lit(1)).alias("_m"))
-    forward = rest.join(longer, F.col("_id") == F.col("_p")).select("_id", "_lo", "_hi", "_m")
-    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("_id") - 1, F.lit(1))), lambda n: F.substring("_id", F.lit(1), n))
-    backward = rest.select("_id", F.explode(cuts).alias("_k")).join(keys, "_k").select("_id", "_lo", "_hi", F.lit(1).cast("bigint").alias("_m"))
-    rolled = forward.unionByName(backward).groupBy("_id").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.sum("_m").alias("_m"))
-    loose = rest.join(rolled, "_id", "left").select(
-        "_id", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("index"),
-        F.when(F.col("_lo").isNull(), "missing").when(F.col("_lo") == F.col("_hi"), "prefix").otherwise("ambiguous").alias("how"),
-        F.coalesce("_m", F.lit(0)).cast("bigint").alias("n_matches"))
-    table = hit.unionByName(loose)
+    found = prefixes.prefix_sums(mapping, ids, key, index, id_col)
+    low, high = F.least("below_low", "above_low"), F.greatest("below_high", "above_high")
+    n = F.col("below_n") + F.col("above_n")
+    exact = F.col("copies") > 0
+    table = found.select(
+        F.col("id").alias("_id"), F.when(exact, F.col("own_low")).when(low == high, low).alias("index"),
+        F.when(exact, "exact").when(n == 0, "missing").when(low == high, "prefix").otherwise("ambiguous").alias("how"),
+        F.when(exact, F.col("copies")).otherwise(n).cast("bigint").alias("n_matches"))
     return ids.join(table, ids[id_col] == table["_id"], "left").drop("_id")
 
 
@@ -71,11 +54,9 @@ def require_unambiguous(resolved: DataFrame, id_col: str) -> DataFrame:
 def first_key_starting_with(ids: DataFrame, mapping: DataFrame, id_col: str, key: str, order: str) -> DataFrame:
     """One-way variant: an exact key, else the first key (in order) that starts
     with the id."""
-    wanted = ids.select(F.col(id_col).alias("_id")).distinct()
-    keys = mapping.select(F.col(key).alias("_k"), F.col(order).alias("_o"))
-    rank = F.struct((F.length("_k") != F.col("_n")).cast("int").alias("e"), F.col("_o").alias("o"), F.col("_k").alias("k"))
-    best = _prefixes(keys, wanted).groupBy("_p").agg(F.min(rank).alias("_b"))
-    return ids.join(best, ids[id_col] == best["_p"], "left").select(*ids.columns, F.col("_b.k").alias("matched_key"))
+    found = prefixes.prefix_sums(mapping, ids, key, order, id_col)
+    best = found.select(F.col("id").alias("_id"), F.coalesce("own_key", "below_key").alias("matched_key"))
+    return ids.join(best, ids[id_col] == best["_id"], "left").drop("_id")
 
 
 def occurrence_join(features: DataFrame, target: DataFrame, keys: Sequence[str], feature_pos: str, target_pos: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strainlens.operators import checks, joins, splits
+from strainlens.operators import checks, joins, prefixes, splits
 
 
 def test_prefix_lookup_matches_brute_force(spark):
@@ -22,6 +22,59 @@ def test_prefix_lookup_matches_brute_force(spark):
         assert got[i] == (hits.pop() if how == "prefix" else None, how), i
 
 
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_prefixes_open_across_ranges(spark, parts):
+    rng = random.Random(parts)
+    # one id begins most keys, and keys that begin most ids nest
+    keys = [("ab" * rng.randint(0, 12) + rng.choice(["", "a", "c", "é", "\U0001F600"]), rng.randint(0, 30)) for _ in range(300)] + [("", 3), (None, 1)]
+    ids = [("ab" * rng.randint(0, 14) + rng.choice(["", "a", "b", "cz", "é"]),) for _ in range(200)] + [("ab",), ("a",), ("zz",), ("",), (None,)]
+    got = {r.id: r for r in prefixes.prefix_sums(spark.createDataFrame(keys, "k string, n bigint"), spark.createDataFrame(ids, "i string"), "k", "n", "i", parts).collect()}
+    assert set(got) == {i for i, in ids if i is not None}
+    low, high = {}, {}
+    for k, n in keys:
+        if k is not None:
+            low[k], high[k] = min(low.get(k, 99), n), max(high.get(k, -1), n)
+    for i, r in got.items():
+        below = [k for k in low if k.startswith(i) and k != i]
+        above = [k for k in low if k and i.startswith(k) and k != i]
+        for hits, name in ((below, "below"), (above, "above"), ([i] if i in low else [], "own")):
+            best = min((low[k], k) for k in hits) if hits else (None, None)
+            assert (r[f"{name}_n"], r[f"{name}_low"], r[f"{name}_key"], r[f"{name}_high"]) == (len(hits), *best, max((high[k] for k in hits), default=None)), (i, name)
+        assert r.copies == sum(k == i for k, _ in keys)
+
+
+def test_prefix_lookup_plan(spark):
+    ids, keys = spark.createDataFrame([("a",)], "i string"), spark.createDataFrame([("ab", 1)], "k string, n int")
+    out = joins.prefix_lookup(ids, keys, "i", "k", "n")
+    # two exchanges before the stored ranges, the rest here; no side is joined by anything but whole ids
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 4 and "NestedLoop" not in plan and "Cartesian" not in plan
+    assert [tuple(r) for r in out.collect()] == [("a", 1, "prefix", 1)]
+
+
+def test_numbering_of_text_and_sparse_ids(spark):
+    rng = random.Random(2)
+    f = spark.createDataFrame([(rng.choice("ab"), f"p{rng.random():.9f}", i) for i in range(400)], "id string, fpos string, n int")
+    t = spark.createDataFrame([(rng.choice("ab"), rng.randint(-2**62, 2**62), i) for i in range(380)], "id string, tpos bigint, m int")
+    got = {r.m: r.n for r in joins.occurrence_join(f, t, ["id"], "fpos", "tpos").filter("status = 'matched'").collect()}
+    for k in "ab":
+        one = [r.n for r in sorted(f.collect(), key=lambda r: r.fpos) if r.id == k]
+        two = [r.m for r in sorted(t.collect(), key=lambda r: r.tpos) if r.id == k]
+        assert all(got[m] == n for m, n in zip(two, one, strict=False)) and len(got) <= 380
+    rows = [("x", f"cluster {rng.random()}", j) for i in range(90) for j in range(1 + i % 3)]
+    names = {r[1] for r in rows}
+    folds = splits.cluster_folds(spark.createDataFrame(rows, "c string, k string, j int"), "c", "k", 4)
+    assert {r.k for r in folds.collect()} == names
+
+
+def test_heavy_records_and_many_draws(spark):
+    w = spark.createDataFrame([(i, 10_000 if i == 7 else i % 3) for i in range(300)], "i bigint, w bigint")
+    got = splits.weighted_draws(w, "w", 3000, "i").collect()
+    n = [sum(r.i == 7 for r in got), len({r.draw for r in got})]
+    assert n[1] == len(got) == 3000 and abs(n[0] / 3000 - 10_000 / 10_299) < .02 and all(r.w > 0 for r in got)
+    assert splits.weighted_draws(w.filter("w < 0"), "w", 5, "i").count() == 0
+
+
 def test_occurrence_join_orders_duplicates(spark):
     f = spark.createDataFrame([(0, "b", 1), (1, "a", 0), (2, "dup", 1), (3, "dup", 0)], "fpos int, id string, label int")
     t = spark.createDataFrame([(0, "a", 0), (1, "dup", 0), (2, "b", 1), (3, "dup", 1)], "tpos int, id string, label int")
