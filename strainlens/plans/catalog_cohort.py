@@ -301,8 +301,7 @@ def priority_merge(spark, sf):
     GROUP BY class""", ("seq",))
 def cross_source_duplicates(spark, sf):
     s = views.sequences(spark, sf).select("class", "sequence", "source")
-    a, b = (s.filter(F.col("source") == x).select("class", "sequence") for x in "AB")
-    return a.intersect(b).groupBy("class").agg(F.count(F.lit(1)).alias("shared"))
+    return cohort.shared_sequences(s, ["class"], "source", "AB")
 
 
 @query("d05_cluster_summary", """

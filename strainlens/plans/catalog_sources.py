@@ -31,7 +31,7 @@ def fasta_folder(spark, sf):
 
 def scan(spark, sf):
     """Records with ``source_file`` taken from the folder name."""
-    r = fasta.read_fasta(spark, fasta_folder(spark, sf) + "/*/")
+    r = fasta.read_fasta(spark, fasta_folder(spark, sf) + "/*/", strict=True)
     return r.withColumn("source_file", F.regexp_extract("file_path", r"file=([^/]+)/", 1))
 
 
@@ -155,9 +155,8 @@ def split_wide(spark, sf):
 @query("s07_split_json", f"SELECT 'fold_' || (cluster_id % 5 + 1) AS fold, {_SPLIT_CASE} AS split, idx AS \"index\" FROM meta", ("meta",))
 def split_json(spark, sf):
     path = scratch_path(spark, "split-json")
-    wide_splits(spark, sf).write.mode("overwrite").json(path)
-    rows = spark.read.schema("fold string, train_idx array<bigint>, val_idx array<bigint>, test_idx array<bigint>").json(path)
-    return split_files.canonical(rows)
+    split_files.write_split_json(split_files.canonical(wide_splits(spark, sf)), path, cell=1000)
+    return split_files.read_split_json(spark, path, lines=True)
 
 
 @query("s08_recovered_predictions", """

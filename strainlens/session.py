@@ -2,15 +2,50 @@
 from __future__ import annotations
 
 import atexit
+import functools
+import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 # scratch folders made for sessions that name none, by application
 _OWN: dict[str, str] = {}
+# scratch paths handed out, by application
+_WRITTEN: dict[str, list[str]] = {}
+# applications whose workers have the package
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers of the application, once.
+
+    A driver that runs from a source folder has it on its own path only; on a
+    cluster where the package is installed this does no harm.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="strainlens-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    # the driver's own temporary folder: Spark copies the archive to the workers
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "strainlens"), "zip", os.path.dirname(here), os.path.basename(here)))
+    _SHIPPED.add(context.applicationId)
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, with the package sent to the workers before it is built."""
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -33,7 +68,27 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared scratch folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what is written to scratch paths inside.
+
+    Results are lazy and read those tables, so read or write a result before
+    the block ends.
+    """
+    written = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    before = len(written)
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        while len(written) > before:
+            path = jvm.org.apache.hadoop.fs.Path(written.pop())
+            path.getFileSystem(conf).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:

@@ -1,6 +1,11 @@
 """Cluster listings and membership tables."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,23 +22,50 @@ def read_listing(spark: SparkSession, path) -> DataFrame:
     """Members of a cluster listing: file, cluster id, member id, whether it is
     the representative.
 
-    Lines are read as they are and the cluster id is carried forward inside a
-    split; only the last id of every split travels further.  A cluster of any
-    size is thus many rows, never one value.
+    Lines are read as they are; a task carries the cluster id forward through
+    its splits in the order of the scan, and only the last id of every split
+    travels further.  A cluster of any size is thus many rows, never one value,
+    and lines are neither sorted nor shuffled.
     """
     raw = _raw(spark, path, "\n").withColumn("line", F.trim("value"))
     number = F.regexp_extract("line", r"^>Cluster\s+(\d+)", 1)
     raw = raw.withColumn("_h", F.when(F.length(number) > 0, number.cast("bigint")))
-    last = raw.filter(F.col("_h").isNotNull()).groupBy("file_path", "block").agg(F.max_by("_h", "at").alias("_last"))
-    blocks = raw.groupBy("file_path", "block").agg(F.count(F.lit(1)).alias("_n")).join(last, ["file_path", "block"], "left")
+    last = raw.groupBy("file_path", "block").agg(F.max(F.when(F.col("_h").isNotNull(), F.struct("at", "_h")))["_h"].alias("_last"))
     before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = blocks.select("file_path", "block", F.last("_last", True).over(before).alias("_carry"))
-    inside = Window.partitionBy("file_path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = raw.withColumn("_in", F.last("_h", True).over(inside)).join(carry, ["file_path", "block"])
-    rows = rows.filter(F.col("_h").isNull() & F.col("line").contains(">") & F.col("line").contains("..."))
+    carry = last.select("file_path", "block", F.last("_last", True).over(before).alias("_carry"))
     member = F.substring_index(F.regexp_extract("line", r"^[^>]*>(.*)$", 1), "...", 1)
-    return rows.select("file", "file_path", F.coalesce("_in", "_carry").alias("cluster_id"), member.alias("sequence_id"),
-                       F.col("line").endswith("*").alias("is_representative"))
+    is_member = F.col("_h").isNull() & F.col("line").contains(">") & F.col("line").contains("...")
+    lines = raw.select("file", "file_path", "block", "_h", F.when(is_member, member).alias("sequence_id"), F.col("line").endswith("*").alias("is_representative"))
+    rows = lines.mapInArrow(_carried, "file string, file_path string, block bigint, _in bigint, sequence_id string, is_representative boolean")
+    rows = rows.join(carry, ["file_path", "block"])
+    return rows.select("file", "file_path", F.coalesce("_in", "_carry").alias("cluster_id"), "sequence_id", "is_representative")
+
+
+def _carried(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Member lines with the last heading above them in their split, null where the split began inside a cluster."""
+    split, held = None, None
+    for part in parts:
+        heading = part.column("_h")
+        path, block = part.column("file_path").dictionary_encode(), part.column("block").to_numpy()
+        code = path.indices.to_numpy()
+        n = len(block)
+        # runs of one split
+        first = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (block[1:] != block[:-1])))) if n else np.zeros(0, int)
+        at = np.where(heading.is_valid().to_numpy(zero_copy_only=False), np.arange(n), -1)
+        known = np.full(n, -1)
+        for i, j in zip(first, [*first[1:], n], strict=True):
+            known[i:j] = np.maximum.accumulate(at[i:j])
+        found = heading.take(pa.array(np.maximum(known, 0), mask=known < 0)) if n else heading
+        if n:
+            now = (path.dictionary[int(code[0])].as_py(), int(block[0]))
+            if now == split and held is not None:
+                end = int(first[1]) if len(first) > 1 else n
+                open_ = pa.array((np.arange(n) < end) & (known < 0))
+                found = pc.if_else(open_, pa.scalar(held, pa.int64()), found)
+            split = (path.dictionary[int(code[-1])].as_py(), int(block[-1]))
+            held = found[n - 1].as_py()
+        out = pa.RecordBatch.from_arrays([part.column("file"), part.column("file_path"), part.column("block"), found, part.column("sequence_id"), part.column("is_representative")], names=["file", "file_path", "block", "_in", "sequence_id", "is_representative"])
+        yield out.filter(out.column("sequence_id").is_valid())
 
 
 def listing_summary(members: DataFrame, keys=("class",)) -> DataFrame:
@@ -68,8 +100,3 @@ def write_membership(members: DataFrame, path: str) -> None:
 def read_membership(spark: SparkSession, path) -> DataFrame:
     return spark.read.schema(MEMBERSHIP_SCHEMA).option("sep", "\t").option("header", True).csv(path)
 
-
-def member_arrays(members: DataFrame) -> DataFrame:
-    """(class, cluster_id) with a members array, for clusters known to be small;
-    prefer the rows themselves otherwise."""
-    return members.groupBy("class", "cluster_id").agg(F.max("cluster_size").alias("cluster_size"), F.sort_array(F.collect_list("sequence_id")).alias("members"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strainlens.functions import ranking as rk
+
 # Accepted split names and column aliases.
 SPLIT_NAMES = {"train": "train", "training": "train", "tr": "train", "val": "val", "valid": "val", "validation": "val", "dev": "val",
                "test": "test", "te": "test"}
@@ -56,11 +58,36 @@ def read_split_csv(spark: SparkSession, path, sep: str = ",") -> DataFrame:
     return canonical(spark.read.option("header", True).option("sep", sep).csv(path))
 
 
-def read_split_json(spark: SparkSession, path) -> DataFrame:
-    """A JSON list of folds, an object with ``folds``, or one fold object."""
-    lists = "train_idx array<bigint>, val_idx array<bigint>, test_idx array<bigint>"
-    schema = f"fold string, fold_id string, {lists}, folds array<struct<fold: string, fold_id: string, train_idx: array<bigint>, val_idx: array<bigint>, test_idx: array<bigint>>>"
-    raw = spark.read.option("multiLine", True).schema(schema).json(path)
-    own = F.array(F.struct("fold", "fold_id", "train_idx", "val_idx", "test_idx"))
-    rows = raw.select(F.explode(F.coalesce("folds", own)).alias("f")).select("f.*")
+_LISTS = "train_idx array<bigint>, val_idx array<bigint>, test_idx array<bigint>"
+# most indices of one cell of a written split table
+CELL = 10_000
+
+
+def read_split_json(spark: SparkSession, path, lines: bool = False) -> DataFrame:
+    """A JSON list of folds, an object with ``folds``, or one fold object.
+
+    With ``lines`` every line is a fold object, or a piece of one, as
+    :func:`write_split_json` writes them; a file is then read in splits.  The
+    other forms are one value per file, which one task has to hold.
+    """
+    fold = f"fold string, fold_id string, {_LISTS}"
+    if lines:
+        rows = spark.read.schema(fold).json(path)
+    else:
+        inner = "fold: string, fold_id: string, train_idx: array<bigint>, val_idx: array<bigint>, test_idx: array<bigint>"
+        raw = spark.read.option("multiLine", True).schema(f"{fold}, folds array<struct<{inner}>>").json(path)
+        own = F.array(F.struct("fold", "fold_id", "train_idx", "val_idx", "test_idx"))
+        rows = raw.select(F.explode(F.coalesce("folds", own)).alias("f")).select("f.*")
     return canonical(rows.withColumn("fold", F.coalesce("fold", "fold_id")).drop("fold_id"))
+
+
+def write_split_json(splits: DataFrame, path: str, cell: int = CELL) -> None:
+    """(fold, index, split) as JSON lines: a line holds at most ``cell`` indices of one fold.
+
+    Rows are numbered inside their fold, so a fold of any size becomes many
+    lines and no task holds one.
+    """
+    numbered = rk.with_row_number(splits.select("fold", "index", "split"), ["fold"], [F.col("index"), F.col("split")], "_no")
+    cells = [F.sort_array(F.collect_list(F.when(F.col("split") == s, F.col("index")))).alias(f"{s}_idx") for s in ("train", "val", "test")]
+    chunk = F.expr(f"(_no - 1) div {int(cell)}").alias("_chunk")
+    numbered.groupBy("fold", chunk).agg(*cells).drop("_chunk").write.mode("overwrite").json(path)

@@ -16,3 +16,15 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture(autouse=True)
+def clean_scratch(request):
+    """Scratch tables go with the test that wrote them."""
+    if "spark" not in request.fixturenames:
+        yield
+        return
+    from strainlens import session
+
+    with session.scratch(request.getfixturevalue("spark")):
+        yield

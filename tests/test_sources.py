@@ -37,6 +37,45 @@ def test_fasta_order_over_many_splits(spark, tmp_path):
 def test_data_before_a_header_is_reported(spark, tmp_path):
     (tmp_path / "x.fasta").write_text("ACGT\n>a\nAC\n")
     assert fasta.fasta_problems(fasta.read_fasta(spark, str(tmp_path))).count() == 1
+    with pytest.raises(ValueError, match="before the first header.*x.fasta"):
+        fasta.read_fasta(spark, str(tmp_path), strict=True)
+
+
+@pytest.mark.parametrize("content", ["", "\n \n", ">", ">\n>\n"])
+def test_files_without_records_are_reported(spark, tmp_path, content):
+    (tmp_path / "good.fasta").write_text(">a\nAC\n")
+    assert fasta.read_fasta(spark, str(tmp_path), strict=True).count() == 1
+    (tmp_path / "bad.fasta").write_text(content)
+    if content.startswith(">"):
+        # a header without text is a record without an id, as far as it has a sign
+        assert fasta.read_fasta(spark, str(tmp_path), strict=True).count() >= 1
+    else:
+        with pytest.raises(ValueError, match="bad.fasta"):
+            fasta.read_fasta(spark, str(tmp_path), strict=True)
+
+
+def test_index_has_no_gaps_where_rows_are_blank(spark, tmp_path):
+    blank = lambda i: "" if i % 7 else "\n>  \n>"
+    (tmp_path / "x.fasta").write_text("".join(f"{blank(i)}>s{i}\n{'ACGT' * 9}\n" for i in range(1, 300)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2048)
+    try:
+        r = fasta.with_global_index(fasta.read_fasta(spark, str(tmp_path)), [("x.fasta", "DENV1")])
+        got = r.orderBy("index").collect()
+        assert [x["index"] for x in got] == list(range(len(got)))
+        assert [x.record_id for x in got if x.record_id] == [f"s{i}" for i in range(1, 300)]
+        assert "Window" not in r._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_split_json_of_folds_in_pieces(spark, tmp_path):
+    rows = [(f"f{i % 3}", i, ["train", "val", "test"][i % 5 % 3]) for i in range(2000)]
+    path = str(tmp_path / "lines")
+    split_files.write_split_json(spark.createDataFrame(rows, "fold string, index bigint, split string"), path, cell=50)
+    lines = [json.loads(x) for f in (tmp_path / "lines").glob("*.json") for x in f.read_text().splitlines()]
+    assert len(lines) > 30 and max(sum(len(v) for k, v in x.items() if k != "fold") for x in lines) <= 50
+    got = split_files.read_split_json(spark, path, lines=True).collect()
+    assert sorted((r.fold, r["index"], r.split) for r in got) == sorted(rows)
 
 
 def test_cluster_listing_across_splits(spark, tmp_path):
