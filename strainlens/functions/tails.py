@@ -6,6 +6,7 @@ that Spark evaluates it on Arrow batches of result rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -91,13 +92,39 @@ def mann_whitney_exact(u: float, n1: int, n2: int) -> float:
     return min(1.0, 2.0 * float(dist[:low + 1].sum()) / math.comb(n1 + n2, n1))
 
 
-def mann_whitney_two_sided(u: float, n1: int, n2: int, tie_sum: float, n_ties: int) -> float:
-    """Exact when a group has at most 8 values and nothing is tied, else the
-    normal form with tie and continuity correction."""
-    if u is None or math.isnan(u):
-        return float("nan")
-    if min(n1, n2) <= 8 and not n_ties:
-        return mann_whitney_exact(u, n1, n2)
+def _doubled_ranks(ties: Sequence[int]) -> list[int]:
+    """Twice the mean rank of each group of equal values, in order: whole numbers."""
+    out, before = [], 0
+    for t in ties:
+        out.append(2 * before + t + 1)
+        before += t
+    return out
+
+
+def mann_whitney_exact_tied(u: float, n1: int, ties: Sequence[int]) -> float:
+    """Two-sided exact p of U given the sizes of all groups of equal values.
+
+    Arrangements are counted by how many values of the first group lie in each
+    group of equal ones, and the rank sum that gives; both tails are counted,
+    as ties make them differ.
+    """
+    total = sum(ties)
+    counts = [{} for _ in range(n1 + 1)]
+    counts[0][0] = 1
+    for t, r in zip(ties, _doubled_ranks(ties), strict=True):
+        for k in range(n1, -1, -1):
+            for j in range(1, min(t, k) + 1):
+                ways = math.comb(t, j)
+                for s, c in counts[k - j].items():
+                    counts[k][s + j * r] = counts[k].get(s + j * r, 0) + c * ways
+    at = round(2 * u) + n1 * (n1 + 1)
+    low = sum(c for s, c in counts[n1].items() if s <= at)
+    high = sum(c for s, c in counts[n1].items() if s >= at)
+    return min(1.0, 2.0 * min(low, high) / math.comb(total, n1))
+
+
+def mann_whitney_normal(u: float, n1: int, n2: int, tie_sum: float) -> float:
+    """Two-sided p of U by the normal form with tie and continuity correction."""
     n = n1 + n2
     var = n1 * n2 / 12.0 * ((n + 1) - tie_sum / (n * (n - 1.0)))
     if var <= 0:
@@ -106,23 +133,30 @@ def mann_whitney_two_sided(u: float, n1: int, n2: int, tie_sum: float, n_ties: i
     return min(1.0, math.erfc(z / math.sqrt(2.0)))
 
 
-def signed_rank_two_sided(w_plus: float, w_minus: float, n: int, tie_sum: float, has_ties: bool) -> float:
-    """Wilcoxon signed-rank p: exact by counting subset sums for at most 25
-    untied pairs, else normal with tie correction."""
+def signed_rank_exact(w_plus: float, w_minus: float, ties: Sequence[int]) -> float:
+    """Two-sided exact Wilcoxon p given the sizes of all groups of equal
+    magnitudes, by counting sums of (doubled) ranks over all signs."""
+    n = sum(ties)
+    if n == 0:
+        return float("nan")
+    dist = {0: 1}
+    for t, r in zip(ties, _doubled_ranks(ties), strict=True):
+        grown: dict[int, int] = {}
+        for s, c in dist.items():
+            for j in range(t + 1):
+                grown[s + j * r] = grown.get(s + j * r, 0) + c * math.comb(t, j)
+        dist = grown
+    low = round(2 * min(w_plus, w_minus))
+    return min(1.0, 2.0 * sum(c for s, c in dist.items() if s <= low) / 2 ** n)
+
+
+def signed_rank_normal(w_plus: float, w_minus: float, n: int, tie_sum: float) -> float:
+    """Two-sided Wilcoxon p by the normal form with tie correction."""
     if n == 0:
         return float("nan")
-    w = min(w_plus, w_minus)
-    if n <= 25 and not has_ties:
-        dist = [1]
-        for r in range(1, n + 1):
-            nxt = dist + [0] * r
-            for s, c in enumerate(dist):
-                nxt[s + r] += c
-            dist = nxt
-        return min(1.0, 2.0 * sum(dist[: int(w) + 1]) / 2.0 ** n)
     mean = n * (n + 1) / 4.0
     var = n * (n + 1) * (2 * n + 1) / 24.0 - tie_sum / 48.0
-    return 1.0 if var <= 0 else min(1.0, math.erfc(abs(w - mean) / math.sqrt(2.0 * var)))
+    return 1.0 if var <= 0 else min(1.0, math.erfc(abs(min(w_plus, w_minus) - mean) / math.sqrt(2.0 * var)))
 
 
 @F.pandas_udf(DoubleType())
@@ -135,18 +169,44 @@ def binomial_half_udf(k: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([binomial_half_two_sided(int(a), int(b)) for a, b in zip(k, n)], dtype="float64")
 
 
-@F.pandas_udf(DoubleType())
-def mann_whitney_udf(u: pd.Series, n1: pd.Series, n2: pd.Series, tie_sum: pd.Series, n_ties: pd.Series) -> pd.Series:
-    rows = zip(u, n1, n2, tie_sum, n_ties)
-    return pd.Series([float("nan") if pd.isna(a) else mann_whitney_two_sided(float(a), int(b), int(c), float(d), int(e))
-                      for a, b, c, d, e in rows], dtype="float64")
+METHODS = ("exact", "normal")
 
 
-@F.pandas_udf(DoubleType())
-def signed_rank_udf(wp: pd.Series, wm: pd.Series, n: pd.Series, tie_sum: pd.Series, has_ties: pd.Series) -> pd.Series:
-    rows = zip(wp, wm, n, tie_sum, has_ties)
-    return pd.Series([signed_rank_two_sided(float(a), float(b), int(c), float(d), bool(e)) if c else float("nan")
-                      for a, b, c, d, e in rows], dtype="float64")
+def mann_whitney_udf(method: str):
+    """p from U, both sizes, the tie sum and, for the exact form, the sizes of
+    all groups of equal values (one array)."""
+    def p(u: pd.Series, n1: pd.Series, n2: pd.Series, tie_sum: pd.Series, ties: pd.Series) -> pd.Series:
+        out = []
+        for a, b, c, d, e in zip(u, n1, n2, tie_sum, ties):
+            if pd.isna(a):
+                out.append(float("nan"))
+            elif method == "normal":
+                out.append(mann_whitney_normal(float(a), int(b), int(c), float(d)))
+            elif max(e, default=1) == 1:
+                out.append(mann_whitney_exact(float(a), int(b), int(c)))
+            else:
+                out.append(mann_whitney_exact_tied(float(a), int(b), [int(x) for x in e]))
+        return pd.Series(out, dtype="float64")
+
+    return _chosen(p, method)
+
+
+def signed_rank_udf(method: str):
+    """p from both rank sums, the number of pairs, the tie sum and, for the
+    exact form, the sizes of all groups of equal magnitudes (one array)."""
+    def p(wp: pd.Series, wm: pd.Series, n: pd.Series, tie_sum: pd.Series, ties: pd.Series) -> pd.Series:
+        rows = zip(wp, wm, n, tie_sum, ties)
+        if method == "normal":
+            return pd.Series([signed_rank_normal(float(a), float(b), int(c), float(d)) for a, b, c, d, _ in rows], dtype="float64")
+        return pd.Series([signed_rank_exact(float(a), float(b), [] if e is None else [int(x) for x in e]) for a, b, _, _, e in rows], dtype="float64")
+
+    return _chosen(p, method)
+
+
+def _chosen(p, method: str):
+    if method not in METHODS:
+        raise ValueError(f"method is one of {METHODS}, not {method!r}")
+    return F.pandas_udf(p, DoubleType())
 
 
 def nan_to_null(col):

@@ -274,13 +274,17 @@ def bootstrap(contrib: DataFrame, reps: int = 10_000, confidence: float = 0.95,
     return scored.groupBy(*PAIR).applyInPandas(intervals, f"{pair}bootstrap_reps int, " + ", ".join(f"{c} double" for c in (*ends, *middle)))
 
 
-def sign_flip(contrib: DataFrame, reps: int = 100_000, seed: int = C.SEED, exact_up_to: int = 20) -> DataFrame:
+def sign_flip(contrib: DataFrame, reps: int = 100_000, seed: int = C.SEED, method: str | None = None, exact_up_to: int = 20) -> DataFrame:
     """Sign-flip test of the sum over clusters of (correct_a - correct_b).
 
     The sum of signs over clusters with the same |difference| is binomial, so
-    a pair is described by its histogram of |difference|; at most ``exact_up_to``
-    clusters (zero differences counted) are enumerated exactly.
+    a pair is described by its histogram of |difference|.  ``method`` "exact"
+    counts the sums over all signs, "monte_carlo" draws ``reps`` of them; None
+    is the planned rule, exact for at most ``exact_up_to`` clusters (zero
+    differences counted).
     """
+    if method not in (None, "exact", "monte_carlo"):
+        raise ValueError(f"unknown method {method!r}")
     keys = [*PAIR, "pair_no"]
     d = F.col("correct_a") - F.col("correct_b")
     hist = contrib.groupBy(*keys, F.abs(d).alias("size")).agg(F.count(F.lit(1)).alias("n"), F.sum(d).alias("signed"))
@@ -292,11 +296,17 @@ def sign_flip(contrib: DataFrame, reps: int = 100_000, seed: int = C.SEED, exact
         observed, clusters = int(pdf["signed"].sum()), int(n.sum())
         if observed == 0:
             p, used, how = 1.0, 0, "degenerate_zero_difference"
-        elif clusters <= exact_up_to:
-            sums = np.zeros(1, dtype=np.int64)
-            for v in np.repeat(size, n):
-                sums = np.concatenate([sums + v, sums - v])
-            p, used, how = float(np.mean(np.abs(sums) >= abs(observed))), len(sums), "exact_cluster_sign_flip"
+        elif method == "exact" or method is None and clusters <= exact_up_to:
+            # shares of the reachable sums, cluster by cluster
+            share, reach = np.ones(1), 0
+            for v in np.repeat(size, n)[np.repeat(size, n) > 0]:
+                grown = np.zeros(2 * (reach + v) + 1)
+                grown[2 * v:] += share / 2
+                grown[:len(share)] += share / 2
+                share, reach = grown, reach + v
+            p = float(share[np.abs(np.arange(-reach, reach + 1)) >= abs(observed)].sum())
+            # a long holds the number of sign patterns of up to 62 clusters
+            used, how = 2 ** min(clusters, 62), "exact_cluster_sign_flip"
         else:
             rng = np.random.default_rng([seed, 10_000 + int(first["pair_no"]), zlib.crc32(first["protocol"].encode())])
             total = np.zeros(reps, dtype=np.int64)
@@ -332,7 +342,10 @@ def observed(contrib: DataFrame, n_classes: int = 4) -> DataFrame:
 
 
 def compare(aligned: DataFrame, reps: int = 10_000, permutations: int = 100_000, seed: int = C.SEED) -> dict[str, DataFrame]:
-    """Primary accuracy, macro-F1 and per-class tables over all planned pairs."""
+    """Primary accuracy, macro-F1 and per-class tables over all planned pairs.
+
+    The run is stored, so the three tables of one call share it.
+    """
     parts = cut_lineage(fold_contributions(aligned), "contributions")
     contrib = merge_folds(parts)
     base = observed(contrib)
@@ -343,7 +356,7 @@ def compare(aligned: DataFrame, reps: int = 10_000, permutations: int = 100_000,
     boot = bootstrap(contrib, reps, seed=seed)
     joined = base.join(mc, PAIR).join(perm, PAIR).join(boot, PAIR)
     joined = adjust.holm(joined, ["family"], "cluster_permutation_p", "cluster_permutation_p_holm", PAIR)
-    joined = adjust.holm(joined, ["family"], "mcnemar_exact_p", "mcnemar_exact_p_holm", PAIR)
+    joined = cut_lineage(adjust.holm(joined, ["family"], "mcnemar_exact_p", "mcnemar_exact_p_holm", PAIR), "comparison")
     low, high = F.col("delta_accuracy_ci_low"), F.col("delta_accuracy_ci_high")
     primary = joined.select(
         *PAIR, "n_rows", "n_clusters", "n_partitions", "accuracy_a", "accuracy_b", "delta_accuracy",

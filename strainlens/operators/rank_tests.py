@@ -93,9 +93,14 @@ def region_kruskal(table: DataFrame, keys: Sequence[str], groups: Sequence[str],
 
 
 def mann_whitney_pairs(table: DataFrame, keys: Sequence[str], groups: Sequence[str], scope: Sequence[str] = (),
-                       within: Sequence[str] = (), min_n: int = 2) -> DataFrame:
+                       within: Sequence[str] = (), min_n: int = 2, method: str = "normal") -> DataFrame:
     """U, p, VDA, rank-biserial, magnitude and dominant group for every pair of
-    groups; BH over the scope, or within ``scope + within``."""
+    groups; BH over the scope, or within ``scope + within``.
+
+    ``method`` says how p is found, for groups of any size: "normal", or
+    "exact" with ties, whose work and whose arrays of distinct values grow with
+    the groups.
+    """
     aggs, parts = [], []
     for a, b in combinations(range(len(groups)), 2):
         na, nb = F.col(f"n_{a}"), F.col(f"n_{b}")
@@ -104,18 +109,18 @@ def mann_whitney_pairs(table: DataFrame, keys: Sequence[str], groups: Sequence[s
         aggs += [
             F.sum(na * (F.col(f"n_{b}_before") + nb / 2.0)).alias(f"_u{tag}"),
             F.sum(_cube(both)).alias(f"_t{tag}"),
-            F.count_if(both > 1).alias(f"_x{tag}"),
+            (F.array_sort(F.collect_list(F.when(both > 0, F.struct("value", both.alias("t"))))) if method == "exact" else F.array()).alias(f"_x{tag}"),
         ]
         parts.append(F.struct(
             F.lit(str(groups[a])).alias("class_a"), F.lit(str(groups[b])).alias("class_b"), F.lit(f"{groups[a]}v{groups[b]}").alias("comparison"),
             F.col(f"_n{a}").alias("n_a"), F.col(f"_n{b}").alias("n_b"), F.col(f"_u{tag}").alias("U"),
-            F.col(f"_t{tag}").alias("_ties"), F.col(f"_x{tag}").alias("_tied"),
+            F.col(f"_t{tag}").alias("_ties"), (F.transform(f"_x{tag}", lambda x: x["t"]) if method == "exact" else F.array().cast("array<bigint>")).alias("_tied"),
         ))
     sums = table.groupBy(*keys).agg(*aggs, *[F.max(f"n_{i}_total").alias(f"_n{i}") for i in range(len(groups))])
     rows = sums.select(*keys, F.inline(F.array(*parts)))
     ok = (F.col("n_a") >= min_n) & (F.col("n_b") >= min_n)
     rows = rows.withColumn("U", F.when(ok, F.col("U")))
-    p = tails.mann_whitney_udf(F.col("U"), F.col("n_a"), F.col("n_b"), F.col("_ties"), F.col("_tied"))
+    p = tails.mann_whitney_udf(method)(F.col("U"), F.col("n_a"), F.col("n_b"), F.col("_ties"), F.col("_tied"))
     vda = F.try_divide(F.col("U"), (F.col("n_a") * F.col("n_b")).cast("double"))
     rows = (
         rows.withColumn("p", tails.nan_to_null(p)).withColumn("VDA", vda)
@@ -145,9 +150,12 @@ def fold_kruskal(df: DataFrame, keys: Sequence[str], group: str, groups: Sequenc
     return out.withColumn("p", p).withColumn("epsilon_squared", eps).withColumn("method", method).drop("all_equal")
 
 
-def signed_rank_pairs(df: DataFrame, keys: Sequence[str], group: str, pairs: Sequence[tuple[str, str]], unit: str, value: str) -> DataFrame:
+def signed_rank_pairs(df: DataFrame, keys: Sequence[str], group: str, pairs: Sequence[tuple[str, str]], unit: str, value: str, method: str = "normal") -> DataFrame:
     """Wilcoxon signed-rank and matched rank-biserial per planned pair.
 
+    ``method`` says how p is found, for any number of pairs: "normal", or
+    "exact" with ties, which holds the distinct magnitudes of a pair.
+
     Values are pivoted to one row per (keys, unit); differences closer to zero
     than 1e-8 count as zero, and nearly equal magnitudes share a rank.
     """
@@ -165,13 +173,14 @@ def signed_rank_pairs(df: DataFrame, keys: Sequence[str], group: str, pairs: Seq
     r = F.col("t_before") + (F.col("_t") + 1) / 2.0
     stats = ranked.groupBy(*by).agg(
         F.sum(F.col("_pos") * r).alias("w_plus"), F.sum((F.col("_t") - F.col("_pos")) * r).alias("w_minus"),
-        F.max("t_total").alias("n_nonzero"), F.sum(_cube(F.col("_t"))).alias("_ties"), (F.max("_t") > 1).alias("_tied"))
+        F.max("t_total").alias("n_nonzero"), F.sum(_cube(F.col("_t"))).alias("_ties"),
+        (F.transform(F.array_sort(F.collect_list(F.struct("_abs", "_t"))), lambda x: x["_t"]) if method == "exact" else F.lit(None).cast("array<bigint>")).alias("_tied"))
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"))
     out = sizes.join(stats, by, "left")
     m = F.coalesce(F.col("n_nonzero"), F.lit(0))
     few = (F.col("n_pairs") < 2) | ((m > 0) & (m < 2))
-    p = tails.signed_rank_udf(F.coalesce("w_plus", F.lit(0.0)), F.coalesce("w_minus", F.lit(0.0)), m,
-                              F.coalesce("_ties", F.lit(0.0)), F.coalesce("_tied", F.lit(False)))
+    p = tails.signed_rank_udf(method)(F.coalesce("w_plus", F.lit(0.0)), F.coalesce("w_minus", F.lit(0.0)), m,
+                              F.coalesce("_ties", F.lit(0.0)), F.col("_tied"))
     total = F.col("w_plus") + F.col("w_minus")
     return out.select(
         *by, "n_pairs", m.alias("n_nonzero"),

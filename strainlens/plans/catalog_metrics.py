@@ -9,6 +9,7 @@ from strainlens.functions import adjust, annotate
 from strainlens.operators import checks, comparison, crosstab, metrics, rank_tests
 from strainlens.plans import views
 from strainlens.plans.registry import query
+from strainlens.session import cut_lineage
 
 KEYS = ["protocol", "model"]
 PAIRS = [
@@ -361,12 +362,53 @@ def sign_flip_exact(spark, sf):
     a = comparison.strict(aligned(spark, sf)).withColumn("cluster_key", F.col("fold"))
     c = a.groupBy(*comparison.PAIR, "pair_no", "cluster_key").agg(
         F.count_if(F.col("pred_a") == F.col("y_true")).alias("correct_a"), F.count_if(F.col("pred_b") == F.col("y_true")).alias("correct_b"))
-    return rounded(comparison.sign_flip(c), "cluster_permutation_p")
+    return rounded(comparison.sign_flip(c, method="exact"), "cluster_permutation_p")
 
 
 @query("a37_sign_flip_monte_carlo")
 def sign_flip_monte_carlo(spark, sf):
-    return comparison.sign_flip(comparison.cluster_contributions(comparison.strict(aligned(spark, sf))))
+    return comparison.sign_flip(comparison.cluster_contributions(comparison.strict(aligned(spark, sf))), method="monte_carlo")
+
+
+# what draws must show whatever their seed: numbers of repeats, the pair's own figures, and closeness to theory
+@query("a37_monte_carlo_checks", _PAIRED + """
+    , c AS (SELECT protocol, family, model_a, model_b, cluster_key, sum((pred_a = y_true)::INTEGER - (pred_b = y_true)::INTEGER) AS d FROM al GROUP BY ALL)
+    SELECT protocol, family, model_a, model_b, count(*) AS n_clusters, sum(d)::BIGINT AS cluster_accuracy_difference_count, sum(d * d)::BIGINT AS squares,
+      CASE WHEN sum(d) = 0 THEN 0 ELSE 100000 END::BIGINT AS cluster_permutation_reps, TRUE AS near_normal_theory FROM c GROUP BY ALL""", ("pred",))
+def monte_carlo_checks(spark, sf):
+    c = cut_lineage(comparison.cluster_contributions(comparison.strict(aligned(spark, sf))), "contributions")
+    d = F.col("correct_a") - F.col("correct_b")
+    squares = c.groupBy(*comparison.PAIR).agg(F.sum(d * d).alias("squares"))
+    out = comparison.sign_flip(c, method="monte_carlo").join(squares, comparison.PAIR)
+    # sums of one parity lie 2 apart: the normal tail begins half a step before the observed one
+    z = F.greatest(F.lit(0.0), F.abs("cluster_accuracy_difference_count") - 1) / F.sqrt("squares")
+    normal = F.when(F.col("cluster_accuracy_difference_count") == 0, 1.0).otherwise(2 * (1 - normal_cdf(z)))
+    return out.select(*comparison.PAIR, "n_clusters", "cluster_accuracy_difference_count", "squares", "cluster_permutation_reps",
+                      (F.abs(F.col("cluster_permutation_p") - normal) < 0.02).alias("near_normal_theory"))
+
+
+def normal_cdf(z):
+    """Normal distribution function of z >= 0 to 1e-7, by a rational form."""
+    t = 1 / (1 + 0.2316419 * z)
+    tail = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return 1 - F.exp(-z * z / 2) / 2.5066282746310002 * tail
+
+
+@query("a36_bootstrap_checks", _PAIRED + """
+    SELECT protocol, family, model_a, model_b, 10000 AS bootstrap_reps, round(avg((pred_a = y_true)::INTEGER) - avg((pred_b = y_true)::INTEGER), 6) AS delta_accuracy,
+      TRUE AS ordered, TRUE AS median_near_delta, TRUE AS width_near_normal_theory FROM al GROUP BY ALL""", ("pred",))
+def bootstrap_checks(spark, sf):
+    c = cut_lineage(comparison.cluster_contributions(comparison.strict(aligned(spark, sf))), "contributions")
+    # the delta of a resample is a ratio of sums over clusters, drawn class by class
+    whole = c.groupBy(*comparison.PAIR).agg(F.sum("n").alias("_n"), (F.sum("correct_a") - F.sum("correct_b")).alias("_d"))
+    delta = F.col("_d") / F.col("_n")
+    e = F.col("correct_a") - F.col("correct_b") - delta * F.col("n")
+    spread = c.join(whole, comparison.PAIR).groupBy(*comparison.PAIR, "label").agg((F.count(F.lit(1)) * F.var_pop(e)).alias("v")).groupBy(*comparison.PAIR).agg(F.sum("v").alias("v"))
+    out = comparison.bootstrap(c).join(whole, comparison.PAIR).join(spread, comparison.PAIR)
+    se = F.sqrt("v") / F.col("_n")
+    low, high, mid = (F.col(f"delta_accuracy_{x}") for x in ("ci_low", "ci_high", "bootstrap_median"))
+    return out.select(*comparison.PAIR, "bootstrap_reps", F.round(delta, 6).alias("delta_accuracy"), ((low <= mid) & (mid <= high)).alias("ordered"),
+                      (F.abs(mid - delta) <= 0.1 * se).alias("median_near_delta"), (F.abs((high - low) / (2 * 1.959964 * se) - 1) < 0.06).alias("width_near_normal_theory"))
 
 
 _F1_CM = "CASE WHEN sum((y_true = {k})::INTEGER) + sum(({p} = {k})::INTEGER) > 0 THEN 2.0 * sum((y_true = {k} AND {p} = {k})::INTEGER) / (sum((y_true = {k})::INTEGER) + sum(({p} = {k})::INTEGER)) ELSE 0 END"
@@ -388,6 +430,25 @@ def primary_accuracy(spark, sf):
     return comparison.compare(comparison.strict(aligned(spark, sf)))["primary"]
 
 
+@query("a39_primary_checks", _PAIRED + f"""
+    , c AS (SELECT protocol, family, model_a, model_b, count(*) AS n_rows, count(DISTINCT cluster_key) AS n_clusters, count(DISTINCT fold) AS n_partitions,
+      count(*) FILTER (pred_a = y_true AND pred_b <> y_true) AS x, count(*) FILTER (pred_a <> y_true AND pred_b = y_true) AS y,
+      avg((pred_a = y_true)::INTEGER) AS acc_a, avg((pred_b = y_true)::INTEGER) AS acc_b FROM al GROUP BY ALL),
+    d AS (SELECT *, x + y AS n, least(x, y) AS k FROM c),
+    p AS (SELECT *, {_TAIL} AS p FROM d),
+    h AS (SELECT *, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, protocol, model_a, model_b) + 1) * p AS step FROM p)
+    SELECT protocol, family, model_a, model_b, n_rows, n_clusters, n_partitions, round(acc_a, 6) AS accuracy_a, round(acc_b, 6) AS accuracy_b, round(acc_a - acc_b, 6) AS delta_accuracy,
+      x AS a_correct_b_wrong, y AS a_wrong_b_correct, n AS discordant_total, round(p, 6) AS mcnemar_exact_p,
+      round(least(1.0, max(step) OVER (PARTITION BY family ORDER BY p, protocol, model_a, model_b)), 6) AS mcnemar_exact_p_holm, 10000 AS bootstrap_reps, TRUE AS interval_holds_delta, TRUE AS holm_not_below_p
+    FROM h""", ("pred",))
+def primary_checks(spark, sf):
+    t = comparison.compare(comparison.strict(aligned(spark, sf)))["primary"]
+    held = (F.col("delta_accuracy_ci_low") <= F.col("delta_accuracy")) & (F.col("delta_accuracy") <= F.col("delta_accuracy_ci_high"))
+    exact = ["accuracy_a", "accuracy_b", "delta_accuracy", "mcnemar_exact_p", "mcnemar_exact_p_holm"]
+    return rounded(t.select(*comparison.PAIR, "n_rows", "n_clusters", "n_partitions", *exact[:3], "a_correct_b_wrong", "a_wrong_b_correct", "discordant_total", *exact[3:], "bootstrap_reps",
+                            held.alias("interval_holds_delta"), (F.col("cluster_permutation_p_holm") >= F.col("cluster_permutation_p")).alias("holm_not_below_p")), *exact)
+
+
 @query("a39_per_class_f1")
 def planned_per_class(spark, sf):
     return comparison.compare(comparison.strict(aligned(spark, sf)))["per_class_f1"]
@@ -465,11 +526,25 @@ def fold_wilcoxon(spark, sf):
     return rounded(out.drop("p"), "W", "rank_biserial")
 
 
-@query("a42_fold_wilcoxon_p")
+# p over all signs of the (at most 7) folds' differences, then BH per metric
+@query("a42_fold_wilcoxon_p", _LONG + """
+    , d AS (SELECT a.metric, a.model AS model_a, b.model AS model_b, a.fold, round(abs(a.v - b.v), 8) AS m, sign(a.v - b.v) AS s FROM l a JOIN l b USING (metric, fold)
+      WHERE a.model < b.model),
+    r AS (SELECT *, rank() OVER (PARTITION BY metric, model_a, model_b ORDER BY m) + (count(*) OVER (PARTITION BY metric, model_a, model_b, m) - 1) / 2.0 AS rk,
+      row_number() OVER (PARTITION BY metric, model_a, model_b ORDER BY fold) - 1 AS i FROM d WHERE m > 0),
+    o AS (SELECT metric, model_a, model_b, count(*) AS k, coalesce(sum(rk) FILTER (s > 0), 0) AS wp, coalesce(sum(rk) FILTER (s < 0), 0) AS wm FROM r GROUP BY ALL),
+    x AS (SELECT r.metric, r.model_a, r.model_b, mask, sum(CASE WHEN (mask >> r.i) & 1 = 1 THEN rk ELSE 0 END) AS w, max(k) AS k, max(least(wp, wm)) AS low
+      FROM r JOIN o USING (metric, model_a, model_b) JOIN (SELECT unnest(range(0, 128)) AS mask) ON mask < (1 << k::INTEGER) GROUP BY ALL),
+    p AS (SELECT metric, model_a, model_b, least(1.0, 2 * avg((w <= low)::INTEGER)) AS p FROM x GROUP BY ALL),
+    n AS (SELECT metric, model_a, model_b, count(*) AS n_pairs FROM d GROUP BY ALL),
+    t AS (SELECT n.*, o.k AS n_nonzero, least(wp, wm) AS w, p.p, (wp - wm) / (wp + wm) AS rb FROM n JOIN o USING (metric, model_a, model_b) JOIN p USING (metric, model_a, model_b)),
+    f AS (SELECT *, p * count(*) OVER (PARTITION BY metric) / row_number() OVER (PARTITION BY metric ORDER BY p, model_a, model_b) AS step FROM t)
+    SELECT metric, model_a, model_b, n_pairs, n_nonzero, round(w, 6) AS "W", round(p, 6) AS p, round(rb, 6) AS rank_biserial,
+      round(least(1.0, min(step) OVER (PARTITION BY metric ORDER BY p DESC, model_a DESC, model_b DESC)), 6) AS p_fdr FROM f""", ("foldm",))
 def fold_wilcoxon_p(spark, sf):
     long = metrics.unpivot(views.fold_metrics(spark, sf), ["model", "fold"], FOLD_METRICS)
-    out = rank_tests.signed_rank_pairs(long, ["metric"], "model", list(combinations(GROUPS, 2)), "fold", "value")
-    return adjust.benjamini_hochberg(out, ["metric"], "p", "p_fdr", ["model_a", "model_b"])
+    out = rank_tests.signed_rank_pairs(long, ["metric"], "model", list(combinations(GROUPS, 2)), "fold", "value", method="exact")
+    return rounded(adjust.benjamini_hochberg(out, ["metric"], "p", "p_fdr", ["model_a", "model_b"]), "W", "p", "rank_biserial", "p_fdr")
 
 
 @query("w11_latest_version", r"""

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def test_exact_tails():
     # published two-sided values: complete separation of 3 and 3, five same signs
     assert tails.mann_whitney_exact(0, 3, 3) == pytest.approx(0.1)
     assert tails.mann_whitney_exact(9, 3, 3) == pytest.approx(0.1)
-    assert tails.signed_rank_two_sided(15, 0, 5, 0, False) == pytest.approx(0.0625)
+    assert tails.signed_rank_exact(15, 0, [1] * 5) == pytest.approx(0.0625)
 
 
 def test_text_rules(spark):
@@ -90,3 +91,39 @@ def test_annotation(spark):
     v = spark.createDataFrame([(0.2, -0.1, 0.5, 0.01), (0.0, -0.1, 0.1, 0.5)], "d double, lo double, hi double, p double")
     assert one(v, annotate.verdict(F.col("d"), F.col("lo"), F.col("hi"), F.col("p"))) == [
         "No statistically supported accuracy difference", "No observed accuracy difference"]
+
+
+def test_exact_rank_tests_with_ties_enumerate_all_arrangements():
+    import itertools
+    import random
+
+    rng = random.Random(1)
+    for _ in range(25):
+        values = [rng.randint(0, 4) for _ in range(rng.randint(4, 9))]
+        n1 = rng.randint(1, len(values) - 1)
+        u_of = lambda x, y: sum((a > b) + .5 * (a == b) for a in x for b in y)
+        all_u = []
+        for pick in itertools.combinations(range(len(values)), n1):
+            x, y = [values[i] for i in pick], [v for i, v in enumerate(values) if i not in pick]
+            all_u.append(u_of(x, y))
+        u = all_u[0]
+        ties = [values.count(v) for v in sorted(set(values))]
+        want = min(1, 2 * min(sum(w <= u for w in all_u), sum(w >= u for w in all_u)) / len(all_u))
+        assert tails.mann_whitney_exact_tied(u, n1, ties) == pytest.approx(want)
+        if max(ties) == 1:
+            assert tails.mann_whitney_exact(u, n1, len(values) - n1) == pytest.approx(want)
+        sizes = sorted(rng.randint(1, 4) for _ in values)
+        ranks = [sum(s < t for s in sizes) + (sizes.count(t) + 1) / 2 for t in sizes]
+        signs = [rng.choice([1, -1]) for _ in sizes]
+        plus, total = sum(r for r, s in zip(ranks, signs) if s > 0), sum(ranks)
+        sums = [sum(r for r, s in zip(ranks, m) if s > 0) for m in itertools.product([1, -1], repeat=len(ranks))]
+        want = min(1, 2 * np.mean([w <= min(plus, total - plus) for w in sums]))
+        assert tails.signed_rank_exact(plus, total - plus, [sizes.count(t) for t in sorted(set(sizes))]) == pytest.approx(want)
+
+
+def test_normal_forms_approach_the_exact_ones():
+    assert tails.signed_rank_normal(250, 215, 30, 0) == pytest.approx(tails.signed_rank_exact(250, 215, [1] * 30), abs=.02)
+    assert tails.mann_whitney_normal(180, 20, 20, 0) == pytest.approx(tails.mann_whitney_exact(180, 20, 20), abs=.01)
+    assert np.isnan(tails.signed_rank_exact(0, 0, []))
+    with pytest.raises(ValueError):
+        tails.signed_rank_udf("auto")
