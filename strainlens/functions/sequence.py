@@ -78,6 +78,16 @@ def one_hot(col: Column) -> Column:
     return F.transform(F.filter(F.split(F.upper(col), ""), lambda ch: ch != ""), row)
 
 
+def pad_one_hot(encoded: Column, length: Column) -> Column:
+    """One-hot rows with all-zero rows behind them, up to ``length`` rows.
+
+    Padded arrays of a collection are as long as its longest sequence, so keep
+    the unpadded ones where that is not asked for.
+    """
+    none = F.array(*[F.lit(0).cast("tinyint") for _ in C.BASES])
+    return F.concat(encoded, F.array_repeat(none, F.greatest(length - F.size(encoded), F.lit(0)).cast("int")))
+
+
 def position_mask(encoded: Column) -> Column:
     """A position is real when any of its channels is non-zero."""
     return F.transform(encoded, lambda row: F.exists(row, lambda v: v != 0))

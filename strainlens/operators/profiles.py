@@ -118,9 +118,9 @@ def last_finite(profile: DataFrame, keys: Sequence[str], value: str = "value") -
     return profile.groupBy(*keys).agg(F.coalesce(F.max(F.when(ok, F.col("pos") + 1)), F.lit(0)).cast("bigint").alias("length"))
 
 
-def common_cut(lengths: DataFrame, genome_end: int) -> DataFrame:
-    """Shortest non-empty profile, at most the genome end."""
-    return lengths.filter(F.col("length") > 0).agg(F.least(F.min("length"), F.lit(genome_end)).cast("bigint").alias("cut"))
+def common_cut(lengths: DataFrame, genome_end: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Shortest non-empty profile, at most the genome end; one row, or one per ``keys``."""
+    return lengths.filter(F.col("length") > 0).groupBy(*keys).agg(F.least(F.min("length"), F.lit(genome_end)).cast("bigint").alias("cut"))
 
 
 def robust_limits(df: DataFrame, keys: Sequence[str], value: str, low: float = 0.01, high: float = 0.99, pad: float = 0.12,

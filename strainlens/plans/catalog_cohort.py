@@ -222,14 +222,14 @@ def composition(spark, sf):
 def one_hot(spark, sf):
     s = views.sequences(spark, sf).select("pos", "class", "sequence")
     e = s.withColumn("ohe", sq.one_hot(F.col("sequence")))
-    top = s.agg(F.max(F.length("sequence")).cast("bigint")).scalar()
+    e = e.withColumn("padded", sq.pad_one_hot(F.col("ohe"), s.agg(F.max(F.length("sequence"))).scalar()))
 
     def channel(k):
         return F.aggregate("ohe", F.lit(0).cast("bigint"), lambda a, r: a + r[k])
     return e.select("pos", F.size("ohe").cast("bigint").alias("rows_n"),
                     *[channel(k).alias(f"{b}_n") for k, b in enumerate("acgt")],
                     F.array_position(F.transform("ohe", lambda r: r[3].cast("int")), F.lit(1)).alias("first_t"),
-                    (F.substring("class", 5, 1).cast("int") - 1).alias("label"), top.alias("padded_to"))
+                    (F.substring("class", 5, 1).cast("int") - 1).alias("label"), F.size("padded").cast("bigint").alias("padded_to"))
 
 
 @query("p14_position_mask", """

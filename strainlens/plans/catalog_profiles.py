@@ -317,11 +317,11 @@ def smoothing(spark, sf):
 
 @query("w12_last_finite", """
     WITH c AS (SELECT class, pos, count(*) FILTER (valid AND sample % 8 >= class) AS n FROM plong GROUP BY class, pos)
-    SELECT class, coalesce(max(pos + 1) FILTER (n > 0), 0) AS length, least((SELECT min(l) FROM (SELECT max(pos + 1) FILTER (n > 0) AS l FROM c GROUP BY class)), 60) AS cut FROM c GROUP BY class""", ("plong",))
+    SELECT class, coalesce(max(pos + 1) FILTER (n > 0), 0) AS length, least((SELECT min(l) FROM (SELECT max(pos + 1) FILTER (n > 0) AS l FROM c GROUP BY class)), 64) AS cut FROM c GROUP BY class""", ("plong",))
 def last_finite(spark, sf):
     p = prof(spark, sf).withColumn("valid", F.when(F.col("sample") % 8 >= F.col("class"), F.col("valid")).otherwise(F.transform("valid", lambda v: F.lit(False))))
     n = profiles.last_finite(profiles.class_profile(p, ["class"]), ["class"])
-    return n.withColumn("cut", profiles.common_cut(n, 60).scalar())
+    return n.withColumn("cut", profiles.common_cut(n, views.WIDTH).scalar())
 
 
 @query("w13_robust_limits", """
@@ -353,20 +353,37 @@ def profile_run(spark, sf):
     g AS (SELECT pos, avg(CASE WHEN valid THEN abs(score) / s END) AS v FROM plong JOIN t USING (sample) GROUP BY pos),
     u AS (SELECT 'attention' AS signal, pos, v FROM a UNION ALL SELECT 'gradient', pos, v FROM g),
     s AS (SELECT signal, pos, avg(v) OVER (PARTITION BY signal ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS v FROM u)
-    SELECT signal, pos, round(z, 6) AS value FROM (SELECT signal, pos, (v - min(v) OVER (PARTITION BY signal)) / (max(v) OVER (PARTITION BY signal) - min(v) OVER (PARTITION BY signal)) AS z FROM s) WHERE pos < 60""", ("plong",))
+    SELECT signal, pos, round(z, 6) AS value FROM (SELECT signal, pos, (v - min(v) OVER (PARTITION BY signal)) / (max(v) OVER (PARTITION BY signal) - min(v) OVER (PARTITION BY signal)) AS z FROM s)""", ("plong",))
 def overall_panel(spark, sf):
     from strainlens.plans.profile_run import overall_panel as panel
     p = prof(spark, sf)
-    return rounded(panel(p, p, 11, 60), "value")
+    return rounded(panel(p, p, 11, views.WIDTH), "value")
+
+
+# the gradient signal is a profile of its own: every score weighted by its record and position
+@query("q04_class_panels", """
+    WITH x AS (SELECT strategy, class, sample, pos, valid, score, score * (1 + (sample + pos) % 3) AS grad FROM splong),
+    a AS (SELECT strategy, class, pos, avg(score) FILTER (valid) AS v FROM x GROUP BY ALL),
+    t AS (SELECT strategy, sample, sum(CASE WHEN valid THEN abs(grad) ELSE 0 END) AS s FROM x GROUP BY ALL),
+    g AS (SELECT x.strategy, class, pos, avg(CASE WHEN valid THEN abs(grad) / s END) AS v FROM x JOIN t ON t.strategy = x.strategy AND t.sample = x.sample GROUP BY ALL),
+    u AS (SELECT 'attention' AS signal, * FROM a UNION ALL SELECT 'gradient', * FROM g),
+    s AS (SELECT signal, strategy, class, pos, avg(v) OVER (PARTITION BY signal, strategy, class ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS v FROM u)
+    SELECT strategy, class, signal, pos, round((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w), 6) AS value FROM s WINDOW w AS (PARTITION BY signal, strategy, class)""", ("splong",))
+def class_panels(spark, sf):
+    from strainlens.plans.profile_run import overall_panel as panel
+    p = prof(spark, sf)
+    p = p.withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in views.STRATEGIES]))).filter(F.col("sample") % 3 != F.col("strategy") - 1)
+    weighted = p.withColumn("scores", F.transform("scores", lambda v, i: v * (1 + (F.col("sample") + i) % 3)))
+    return rounded(panel(p, weighted, 11, views.WIDTH, ["strategy", "class"]), "value")
 
 
 @query("a52_attention_reduction", """
     WITH w AS (SELECT sample, pos // 16 AS chunk, pos % 16 AS key, h, q, abs(score) * (1 + h + q) AS weight FROM plong, (SELECT unnest([0, 1]) AS h), (SELECT unnest([0, 1, 2]) AS q))
-    SELECT sample, chunk * 16 + key AS pos, round(avg(weight) FILTER (q = 0), 6) AS cls, round(avg(weight), 6) AS mean_query FROM w WHERE chunk * 16 + key < 60 GROUP BY ALL""", ("plong",))
+    SELECT sample, chunk * 16 + key AS pos, round(avg(weight) FILTER (q = 0), 6) AS cls, round(avg(weight), 6) AS mean_query FROM w GROUP BY ALL""", ("plong",))
 def attention_reduction(spark, sf):
     w = attention_weights(spark, sf)
-    a = profiles.reduce_attention(w, 1, 16, "cls", 60).withColumnRenamed("score", "cls")
-    b = profiles.reduce_attention(w, 1, 16, "mean_query", 60).withColumnRenamed("score", "mean_query")
+    a = profiles.reduce_attention(w, 1, 16, "cls", views.WIDTH).withColumnRenamed("score", "cls")
+    b = profiles.reduce_attention(w, 1, 16, "mean_query", views.WIDTH).withColumnRenamed("score", "mean_query")
     return rounded(a.join(b, ["sample", "pos"]), "cls", "mean_query")
 
 

@@ -1,6 +1,8 @@
 """Whole profile runs: every scope, class and overall, in one graph."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +28,16 @@ def profile_tables(df: DataFrame, mode: str, window: int) -> DataFrame:
     return out.select("scope", "profile", F.col("pos").cast("bigint").alias("pos"), "value", "scaled", "smoothed")
 
 
-def overall_panel(attention: DataFrame, gradient: DataFrame, window: int, genome_end: int) -> DataFrame:
+def overall_panel(attention: DataFrame, gradient: DataFrame, window: int, genome_end: int, keys: Sequence[str] = ()) -> DataFrame:
     """Attention and gradient profiles, smoothed, re-scaled, cut to the common
-    length."""
-    a = profiles.class_profile(attention, []).select(F.lit("attention").alias("signal"), "pos", "value")
-    g = profiles.class_profile(gradient, [], mode="abs_sum1").select(F.lit("gradient").alias("signal"), "pos", "value")
+    length of both; one panel, or one per ``keys`` (class, strategy)."""
+    keys = list(keys)
+    a = profiles.class_profile(attention, keys).select(*keys, F.lit("attention").alias("signal"), "pos", "value")
+    g = profiles.class_profile(gradient, keys, mode="abs_sum1").select(*keys, F.lit("gradient").alias("signal"), "pos", "value")
     both = a.unionByName(g)
-    lengths = both.groupBy("signal").agg((F.max("pos") + 1).cast("bigint").alias("length"))
-    cut = profiles.common_cut(lengths, genome_end)
-    both = both.withColumn("value", windows.smooth(both, ["signal"], "pos", "value", window, strict_odd=True))
-    both = profiles.scale_profile(both, ["signal"], "value", "class")
-    return both.withColumn("_cut", cut.scalar()).filter(F.col("pos") < F.col("_cut")).select("signal", F.col("pos").cast("bigint").alias("pos"), "value")
+    lengths = both.groupBy(*keys, "signal").agg((F.max("pos") + 1).cast("bigint").alias("length"))
+    cut = profiles.common_cut(lengths, genome_end, keys)
+    both = both.withColumn("value", windows.smooth(both, [*keys, "signal"], "pos", "value", window, strict_odd=True))
+    both = profiles.scale_profile(both, [*keys, "signal"], "value", "class")
+    both = both.join(cut, keys) if keys else both.withColumn("cut", cut.scalar())
+    return both.filter(F.col("pos") < F.col("cut")).select(*keys, "signal", F.col("pos").cast("bigint").alias("pos"), "value")
