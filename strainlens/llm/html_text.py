@@ -4,14 +4,15 @@ A tolerant reader builds the element tree without the parts that are never
 article text (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, reader comments).  Paragraphs give points for length and
 commas to their parent in full, to its parent half, and further up less and
-less; a container's points are discounted by its share of link text.  The best
+less, over 64 levels; a container's points are discounted by its share of link text.  The best
 container is kept, with the siblings whose points come near or that are plain
 paragraphs, and its blocks are joined in page order.
 
 One pass without a shuffle, one page at a time.  Defined results: null and
 empty pages give an empty text; text without any paragraph comes from the best
 container all the same; unclosed and misnested tags are closed where the next
-block begins; other columns pass through, and a clash with the added struct's
+block begins; a tag whose quotes do not close ends at its first ">"; time is in
+proportion to the page, however deeply it nests; other columns pass through, and a clash with the added struct's
 name is an error.
 """
 from __future__ import annotations
@@ -25,9 +26,12 @@ from pyspark.sql import types as T
 
 from strainlens.llm import batches
 
+# ancestors that a paragraph's points reach; the last one gets half a hundredth
+LEVELS = 64
+
 SCHEMA = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(?=/)[^>]*>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<(?=/)[^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORDS = re.compile(r"[A-Za-z0-9]+")
 
@@ -44,6 +48,9 @@ _NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted banner sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs "
     "header masthead footer comment comments commentlist disqus respond reply replies notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription "
     "signup login share sharing social related recommended recommendations widget widgets pagination pager toolbar toc skip hidden".split())
+_HEADS = frozenset("header masthead".split())
+_OWN = frozenset("article post entry story content".split())
+_LINKS = frozenset("post posts article articles link links content stories news items reading sidebar widget box".split())
 _KEPT = frozenset("html body article main".split())
 _PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -60,33 +67,55 @@ class Node:
     linked: int = 0
 
 
-def _unwanted(tag: str, attributes: str, inside: list[Node]) -> bool:
+def _named(value: str, in_article: bool) -> bool:
+    """Whether a class or id names something beside the text."""
+    for name in value.split():
+        pieces = set(_WORDS.findall(name))
+        found = _NAMES & pieces
+        # what belongs to the article has such names too: its header, and related work that is no list of links
+        if in_article or pieces & _OWN:
+            found -= _HEADS
+        if "related" in found and pieces - {"related"} and not pieces & _LINKS:
+            found -= {"related"}
+        if found:
+            return True
+    return False
+
+
+def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in _SKIPPED:
         # an article's own header holds its headline
-        return not (tag == "header" and any(n.tag in ("article", "main") for n in inside))
+        return not (tag == "header" and in_article)
     if not attributes or tag in _KEPT:
         return False
     found = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
         return True
-    return found.get("role", "") in _ROLES or bool(_NAMES & set(_WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}")))
+    return found.get("role", "") in _ROLES or _named(f"{found.get('class', '')} {found.get('id', '')}", in_article)
 
 
 def parse(html: str) -> Node:
     root = Node("#root", None)
     stack, at = [root], 0
+    # where the open elements of a tag stand in the stack, so that none is searched for
+    places: dict[str, list[int]] = {}
 
     def text(value: str) -> None:
         if value and not stack[-1].skipped:
             stack[-1].parts.append(unescape(value))
 
+    def last(tags: set) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
     def close(tags: set, bounds: set) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in bounds:
-                return
+        i = last(tags)
+        if i > last(bounds):
+            while len(stack) > i:
+                places[stack.pop().tag].pop()
 
     while at < len(html):
         m = _TAG.search(html, at)
@@ -95,13 +124,15 @@ def parse(html: str) -> Node:
             break
         text(html[at:m.start()])
         at = m.end()
-        tag = (m[2] or "").lower()
+        # the second form is a tag whose quotes do not close: it ends at the first ">"
+        slash, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        tag = (tag or "").lower()
         if not tag:
             continue
-        if m[1]:
+        if slash:
             if tag == "br":
                 text(" ")
-            elif any(n.tag == tag for n in stack[1:]):
+            else:
                 close({tag}, set())
             continue
         if tag in _VOID:
@@ -111,16 +142,16 @@ def parse(html: str) -> Node:
         if tag in _BLOCK:
             close({"p"}, {"table", "td", "th", "button", "object"})
         if tag in _HEADING and stack[-1].tag in _HEADING:
-            stack.pop()
+            places[stack.pop().tag].pop()
         if tag in _ENDS:
             close(*_ENDS[tag])
-        node = Node(tag, stack[-1], stack[-1].skipped or _unwanted(tag, m[3], stack))
+        node = Node(tag, stack[-1], stack[-1].skipped or _unwanted(tag, attributes, last({"article", "main"}) > 0))
         stack[-1].parts.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
             at = end.end() if end else len(html)
-        elif not m[3].endswith("/") or tag in _BLOCK:
-            stack.append(node)
+        elif not attributes.endswith("/") or tag in _BLOCK:
+            push(node)
     return root
 
 
@@ -151,7 +182,7 @@ def _score(nodes: list[Node]) -> None:
             points *= 1 - node.linked / node.size
             holder = node.parent if node.tag in _PARAGRAPH else node
             share, level = 1.0, 1
-            while holder is not None:
+            while holder is not None and level <= LEVELS:
                 holder.points += points * share
                 level += 1
                 share, holder = (0.5 if level == 2 else 1 / (3 * (level - 1))), holder.parent

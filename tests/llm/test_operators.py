@@ -44,6 +44,22 @@ def test_main_text_edges(html, want):
     assert html_text.extract(html) == want
 
 
+@pytest.mark.parametrize("page", [
+    "".join(f"<div>text, {i} here" for i in range(8000)) + "</div>" * 8000, "<p>" + "<div>" * 8000 + "<p>x, y" * 8000, "<p><table>" + "<div>" * 8000, "<b>" * 8000 + "</i>" * 8000,
+    "<a b=\"" * 8000 + ">", "<article>" * 4000 + "<header>h" * 4000, "<ul>" * 4000 + "<li>a" * 4000])
+def test_main_text_takes_time_in_proportion(page):
+    began = time.monotonic()
+    html_text.extract(page)
+    assert time.monotonic() - began < 1.5
+
+
+def test_tags_do_not_leak_and_own_parts_stay():
+    assert html_text.extract('<p title="abc>Second') == "Second"
+    assert html_text.extract("<article><p>One, it's \"fine\" here.<p class='a\" b=c>Two, quotes.</article>") == "One, it's \"fine\" here.\nTwo, quotes."
+    kept = '<article><p>One, two.</p><section class="related-work"><p>Work, of others.</p></section><div class="article-header"><p>Head</p></div><div class="related-posts"><p>x</p></div><div class="site-footer">y</div></article>'
+    assert html_text.extract(kept) == "One, two.\nWork, of others.\nHead"
+
+
 def test_main_text_as_table(spark):
     rows = spark.createDataFrame([(1, None, "u"), (2, "<p>x, y</p>", "u"), (2, "<p>x, y</p>", "u")], "page_id long, html string, text string")
     got = sorted(html_text.main_text(rows).select("page_id", "text", "main.text", "main.n_chars").collect())
