@@ -1,22 +1,31 @@
 """Licence scans: Dice coefficient over word bigrams, in Spark expressions only.
 
-The whole text and each of its lines are units.  A unit is normalised (lower
-case, letters and digits of ASCII, single spaces) and becomes its set of word
-bigrams.  A coefficient of at least t needs a template whose number of bigrams
-is between t / (2 - t) and (2 - t) / t times the unit's, so other templates
-are left out by that bound alone, and the rest are counted through shared
-bigrams.  No pair without a shared bigram is formed.
-
-Bigrams of units meet the template table in an equi-join, whose form Spark
-picks by the table's size; shared counts are combined before the shuffle.
-Defined results: null, empty and one-word units match nothing; repeated rows
-are matched one by one; of equal coefficients the first licence id wins; empty
-tables give none; other columns are not read.
+Units of a text are the whole, each line, and passages.  A unit is normalised
+(lower case, letters and digits of ASCII, single spaces) and becomes its set of
+word bigrams.  A coefficient of at least t needs a template whose number of
+bigrams is between t / (2 - t) and (2 - t) / t times the unit's, so units
+outside the bounds of all templates are never expanded, and other templates are
+left out by that bound alone; the rest are counted through shared bigrams.  No
+pair without a shared bigram is formed.
+
+A unit that matches holds so large a share of a template's bigrams that it must
+hold one of the template's anchor words; texts without any anchor are left at
+once.  Passages find notices that are wrapped over lines or stand inside a
+longer line: a text is cut into pieces at line feeds and after [.;:], pieces of
+which at least half the bigrams belong to one template are hits, and a run of
+hits of one template is a unit.
+
+Texts with an anchor are written once.  Bigrams of units meet the template table
+in an equi-join, whose form Spark picks by the table's size; shared counts are
+combined before the shuffle.  Defined results: null, empty and one-word units
+match nothing; repeated rows are matched one by one; of equal coefficients the
+first licence id wins; empty tables give none; other columns are not read.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strainlens import session
 
@@ -66,23 +75,87 @@ def bigrams(line) -> F.Column:
     return F.array_distinct(F.slice(F.zip_with(words, follow, lambda a, b: F.concat(a, F.lit(" "), b)), 1, F.greatest(F.size(words) - 1, F.lit(0))))
 
 
+def _ratio(threshold: float) -> float:
+    """Least share of one set's size that the other has at the threshold."""
+    return threshold / (2 - threshold)
+
+
+def anchors(templates: list[str], threshold: float) -> list[str]:
+    """Words of which any unit that matches one of the (normalised) templates holds one.
+
+    At the threshold t a unit holds at least t / 2 (1 + t / (2 - t)) of the
+    template's bigrams, so it cannot miss a family of more than the rest; the
+    words are those that meet such a family, long ones first.
+    """
+    least = threshold / 2 * (1 + _ratio(threshold))
+    out: set[str] = set()
+    for words in map(str.split, templates):
+        left = set(zip(words, words[1:], strict=False))
+        covered, need = 0, (1 - least) * len(left)
+        for w in sorted(set(words), key=lambda w: (w not in out, -len(w), w)):
+            if covered > need + 1e-9 or not left:
+                break
+            met = {g for g in left if w in g}
+            if met:
+                out.add(w)
+                left -= met
+                covered += len(met)
+    return sorted(out)
+
+
+# so many anchors are looked for in every text; with more templates all texts are expanded
+MAX_ANCHORS = 100
+
+
+def _best(units: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """Best licence of each unit (row_no, unit, line, doc_id, grams and, for passages, template) that reaches the threshold."""
+    ratio = _ratio(threshold)
+    grams = units.select("doc_id", "row_no", "unit", "line", *[c for c in ("own",) if c in units.columns], F.size("grams").alias("u_size"), F.explode("grams").alias("gram"))
+    met = grams.join(known, "gram").where((F.col("t_size") >= F.col("u_size") * ratio) & (F.col("t_size") * ratio <= F.col("u_size")))
+    if "own" in units.columns:
+        met = met.where("own = template")
+    shared = met.groupBy("row_no", "unit", "line", "template", "u_size").agg(
+        F.first("doc_id").alias("doc_id"), F.first("licence").alias("licence"), F.first("t_size").alias("t_size"), F.count("*").alias("n_shared"))
+    return shared.withColumn("dice", 2.0 * F.col("n_shared") / (F.col("u_size") + F.col("t_size"))).where(F.col("dice") >= threshold)
+
+
 def matches(docs: DataFrame, templates: DataFrame | None = None, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, line (0: the whole text), licence, n_shared, dice of each unit that reaches the threshold."""
+    """doc_id, unit ("whole", "line" or "passage"), line (0, the line, or the passage's first piece), licence, n_shared, dice of each unit that reaches the threshold."""
     given = default_templates(docs.sparkSession) if templates is None else templates
-    known = given.where("text IS NOT NULL").select("template", "licence", bigrams(F.translate(normal(F.col("text")), "\n", " ")).alias("grams"))
+    flat = given.where("text IS NOT NULL").select("template", "licence", F.translate(normal(F.col("text")), "\n", " ").alias("flat"))
+    known = flat.select("template", "licence", bigrams(F.col("flat")).alias("grams"))
     known = known.select("template", "licence", F.size("grams").alias("t_size"), F.explode("grams").alias("gram"))
     # a written table has a known size, by which Spark decides whether to broadcast it
     known = session.cut_lineage(known, "templates")
-    norm = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), normal(F.col(f"`{text}`")).alias("norm"))
-    lines = F.split("norm", "\n")
-    # a text of one line is its own whole
-    units = F.when(F.instr("norm", "\n") > 0, F.concat(F.array(F.translate("norm", "\n", " ")), lines)).otherwise(F.array("norm"))
-    unit = norm.select("doc_id", "row_no", F.posexplode(units).alias("line", "unit")).select("doc_id", "row_no", "line", bigrams(F.col("unit")).alias("grams"))
-    grams = unit.select("doc_id", "row_no", "line", F.size("grams").alias("u_size"), F.explode("grams").alias("gram"))
-    ratio = threshold / (2 - threshold)
-    pruned = grams.join(known, "gram").where((F.col("t_size") >= F.col("u_size") * ratio) & (F.col("t_size") * ratio <= F.col("u_size")))
-    shared = pruned.groupBy("row_no", "line", "template").agg(
-        F.first("doc_id").alias("doc_id"), F.first("licence").alias("licence"), F.first("u_size").alias("u_size"), F.first("t_size").alias("t_size"), F.count("*").alias("n_shared"))
-    scored = shared.withColumn("dice", 2.0 * F.col("n_shared") / (F.col("u_size") + F.col("t_size"))).where(F.col("dice") >= threshold)
+    least, most = known.agg(F.coalesce(F.min("t_size"), F.lit(0)), F.coalesce(F.max("t_size"), F.lit(0))).first()
+    t = F.col(f"`{text}`")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), t.alias("text"), normal(t).alias("norm")).where(F.col("text").isNotNull())
+    listed = [r["flat"] for r in flat.select("flat").limit(MAX_ANCHORS + 1).collect()]
+    words = anchors(listed, threshold) if len(listed) <= MAX_ANCHORS else []
+    if 0 < len(words) <= MAX_ANCHORS:
+        # one pattern, so that the text is normalised once for all of them
+        padded = F.concat(F.lit(" "), F.translate("norm", "\n", " "), F.lit(" "))
+        rows = rows.where(padded.rlike(f" (?:{'|'.join(words)}) "))
+    pieces = F.split(normal(F.regexp_replace("text", r"([.;:])[ \t]+", "$1\n")), "\n")
+    rows = session.cut_lineage(rows.select("doc_id", F.monotonically_increasing_id().alias("row_no"), "norm", pieces.alias("pieces")), "anchored")
+
+    # the whole and the lines; a text of one line is its own whole, and a text of too many characters has too many bigrams
+    ratio = _ratio(threshold)
+    whole = F.translate("norm", "\n", " ")
+    lines = F.when(F.instr("norm", "\n") > 0, F.concat(F.array(whole), F.split("norm", "\n"))).otherwise(F.array("norm"))
+    units = rows.select("doc_id", "row_no", F.posexplode(lines).alias("line", "words"))
+    units = units.select("doc_id", "row_no", F.when(F.col("line") == 0, "whole").otherwise("line").alias("unit"), "line", bigrams(F.col("words")).alias("grams"))
+    plain = _best(units.where(F.size("grams").between(least * ratio, most / ratio)), known, threshold)
+
+    # runs of pieces that mostly belong to one template
+    piece = rows.select("doc_id", "row_no", F.posexplode("pieces").alias("piece", "words")).select("row_no", "piece", bigrams(F.col("words")).alias("grams"))
+    hit = piece.select("row_no", "piece", F.size("grams").alias("u_size"), F.explode("grams").alias("gram")).join(known.select("template", "gram"), "gram")
+    hit = hit.groupBy("row_no", "template", "piece", "u_size").agg(F.count("*").alias("n")).where(F.col("n") * 2 >= F.col("u_size"))
+    run = F.col("piece") - F.row_number().over(Window.partitionBy("row_no", "template").orderBy("piece"))
+    runs = hit.select("row_no", "template", "piece", run.alias("run")).groupBy("row_no", "template", "run").agg(F.min("piece").alias("first"), F.count("*").alias("n"))
+    passages = rows.select("doc_id", "row_no", "pieces").join(runs, "row_no")
+    passages = passages.select("doc_id", "row_no", F.lit("passage").alias("unit"), (F.col("first") + 1).alias("line"), F.col("template").alias("own"),
+                               bigrams(F.array_join(F.slice("pieces", F.col("first") + 1, F.col("n").cast("int")), " ")).alias("grams"))
+    scored = plain.unionByName(_best(passages.where(F.size("grams") > 0), known, threshold))
     best = F.min_by(F.struct("doc_id", "licence", "n_shared", "dice"), F.struct(-F.col("dice"), "licence", "template"))
-    return scored.groupBy("row_no", "line").agg(best.alias("b")).select("b.doc_id", "line", "b.licence", "b.n_shared", "b.dice")
+    return scored.groupBy("row_no", "unit", "line").agg(best.alias("b")).select("b.doc_id", "unit", "line", "b.licence", "b.n_shared", "b.dice")

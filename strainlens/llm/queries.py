@@ -216,18 +216,25 @@ def _op7_sql() -> str:
     t = licence_scan.THRESHOLD
     words = lambda x: f"[w FOR w IN string_split({x}, ' ') IF w <> '']"
     grams = "list_distinct([l[i] || ' ' || l[i + 1] FOR i IN range(1, len(l))])"
+    piece = r"regexp_replace(text, '([.;:])[ \t]+', '\1' || chr(10), 'g')"
     norm = lambda x: f"regexp_replace(lower({x}), '[^a-z0-9\\n]+', ' ', 'g')"
     return f"""
 WITH t AS (SELECT template, licence, {grams} AS g FROM (SELECT template, licence, {words("replace(" + norm("text") + ", chr(10), ' ')")} AS l FROM (VALUES {values}) v(template, licence, text))),
-n AS (SELECT doc_id, {norm("text")} AS s FROM documents WHERE text IS NOT NULL),
-u AS (SELECT doc_id, 0 AS line, replace(s, chr(10), ' ') AS s FROM n
-  UNION ALL SELECT doc_id, unnest(range(1, len(x) + 1)), unnest(x) FROM (SELECT doc_id, string_split(s, chr(10)) AS x FROM n WHERE contains(s, chr(10)))),
-b AS (SELECT doc_id, line, {grams} AS g FROM (SELECT doc_id, line, {words("s")} AS l FROM u)),
+n AS (SELECT doc_id, text, {norm("text")} AS s FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, 'whole' AS unit, 0 AS line, -1 AS own, replace(s, chr(10), ' ') AS s FROM n
+  UNION ALL SELECT doc_id, 'line', unnest(range(1, len(x) + 1)), -1, unnest(x) FROM (SELECT doc_id, string_split(s, chr(10)) AS x FROM n WHERE contains(s, chr(10)))),
 tg AS (SELECT template, licence, len(g) AS k, unnest(g) AS gram FROM t),
-bg AS (SELECT doc_id, line, len(g) AS k, unnest(g) AS gram FROM b),
-c AS (SELECT bg.doc_id, bg.line, tg.template, tg.licence, count(*) AS n_shared, 2.0::DOUBLE * count(*) / (any_value(bg.k) + any_value(tg.k)) AS dice FROM bg JOIN tg ON bg.gram = tg.gram GROUP BY 1, 2, 3, 4)
-SELECT doc_id, line::INTEGER AS line, licence, n_shared, dice FROM (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, licence, template) AS r FROM c WHERE dice >= {t}) WHERE r = 1"""
+pc AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS s FROM (SELECT doc_id, string_split({norm(piece)}, chr(10)) AS x FROM n)),
+pg AS (SELECT doc_id, i, s, {grams} AS g FROM (SELECT doc_id, i, s, {words("s")} AS l FROM pc)),
+hit AS (SELECT doc_id, i, s, template FROM (SELECT doc_id, i, s, len(g) AS k, unnest(g) AS gram FROM pg) x JOIN tg ON tg.gram = x.gram GROUP BY doc_id, i, s, template, x.k HAVING 2 * count(*) >= x.k),
+runs AS (SELECT doc_id, template, min(i) AS line, string_agg(s, ' ' ORDER BY i) AS s FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, template ORDER BY i) AS r FROM hit) GROUP BY doc_id, template, r),
+au AS (SELECT * FROM u UNION ALL SELECT doc_id, 'passage', line, template, s FROM runs),
+b AS (SELECT doc_id, unit, line, own, {grams} AS g FROM (SELECT doc_id, unit, line, own, {words("s")} AS l FROM au)),
+bg AS (SELECT doc_id, unit, line, own, len(g) AS k, unnest(g) AS gram FROM b),
+c AS (SELECT bg.doc_id, bg.unit, bg.line, tg.template, tg.licence, count(*) AS n_shared, 2.0::DOUBLE * count(*) / (any_value(bg.k) + any_value(tg.k)) AS dice
+  FROM bg JOIN tg ON bg.gram = tg.gram WHERE bg.own IN (-1, tg.template) GROUP BY bg.doc_id, bg.unit, bg.line, bg.own, tg.template, tg.licence)
+SELECT doc_id, unit, line::INTEGER AS line, licence, n_shared, dice FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, unit, line ORDER BY dice DESC, licence, template) AS r FROM c WHERE dice >= {t}) WHERE r = 1"""
 
 
 ORACLE = {"op2_repetition": _op2_sql(), "op3_tool_calls": _OP3_SQL, "op5_suffix_dedup": _OP5_SQL, "op7_licences": _op7_sql(), "op8_near_duplicates": _groups_sql(OP8_SHINGLE_WORDS, bbit_minhash.SIMILARITY_PERCENT, ", r.c = d.doc_id AS kept"), "op11_prefix_trie": _OP11_SQL,

@@ -283,13 +283,40 @@ def test_changes_are_averaged_by_row_in_packed_blocks(spark):
 
 def test_licences(frame):
     rows = [(1, "Intro words.\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "Released under the MIT License."), (3, prose(1, 50)), (2, "Released under the MIT License."), *EDGES]
-    got = sorted((r.doc_id, r.line, r.licence, r.n_shared, r.dice) for r in licence_scan.matches(frame(rows)).collect())
-    assert [r for r in got if r[1] or r[4] == 1] == [(1, 2, "Apache-2.0", 7, 1.0), (2, 0, "MIT", 4, 1.0), (2, 0, "MIT", 4, 1.0)]
+    got = sorted((r.doc_id, r.unit, r.line, r.licence, r.n_shared, r.dice) for r in licence_scan.matches(frame(rows)).collect())
+    two = [(2, "passage", 1, "MIT", 4, 1.0), (2, "whole", 0, "MIT", 4, 1.0)]
     # the whole of the first text is close enough as well
-    assert got[0] == (1, 0, "Apache-2.0", 7, 14 / 17) and len(got) == 4
+    assert got == [(1, "line", 2, "Apache-2.0", 7, 1.0), (1, "passage", 2, "Apache-2.0", 7, 1.0), (1, "whole", 0, "Apache-2.0", 7, 14 / 17), *[x for x in two for _ in range(2)]]
     assert licence_scan.matches(frame(rows).where("false")).count() == 0
 
 
+def test_wrapped_and_embedded_notices(frame):
+    mit = licence_scan.TEMPLATES[3][1]
+    words = mit.split()
+    wrapped = "\n".join(" * " + " ".join(words[i:i + 9]) for i in range(0, len(words), 9))
+    code = f"/*\n * Copyright someone\n *\n{wrapped}\n */\nint main(void) {{ return 0; }}\n" + "\n".join(f"x{i} = {i};" for i in range(300))
+    inside = prose(3, 400) + " end. " + licence_scan.TEMPLATES[11][1] + " " + prose(4, 400)
+    got = {(r.doc_id, r.unit): (r.line, r.licence) for r in licence_scan.matches(frame([(1, code), (2, inside), (3, prose(5, 900))])).collect()}
+    assert got == {(1, "passage"): (4, "MIT"), (2, "passage"): (2, "GPL-3.0")}
+
+
+def test_anchors_are_in_every_unit_that_matches():
+    r = random.Random(12)
+    norm = lambda t: re.sub("[^a-z0-9]+", " ", t.lower()).split()
+    found = set(licence_scan.anchors([" ".join(norm(t)) for _, t in licence_scan.TEMPLATES], licence_scan.THRESHOLD))
+    assert len(found) < 60 and not found & {"the", "of", "to", "is", "a"}
+    for _, text in licence_scan.TEMPLATES:
+        words = norm(text)
+        grams = set(zip(words, words[1:], strict=False))
+        for _ in range(60):
+            unit = [w for w in words if r.random() < .93]
+            for _ in range(r.randrange(4)):
+                unit.insert(r.randrange(len(unit) + 1), "other")
+            mine = set(zip(unit, unit[1:], strict=False))
+            if mine and 2 * len(mine & grams) / (len(mine) + len(grams)) >= licence_scan.THRESHOLD:
+                assert found & set(unit)
+
+
 # --------------------------------------------------------- 8 near-duplicates
 
 def plain_components(rows, size):
