@@ -80,19 +80,22 @@ def _ratio(threshold: float) -> float:
     return threshold / (2 - threshold)
 
 
+_COMMON = frozenset("a all an and any as at be by for from in is it may not of or that the this to under use with work you your".split())
+
+
 def anchors(templates: list[str], threshold: float) -> list[str]:
     """Words of which any unit that matches one of the (normalised) templates holds one.
 
     At the threshold t a unit holds at least t / 2 (1 + t / (2 - t)) of the
     template's bigrams, so it cannot miss a family of more than the rest; the
-    words are those that meet such a family, long ones first.
+    words are those that meet such a family, telling ones first.
     """
     least = threshold / 2 * (1 + _ratio(threshold))
     out: set[str] = set()
     for words in map(str.split, templates):
         left = set(zip(words, words[1:], strict=False))
         covered, need = 0, (1 - least) * len(left)
-        for w in sorted(set(words), key=lambda w: (w not in out, -len(w), w)):
+        for w in sorted(set(words), key=lambda w: (w not in out, w in _COMMON, -len(w), w)):
             if covered > need + 1e-9 or not left:
                 break
             met = {g for g in left if w in g}

@@ -11,7 +11,7 @@ OP8_SHINGLE_WORDS = 4
 # shingles and similarity that op12_jaccard_tiles is asked for
 OP12_SHINGLE_WORDS, OP12_PERCENT = 3, 90
 # schema of the tool that op3 makes of a user's turn
-REPLY_SCHEMA = '{"type":"object","required":["text","turn"],"additionalProperties":false,"properties":{"text":{"type":"string","minLength":1},"turn":{"type":"integer","minimum":0}}}'
+REPLY_SCHEMA = '{"type":"object","required":["text","turn"],"additionalProperties":false,"properties":{"text":{"type":"string","minLength":1},"turn":{"type":"integer","minimum":0},"after":{"type":["null","object"]}}}'
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,14 +34,22 @@ def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.measure(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality.*")
 
 
+# how many turns later the call stands that a user's turn names, by (conv_id + turn / 2) mod 5: later ones, chains of later ones, earlier ones, none
+AFTER = {0: 2, 2: 4, 3: -2, 4: 2}
+
+
 def tool_messages(conversations: DataFrame) -> DataFrame:
-    """User turns as calls of the tool "reply", the next assistant turn as the result."""
+    """User turns as calls of the tool "reply", the next assistant turn as the result; four of five calls name another call of the conversation."""
     call = F.col("role") == "user"
     at = F.when(call, F.col("turn")).when(F.col("role") == "assistant", F.col("turn") - 1)
+    name = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+    rest, step = F.pmod(F.col("conv_id") + F.expr("turn div 2"), F.lit(5)), F.lit(None).cast("long")
+    for k, n in AFTER.items():
+        step = F.when(rest == k, F.lit(n).cast("long")).otherwise(step)
+    after = F.when(step.isNotNull(), F.struct(name(F.col("turn") + step).alias("$ref")))
     return conversations.select(
-        "conv_id", "turn", F.when(call, "call").when(F.col("role") == "assistant", "result").otherwise("message").alias("kind"),
-        F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), at.cast("string")).alias("call_id"), F.when(call, "reply").alias("name"),
-        F.when(call, F.to_json(F.struct("text", "turn"), {"ignoreNullFields": "false"})).otherwise(F.col("text")).alias("body"))
+        "conv_id", "turn", F.when(call, "call").when(F.col("role") == "assistant", "result").otherwise("message").alias("kind"), name(at).alias("call_id"), F.when(call, "reply").alias("name"),
+        F.when(call, F.to_json(F.struct("text", "turn", after.alias("after")), {"ignoreNullFields": "false"})).otherwise(F.col("text")).alias("body"))
 
 
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,18 +147,26 @@ FROM base"""
 
 
 _OP3_SQL = """
-WITH m AS (
-  SELECT conv_id, turn, text, role, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
-    CASE role WHEN 'user' THEN 'c' || conv_id || '-' || turn WHEN 'assistant' THEN 'c' || conv_id || '-' || (turn - 1) END AS call_id
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, text, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+    CASE role WHEN 'user' THEN 'c' || conv_id || '-' || turn WHEN 'assistant' THEN 'c' || conv_id || '-' || (turn - 1) END AS call_id,
+    CASE WHEN role = 'user' THEN 'c' || conv_id || '-' || (turn + CASE (conv_id + turn // 2) % 5 WHEN 0 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN -2 WHEN 4 THEN 2 END) END AS ref
   FROM conversations),
+i AS (SELECT conv_id, call_id, min(turn) FILTER (kind = 'call') AS c, min(turn) FILTER (kind = 'result') AS r FROM m WHERE call_id IS NOT NULL GROUP BY ALL),
+e AS (SELECT conv_id, r AS node, c AS need FROM i WHERE r IS NOT NULL AND c IS NOT NULL UNION SELECT m.conv_id, m.turn, coalesce(i.r, i.c) FROM m JOIN i ON i.conv_id = m.conv_id AND i.call_id = m.ref),
+reach AS (SELECT * FROM e UNION SELECT reach.conv_id, reach.node, e.need FROM reach JOIN e ON e.conv_id = reach.conv_id AND e.node = reach.need),
+w AS (SELECT conv_id, node, max(need) AS wait FROM reach GROUP BY ALL HAVING max(need) >= node),
+inside AS (SELECT e.conv_id, e.node, e.need FROM e JOIN w a ON a.conv_id = e.conv_id AND a.node = e.node JOIN w b ON b.conv_id = e.conv_id AND b.node = e.need AND a.wait = b.wait),
+layer AS (SELECT conv_id, node, 1 AS depth FROM w UNION SELECT l.conv_id, x.node, l.depth + 1 FROM layer l JOIN inside x ON x.conv_id = l.conv_id AND x.need = l.node),
+o AS (SELECT w.conv_id, w.node, wait, max(depth) AS depth FROM w JOIN layer l ON l.conv_id = w.conv_id AND l.node = w.node GROUP BY ALL),
 n AS (
-  SELECT m.*, EXISTS (SELECT 1 FROM m o WHERE o.conv_id = m.conv_id AND o.call_id = m.call_id AND o.kind = 'call') AS called,
-    EXISTS (SELECT 1 FROM m o WHERE o.conv_id = m.conv_id AND o.call_id = m.call_id AND o.kind = 'result') AS answered
-  FROM m)
-SELECT conv_id, turn, kind, call_id, turn AS order_turn, 0 AS order_depth,
-  CASE WHEN kind = 'message' THEN 'message' WHEN kind = 'result' AND NOT called THEN 'orphan' WHEN kind = 'call' AND text = '' THEN 'invalid' WHEN kind = 'call' AND NOT answered THEN 'unanswered' ELSE 'linked' END AS status,
+  SELECT m.*, i.c IS NOT NULL AS called, i.r IS NOT NULL AS answered, m.ref IS NOT NULL AND t.c IS NULL AS lost, o.wait, o.depth
+  FROM m LEFT JOIN i ON i.conv_id = m.conv_id AND i.call_id = m.call_id LEFT JOIN i t ON t.conv_id = m.conv_id AND t.call_id = m.ref LEFT JOIN o ON o.conv_id = m.conv_id AND o.node = m.turn)
+SELECT conv_id, turn, kind, call_id, coalesce(wait, turn) AS order_turn, coalesce(depth, 0) AS order_depth,
+  CASE WHEN kind = 'message' THEN 'message' WHEN kind = 'result' AND NOT called THEN 'orphan' WHEN kind = 'call' AND text = '' THEN 'invalid' WHEN lost THEN 'unknown_reference'
+    WHEN kind = 'call' AND NOT answered THEN 'unanswered' ELSE 'linked' END AS status,
   CASE WHEN kind = 'call' AND text = '' THEN 1 ELSE 0 END::BIGINT AS n_errors,
-  md5(CASE kind WHEN 'call' THEN '{"arguments":{"text":' || to_json(text)::VARCHAR || ',"turn":' || turn || '},"id":"' || call_id || '","name":"reply","type":"call"}'
+  md5(CASE kind WHEN 'call' THEN '{"arguments":{"after":' || CASE WHEN ref IS NULL THEN 'null' ELSE '{"$ref":"' || ref || '"}' END || ',"text":' || to_json(text)::VARCHAR || ',"turn":' || turn || '},"id":"' || call_id || '","name":"reply","type":"call"}'
     WHEN 'result' THEN '{"content":' || to_json(text)::VARCHAR || ',"id":"' || call_id || '","type":"result"}'
     ELSE '{"content":' || to_json(text)::VARCHAR || ',"type":"message"}' END) AS json_md5
 FROM n"""
