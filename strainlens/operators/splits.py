@@ -109,10 +109,12 @@ def leave_one_group_out(df: DataFrame, index: str, label: str, group: str, group
     or training side would be empty are left out.
     """
     listed = [g for g in groups if include_unknown or g != C.UNKNOWN]
-    sizes = df.agg(F.count(F.lit(1)).alias("_all"), *[F.count_if(F.col(group) == g).alias(f"_g{i}") for i, g in enumerate(listed)])
+    # the records as three narrow columns, read by every later step
+    base = cut_lineage(df.select(F.col(index).alias("index"), F.col(label).alias("class"), F.col(group).alias("_own")), "records")
+    sizes = base.agg(F.count(F.lit(1)).alias("_all"), *[F.count_if(F.col("_own") == g).alias(f"_g{i}") for i, g in enumerate(listed)])
     usable = sizes.select(F.array_compact(F.array(*[
         F.when((F.col(f"_g{i}") > 0) & (F.col(f"_g{i}") < F.col("_all")), F.lit(g)) for i, g in enumerate(listed)])))
-    rows = df.select(F.col(index).alias("index"), F.col(label).alias("class"), F.col(group).alias("_own"), F.explode(usable.scalar()).alias("fold"))
+    rows = base.select("index", "class", "_own", F.explode(usable.scalar()).alias("fold"))
     out = mark_splits(rows, "fold", "index", "class", F.coalesce(F.col("_own") == F.col("fold"), F.lit(False)), size, seed)
     return out.select("fold", "index", "split", F.col("fold").alias("group"), "class")
 
@@ -175,7 +177,7 @@ def cluster_folds(members: DataFrame, key: str, cluster: str, k: int = C.FOLDS)
 def cluster_aware_splits(members: DataFrame, folds: DataFrame, index: str, key: str, cluster: str, k: int = C.FOLDS,
                          size: float = C.VALIDATION_SHARE, seed: int = C.SEED) -> DataFrame:
     """Train/validation/test per fold; ``group`` is the record's own fold."""
-    own = members.join(folds.select(key, cluster, "cluster_fold"), [key, cluster])
+    own = cut_lineage(members.join(folds.select(key, cluster, "cluster_fold"), [key, cluster]).select(index, key, cluster, "cluster_fold"), "records")
     names = F.array(*[F.lit(f"fold_{i + 1}") for i in range(k)])
     rows = own.select(F.col(index).alias("index"), F.col(key).alias("class"), F.col(cluster).alias("cluster_id"),
                       F.col("cluster_fold").alias("group"), F.explode(names).alias("fold"))
