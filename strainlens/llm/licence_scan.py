@@ -9,8 +9,8 @@ left out by that bound alone; the rest are counted through shared bigrams.  No
 pair without a shared bigram is formed.
 
 A unit that matches holds so large a share of a template's bigrams that it must
-hold one of the template's anchor words; texts without any anchor are left at
-once.  Passages find notices that are wrapped over lines or stand inside a
+hold one of the template's anchors, a few long words and bigrams; texts without
+any anchor are left at once.  Passages find notices that are wrapped over lines or stand inside a
 longer line: a text is cut into pieces at line feeds and after [.;:], pieces of
 which at least half the bigrams belong to one template are hits, and a run of
 hits of one template is a unit.
@@ -23,11 +23,12 @@ first licence id wins; empty tables give none; other columns are not read.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strainlens import session
+from strainlens.functions.arrays import let
 
 THRESHOLD = 0.8
 
@@ -63,12 +64,12 @@ def default_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template int, licence string, text string")
 
 
-def normal(text) -> F.Column:
+def normal(text) -> Column:
     """Lower case, ASCII letters and digits, single spaces; line feeds stay."""
     return F.regexp_replace(F.lower(text), r"[^a-z0-9\n]+", " ")
 
 
-def bigrams(line) -> F.Column:
+def bigrams(line) -> Column:
     """Distinct word bigrams of a normalised unit without line feeds."""
     words = F.filter(F.split(line, " "), lambda w: w != "")
     follow = F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
@@ -80,32 +81,52 @@ def _ratio(threshold: float) -> float:
     return threshold / (2 - threshold)
 
 
-_COMMON = frozenset("a all an and any as at be by for from in is it may not of or that the this to under use with work you your".split())
-
-
-def anchors(templates: list[str], threshold: float) -> list[str]:
-    """Words of which any unit that matches one of the (normalised) templates holds one.
+def anchors(templates: list[str], threshold: float) -> tuple[list[str], list[tuple[str, str]]]:
+    """Words and bigrams of which any unit that matches one of the (normalised) templates holds one.
 
     At the threshold t a unit holds at least t / 2 (1 + t / (2 - t)) of the
-    template's bigrams, so it cannot miss a family of more than the rest; the
-    words are those that meet such a family, telling ones first.
+    template's bigrams, so it cannot miss a family of more than the rest.  A
+    family is made of the bigrams of long words, those that meet most first,
+    then of single bigrams.
     """
     least = threshold / 2 * (1 + _ratio(threshold))
-    out: set[str] = set()
+    long: set[str] = set()
+    pairs: set[tuple[str, str]] = set()
     for words in map(str.split, templates):
         left = set(zip(words, words[1:], strict=False))
-        covered, need = 0, (1 - least) * len(left)
-        for w in sorted(set(words), key=lambda w: (w not in out, w in _COMMON, -len(w), w)):
-            if covered > need + 1e-9 or not left:
-                break
-            met = {g for g in left if w in g}
+        need = (1 - least) * len(left) + 1e-9
+        covered = 0
+        while left and covered <= need:
+            met = {w: sum(w in g for g in left) for g in left for w in g if len(w) >= LONG}
             if met:
-                out.add(w)
-                left -= met
-                covered += len(met)
-    return sorted(out)
-
-
+                word = max(met, key=lambda w: (w in long, met[w], w))
+                long.add(word)
+                covered += met[word]
+                left = {g for g in left if word not in g}
+            else:
+                pair = max(left, key=lambda g: (g in pairs, len(g[0]) + len(g[1]), g))
+                pairs.add(pair)
+                covered += 1
+                left.remove(pair)
+    return sorted(long), sorted(pairs)
+
+
+def _holds(text: Column, words: list[str], pairs: list[tuple[str, str]]) -> Column:
+    """Whether the text has one of the words, anywhere, or of the bigrams."""
+    def check(t: Column) -> Column:
+        some = F.lit(False)
+        for w in words:
+            some = some | F.contains(t, F.lit(w))
+        for x, y in pairs:
+            some = some | (F.contains(t, F.lit(x)) & F.contains(t, F.lit(y)) & t.rlike(f"(?<![a-z0-9]){x}[^a-z0-9]+{y}(?![a-z0-9])"))
+        return some
+
+    # the text is lowered once for all of them
+    return let(F.lower(text), check)
+
+
+# letters of a long word
+LONG = 7
 # so many anchors are looked for in every text; with more templates all texts are expanded
 MAX_ANCHORS = 100
 
@@ -132,15 +153,13 @@ def matches(docs: DataFrame, templates: DataFrame | None = None, text: str = "te
     known = session.cut_lineage(known, "templates")
     least, most = known.agg(F.coalesce(F.min("t_size"), F.lit(0)), F.coalesce(F.max("t_size"), F.lit(0))).first()
     t = F.col(f"`{text}`")
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), t.alias("text"), normal(t).alias("norm")).where(F.col("text").isNotNull())
     listed = [r["flat"] for r in flat.select("flat").limit(MAX_ANCHORS + 1).collect()]
-    words = anchors(listed, threshold) if len(listed) <= MAX_ANCHORS else []
-    if 0 < len(words) <= MAX_ANCHORS:
-        # one pattern, so that the text is normalised once for all of them
-        padded = F.concat(F.lit(" "), F.translate("norm", "\n", " "), F.lit(" "))
-        rows = rows.where(padded.rlike(f" (?:{'|'.join(words)}) "))
+    words, pairs = anchors(listed, threshold) if len(listed) <= MAX_ANCHORS else ([], [])
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), t.alias("text")).where(F.col("text").isNotNull())
+    if 0 < len(words) + len(pairs) <= MAX_ANCHORS:
+        rows = rows.where(_holds(F.col("text"), words, pairs))
     pieces = F.split(normal(F.regexp_replace("text", r"([.;:])[ \t]+", "$1\n")), "\n")
-    rows = session.cut_lineage(rows.select("doc_id", F.monotonically_increasing_id().alias("row_no"), "norm", pieces.alias("pieces")), "anchored")
+    rows = session.cut_lineage(rows.select("doc_id", F.monotonically_increasing_id().alias("row_no"), normal(F.col("text")).alias("norm"), pieces.alias("pieces")), "anchored")
 
     # the whole and the lines; a text of one line is its own whole, and a text of too many characters has too many bigrams
     ratio = _ratio(threshold)

@@ -303,8 +303,8 @@ def test_wrapped_and_embedded_notices(frame):
 def test_anchors_are_in_every_unit_that_matches():
     r = random.Random(12)
     norm = lambda t: re.sub("[^a-z0-9]+", " ", t.lower()).split()
-    found = set(licence_scan.anchors([" ".join(norm(t)) for _, t in licence_scan.TEMPLATES], licence_scan.THRESHOLD))
-    assert len(found) < 60 and not found & {"the", "of", "to", "is", "a"}
+    words_, pairs = licence_scan.anchors([" ".join(norm(t)) for _, t in licence_scan.TEMPLATES], licence_scan.THRESHOLD)
+    assert len(words_) + len(pairs) < 50
     for _, text in licence_scan.TEMPLATES:
         words = norm(text)
         grams = set(zip(words, words[1:], strict=False))
@@ -314,7 +314,7 @@ def test_anchors_are_in_every_unit_that_matches():
                 unit.insert(r.randrange(len(unit) + 1), "other")
             mine = set(zip(unit, unit[1:], strict=False))
             if mine and 2 * len(mine & grams) / (len(mine) + len(grams)) >= licence_scan.THRESHOLD:
-                assert found & set(unit)
+                assert set(words_) & set(unit) or set(pairs) & mine
 
 
 # --------------------------------------------------------- 8 near-duplicates
