@@ -171,7 +171,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     known = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
     digest = ["n_shingles", "digest_a", "digest_b"]
     copies = known.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
-    classes = session.cut_lineage(known.select("doc_id", *digest).join(copies, digest).select("doc_id", "rep").distinct(), "classes")
+    # rows are made distinct before the join, so that Spark can split the join of a large group of copies
+    classes = session.cut_lineage(known.select("doc_id", *digest).distinct().join(copies, digest).select("doc_id", "rep"), "classes")
     reps = known.join(copies.select(*digest, F.col("rep").alias("doc_id")), [*digest, "doc_id"]).dropDuplicates([*digest, "doc_id"])
     reps = session.cut_lineage(reps, "representatives")
 
