@@ -160,6 +160,25 @@ def split_validity(spark, sf):
     return checks.split_validity(leave_out(spark, sf), total=n)
 
 
+# folds that break the rules: b has indices in two splits and negative ones, c has no validation rows
+@query("f02_split_failures", """
+    WITH f AS (SELECT fold, idx, CASE WHEN idx % 10 = 0 AND fold <> 'c' THEN 'val' WHEN idx % 10 = 1 THEN 'test' ELSE 'train' END AS split FROM meta, (SELECT unnest(['a', 'b', 'c']) AS fold)),
+    s AS (SELECT fold, CASE WHEN fold = 'b' AND idx % 40 = 3 THEN -idx ELSE idx END AS i, split FROM f
+      UNION ALL SELECT 'b', idx, CASE WHEN idx % 50 = 20 THEN 'test' ELSE 'train' END FROM meta WHERE idx % 50 IN (1, 10, 20)),
+    p AS (SELECT fold, i, count(*) FILTER (split = 'train') AS tr, count(*) FILTER (split = 'val') AS va, count(*) FILTER (split = 'test') AS te FROM s GROUP BY ALL),
+    q AS (SELECT fold, sum(tr)::BIGINT AS n_train, sum(va)::BIGINT AS n_val, sum(te)::BIGINT AS n_test, min(i) AS min_index, max(i) AS max_index, count(*) FILTER (i < 0 OR i > (SELECT max(idx) FROM meta)) AS out_of_range,
+      count(*) FILTER (tr > 0 AND va > 0) AS overlap_train_val, count(*) FILTER (tr > 0 AND te > 0) AS overlap_train_test, count(*) FILTER (va > 0 AND te > 0) AS overlap_val_test FROM p GROUP BY fold)
+    SELECT *, CASE WHEN n_train > 0 AND n_val > 0 AND out_of_range + overlap_train_val + overlap_train_test + overlap_val_test = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM q""", ("meta",))
+def split_failures(spark, sf):
+    m = views.meta(spark, sf).select("idx")
+    i, fold = F.col("idx"), F.col("fold")
+    rows = m.withColumn("fold", F.explode(F.array(*[F.lit(x) for x in "abc"])))
+    split = F.when((i % 10 == 0) & (fold != "c"), "val").when(i % 10 == 1, "test").otherwise("train")
+    rows = rows.select("fold", F.when((fold == "b") & (i % 40 == 3), -i).otherwise(i).alias("index"), split.alias("split"))
+    more = m.filter((i % 50).isin(1, 10, 20)).select(F.lit("b").alias("fold"), i.alias("index"), F.when(i % 50 == 20, "test").otherwise("train").alias("split"))
+    return checks.split_validity(rows.unionByName(more), n_samples=m.agg(F.max("idx")).first()[0] + 1)
+
+
 _GREEDY = """
     WITH RECURSIVE cl AS (SELECT class, cluster_id, count(*) AS size FROM meta GROUP BY ALL),
     od AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY size DESC, cluster_id) AS n FROM cl),

@@ -323,6 +323,32 @@ def pair_alignment_qc(spark, sf):
     return comparison.alignment_qc(aligned(spark, sf))
 
 
+# predictions that break every pairing rule: lost rows, other labels, other folds, repeated rows, records without a cluster
+@query("j03_pair_alignment_failures", f"""
+    WITH pr AS (SELECT * FROM (VALUES {_PAIR_VALUES}) v(family, model_a, model_b)),
+    x AS (SELECT protocol, model, "index" AS i, CASE WHEN model = 'm5' AND "index" % 97 = 4 THEN (y_true + 1) % 4 ELSE y_true END AS y, CASE WHEN model = 'm6' AND "index" % 89 = 5 THEN fold || 'x' ELSE fold END AS fold,
+        CASE WHEN model = 'm7' AND "index" % 83 = 6 THEN 2 ELSE 1 END AS n FROM pred WHERE NOT (model = 'm4' AND "index" % 101 = 3)),
+    c AS (SELECT DISTINCT "index" AS i, cluster_key FROM pred WHERE "index" % 79 <> 7),
+    a AS (SELECT family, model_a, model_b, x.* FROM pr JOIN x ON x.model = model_a), b AS (SELECT family, model_a, model_b, x.* FROM pr JOIN x ON x.model = model_b),
+    r AS (SELECT family, model_a, model_b, protocol, i, y, fold, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b FROM a FULL JOIN b USING (family, model_a, model_b, protocol, i, y, fold)),
+    k AS (SELECT r.*, cluster_key, n_a > 0 AND n_b > 0 AS both_ FROM r LEFT JOIN c USING (i)),
+    o AS (SELECT family, model_a, model_b, protocol, i, sum(n_a) AS a, sum(n_b) AS b, min(y) <> max(y) AS dy, min(fold) <> max(fold) AS df FROM k WHERE NOT both_ GROUP BY ALL),
+    q AS (SELECT family, model_a, model_b, protocol, count(*) FILTER (b = 0) AS only_a, count(*) FILTER (a = 0) AS only_b, count(*) FILTER (a > 0 AND b > 0 AND dy) AS label_mismatches,
+      count(*) FILTER (a > 0 AND b > 0 AND df) AS fold_mismatches FROM o GROUP BY ALL)
+    SELECT protocol, family, model_a, model_b, sum(n_a)::BIGINT AS n_model_a, sum(n_b)::BIGINT AS n_model_b, count(*) FILTER (both_) AS n_aligned, count(DISTINCT cluster_key) AS n_unique_clusters, count(DISTINCT fold) AS n_partitions,
+      'prediction_file' AS index_source_model_a, 'prediction_file' AS index_source_model_b, coalesce(max(only_a), 0) AS only_a, coalesce(max(only_b), 0) AS only_b, coalesce(max(label_mismatches), 0) AS label_mismatches,
+      coalesce(max(fold_mismatches), 0) AS fold_mismatches, count(*) FILTER (cluster_key IS NULL) AS missing_cluster_ids, count(*) FILTER (n_a > 1 OR n_b > 1) AS duplicate_indices,
+      CASE WHEN coalesce(max(only_a + only_b + label_mismatches + fold_mismatches), 0) + count(*) FILTER (cluster_key IS NULL) + count(*) FILTER (n_a > 1 OR n_b > 1) > 0 THEN 'FAIL' ELSE 'PASS' END AS alignment_status
+    FROM k LEFT JOIN q USING (family, model_a, model_b, protocol) GROUP BY protocol, family, model_a, model_b""", ("pred",))
+def pair_alignment_failures(spark, sf):
+    i, model = F.col("index"), F.col("model")
+    p = preds(spark, sf).filter(~((model == "m4") & (i % 101 == 3)))
+    p = p.withColumn("y_true", F.when((model == "m5") & (i % 97 == 4), (F.col("y_true") + 1) % 4).otherwise(F.col("y_true")))
+    p = p.withColumn("fold", F.when((model == "m6") & (i % 89 == 5), F.concat("fold", F.lit("x"))).otherwise(F.col("fold")))
+    p = p.withColumn("_times", F.explode(F.sequence(F.lit(1), F.when((model == "m7") & (i % 83 == 6), 2).otherwise(1)))).drop("_times")
+    return comparison.alignment_qc(comparison.align_pairs(p, cluster_map(spark, sf).filter(i % 79 != 7), PAIRS))
+
+
 _TAIL = """CASE WHEN n = 0 OR 2 * k = n THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, k + 1),
       lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0::DOUBLE))))) END"""
 
