@@ -137,7 +137,10 @@ def top_eigenpairs(product, d: int, wanted: int, block: int = BLOCK, degree: int
             width = min(d, 2 * width)
             q = np.linalg.qr(np.hstack([q, draw.standard_normal((d, width - q.shape[1]))]))[0]
             continue
-        q = np.linalg.qr(_filtered(product, q, w, min(low, value[-1] / 2), value[-1], top, degree))[0]
+        if value[-1] <= low:
+            # the block met what lies below the estimate
+            low = max(0.0, value[-1] / 2)
+        q = np.linalg.qr(_filtered(product, q, w, low, value[-1], top, degree))[0]
 
 
 def _lowest(product, start: np.ndarray) -> float:

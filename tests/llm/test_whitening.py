@@ -95,3 +95,15 @@ def test_flat_spectra_are_certified(gap):
     assert np.allclose(got, value[:4], rtol=1e-12)
     assert np.abs(v @ vectors - vectors * got).max() < 1e-11 and np.abs(vectors.T @ vectors - np.eye(4)).max() < 1e-12
     assert len(passes) < 400
+
+
+@pytest.mark.parametrize("low", [[], [1.0], [0.0] * 30, [1e-3, 500.0]])
+def test_small_values_far_below_the_others_do_no_harm(low):
+    value = np.concatenate(([1700, 1660, 1092, 1081], np.linspace(1077, 925, 60), low))
+    r = np.random.default_rng(4)
+    u = np.linalg.qr(r.standard_normal((len(value), len(value))))[0]
+    v = (u * value) @ u.T
+    passes = []
+    got, vectors = whitening.top_eigenpairs(lambda block: passes.append(1) or v @ block, len(value), 4)
+    assert np.allclose(got, value[:4], rtol=1e-12)
+    assert np.abs(v @ vectors - vectors * got).max() < 1e-8 and len(passes) < 150
