@@ -88,11 +88,16 @@ def display_name(col: Column, names: Mapping[str, str]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), col), col)
 
 
+# Readings of a comparison.
+A_HIGHER, B_HIGHER = "Model A higher under this protocol", "Model B higher under this protocol"
+NO_OBSERVED, NOT_SUPPORTED = "No observed accuracy difference", "No statistically supported accuracy difference"
+
+
 def verdict(delta: Column, low: Column, high: Column, p: Column) -> Column:
     """Reading of an adjusted p with the sign of the interval."""
     return (
-        F.when((p < 0.05) & (low > 0), "Model A higher under this protocol")
-        .when((p < 0.05) & (high < 0), "Model B higher under this protocol")
-        .when((F.abs(delta) <= 1e-15) & (low <= 0) & (high >= 0), "No observed accuracy difference")
-        .otherwise("No statistically supported accuracy difference")
+        F.when((p < 0.05) & (low > 0), A_HIGHER)
+        .when((p < 0.05) & (high < 0), B_HIGHER)
+        .when((F.abs(delta) <= 1e-15) & (low <= 0) & (high >= 0), NO_OBSERVED)
+        .otherwise(NOT_SUPPORTED)
     )

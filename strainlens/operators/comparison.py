@@ -274,6 +274,10 @@ def bootstrap(contrib: DataFrame, reps: int = 10_000, confidence: float = 0.95,
     return scored.groupBy(*PAIR).applyInPandas(intervals, f"{pair}bootstrap_reps int, " + ", ".join(f"{c} double" for c in (*ends, *middle)))
 
 
+# Names of the ways to a sign-flip p.
+NO_DIFFERENCE, EXACT, DRAWN = "degenerate_zero_difference", "exact_cluster_sign_flip", "monte_carlo_cluster_sign_flip"
+
+
 def sign_flip(contrib: DataFrame, reps: int = 100_000, seed: int = C.SEED, method: str | None = None, exact_up_to: int = 20) -> DataFrame:
     """Sign-flip test of the sum over clusters of (correct_a - correct_b).
 
@@ -295,7 +299,7 @@ def sign_flip(contrib: DataFrame, reps: int = 100_000, seed: int = C.SEED, metho
         size, n = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
         observed, clusters = int(pdf["signed"].sum()), int(n.sum())
         if observed == 0:
-            p, used, how = 1.0, 0, "degenerate_zero_difference"
+            p, used, how = 1.0, 0, NO_DIFFERENCE
         elif method == "exact" or method is None and clusters <= exact_up_to:
             # shares of the reachable sums, cluster by cluster
             share, reach = np.ones(1), 0
@@ -306,14 +310,14 @@ def sign_flip(contrib: DataFrame, reps: int = 100_000, seed: int = C.SEED, metho
                 share, reach = grown, reach + v
             p = float(share[np.abs(np.arange(-reach, reach + 1)) >= abs(observed)].sum())
             # a long holds the number of sign patterns of up to 62 clusters
-            used, how = 2 ** min(clusters, 62), "exact_cluster_sign_flip"
+            used, how = 2 ** min(clusters, 62), EXACT
         else:
             rng = np.random.default_rng([seed, 10_000 + int(first["pair_no"]), zlib.crc32(first["protocol"].encode())])
             total = np.zeros(reps, dtype=np.int64)
             for v, m in zip(size[size > 0], n[size > 0]):
                 total += v * (2 * rng.binomial(m, 0.5, size=reps) - m)
             exceed = int(np.sum(np.abs(total) >= abs(observed)))
-            p, used, how = (exceed + 1.0) / (reps + 1.0), reps, "monte_carlo_cluster_sign_flip"
+            p, used, how = (exceed + 1.0) / (reps + 1.0), reps, DRAWN
         return pd.DataFrame([[*[first[k] for k in PAIR], p, used, how, observed, clusters]],
                             columns=[*PAIR, "cluster_permutation_p", "cluster_permutation_reps", "cluster_permutation_method",
                                      "cluster_accuracy_difference_count", "n_clusters"])

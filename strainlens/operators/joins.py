@@ -154,6 +154,7 @@ def region_bounds(coordinates: DataFrame, key: str, genome_end: int = C.GENOME_E
     region raises when ``strict`` and is listed in ``missing`` otherwise.
     """
     by_product = F.create_map(*[F.lit(x) for r, p in C.REGION_PRODUCTS.items() for x in (p, r)])
+    # fixed values: older names of two regions
     legacy = {"capsid protein C": "C", "premembrane protein prM": "prM"}
     by_legacy = F.create_map(*[F.lit(x) for kv in legacy.items() for x in kv])
     name = F.when(F.col("region").isin(C.REGIONS), F.col("region")).otherwise(F.coalesce(F.try_element_at(by_product, F.col("region")), F.try_element_at(by_legacy, F.col("region"))))

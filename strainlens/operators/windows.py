@@ -33,8 +33,11 @@ def rolling_mean(keys: Sequence[str], pos: str, value: str, window: int) -> Colu
     return F.when(F.count(value).over(w) >= need, F.avg(value).over(w))
 
 
-def latest_checkpoint(df: DataFrame, keys: Sequence[str], name: str,
-                      pattern: str = r"model-(?:k\d+|ohe)_(\d+)_(\d+)\.pt") -> DataFrame:
+# Fixed value: names of saved models.
+CHECKPOINT_NAME = r"model-(?:k\d+|ohe)_(\d+)_(\d+)\.pt"
+
+
+def latest_checkpoint(df: DataFrame, keys: Sequence[str], name: str, pattern: str = CHECKPOINT_NAME) -> DataFrame:
     """Name with the highest (epoch, timestamp) per key."""
     epoch, ts = (F.regexp_extract(name, pattern, i).cast("bigint") for i in (1, 2))
     return df.filter(F.col(name).rlike(pattern)).groupBy(*keys).agg(F.max_by(F.col(name), F.struct(epoch, ts)).alias("latest"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 RUN_SCHEMA = ("fold string, test struct<accuracy: double, classification_report: map<string, struct<`f1-score`: double, support: double>>, "
               "confusion_matrix: array<array<bigint>>>, test_timing struct<total_time_sec: double, samples_per_sec: double>, device_info struct<name: string>")
+# Fixed value: names of single profile files.
 PROFILE_NAME = r"^(\w+?)_batch(\d+)_sample(\d+)_class(\d+)(?:_target(\d+)_pred(\d+))?_(attn|gxi)\.npy$"
 
 
