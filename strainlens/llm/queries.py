@@ -85,7 +85,9 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_sample(docs)))
-    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{secret_scan.KINDS[k]}") for k in range(3)]
+    # one argument only: Spark would fill a second one with the place in the array
+    of_kind = lambda k: F.filter("secrets", lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{secret_scan.KINDS[k]}") for k in range(3)]
     base = secret_scan.listed(F.filter("secrets", lambda s: s["kind"] < 3))
     return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secret_scan.listed(F.col("secrets")).alias("spans"))
 

@@ -434,6 +434,15 @@ def test_secrets(spark, frame):
     assert secret_scan.scan(empty, secret_scan.train(secret_scan.labelled_sample(empty))).count() == 0
 
 
+def test_secret_counts_are_by_kind(spark, tmp_path):
+    # several spans in a text: counts go by kind, not by a span's place in the list
+    hexes, access = "0123456789abcdef" * 2, "AKIA" + "A" * 16
+    rows = [(1, f"é {hexes} {hexes} {access} password=abcdef token: abcdefg"), (2, f"secret=abcdef {access}"), (3, None), (3, "plain"), (None, f"{access} {access}")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id or 0, r.n_assign, r.n_access, r.n_hex) for r in queries.op10_secrets(spark, str(tmp_path)).collect()))
+    assert got == [(0, 0, 2, 0), (1, 2, 1, 2), (2, 1, 1, 0), (3, 0, 0, 0), (3, 0, 0, 0)]
+
+
 def test_secret_models_of_the_production_sample(spark):
     docs = queries.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
     model = secret_scan.train(secret_scan.labelled_sample(docs))
