@@ -34,7 +34,8 @@ def seeded_cutoffs(df: DataFrame, keys: Sequence[str], quota: DataFrame, seed, i
     edge = hist.withColumn("_upto", upto).join(quota, list(keys))
     edge = edge.filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
     edge = edge.select(*keys, "_bucket", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_take"))
-    # one row per group: the groups are folds x classes
+    # one row per group: the groups are folds x classes; written, so that Spark knows it as the small side and never broadcasts the records
+    edge = cut_lineage(edge, "edges")
     near = work.join(edge, [*keys, "_bucket"])
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("_digest", *ids))
     last = near.withColumn("_rn", place).filter(F.col("_rn") == F.col("_take"))

@@ -141,3 +141,13 @@ def test_samples_are_bounded_and_whole(spark):
     w = spark.createDataFrame([(0, 0), (1, 1), (2, 9)], "i bigint, w bigint")
     got = {r.i: r.n for r in splits.weighted_draws(w, "w", 2000, "i").groupBy("i").agg(F.count("*").alias("n")).collect()}
     assert sum(got.values()) == 2000 and 0 not in got and 150 < got[1] < 250
+
+
+def test_cutoffs_do_not_broadcast_the_records(spark):
+    # records of a small estimated size: the one row per group is the side to send, not the records
+    rows = spark.range(20_000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"))
+    quota = spark.createDataFrame([("a", 100), ("b", 7)], "g string, quota bigint")
+    cut = splits.seeded_cutoffs(rows, ["g"], quota, 1, ["id"])
+    assert "BuildLeft" not in cut._jdf.queryExecution().executedPlan().toString()
+    kept = rows.join(cut, "g").where(splits.inside_quota(1, ["id"])).groupBy("g").count().collect()
+    assert sorted(map(tuple, kept)) == [("a", 100), ("b", 7)]
