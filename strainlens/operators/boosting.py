@@ -5,21 +5,29 @@ equal binned rows with one label collapse to a cell with a count.  Each round
 grows one tree per fold and class, best split first, from softmax gradients.
 All trees of a round grow side by side: one pass over the cells gives, for
 every node still to be judged in any of them, the sums of gradients, curvatures
-and rows per feature and bin; the driver then picks splits.  Passes are
-stateless: a task routes its cells through the trees since the last written
-scores, so a lost executor costs only its tasks.
+and rows per feature and bin; the driver then picks splits.
 
-The driver holds trees and histograms, whose size depends on folds, classes,
-leaves, features and bins alone.
+While the cells fit the memory of the tasks that run at once, a barrier job
+grows several rounds: its tasks keep their cells, hand each other their sums
+and pick the same splits, so no job is started per level.  More cells take a
+job per pass.  Those passes are stateless: a task routes its cells through the
+trees since the last written scores, so a lost executor costs only its tasks.
+A barrier job starts again from the last written scores.
+
+Trees and histograms depend in size on folds, classes, leaves, features and
+bins alone.
 """
 from __future__ import annotations
 
+import base64
 import heapq
-from collections.abc import Iterator, Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +39,8 @@ BINS = 255
 KEPT_ROUNDS = 10
 # partial histograms of so few tasks are summed by the driver; more are summed by Spark first
 DIRECT_TASKS = 8
+# cells a task of a barrier job is given before there are more tasks, and the most it keeps (about 100 bytes each)
+BARRIER_CELLS, MOST_CELLS = 50_000, 2_000_000
 
 
 @dataclass
@@ -218,30 +228,41 @@ def _add(scores: np.ndarray, fold: int, bins: np.ndarray, recent: list[dict]) ->
     return scores
 
 
+def _slots(wanted: dict[tuple[int, int], list[int]]) -> dict[tuple[int, int, int], int]:
+    """Place of every wanted (fold, class, node) among the histograms of a pass."""
+    return {(f, c, node): i for i, (f, c, node) in enumerate((f, c, node) for (f, c), nodes in wanted.items() for node in nodes)}
+
+
+def _tally(total: np.ndarray, fold: int, bins: np.ndarray, label: np.ndarray, n: np.ndarray, p: np.ndarray, grown: dict[tuple[int, int], Tree], wanted: dict[tuple[int, int], list[int]]) -> None:
+    """Adds the cells of one fold to the sums of gradient, curvature and rows of the wanted nodes."""
+    slots, width = _slots(wanted), bins.shape[1]
+    size = width * (BINS + 1)
+    place = bins + np.arange(width) * (BINS + 1)
+    for c in range(p.shape[1]):
+        nodes = wanted.get((fold, c))
+        if not nodes:
+            continue
+        tree = grown[fold, c]
+        slot = np.full(len(tree.feature), -1)
+        slot[nodes] = [slots[fold, c, node] for node in nodes]
+        slot = slot[tree.leaves(bins)]
+        here = np.flatnonzero(slot >= 0)
+        at = (slot[here, None] * size + place[here]).ravel()
+        g, h = n * (p[:, c] - (label == c)), n * p[:, c] * (1 - p[:, c])
+        for i, w in enumerate((g, h, n)):
+            total[i] += np.bincount(at, weights=np.repeat(w[here], width), minlength=total.shape[1])
+
+
 def _histograms(cells: DataFrame, tasks: int, recent: list[dict], grown: dict[tuple[int, int], Tree], wanted: dict[tuple[int, int], list[int]], width: int, n_classes: int) -> dict[tuple[int, int, int], np.ndarray]:
     """Sums of gradient, curvature and rows by feature and bin of every wanted node."""
-    slots = {(f, c, node): i for i, (f, c, node) in enumerate((f, c, node) for (f, c), nodes in wanted.items() for node in nodes)}
+    slots = _slots(wanted)
     size = width * (BINS + 1)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((3, len(slots) * size))
         for part in parts:
             for fold, _, bins, label, n, scores in _blocks(part, width, n_classes):
-                p = softmax(_add(scores, fold, bins, recent))
-                place = bins + np.arange(width) * (BINS + 1)
-                for c in range(n_classes):
-                    nodes = wanted.get((fold, c))
-                    if not nodes:
-                        continue
-                    tree = grown[fold, c]
-                    slot = np.full(len(tree.feature), -1)
-                    slot[nodes] = [slots[fold, c, node] for node in nodes]
-                    slot = slot[tree.leaves(bins)]
-                    here = np.flatnonzero(slot >= 0)
-                    at = (slot[here, None] * size + place[here]).ravel()
-                    g, h = n * (p[:, c] - (label == c)), n * p[:, c] * (1 - p[:, c])
-                    for i, w in enumerate((g, h, n)):
-                        total[i] += np.bincount(at, weights=np.repeat(w[here], width), minlength=total.shape[1])
+                _tally(total, fold, bins, label, n, softmax(_add(scores, fold, bins, recent)), grown, wanted)
         key = np.flatnonzero(total[2])
         yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(total[i, key]) for i in range(3)]], names=["key", "g", "h", "n"])
 
@@ -257,10 +278,77 @@ def _histograms(cells: DataFrame, tasks: int, recent: list[dict], grown: dict[tu
     return {k: total[i] for k, i in slots.items()}
 
 
+def _grow(live: list[tuple[int, int]], settings: Settings, histograms: Callable[[dict, dict], dict]) -> dict[tuple[int, int], Tree]:
+    """One round: the trees of all folds and classes, level by level; ``histograms`` gives the sums of the wanted nodes of the grown trees."""
+    growing = {k: Growing(settings) for k in live}
+    wanted = {k: [0] for k in live}
+    while wanted:
+        grown = {k: growing[k].tree(every=True) for k in wanted}
+        for (f, c, node), hist in histograms(grown, wanted).items():
+            growing[f, c].judge(node, hist)
+        wanted = {k: more for k in wanted if (more := growing[k].choose())}
+    return {k: g.tree() for k, g in growing.items()}
+
+
+def _barrier_tasks(cells: DataFrame) -> int:
+    """Tasks of a barrier job over the cells; 0 if they cannot keep them."""
+    context = cells.sparkSession.sparkContext
+    conf = context.getConf()
+    if conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return 0
+    n = cells.count()
+    # all tasks run at once, and each is sent the sums of all
+    most = min(DIRECT_TASKS, context.defaultParallelism // int(conf.get("spark.task.cpus", "1")))
+    return min(max(1, -(-n // BARRIER_CELLS)), most) if n <= most * MOST_CELLS else 0
+
+
+def _grow_together(cells: DataFrame, tasks: int, live: list[tuple[int, int]], rounds: int, settings: Settings, width: int, n_classes: int) -> list[dict[tuple[int, int], Tree]]:
+    """The trees of the next rounds, by one barrier job whose tasks keep their cells."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = BarrierTaskContext.get()
+        held: dict[int, list] = {}
+        for part in parts:
+            for fold, _, *arrays in _blocks(part, width, n_classes):
+                held.setdefault(fold, []).append(arrays)
+        held = {fold: [np.concatenate(x) for x in zip(*blocks, strict=True)] for fold, blocks in held.items()}
+        found = []
+        for _ in range(rounds):
+            chances = {fold: softmax(scores) for fold, (*_, scores) in held.items()}
+
+            def histograms(grown: dict, wanted: dict, chances: dict = chances) -> dict:
+                slots = _slots(wanted)
+                total = np.zeros((3, len(slots) * width * (BINS + 1)))
+                for fold, (bins, label, n, _) in held.items():
+                    _tally(total, fold, bins, label, n, chances[fold], grown, wanted)
+                if tasks > 1:
+                    # added in the order of the tasks, so all come to the same sums
+                    key = np.flatnonzero(total[2]).astype(np.int32)
+                    sent = context.allGather(base64.b64encode(key.tobytes() + total[:, key].tobytes()).decode())
+                    total = np.zeros_like(total)
+                    for message in map(base64.b64decode, sent):
+                        size = len(message) // 28
+                        at = np.frombuffer(message, np.int32, size)
+                        total[:, at] += np.frombuffer(message[4 * size:], np.float64).reshape(3, size)
+                sums = total.T.reshape(len(slots), width, BINS + 1, 3)
+                return {k: sums[i] for k, i in slots.items()}
+
+            trees = _grow(live, settings, histograms)
+            found.append(trees)
+            for fold, arrays in held.items():
+                arrays[3] = _add(arrays[3], fold, arrays[0], [trees])
+        if context.partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found)], pa.binary())], names=["trees"])
+
+    order = ["fold", "bins", "label"]
+    dealt = cells.repartition(tasks, *order).sortWithinPartitions(*order)
+    return pickle.loads(dealt.mapInArrow(run, "trees binary", barrier=True).collect()[0]["trees"])
+
+
 def fit(rows: DataFrame, features: Sequence[str], folds: Sequence[str], n_classes: int, settings: Settings | None = None) -> Model:
     """Boosted trees of the folds; ``rows``: fold, split ("train" counts), label 0.., features, null or NaN where unknown.
 
-    A series of ``rounds`` x about 6 small jobs over the cells.
+    A barrier job for every ``KEPT_ROUNDS`` rounds, or with very many cells about 6 small jobs a round.
     """
     settings = settings or Settings()
     folds, width = list(folds), len(features)
@@ -291,20 +379,17 @@ def fit(rows: DataFrame, features: Sequence[str], folds: Sequence[str], n_classe
     scores = [F.element_at(F.array(*[F.lit(float(x)) for x in model.first[:, c]]), F.col("fold") + 1).alias(f"s{c}") for c in range(n_classes)]
     cells = cut_lineage(cells.select("*", *scores), "boost-cells")
     live = [(f, c) for f in range(len(folds)) for c in range(n_classes) if counts[f, c]]
+    together = _barrier_tasks(cells)
     recent: list[dict] = []
     tasks = cells.select(F.spark_partition_id().alias("p")).distinct().count()
-    for step in range(settings.rounds if live else 0):
-        growing = {k: Growing(settings) for k in live}
-        wanted = {k: [0] for k in live}
-        while wanted:
-            grown = {k: growing[k].tree(every=True) for k in wanted}
-            for (f, c, node), hist in _histograms(cells, tasks, recent, grown, wanted, width, n_classes).items():
-                growing[f, c].judge(node, hist)
-            wanted = {k: more for k in wanted if (more := growing[k].choose())}
-        trees = {k: g.tree() for k, g in growing.items()}
-        model.rounds.append(trees)
-        recent.append(trees)
-        if len(recent) == KEPT_ROUNDS and step + 1 < settings.rounds:
+    while live and len(model.rounds) < settings.rounds:
+        if together:
+            more = _grow_together(cells, together, live, min(KEPT_ROUNDS, settings.rounds - len(model.rounds)), settings, width, n_classes)
+        else:
+            more = [_grow(live, settings, lambda grown, wanted: _histograms(cells, tasks, recent, grown, wanted, width, n_classes))]  # noqa: B023
+        model.rounds += more
+        recent += more
+        if len(recent) >= KEPT_ROUNDS and len(model.rounds) < settings.rounds:
             cells, recent = _rescored(cells, recent, width, n_classes, table), []
     return model
 

@@ -76,6 +76,28 @@ def test_trees_equal_a_plain_booster(spark, monkeypatch, direct):
         assert all(b < a for a, b in zip(losses, losses[1:], strict=False))
 
 
+@pytest.mark.parametrize("way", ["three tasks", "job per level"])
+def test_ways_to_grow_give_the_same_trees(spark, monkeypatch, way):
+    parts = {"p": table(400, 1), "q": table(260, 2)}
+    rows, s = frame(spark, parts), boosting.Settings(rounds=12, max_leaves=6)
+    jobs = []
+    sums, together = boosting._histograms, boosting._grow_together
+    monkeypatch.setattr(boosting, "_histograms", lambda *a: jobs.append("level") or sums(*a))
+    monkeypatch.setattr(boosting, "_grow_together", lambda *a: jobs.append(a[1]) or together(*a))
+    one = boosting.fit(rows, ["a", "b", "c"], ["p", "q"], 3, s)
+    # two barrier jobs of one task: the jobs do not go with the levels
+    assert jobs == [1, 1] and len(one.rounds) == 12
+    monkeypatch.setattr(boosting, "BARRIER_CELLS", 200)
+    if way == "job per level":
+        monkeypatch.setattr(boosting, "MOST_CELLS", 100)
+    jobs.clear()
+    other = boosting.fit(rows, ["a", "b", "c"], ["p", "q"], 3, s)
+    assert jobs == [3, 3] if way == "three tasks" else set(jobs) == {"level"} and len(jobs) > 12
+    for i, (x, _) in enumerate(parts.values()):
+        bins = one.binned(i, x)
+        assert np.allclose(one.scores(i, bins), other.scores(i, bins), atol=1e-9)
+
+
 def test_predictions(spark):
     x, y = table(600, 3)
     rows = frame(spark, {"only": (x, y)})
