@@ -12,10 +12,12 @@ from strainlens.operators import checks, crosstab, joins
 from strainlens.plans import views
 from strainlens.plans.catalog_metrics import rounded
 from strainlens.plans.registry import query
-from strainlens.session import scratch_path
+from strainlens.session import cut_lineage, open_files, scratch_path
 from strainlens.sources import clusters, fasta, predictions, reports
 from strainlens.sources import splits as split_files
 
+# predictions that one task of a join or sort holds
+ROWS_A_TASK = 1_500_000
 FILES = [(f"{lang}.fasta", c) for lang, c in zip(views.LANG_FILES, C.CLASSES)]
 
 
@@ -162,16 +164,22 @@ def split_json(spark, sf):
 @query("s08_recovered_predictions", """
     SELECT protocol, model, "index", fold, y_true, y_pred, CASE WHEN model = 'm1' THEN 'prediction_file' ELSE 'split_file_fallback' END AS index_source FROM pred""", ("pred",))
 def recovered_predictions(spark, sf):
-    p = views.predictions(spark, sf).select("protocol", "model", "fold", "index", "y_true", "y_pred")
-    order = p.filter(F.col("model") == "m1").select("protocol", "fold", "index")
-    order = rk.with_row_number(order, ["protocol", "fold"], [F.col("index")], "ordinal")
-    stored = p.filter(F.col("model") != "m1").join(order, ["protocol", "fold", "index"]).drop("index")
+    records = views.prediction_records(spark, sf)
+    order = rk.with_row_number(records.select("protocol", "fold", "index"), ["protocol", "fold"], [F.col("index")], "ordinal")
+    # the stored order of the test splits, read by the writer, by the lengths and by the recovery
+    order = cut_lineage(order, "test-order")
+    tasks = -(-order.count() * len(views.MODELS) // ROWS_A_TASK) + 1
+    # the legacy files: records meet their ordinals before their models become rows
+    keys = ["index", "fold", "protocol"]
+    numbered = predictions.dealt(records, keys, tasks).join(predictions.dealt(order, keys, tasks).hint("shuffle_hash"), keys)
+    stored = views.model_rows(numbered, [m for m in views.MODELS if m != "m1"]).select("protocol", "model", "fold", "y_true", "y_pred", "ordinal")
     path = scratch_path(spark, "legacy-predictions")
-    stored.write.mode("overwrite").partitionBy("protocol", "model").parquet(path)
+    with open_files(spark):
+        stored.write.mode("overwrite").partitionBy("protocol", "model").parquet(path)
     legacy = spark.read.schema("fold string, y_true int, y_pred int, ordinal bigint, protocol string, model string").parquet(path)
-    found = predictions.recover_index(legacy, order).drop("ordinal")
-    now = p.filter(F.col("model") == "m1").withColumn("index_source", F.lit("prediction_file"))
-    return predictions.unique_out_of_fold(now.unionByName(found.select(*now.columns)))
+    found = predictions.recover_index(legacy, order, tasks).drop("ordinal")
+    now = views.predictions(spark, sf).select("protocol", "model", "fold", "index", "y_true", "y_pred").filter(F.col("model") == "m1").withColumn("index_source", F.lit("prediction_file"))
+    return predictions.unique_out_of_fold(now.unionByName(found.select(*now.columns)), tasks)
 
 
 @query("s09_prediction_sink", """

@@ -87,29 +87,52 @@ def meta(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _fold(p: F.Column) -> F.Column:
+    """Held-out fold of a record under protocol number ``p``."""
+    return (
+        F.when(p == 0, F.concat(F.lit("fold_"), F.col("cluster_id") % 5 + 1))
+        .when(p == 1, F.col("continent"))
+        .otherwise(F.coalesce((F.col("year") - F.col("year") % 2).cast("string"), F.lit(UNKNOWN)))
+    )
+
+
+def _y_pred(p: F.Column, m: F.Column) -> F.Column:
+    """Class that model number ``m`` predicts under protocol number ``p``."""
+    wrong = (F.col("idx") * 31 + m * 17 + (p - 1) * 7 + 7) % 100 < 3 + 2 * m
+    return F.when(wrong, (F.col("label") + 1) % 4).otherwise(F.col("label")).cast("int")
+
+
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Held-out predictions of seven models under three split protocols."""
     m = meta(spark, sf).select("idx", "label", "class", "continent", "year", "cluster_id")
-    fold = (
-        F.when(F.col("p") == 0, F.concat(F.lit("fold_"), F.col("cluster_id") % 5 + 1))
-        .when(F.col("p") == 1, F.col("continent"))
-        .otherwise(F.coalesce((F.col("year") - F.col("year") % 2).cast("string"), F.lit(UNKNOWN)))
-    )
     grid = F.array(*[
         F.struct(F.lit(p).alias("p"), F.lit(name).alias("protocol"), F.lit(i + 1).alias("m"), F.lit(model).alias("model"))
         for p, name in enumerate(PROTOCOLS) for i, model in enumerate(MODELS)
     ])
     rows = m.select("*", F.explode(grid).alias("g")).select("*", "g.*").drop("g")
-    wrong = (F.col("idx") * 31 + F.col("m") * 17 + (F.col("p") - 1) * 7 + 7) % 100 < 3 + 2 * F.col("m")
     return rows.select(
-        "protocol", "model", F.col("m").alias("model_no"), F.col("idx").alias("index"), fold.alias("fold"),
+        "protocol", "model", F.col("m").alias("model_no"), F.col("idx").alias("index"), _fold(F.col("p")).alias("fold"),
         F.col("label").alias("y_true"),
-        F.when(wrong, (F.col("label") + 1) % 4).otherwise(F.col("label")).cast("int").alias("y_pred"),
+        _y_pred(F.col("p"), F.col("m")).alias("y_pred"),
         "cluster_id",
         F.concat(F.col("class"), F.lit("::cluster_"), F.col("cluster_id")).alias("cluster_key"),
     )
 
 
+def prediction_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of :func:`predictions` before models are told apart: one row per record and protocol ``p``."""
+    m = meta(spark, sf).select("idx", "label", "continent", "year", "cluster_id")
+    grid = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(name).alias("protocol")) for p, name in enumerate(PROTOCOLS)])
+    return m.select("*", F.inline(grid)).select("p", "protocol", F.col("idx").alias("index"), _fold(F.col("p")).alias("fold"), "label")
+
+
+def model_rows(records: DataFrame, models: list[str]) -> DataFrame:
+    """Rows of :func:`prediction_records` as the predictions of some of the models."""
+    grid = F.array(*[F.struct(F.lit(MODELS.index(model) + 1).alias("m"), F.lit(model).alias("model")) for model in models])
+    rows = records.withColumnsRenamed({"index": "idx"}).select("*", F.inline(grid))
+    return rows.select("*", F.col("label").alias("y_true"), _y_pred(F.col("p"), F.col("m")).alias("y_pred")).drop("p", "m", "label").withColumnRenamed("idx", "index")
+
+
 def class_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Score of every class per prediction of every protocol, long."""
     p = predictions(spark, sf)

@@ -91,6 +91,22 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def open_files(spark: SparkSession, files: int = 256) -> Iterator[None]:
+    """Writes inside keep up to ``files`` output files of a task open.
+
+    A partitioned write otherwise sorts all rows of a task by their folder.
+    Spark sorts what is left where a task meets more folders than that.
+    """
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(files))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -31,29 +31,45 @@ def read_predictions(spark: SparkSession, path: str, n_classes: int = 4, with_in
         "index_source", F.lit("prediction_file" if with_index else "split_file_fallback"))
 
 
-def recover_index(preds: DataFrame, test_order: DataFrame) -> DataFrame:
+def recover_index(preds: DataFrame, test_order: DataFrame, tasks: int | None = None) -> DataFrame:
     """Indices for predictions stored without them.
 
     ``preds`` holds (protocol, model, fold, ordinal, ...), ``test_order`` holds
     (protocol, fold, ordinal, index): the stored order of the test split.
     A length mismatch between a fold's predictions and its test list raises.
+    ``tasks``: tasks of the join, where the caller knows how many rows there are.
     """
     keys = ["protocol", "fold", "ordinal"]
     n_p = preds.groupBy("protocol", "model", "fold").agg(F.count(F.lit(1)).alias("n_pred"))
     n_t = test_order.groupBy("protocol", "fold").agg(F.count(F.lit(1)).alias("n_test"))
-    sizes = n_p.join(n_t, ["protocol", "fold"], "left").select(
-        "protocol", "model", "fold",
+    sizes = n_p.where("protocol IS NOT NULL AND model IS NOT NULL AND fold IS NOT NULL").join(n_t, ["protocol", "fold"], "left").select(
         F.when(F.col("n_pred") == F.col("n_test"), True).otherwise(F.raise_error(F.concat(
             F.lit("length mismatch in fold "), F.col("fold"))).cast("boolean")).alias("_same"))
-    joined = preds.join(sizes, ["protocol", "model", "fold"]).filter("_same").drop("_same")
-    return joined.join(test_order.select(*keys, "index"), keys).withColumn("index_source", F.lit("split_file_fallback"))
+    # one answer for all: joined to the predictions, the lengths would be looked up for every row
+    checked = preds.where(sizes.agg(F.bool_and("_same")).scalar()).where(F.col("model").isNotNull())
+    order = test_order.select(*keys, "index")
+    if tasks:
+        # tasks of known size hold their part of the order, so neither side is sorted
+        checked, order = dealt(checked, keys, tasks), dealt(order, keys, tasks).hint("shuffle_hash")
+    found = checked.join(order, keys)
+    return found.select(*keys, *[c for c in preds.columns if c not in keys], "index").withColumn("index_source", F.lit("split_file_fallback"))
 
 
-def unique_out_of_fold(preds: DataFrame) -> DataFrame:
-    """One row per (protocol, model, index); a repeated index raises."""
-    keys = ["protocol", "model", "index"]
+def dealt(df: DataFrame, keys: list[str], tasks: int) -> DataFrame:
+    """Rows dealt to a stated number of tasks, which adaptive execution leaves as they are."""
+    return df.repartition(tasks, *keys)
+
+
+def unique_out_of_fold(preds: DataFrame, tasks: int | None = None) -> DataFrame:
+    """One row per (protocol, model, index); a repeated index raises.
+
+    Rows go to their index as they are: the aggregate holds texts, so it sorts,
+    and before the exchange it would sort all rows and combine none.
+    """
+    keys = ["index", "protocol", "model"]
     rest = [c for c in preds.columns if c not in keys]
-    out = preds.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r"), F.count(F.lit(1)).alias("_n"))
+    spread = preds.repartition(tasks, "index") if tasks else preds.repartition("index")
+    out = spread.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r"), F.count(F.lit(1)).alias("_n"))
     ok = F.when(F.col("_n") == 1, F.col("index")).otherwise(F.raise_error(F.concat(
         F.lit("duplicate held-out index "), F.col("index").cast("string"))).cast("bigint"))
     return out.select("protocol", "model", ok.alias("index"), *[F.col(f"_r.{c}").alias(c) for c in rest])

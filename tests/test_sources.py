@@ -3,6 +3,7 @@ import json
 import pytest
 
 from strainlens.operators import joins
+from strainlens.plans import views
 from strainlens.sources import clusters, fasta, predictions
 from strainlens.sources import splits as split_files
 
@@ -128,3 +129,26 @@ def test_region_table_and_bounds(spark):
         joins.region_bounds(t, "g").collect()
     b = {r.region: (r.start, r.end) for r in joins.region_bounds(t.filter("region <> \"3'UTR\""), "g", strict=False).collect()}
     assert b["5'UTR"] == (0, 94) and b["3'UTR"] == (901, 11195)
+
+
+def test_recovery_moves_each_prediction_once(spark):
+    """Runs and lengths of folds are few: predictions are not shuffled to meet them, nor sorted before they go to their index."""
+    order = spark.range(40).selectExpr("'p' AS protocol", "'A' AS fold", "id + 1 AS ordinal", "70 + id AS index")
+    preds = order.drop("index").selectExpr("protocol", "explode(array('m', 'n')) AS model", "fold", "ordinal", "0 AS y_true", "1 AS y_pred")
+    found = predictions.recover_index(preds, order, tasks=3)
+    out = predictions.unique_out_of_fold(found, tasks=3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Subquery")[0].count("Exchange hashpartitioning") == 3
+    assert sorted((r.model, r["index"], r.index_source) for r in out.collect()) == sorted((m, 70 + i, "split_file_fallback") for m in "mn" for i in range(40))
+    with pytest.raises(Exception, match="length mismatch"):
+        predictions.recover_index(preds.filter("ordinal > 1 OR model = 'm'"), order, tasks=3).collect()
+    with pytest.raises(Exception, match="duplicate held-out index 70"):
+        predictions.unique_out_of_fold(found.unionByName(found.filter("index = 70 AND model = 'm'")), tasks=3).collect()
+
+
+def test_records_and_models_give_the_predictions(spark):
+    cols = ["protocol", "model", "index", "fold", "y_true", "y_pred"]
+    sf = "/root/testdata/sf0.001"
+    got = views.model_rows(views.prediction_records(spark, sf), views.MODELS).select(cols)
+    want = views.predictions(spark, sf).select(cols)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
