@@ -14,10 +14,17 @@ from strainlens.functions import annotate
 from strainlens.functions import ranking as rk
 
 
-def confusion_row(df: DataFrame, keys: Sequence[str], n_classes: int = 4, y: str = "y_true", p: str = "y_pred") -> DataFrame:
-    """One row per key with the C x C counts as ``cm`` (array of arrays)."""
-    cells = [F.count_if((F.col(y) == t) & (F.col(p) == q)).alias(f"_c{t}_{q}") for t in range(n_classes) for q in range(n_classes)]
-    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *cells)
+def confusion_row(df: DataFrame, keys: Sequence[str], n_classes: int = 4, y: str = "y_true", p: str = "y_pred", weight: str | None = None) -> DataFrame:
+    """One row per key with the C x C counts as ``cm`` (array of arrays).
+
+    ``weight`` names a column of how often a row counts, once without it.
+    """
+    def times(cond: Column | None) -> Column:
+        if weight is None:
+            return F.count(F.lit(1)) if cond is None else F.count_if(cond)
+        return F.sum(weight if cond is None else F.when(cond, F.col(weight)).otherwise(0))
+    cells = [times((F.col(y) == t) & (F.col(p) == q)).alias(f"_c{t}_{q}") for t in range(n_classes) for q in range(n_classes)]
+    out = df.groupBy(*keys).agg(times(None).alias("n_rows"), *cells)
     cm = F.array(*[F.array(*[F.col(f"_c{t}_{q}") for q in range(n_classes)]) for t in range(n_classes)])
     return out.select(*keys, "n_rows", cm.alias("cm"))
 
