@@ -30,10 +30,15 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     not with the bytes of its split.  A large table with enough splits passes
     through unchanged; the count reads file footers only.
     """
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_A_TASK))
+    tasks = tasks_for(df)
     return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks, key)
 
 
+def tasks_for(df: DataFrame) -> int:
+    """Tasks for the rows of a scan, one per core at least."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_A_TASK))
+
+
 def pick(values: list[str], pos) -> F.Column:
     """Literal list element by 0-based position."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (pos + 1).cast("int"))
@@ -41,7 +46,7 @@ def pick(values: list[str], pos) -> F.Column:
 
 def meta(spark: SparkSession, sf: str) -> DataFrame:
     """One labelled record per order: class, country, continent, year, header."""
-    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = table(spark, sf, "region").select("r_regionkey", "r_name")
@@ -49,6 +54,8 @@ def meta(spark: SparkSession, sf: str) -> DataFrame:
         o.join(c, o.o_custkey == c.c_custkey)
         .join(n, c.c_nationkey == n.n_nationkey)
         .join(r, n.n_regionkey == r.r_regionkey)
+        # behind the joins: a shuffled join deals few tasks, as its rows are narrow until the views expand them
+        .repartition(tasks_for(o), "o_orderkey")
     )
     d = F.col("o_orderkey") % 10
     label = F.when(d < 4, 0).when(d < 7, 1).when(d < 9, 2).otherwise(3)

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strainlens.session import open_files
+
 PROFILE_SCHEMA = "sample bigint, class int, scores array<double>, valid array<boolean>, fold int"
 PREDICTION_SCHEMA = "index bigint, y_true int, y_pred int, prob array<double>, protocol string, model string, fold string"
 
@@ -20,8 +22,10 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
 def write_predictions(df: DataFrame, path: str, n_classes: int = 4, mode: str = "overwrite") -> None:
     """index, y_true, y_pred, prob_0 .. prob_{C-1}, partitioned by run and fold."""
     probs = [F.get("prob", F.lit(c)).alias(f"prob_{c}") for c in range(n_classes)]
-    df.select("index", "y_true", "y_pred", *probs, "protocol", "model", "fold").write.mode(mode).partitionBy(
-        "protocol", "model", "fold").parquet(path)
+    # a task's rows are not sorted by folder, so its memory does not go with them
+    with open_files(df.sparkSession):
+        df.select("index", "y_true", "y_pred", *probs, "protocol", "model", "fold").write.mode(mode).partitionBy(
+            "protocol", "model", "fold").parquet(path)
 
 
 def read_predictions(spark: SparkSession, path: str, n_classes: int = 4, with_index: bool = True) -> DataFrame:

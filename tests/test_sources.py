@@ -152,3 +152,27 @@ def test_records_and_models_give_the_predictions(spark):
     got = views.model_rows(views.prediction_records(spark, sf), views.MODELS).select(cols)
     want = views.predictions(spark, sf).select(cols)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_views_spread_records_behind_a_shuffled_join(spark, tmp_path, monkeypatch):
+    """What a task of a prediction sink writes goes with its records, also where customers are too many to broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(views, "ROWS_A_TASK", 100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        p = views.predictions(spark, "/root/testdata/sf0.001")
+        assert p.rdd.getNumPartitions() == -(-views.table(spark, "/root/testdata/sf0.001", "orders").count() // 100)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_prediction_sink_keeps_its_files_open_and_restores_the_setting(spark, tmp_path, monkeypatch):
+    key, seen = "spark.sql.maxConcurrentOutputFileWriters", []
+    before = spark.conf.get(key)
+    df = spark.range(60).selectExpr("id AS index", "0 AS y_true", "1 AS y_pred", "array(0.1D, 0.7D, 0.1D, 0.1D) AS prob", "'p' AS protocol", "concat('m', id % 3) AS model", "concat('f', id % 4) AS fold")
+    part = type(df.write).partitionBy
+    monkeypatch.setattr(type(df.write), "partitionBy", lambda w, *c: (seen.append(spark.conf.get(key)), part(w, *c))[1])
+    predictions.write_predictions(df, str(tmp_path / "p"))
+    assert int(seen[0]) > 12 and spark.conf.get(key) == before
+    got = predictions.read_predictions(spark, str(tmp_path / "p"))
+    assert sorted((r["index"], r.model, r.fold, r.prob_1) for r in got.collect()) == [(i, f"m{i % 3}", f"f{i % 4}", 0.7) for i in range(60)]
