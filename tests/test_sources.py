@@ -146,22 +146,32 @@ def test_recovery_moves_each_prediction_once(spark):
         predictions.unique_out_of_fold(found.unionByName(found.filter("index = 70 AND model = 'm'")), tasks=3).collect()
 
 
-def test_records_and_models_give_the_predictions(spark):
+def small_tables(spark, sf):
+    """1 000 orders of 40 customers in 5 countries of 2 regions."""
+    spark.range(1000).selectExpr("id AS o_orderkey", "id * 7 % 40 AS o_custkey", "date_add(DATE'1995-01-01', CAST(id AS INT)) AS o_orderdate").write.parquet(f"{sf}/orders.parquet")
+    spark.range(40).selectExpr("id AS c_custkey", "id % 5 AS c_nationkey").write.parquet(f"{sf}/customer.parquet")
+    spark.range(5).selectExpr("id AS n_nationkey", "concat('n', id) AS n_name", "id % 2 AS n_regionkey").write.parquet(f"{sf}/nation.parquet")
+    spark.range(2).selectExpr("id AS r_regionkey", "concat('r', id) AS r_name").write.parquet(f"{sf}/region.parquet")
+    return sf
+
+
+def test_records_and_models_give_the_predictions(spark, tmp_path):
     cols = ["protocol", "model", "index", "fold", "y_true", "y_pred"]
-    sf = "/root/testdata/sf0.001"
+    sf = small_tables(spark, str(tmp_path))
     got = views.model_rows(views.prediction_records(spark, sf), views.MODELS).select(cols)
     want = views.predictions(spark, sf).select(cols)
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert want.count() == 21_000 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
 def test_views_spread_records_behind_a_shuffled_join(spark, tmp_path, monkeypatch):
     """What a task of a prediction sink writes goes with its records, also where customers are too many to broadcast."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    sf = small_tables(spark, str(tmp_path))
     monkeypatch.setattr(views, "ROWS_A_TASK", 100)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        p = views.predictions(spark, "/root/testdata/sf0.001")
-        assert p.rdd.getNumPartitions() == -(-views.table(spark, "/root/testdata/sf0.001", "orders").count() // 100)
+        p = views.predictions(spark, sf)
+        assert p.rdd.getNumPartitions() == 10 and p.count() == 21_000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
