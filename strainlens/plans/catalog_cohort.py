@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strainlens import constants as C
+from strainlens import session
 from strainlens.functions import sequence as sq
 from strainlens.functions import text as tx
 from strainlens.operators import checks, cohort, crosstab
@@ -220,16 +221,14 @@ def composition(spark, sf):
       CASE WHEN instr(sequence, 'T') > 0 THEN instr(sequence, 'T') ELSE 0 END AS first_t,
       CAST(substr(class, 5) AS INTEGER) - 1 AS label, (SELECT max(length(sequence)) FROM seq) AS padded_to FROM seq""", ("seq",))
 def one_hot(spark, sf):
-    s = views.sequences(spark, sf).select("pos", "class", "sequence")
-    e = s.withColumn("ohe", sq.one_hot(F.col("sequence")))
-    e = e.withColumn("padded", sq.pad_one_hot(F.col("ohe"), s.agg(F.max(F.length("sequence"))).scalar()))
-
-    def channel(k):
-        return F.aggregate("ohe", F.lit(0).cast("bigint"), lambda a, r: a + r[k])
-    return e.select("pos", F.size("ohe").cast("bigint").alias("rows_n"),
-                    *[channel(k).alias(f"{b}_n") for k, b in enumerate("acgt")],
-                    F.array_position(F.transform("ohe", lambda r: r[3].cast("int")), F.lit(1)).alias("first_t"),
-                    (F.substring("class", 5, 1).cast("int") - 1).alias("label"), F.size("padded").cast("bigint").alias("padded_to"))
+    s = session.cut_lineage(views.sequences(spark, sf).select("pos", "class", "sequence"), "one-hot-sequences")
+    longest = s.agg(F.max(F.length("sequence"))).first()[0] or 0
+    ohe = sq.one_hot(F.col("sequence"))
+    e = s.select("pos", "class", sq.channel_summary(ohe).alias("ohe"), sq.encoded_length(sq.pad_one_hot(ohe, longest)).alias("padded_to"))
+    with session.arrow_batches(spark, sq.padded_records(longest)):
+        e = session.cut_lineage(e, "one-hot")
+    return e.select("pos", F.col("ohe.rows").alias("rows_n"), *[F.col("ohe.totals")[k].alias(f"{b}_n") for k, b in enumerate("acgt")],
+                    F.col("ohe.first")[3].alias("first_t"), (F.substring("class", 5, 1).cast("int") - 1).alias("label"), "padded_to")
 
 
 @query("p14_position_mask", """
@@ -242,8 +241,10 @@ def position_mask(spark, sf):
     mask, scores = sq.cut_to_common(F.col("mask"), F.col("scores"))
     def real(a):
         return F.size(F.filter(a, lambda v: v)).cast("bigint")
-    return m.select("pos", F.size("mask").cast("bigint").alias("mask_length"), real(F.col("mask")).alias("n_real"),
-                    F.size(scores).cast("bigint").alias("common_length"), real(mask).alias("n_real_common"))
+    counts = m.select("pos", F.size("mask").cast("bigint").alias("mask_length"), real(F.col("mask")).alias("n_real"),
+                      F.size(scores).cast("bigint").alias("common_length"), real(mask).alias("n_real_common"))
+    with session.arrow_batches(spark, sq.ENCODED_RECORDS):
+        return session.cut_lineage(counts, "position-mask")
 
 
 @query("p18_display_names", """

@@ -107,6 +107,22 @@ def open_files(spark: SparkSession, files: int = 256) -> Iterator[None]:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, records: int) -> Iterator[None]:
+    """Queries that run inside hand at most ``records`` rows at once to Python.
+
+    For rows that grow there.  A result is lazy, so write it before the block
+    ends.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(records, before) if before > 0 else records))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, str(before))
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -2,9 +2,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from strainlens import session
 from strainlens.functions import sequence as sq
 from strainlens.operators import profiles
+from strainlens.plans import catalog_cohort  # noqa: F401
 from strainlens.plans.profile_run import overall_panel
+from strainlens.plans.registry import QUERIES
 
 
 def samples(spark):
@@ -44,3 +47,40 @@ def test_one_hot_rows_are_padded(spark):
     got = [r[0] for r in df.select(sq.pad_one_hot(sq.one_hot(F.col("s")), F.lit(3))).collect()]
     assert got == [[[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 0, 0]], [[0] * 4] * 3, [[0, 0, 0, 1], [0] * 4, [0] * 4]]
     assert df.select(F.size(sq.pad_one_hot(sq.one_hot(F.col("s")), F.lit(2)))).collect()[0][0] == 3
+
+
+def test_one_hot_rows_are_padded_and_counted_where_they_are_made(spark):
+    df = spark.createDataFrame([(1, "aCNt"), (2, ""), (3, None), (4, "TT"), (5, "é😀G"), (6, "ACGTACGT")], "i int, s string").repartition(1)
+    ohe = sq.one_hot(F.col("s"))
+    got = df.select("i", ohe.alias("e"), sq.pad_one_hot(ohe, 5).alias("p"), sq.pad_one_hot(ohe, F.lit(5)).alias("c"),
+                    sq.encoded_length(sq.pad_one_hot(ohe, 5)).alias("n"), sq.channel_summary(ohe).alias("s")).orderBy("i").collect()
+    none, a, c, g, t = [0] * 4, [1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]
+    assert [r.e for r in got] == [[a, c, none, t], [], None, [t, t], [none, none, g], [a, c, g, t] * 2]
+    assert [r.p for r in got] == [r.c for r in got] == [[a, c, none, t, none], [none] * 5, None, [t, t] + [none] * 3, [none, none, g, none, none], [a, c, g, t] * 2]
+    assert [r.n for r in got] == [5, 5, None, 5, 5, 8]
+    assert [r.s and tuple(r.s) for r in got] == [
+        (4, [1, 1, 0, 1], [1, 2, 0, 4]), (0, [0] * 4, [0] * 4), None, (2, [0, 0, 0, 2], [0, 0, 0, 1]), (3, [0, 0, 1, 0], [0, 0, 3, 0]), (8, [2] * 4, [1, 2, 3, 4])]
+
+
+@pytest.mark.parametrize("held", [1, 1 << 20])
+def test_one_hot_query_holds_few_padded_rows_at_once(spark, tmp_path, monkeypatch, held):
+    rows = [(1, "a c\ngt", "en"), (2, None, "fr"), (3, "", None), (4, "T" * 9, "es"), (4, "T" * 9, "es"), (5, "éA", "xx")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(sq, "PADDED_BYTES", held)
+    assert sq.padded_records(9) == max(1, held // 72)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = sorted(tuple(r) for r in QUERIES["p13_one_hot"](spark, str(tmp_path)).collect())
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    fours = (4, 9, 0, 0, 0, 9, 1, 3, 9)
+    assert got == [(1, 4, 1, 1, 1, 1, 4, 0, 9), (2, *[None] * 6, 1, None), (3, 0, 0, 0, 0, 0, 0, None, 9), fours, fours, (5, 2, 1, 0, 0, 0, 0, -1, 9)]
+
+
+def test_arrow_batches_are_never_larger_than_set(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    for given, inside in (("0", "7"), ("5", "5"), ("9", "7")):
+        spark.conf.set(key, given)
+        with session.arrow_batches(spark, 7):
+            assert spark.conf.get(key) == inside
+        assert spark.conf.get(key) == given
+    spark.conf.set(key, before)
