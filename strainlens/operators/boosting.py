@@ -3,31 +3,31 @@
 Features are cut into at most 255 bins by the training rows of a fold, and
 equal binned rows with one label collapse to a cell with a count.  Each round
 grows one tree per fold and class, best split first, from softmax gradients.
-All trees of a round grow side by side: one pass over the cells gives, for
-every node still to be judged in any of them, the sums of gradients, curvatures
-and rows per feature and bin; the driver then picks splits.
-
-While the cells fit the memory of the tasks that run at once, a barrier job
-grows several rounds: its tasks keep their cells, hand each other their sums
-and pick the same splits, so no job is started per level.  More cells take a
-job per pass.  Those passes are stateless: a task routes its cells through the
-trees since the last written scores, so a lost executor costs only its tasks.
-A barrier job starts again from the last written scores.
+All trees of a round grow side by side, level by level, from the sums of
+gradients, curvatures and rows per feature and bin of every node still to be
+judged.  Of two large children the smaller one is summed; the other has what is
+left of their parent.
+
+Folds share nothing, so while the cells of each fit the memory of a task, a job
+grows many rounds: a task keeps the cells of a fold, knows which of them every
+node has, and returns trees and scores.  No task waits for another, and a lost
+one starts again from the last written scores.  Folds with more cells take a
+job per level, whose tasks route their cells through the trees since the last
+written scores, and the driver picks splits.
 
 Trees and histograms depend in size on folds, classes, leaves, features and
 bins alone.
 """
 from __future__ import annotations
 
-import base64
 import heapq
+import itertools
 import pickle
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,8 +39,12 @@ BINS = 255
 KEPT_ROUNDS = 10
 # partial histograms of so few tasks are summed by the driver; more are summed by Spark first
 DIRECT_TASKS = 8
-# cells a task of a barrier job is given before there are more tasks, and the most it keeps (about 100 bytes each)
-BARRIER_CELLS, MOST_CELLS = 50_000, 2_000_000
+# jobs that grow all rounds in memory, unless that makes them shorter than KEPT_ROUNDS
+KEPT_JOBS = 8
+# cells in memory before folds are dealt to more tasks, and the most of a fold (about 200 bytes each while they are read)
+BARRIER_CELLS, MOST_CELLS = 1_000, 2_000_000
+# a child of fewer rows is always summed: that is cheap, and exact where its parent is much larger
+DERIVED_ROWS = 5_000
 
 
 @dataclass
@@ -54,15 +58,16 @@ class Tree:
     value: np.ndarray
 
     def leaves(self, bins: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(bins), np.int64)
-        rows = np.arange(len(bins))
-        while True:
-            f = self.feature[node]
-            inner = f >= 0
-            if not inner.any():
-                return node
-            left = bins[rows, np.maximum(f, 0)] <= self.cut[node]
-            node = np.where(inner, np.where(left, self.left[node], self.right[node]), node)
+        out = np.zeros(len(bins), np.int64)
+        held = {0: np.arange(len(bins))}
+        # children come behind their parents
+        for node in np.flatnonzero(self.feature >= 0):
+            rows = held.pop(int(node))
+            left = bins[rows, self.feature[node]] <= self.cut[node]
+            for child, own in ((self.left[node], rows[left]), (self.right[node], rows[~left])):
+                held[int(child)] = own
+                out[own] = child
+        return out
 
 
 @dataclass
@@ -126,6 +131,18 @@ class Growing:
                 offer(child)
         return unknown
 
+    def summed(self, wanted: list[int]) -> tuple[list[int], dict[int, tuple[int, int]]]:
+        """Nodes to be summed so that the wanted ones are known, and parent and sibling of those that follow from these."""
+        asked, derived = [], {}
+        for parent, pair in self.children.items():
+            small, large = sorted(pair, key=lambda node: self.sums[node][2])
+            if large in wanted and self.sums[large][2] > DERIVED_ROWS:
+                asked.append(small)
+                derived[large] = parent, small
+            else:
+                asked += [node for node in pair if node in wanted]
+        return asked or wanted, derived
+
     def tree(self, every: bool = False) -> Tree:
         """The chosen tree; with ``every`` all splits that were ever tried, to reach the nodes to be judged."""
         n = max(1, len(self.sums))
@@ -281,74 +298,106 @@ def _histograms(cells: DataFrame, tasks: int, recent: list[dict], grown: dict[tu
 def _grow(live: list[tuple[int, int]], settings: Settings, histograms: Callable[[dict, dict], dict]) -> dict[tuple[int, int], Tree]:
     """One round: the trees of all folds and classes, level by level; ``histograms`` gives the sums of the wanted nodes of the grown trees."""
     growing = {k: Growing(settings) for k in live}
-    wanted = {k: [0] for k in live}
+    wanted, known = {k: [0] for k in live}, {}
     while wanted:
         grown = {k: growing[k].tree(every=True) for k in wanted}
-        for (f, c, node), hist in histograms(grown, wanted).items():
-            growing[f, c].judge(node, hist)
+        summed = {k: growing[k].summed(nodes) for k, nodes in wanted.items()}
+        known |= histograms(grown, {k: asked for k, (asked, _) in summed.items()})
+        for k, nodes in wanted.items():
+            for node, (parent, sibling) in summed[k][1].items():
+                rest = known[(*k, parent)] - known[(*k, sibling)]
+                # rows are whole numbers; a bin without rows has no rest of rounding
+                known[(*k, node)] = np.where(rest[..., 2:] > 0, rest, 0.0)
+            for node in nodes:
+                growing[k].judge(node, known[(*k, node)])
         wanted = {k: more for k in wanted if (more := growing[k].choose())}
     return {k: g.tree() for k, g in growing.items()}
 
 
-def _barrier_tasks(cells: DataFrame) -> int:
-    """Tasks of a barrier job over the cells; 0 if they cannot keep them."""
-    context = cells.sparkSession.sparkContext
-    conf = context.getConf()
-    if conf.get("spark.dynamicAllocation.enabled", "false") == "true":
-        return 0
-    n = cells.count()
-    # all tasks run at once, and each is sent the sums of all
-    most = min(DIRECT_TASKS, context.defaultParallelism // int(conf.get("spark.task.cpus", "1")))
-    return min(max(1, -(-n // BARRIER_CELLS)), most) if n <= most * MOST_CELLS else 0
+class Held:
+    """The cells of a fold in memory, and which of them each node of the growing tree has."""
 
+    def __init__(self, bins: np.ndarray, label: np.ndarray, n: np.ndarray, scores: np.ndarray) -> None:
+        self.bins, self.label, self.n, self.scores = np.ascontiguousarray(bins.T), label, n.astype(float), scores
 
-def _grow_together(cells: DataFrame, tasks: int, live: list[tuple[int, int]], rounds: int, settings: Settings, width: int, n_classes: int) -> list[dict[tuple[int, int], Tree]]:
-    """The trees of the next rounds, by one barrier job whose tasks keep their cells."""
+    def grow(self, fold: int, classes: list[int], settings: Settings) -> dict[tuple[int, int], Tree]:
+        """One round: the tree of every class, and the scores behind it."""
+        p, out = softmax(self.scores), {}
+        for c in classes:
+            self.weights = self.n * (p[:, c] - (self.label == c)), self.n * p[:, c] * (1 - p[:, c]), self.n
+            self.rows, self.parent = {0: np.arange(len(self.n))}, {}
+            out |= _grow([(fold, c)], settings, self.histograms)
+            self._add(c, out[fold, c])
+        return out
+
+    def histograms(self, grown: dict[tuple[int, int], Tree], wanted: dict[tuple[int, int], list[int]]) -> dict[tuple[int, int, int], np.ndarray]:
+        for tree in grown.values():
+            self._split(tree)
+        return {(*k, node): self._sums(node) for k, nodes in wanted.items() for node in nodes}
+
+    def _split(self, tree: Tree) -> None:
+        """Deals the cells of the tree's inner nodes to their children."""
+        for node in np.flatnonzero(tree.feature >= 0).tolist():
+            left, right = int(tree.left[node]), int(tree.right[node])
+            if left not in self.parent:
+                at = self.rows.pop(node)
+                goes = self.bins[tree.feature[node]][at] <= tree.cut[node]
+                self.rows[left], self.rows[right] = at[goes], at[~goes]
+                self.parent[left] = self.parent[right] = node
+
+    def _sums(self, node: int) -> np.ndarray:
+        """Sums by feature, bin and (gradient, curvature, rows) of a node that is not split."""
+        at = self.rows[node]
+        weights = [w[at] for w in self.weights]
+        out = np.empty((3, len(self.bins), BINS + 1))
+        for j, column in enumerate(self.bins):
+            place = column[at].astype(np.intp)
+            for i, w in enumerate(weights):
+                out[i, j] = np.bincount(place, weights=w, minlength=BINS + 1)
+        return out.transpose(1, 2, 0)
+
+    def _add(self, c: int, tree: Tree) -> None:
+        """Adds the values of the finished tree, some of whose leaves may have been split on trial."""
+        self._split(tree)
+        for node, at in self.rows.items():
+            path = [node]
+            while path[-1]:
+                path.append(self.parent[path[-1]])
+            leaf = next(x for x in reversed(path) if tree.feature[x] < 0)
+            self.scores[at, c] += tree.value[leaf]
+
+
+def _memory_tasks(cells: DataFrame) -> int:
+    """Tasks of a job that keeps the cells of a fold in a task; 0 if they are too many."""
+    counts = [r["count"] for r in cells.groupBy("fold").count().collect()]
+    most = min(DIRECT_TASKS, cells.sparkSession.sparkContext.defaultParallelism)
+    return min(max(1, -(-sum(counts) // BARRIER_CELLS)), most) if max(counts, default=0) <= MOST_CELLS else 0
+
+
+def _grow_together(cells: DataFrame, tasks: int, live: list[tuple[int, int]], rounds: int, settings: Settings, width: int, n_classes: int) -> tuple[list[dict[tuple[int, int], Tree]], DataFrame]:
+    """The trees of the next rounds and the cells with the scores behind them, by one job whose tasks keep the cells of a fold."""
+    table = _table(n_classes)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = BarrierTaskContext.get()
-        held: dict[int, list] = {}
-        for part in parts:
-            for fold, _, *arrays in _blocks(part, width, n_classes):
-                held.setdefault(fold, []).append(arrays)
-        held = {fold: [np.concatenate(x) for x in zip(*blocks, strict=True)] for fold, blocks in held.items()}
-        found = []
-        for _ in range(rounds):
-            chances = {fold: softmax(scores) for fold, (*_, scores) in held.items()}
-
-            def histograms(grown: dict, wanted: dict, chances: dict = chances) -> dict:
-                slots = _slots(wanted)
-                total = np.zeros((3, len(slots) * width * (BINS + 1)))
-                for fold, (bins, label, n, _) in held.items():
-                    _tally(total, fold, bins, label, n, chances[fold], grown, wanted)
-                if tasks > 1:
-                    # added in the order of the tasks, so all come to the same sums
-                    key = np.flatnonzero(total[2]).astype(np.int32)
-                    sent = context.allGather(base64.b64encode(key.tobytes() + total[:, key].tobytes()).decode())
-                    total = np.zeros_like(total)
-                    for message in map(base64.b64decode, sent):
-                        size = len(message) // 28
-                        at = np.frombuffer(message, np.int32, size)
-                        total[:, at] += np.frombuffer(message[4 * size:], np.float64).reshape(3, size)
-                sums = total.T.reshape(len(slots), width, BINS + 1, 3)
-                return {k: sums[i] for k, i in slots.items()}
-
-            trees = _grow(live, settings, histograms)
-            found.append(trees)
-            for fold, arrays in held.items():
-                arrays[3] = _add(arrays[3], fold, arrays[0], [trees])
-        if context.partitionId() == 0:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found)], pa.binary())], names=["trees"])
-
-    order = ["fold", "bins", "label"]
-    dealt = cells.repartition(tasks, *order).sortWithinPartitions(*order)
-    return pickle.loads(dealt.mapInArrow(run, "trees binary", barrier=True).collect()[0]["trees"])
+        blocks = (block for part in parts for block in _blocks(part, width, n_classes))
+        for fold, own in itertools.groupby(blocks, key=lambda block: block[0]):
+            bins, label, n, scores = (np.concatenate(x) for x in zip(*(block[2:] for block in own), strict=True))
+            held, classes = Held(bins, label, n, scores), [c for f, c in live if f == fold]
+            found = [held.grow(fold, classes, settings) for _ in range(rounds)]
+            columns = [pa.array(np.full(len(n), fold, np.int32)), pa.array([b.tobytes() for b in bins], pa.binary()), pa.array(label), pa.array(n), *[pa.array(np.ascontiguousarray(held.scores[:, c])) for c in range(n_classes)]]
+            trees = pa.array([pickle.dumps(found), *[None] * (len(n) - 1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*columns, trees], names=[*table.names, "trees"])
+
+    dealt = cells.repartitionById(tasks, F.col("fold") % tasks).sortWithinPartitions("fold", "bins", "label")
+    out = cut_lineage(dealt.mapInArrow(run, T.StructType([*table.fields, T.StructField("trees", T.BinaryType())])), "boost-cells")
+    found = [pickle.loads(r["trees"]) for r in out.where("trees is not null").select("trees").collect()]
+    return [{k: tree for trees in own for k, tree in trees.items()} for own in zip(*found, strict=True)], out.drop("trees")
 
 
 def fit(rows: DataFrame, features: Sequence[str], folds: Sequence[str], n_classes: int, settings: Settings | None = None) -> Model:
     """Boosted trees of the folds; ``rows``: fold, split ("train" counts), label 0.., features, null or NaN where unknown.
 
-    A barrier job for every ``KEPT_ROUNDS`` rounds, or with very many cells about 6 small jobs a round.
+    ``KEPT_JOBS`` jobs of ``KEPT_ROUNDS`` rounds or more, or with very many cells about 8 small jobs a round.
     """
     settings = settings or Settings()
     folds, width = list(folds), len(features)
@@ -379,17 +428,18 @@ def fit(rows: DataFrame, features: Sequence[str], folds: Sequence[str], n_classe
     scores = [F.element_at(F.array(*[F.lit(float(x)) for x in model.first[:, c]]), F.col("fold") + 1).alias(f"s{c}") for c in range(n_classes)]
     cells = cut_lineage(cells.select("*", *scores), "boost-cells")
     live = [(f, c) for f in range(len(folds)) for c in range(n_classes) if counts[f, c]]
-    together = _barrier_tasks(cells)
+    together = _memory_tasks(cells)
     recent: list[dict] = []
     tasks = cells.select(F.spark_partition_id().alias("p")).distinct().count()
-    while live and len(model.rounds) < settings.rounds:
+    while live and (left := settings.rounds - len(model.rounds)) > 0:
         if together:
-            more = _grow_together(cells, together, live, min(KEPT_ROUNDS, settings.rounds - len(model.rounds)), settings, width, n_classes)
-        else:
-            more = [_grow(live, settings, lambda grown, wanted: _histograms(cells, tasks, recent, grown, wanted, width, n_classes))]  # noqa: B023
-        model.rounds += more
-        recent += more
-        if len(recent) >= KEPT_ROUNDS and len(model.rounds) < settings.rounds:
+            more, cells = _grow_together(cells, together, live, min(max(KEPT_ROUNDS, -(-settings.rounds // KEPT_JOBS)), left), settings, width, n_classes)
+            model.rounds += more
+            continue
+        more = _grow(live, settings, lambda grown, wanted: _histograms(cells, tasks, recent, grown, wanted, width, n_classes))  # noqa: B023
+        model.rounds.append(more)
+        recent.append(more)
+        if len(recent) >= KEPT_ROUNDS and left > 1:
             cells, recent = _rescored(cells, recent, width, n_classes, table), []
     return model
 

@@ -144,3 +144,34 @@ def test_logistic_fit_is_at_the_minimum(spark):
     z = (z - z.mean(axis=0)) / z.std(axis=0, ddof=1)
     p = boosting.softmax(z @ w.T + b) - np.eye(3)[t]
     assert np.abs(p.T @ z + w).max() < 1e-3 * len(t) and np.abs(p.sum(axis=0)).max() < 1e-3 * len(t)
+
+
+def test_a_fold_grows_in_one_task(spark, monkeypatch):
+    parts = {"p": table(400, 1), "q": table(260, 2)}
+    rows, s = frame(spark, parts), boosting.Settings(rounds=90, max_leaves=4)
+    jobs, together = [], boosting._grow_together
+    monkeypatch.setattr(boosting, "_grow_together", lambda *a: jobs.append(a[1]) or together(*a))
+    one = boosting.fit(rows, ["a", "b", "c"], ["p", "q"], 3, s)
+    assert jobs == [1] * 8
+    monkeypatch.setattr(boosting, "BARRIER_CELLS", 200)
+    jobs.clear()
+    other = boosting.fit(rows.repartition(5), ["a", "b", "c"], ["p", "q"], 3, s)
+    assert jobs == [3] * 8
+    # tasks share no sums, so their number changes no bit
+    for i, (x, _) in enumerate(parts.values()):
+        bins = one.binned(i, x)
+        assert len(one.rounds) == 90 and np.array_equal(one.scores(i, bins), other.scores(i, bins))
+
+
+@pytest.mark.parametrize("cells", [2_000_000, 10])
+def test_large_children_have_what_is_left_of_their_parent(spark, monkeypatch, cells):
+    monkeypatch.setattr(boosting, "DERIVED_ROWS", 0)
+    monkeypatch.setattr(boosting, "MOST_CELLS", cells)
+    x, y = table(400, 1)
+    s = boosting.Settings(rounds=4, max_leaves=6)
+    model = boosting.fit(frame(spark, {"p": (x, y)}), ["a", "b", "c"], ["p"], 3, s)
+    train = np.arange(400) % 4 > 0
+    want, _ = plain(x[train], y[train], model.edges[0], model.medians[0], 3, s)
+    assert np.allclose(model.scores(0, model.binned(0, x[train])), want, atol=1e-9)
+    asked = boosting.Growing(s, sums=[(0, 9, 90), (0, 1, 30), (0, 8, 60)], children={0: (1, 2)})
+    assert asked.summed([1, 2]) == ([1], {2: (0, 1)}) and asked.summed([2]) == ([1], {2: (0, 1)}) and asked.summed([1]) == ([1], {})
